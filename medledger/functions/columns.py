@@ -35,7 +35,7 @@ def parse_date(text: Column | str) -> Column:
     y = F.regexp_extract(s, DATE_PATTERN, 1)
     m = F.regexp_extract(s, DATE_PATTERN, 2)
     d = F.trim(F.regexp_extract(s, DATE_PATTERN, 3))
-    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(F.concat_ws("-", y, m, d), F.lit("y-M-d")))
+    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(F.concat_ws("-", y, m, d), "y-M-d"))
 
 
 def parse_time_sec(text: Column | str) -> Column:

@@ -9,6 +9,7 @@ row count only (or against a sequential loop in the tests).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -129,3 +130,174 @@ select Patient_ID, 'billing', Bill_ID, Service_Date, cast(null as string), Servi
  Amount_Charged, Amount_Paid, cast(Amount_Charged - Amount_Paid as decimal(11,2)) from BILLING""")
 def _patient_report(fx: Fixture) -> DataFrame:
     return R.patient_report(fx.APPOINTMENT, fx.LABTEST, fx.BILLING)
+
+
+# ---------------------------------------------------------------- quality
+
+from medledger.functions.columns import DATE_PATTERN, TIME_PATTERN  # noqa: E402
+from medledger.operators import quality as Q  # noqa: E402
+from medledger.sources import schemas as SC  # noqa: E402
+
+AUDIT_TABLES = ["PATIENT", "DOCTOR", "APPOINTMENT", "LABTEST", "PRESCRIPTION", "BILLING"]
+AS_OF = "2024-01-15"
+
+
+def _present(fx: Fixture, table: str, columns) -> list[str]:
+    have = set(getattr(fx, table).columns)
+    return [c for c in columns if c in have]
+
+
+def _fixture_columns(table: str) -> list[str]:
+    # Columns the fixture mapping provides (see fixture_sql.VIEWS); fixed by the mapping.
+    return {
+        "PATIENT": ["Patient_ID", "Full_Name"],
+        "DOCTOR": ["Doctor_ID", "Full_Name", "Department"],
+        "APPOINTMENT": ["Appointment_ID", "Patient_ID", "Doctor_ID", "Department", "Appointment_Date",
+                        "Appointment_Time", "Status"],
+        "LABTEST": ["Lab_Order_ID", "Patient_ID", "Test_Type", "Order_Date", "Scheduled_Date", "Result"],
+        "PRESCRIPTION": ["Prescription_ID", "Patient_ID", "Doctor_ID", "Date_Issued", "Medication_Name", "Dosage"],
+        "BILLING": ["Bill_ID", "Patient_ID", "Service_Type", "Service_Date", "Amount_Charged", "Amount_Paid",
+                    "Payment_Date", "Payment_Status"],
+    }[table]
+
+
+def _pk_sql() -> str:
+    parts = []
+    for t in AUDIT_TABLES:
+        k = SC.PRIMARY_KEYS[t]
+        parts.append(f"select 'primary_key_duplicate' rule, '{t}' table_name, '{k}' column_name, cast({k} as string) key,"
+                     f" cast(count(*) as string)||' rows' detail from {t} where {k} is not null"
+                     f" group by {k} having count(*) > 1")
+        parts.append(f"select 'primary_key_null', '{t}', '{k}', cast(null as string),"
+                     f" cast(count(*) as string)||' rows' from {t} where {k} is null having count(*) > 0")
+    return "\nunion all\n".join(parts)
+
+
+@register("audit_primary_keys", _pk_sql())
+def _audit_pk(fx: Fixture) -> DataFrame:
+    parts = [Q.audit_primary_key(getattr(fx, t), SC.PRIMARY_KEYS[t], t) for t in AUDIT_TABLES]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _fk_sql() -> str:
+    parts = []
+    for child, col, parent, pk in SC.FOREIGN_KEYS:
+        ck = SC.PRIMARY_KEYS[child]
+        parts.append(f"select 'foreign_key' rule, '{child}' table_name, '{col}' column_name, cast(c.{ck} as string) key,"
+                     f" cast(c.{col} as string) detail from {child} c where c.{col} is not null and not exists"
+                     f" (select 1 from {parent} p where p.{pk} = c.{col})")
+    return "\nunion all\n".join(parts)
+
+
+@register("audit_foreign_keys", _fk_sql())
+def _audit_fk(fx: Fixture) -> DataFrame:
+    parts = [Q.audit_foreign_key(getattr(fx, child), col, getattr(fx, parent), pk, SC.PRIMARY_KEYS[child], child)
+             for child, col, parent, pk in SC.FOREIGN_KEYS]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _nn_columns(t: str) -> list[str]:
+    return [c for c in SC.not_null_columns(t) if c in _fixture_columns(t)]
+
+
+def _nn_sql() -> str:
+    return "\nunion all\n".join(
+        f"select 'not_null' rule, '{t}' table_name, '{c}' column_name, cast(count(*) - count({c}) as bigint) null_rows"
+        f" from {t}" for t in AUDIT_TABLES for c in _nn_columns(t))
+
+
+@register("audit_not_null", _nn_sql())
+def _audit_nn(fx: Fixture) -> DataFrame:
+    return reduce(DataFrame.unionAll, [Q.audit_not_null(getattr(fx, t), _nn_columns(t), t) for t in AUDIT_TABLES])
+
+
+def _len_limits(t: str) -> dict[str, int]:
+    return {c: n for c, n in SC.LENGTH_LIMITS[t].items() if c in _fixture_columns(t)}
+
+
+def _len_sql() -> str:
+    return "\nunion all\n".join(
+        f"select 'length' rule, '{t}' table_name, '{c}' column_name, cast({SC.PRIMARY_KEYS[t]} as string) key,"
+        f" cast(length({c}) as string)||' > {n}' detail from {t} where length({c}) > {n}"
+        for t in AUDIT_TABLES for c, n in _len_limits(t).items())
+
+
+@register("audit_lengths", _len_sql())
+def _audit_len(fx: Fixture) -> DataFrame:
+    return reduce(DataFrame.unionAll, [Q.audit_lengths(getattr(fx, t), _len_limits(t), SC.PRIMARY_KEYS[t], t)
+                                       for t in AUDIT_TABLES])
+
+
+@register("check_billing_rule", f"""
+select Bill_ID, Amount_Charged, Amount_Paid,
+ case when Amount_Charged < 0 or Amount_Paid < 0 then 'negative_amount' end rule,
+ case when Amount_Charged < 0 or Amount_Paid < 0 then '{Q.NEGATIVE_BILLING_MESSAGE}' end message
+from ACCOUNT_BILLING""")
+def _check_billing(fx: Fixture) -> DataFrame:
+    return Q.tag_violations(fx.ACCOUNT_BILLING, Q.billing_rules()).select(
+        "Bill_ID", "Amount_Charged", "Amount_Paid", "rule", "message")
+
+
+@register("check_billing_rejected", f"""
+select Bill_ID, Patient_ID, Amount_Charged, Amount_Paid, 'negative_amount' rule, '{Q.NEGATIVE_BILLING_MESSAGE}' message
+from ACCOUNT_BILLING where Amount_Charged < 0 or Amount_Paid < 0""")
+def _check_billing_rejected(fx: Fixture) -> DataFrame:
+    _, rejected = Q.check_billing(fx.ACCOUNT_BILLING)
+    return rejected.select("Bill_ID", "Patient_ID", "Amount_Charged", "Amount_Paid", "rule", "message")
+
+
+@register("check_appointment_date_rule", f"""
+select Appointment_ID, Appointment_Date,
+ case when Appointment_Date < date '{AS_OF}' then 'past_date' end rule,
+ case when Appointment_Date < date '{AS_OF}' then '{Q.PAST_APPOINTMENT_MESSAGE}' end message
+from APPOINTMENT""")
+def _check_appt(fx: Fixture) -> DataFrame:
+    return Q.tag_violations(fx.APPOINTMENT, Q.appointment_date_rules(AS_OF)).select(
+        "Appointment_ID", "Appointment_Date", "rule", "message")
+
+
+_VALIDATE_BOOKING_SQL = f"""
+with s as (select seq, Patient_ID, Doctor_ID, Appointment_Date, Appointment_Time, Department,
+  trim(Patient_ID) p, trim(Doctor_ID) d, trim(Appointment_Date) dt, trim(Appointment_Time) tm, trim(Department) dep
+  from BOOKING_TEXT),
+v as (select *,
+  case when regexp_full_match(dt, '{DATE_PATTERN}') then try_cast(regexp_extract(dt, '{DATE_PATTERN}', 1)||'-'||
+   lpad(regexp_extract(dt, '{DATE_PATTERN}', 2), 2, '0')||'-'||lpad(trim(regexp_extract(dt, '{DATE_PATTERN}', 3)), 2, '0')
+   as date) end pd,
+  case when regexp_full_match(tm, '{TIME_PATTERN}') then cast(regexp_extract(tm, '{TIME_PATTERN}', 1) as int)*3600
+   + cast(regexp_extract(tm, '{TIME_PATTERN}', 2) as int)*60 + cast(regexp_extract(tm, '{TIME_PATTERN}', 3) as int) end ps
+  from s),
+e as (select *, case when coalesce(length(p),0)=0 or coalesce(length(d),0)=0 or coalesce(length(dt),0)=0
+   or coalesce(length(tm),0)=0 or coalesce(length(dep),0)=0 then '{Q.MSG_ALL_REQUIRED}'
+  when pd is null then '{Q.MSG_BAD_DATE}' when ps is null then '{Q.MSG_BAD_TIME}' end error from v)"""
+
+
+@register("validate_booking_invalid", _VALIDATE_BOOKING_SQL + """
+select seq, Patient_ID, Doctor_ID, Appointment_Date, Appointment_Time, Department, error from e where error is not null""")
+def _validate_booking_invalid(fx: Fixture) -> DataFrame:
+    return Q.validate_requests(fx.BOOKING_TEXT, "booking")[1]
+
+
+@register("validate_booking_valid", _VALIDATE_BOOKING_SQL + """
+select seq, p Patient_ID, d Doctor_ID, pd Appointment_Date,
+ printf('%02d:%02d:%02d', ps // 3600, (ps % 3600) // 60, ps % 60) Appointment_Time, ps sec, dep Department
+from e where error is null""")
+def _validate_booking_valid(fx: Fixture) -> DataFrame:
+    return Q.validate_requests(fx.BOOKING_TEXT, "booking")[0]
+
+
+_VALIDATE_PAYMENT_SQL = f"""
+with v as (select seq, Bill_ID, amount, trim(Bill_ID) b, try_cast(trim(amount) as decimal(10,2)) a from PAYMENT_TEXT),
+e as (select *, case when a is null then '{Q.MSG_BAD_AMOUNT}' when a <= 0 then '{Q.MSG_NOT_POSITIVE}' end error from v)"""
+
+
+@register("validate_payments_invalid", _VALIDATE_PAYMENT_SQL + """
+select seq, Bill_ID, amount, error from e where error is not null""")
+def _validate_payments_invalid(fx: Fixture) -> DataFrame:
+    return Q.validate_requests(fx.PAYMENT_TEXT, "payment")[1]
+
+
+@register("validate_payments_valid", _VALIDATE_PAYMENT_SQL + """
+select seq, b Bill_ID, a amount from e where error is null""")
+def _validate_payments_valid(fx: Fixture) -> DataFrame:
+    return Q.validate_requests(fx.PAYMENT_TEXT, "payment")[0]

@@ -64,6 +64,17 @@ from APPOINTMENT where Status<>'Scheduled'""",
 select cast(row_number() over (order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_shipdate,l_returnflag) as bigint) seq,
  concat('L',lpad(cast(l_orderkey as string),8,'0')) Lab_Order_ID,
  case l_returnflag when 'R' then 'Abnormal' when 'A' then 'Normal' else 'Pending' end Result from lineitem""",
+    "BOOKING_TEXT": """
+select seq, Patient_ID, Doctor_ID,
+ case Status when 'Canceled' then strftime(Appointment_Date,'%y-%m-%d')
+  when 'Completed' then strftime(Appointment_Date,'%Y-%-m-%-d') else cast(Appointment_Date as string) end Appointment_Date,
+ case when Status='Completed' then cast(sec // 3600 as string)||':'||cast((sec % 3600) // 60 as string)||':'||cast(sec % 60 as string)
+  when Department='EUROPE' then substring(Appointment_Time,1,5) else Appointment_Time end Appointment_Time,
+ case when Status='Scheduled' and sec < 3600 then '  ' else Department end Department
+from APPOINTMENT""",
+    "PAYMENT_TEXT": """
+select seq, Bill_ID, case when cast(amount as decimal(10,2)) < 1000 then '-'||amount
+  when cast(amount as decimal(10,2)) < 1100 then 'n/a' else amount end amount from PAYMENTS""",
 }
 
 _ORDER = list(VIEWS)

@@ -201,6 +201,31 @@ class Fixture:
                                   "l_extendedprice", "l_shipdate", "l_returnflag"], "seq")
         return ranked.select("seq", "Lab_Order_ID", "Result")
 
+    @cached_property
+    def BOOKING_TEXT(self) -> DataFrame:
+        """Booking calls as typed text: padded, unpadded, two-digit-year, short and blank fields."""
+        a = self.APPOINTMENT
+        st, d, sec = F.col("Status"), F.col("Appointment_Date"), F.col("sec")
+        date_txt = (F.when(st == "Canceled", F.date_format(d, "yy-MM-dd"))
+                    .when(st == "Completed", F.date_format(d, "y-M-d")).otherwise(d.cast("string")))
+        unpadded = F.concat_ws(":", *[x.cast("string") for x in (F.floor(sec / 3600), F.floor(sec % 3600 / 60),
+                                                                 sec % 60)])
+        time_txt = (F.when(st == "Completed", unpadded)
+                    .when(F.col("Department") == "EUROPE", F.substring("Appointment_Time", 1, 5))
+                    .otherwise(F.col("Appointment_Time")))
+        dept = F.when((st == "Scheduled") & (sec < 3600), F.lit("  ")).otherwise(F.col("Department"))
+        return a.select("seq", "Patient_ID", "Doctor_ID", date_txt.alias("Appointment_Date"),
+                        time_txt.alias("Appointment_Time"), dept.alias("Department"))
+
+    @cached_property
+    def PAYMENT_TEXT(self) -> DataFrame:
+        """Payment calls as typed text: valid, negative and non-numeric amounts."""
+        p = self.PAYMENTS
+        value = F.col("amount").cast("decimal(10,2)")
+        text = (F.when(value < 1000, F.concat(F.lit("-"), F.col("amount")))
+                .when(value < 1100, F.lit("n/a")).otherwise(F.col("amount")))
+        return p.select("seq", "Bill_ID", text.alias("amount"))
+
     def tables(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in ("PATIENT", "DOCTOR", "APPOINTMENT", "LABTEST",
                                                "PRESCRIPTION", "BILLING")}
