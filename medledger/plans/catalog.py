@@ -301,3 +301,162 @@ def _validate_payments_invalid(fx: Fixture) -> DataFrame:
 select seq, b Bill_ID, a amount from e where error is null""")
 def _validate_payments_valid(fx: Fixture) -> DataFrame:
     return Q.validate_requests(fx.PAYMENT_TEXT, "payment")[0]
+
+
+# ---------------------------------------------------------------- batch changes
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from medledger.operators import changes as C  # noqa: E402
+from medledger.sources.tables import ensure_column  # noqa: E402
+
+
+def _payments_sql(bills: str, versioned: bool, tail: str) -> str:
+    v0 = "coalesce(b.version, 1)" if versioned else "1"
+    return f"""
+with p as (select seq, Bill_ID raw_bill, amount raw_amount, trim(Bill_ID) Bill_ID,
+  try_cast(trim(amount) as decimal(10,2)) amount from PAYMENT_TEXT),
+bad as (select *, case when amount is null then '{Q.MSG_BAD_AMOUNT}' when amount <= 0 then '{Q.MSG_NOT_POSITIVE}' end error from p),
+j as (select v.seq, v.Bill_ID, v.amount, b.Amount_Charged charged, b.Amount_Paid paid0, {v0} v0,
+  b.Bill_ID is not null found from bad v left join {bills} b on v.Bill_ID = b.Bill_ID where v.error is null),
+l as (select Bill_ID, min(seq) first_ok from j where found and paid0 + amount >= 0 group by Bill_ID),
+k as (select j.*, coalesce(found and not (charged < 0 or l.first_ok is null or seq < l.first_ok), false) ok
+  from j left join l on j.Bill_ID = l.Bill_ID),
+r as (select *, cast(paid0 + sum(amount) over w as decimal(10,2)) paid_after, count(*) over w n from k where ok
+  window w as (partition by Bill_ID order by seq rows between unbounded preceding and current row)),
+outcome as (
+ select seq, Bill_ID, amount, true ok, paid_after Amount_Paid,
+  case when paid_after >= charged then 'Paid' else 'Pending' end Payment_Status,
+  {"cast(v0 + n as int)" if versioned else "cast(null as int)"} version, cast(null as string) reason,
+  '{C.MSG_PAYMENT_OK}' message from r
+ union all
+ select seq, Bill_ID, amount, false, null, null, null,
+  case when not found then 'not_found' else 'negative_amount' end,
+  case when not found then '{C.MSG_PAYMENT_FAILED}' else '{Q.NEGATIVE_BILLING_MESSAGE}' end from k where not ok
+ union all
+ select seq, raw_bill, null, false, null, null, null, 'invalid_request', error from bad where error is not null),
+t as (select Bill_ID, sum(amount) add_paid, count(*) k from k where ok group by Bill_ID),
+new_bills as (
+ select b.* replace (
+   case when t.add_paid is null then b.Amount_Paid else cast(b.Amount_Paid + t.add_paid as decimal(10,2)) end as Amount_Paid,
+   case when t.add_paid is null then b.Payment_Status
+    when cast(b.Amount_Paid + t.add_paid as decimal(10,2)) >= b.Amount_Charged then 'Paid' else 'Pending' end as Payment_Status
+   {", cast(coalesce(b.version, 1) + coalesce(t.k, 0) as int) as version" if versioned else ""})
+ from {bills} b left join t on b.Bill_ID = t.Bill_ID)
+{tail}"""
+
+
+@register("payments_outcome", _payments_sql("BILLING", False, "select * from outcome"))
+def _payments_outcome(fx: Fixture) -> DataFrame:
+    return C.apply_payments(fx.BILLING, fx.PAYMENT_TEXT)[1]
+
+
+@register("payments_bills", _payments_sql("BILLING", False, "select * from new_bills"))
+def _payments_bills(fx: Fixture) -> DataFrame:
+    return C.apply_payments(fx.BILLING, fx.PAYMENT_TEXT)[0]
+
+
+@register("payments_versioned_outcome", _payments_sql("VISIT_BILLING", True, "select * from outcome"))
+def _payments_v_outcome(fx: Fixture) -> DataFrame:
+    return C.apply_payments(fx.VISIT_BILLING, fx.PAYMENT_TEXT, use_version=True)[1]
+
+
+@register("payments_versioned_bills", _payments_sql("VISIT_BILLING", True, "select * from new_bills"))
+def _payments_v_bills(fx: Fixture) -> DataFrame:
+    return C.apply_payments(fx.VISIT_BILLING, fx.PAYMENT_TEXT, use_version=True)[0]
+
+
+_STATUS_SQL = f"""
+with c as (select seq, Appointment_ID, action, lower(trim(action)) act from STATUS_CHANGES),
+j as (select c.*, a.Patient_ID, a.Appointment_Date d, a.Appointment_ID is not null found
+  from c left join APPOINTMENT a on c.Appointment_ID = a.Appointment_ID),
+ap as (select * from j where found and act in ('complete','cancel')),
+pa as (select Appointment_ID, arg_max(act, seq) last_act from ap group by Appointment_ID),
+pd as (select Patient_ID, d, arg_max(act, seq) last_bill from ap group by Patient_ID, d)"""
+
+
+@register("status_changes_appointments", _STATUS_SQL + """
+select a.Appointment_ID, a.Patient_ID, a.Doctor_ID, a.Department, a.Appointment_Date, a.Appointment_Time,
+ case pa.last_act when 'complete' then 'Completed' when 'cancel' then 'Canceled' else a.Status end Status, a.seq, a.sec
+from APPOINTMENT a left join pa on a.Appointment_ID = pa.Appointment_ID""")
+def _status_appts(fx: Fixture) -> DataFrame:
+    return C.apply_status_changes(fx.APPOINTMENT, fx.VISIT_BILLING, fx.STATUS_CHANGES)[0]
+
+
+@register("status_changes_bills", _STATUS_SQL + """
+select b.* replace (case pd.last_bill when 'complete' then 'Processing' when 'cancel' then 'Void'
+  else b.Payment_Status end as Payment_Status)
+from VISIT_BILLING b left join pd on b.Patient_ID = pd.Patient_ID and b.Service_Date = pd.d""")
+def _status_bills(fx: Fixture) -> DataFrame:
+    return C.apply_status_changes(fx.APPOINTMENT, fx.VISIT_BILLING, fx.STATUS_CHANGES)[1]
+
+
+@register("status_changes_outcome", _STATUS_SQL + f"""
+select seq, Appointment_ID, action, coalesce(found and act in ('complete','cancel'), false) ok,
+ case when act not in ('complete','cancel') then 'invalid_request' when not found then 'not_found' end reason,
+ case when act not in ('complete','cancel') then '{C.MSG_BAD_ACTION}' when not found then '{C.MSG_APPOINTMENT_NOT_FOUND}'
+  when act = 'complete' then '{C.MSG_COMPLETED}' else '{C.MSG_CANCELED}' end message from j""")
+def _status_outcome(fx: Fixture) -> DataFrame:
+    return C.apply_status_changes(fx.APPOINTMENT, fx.VISIT_BILLING, fx.STATUS_CHANGES)[2]
+
+
+_LAB_SQL = f"""
+with u as (select seq, Lab_Order_ID raw_id, Result raw_result, trim(Lab_Order_ID) Lab_Order_ID, trim(Result) Result
+  from LAB_UPDATES),
+v as (select * from u where length(Lab_Order_ID) > 0 and length(Result) > 0),
+ids as (select distinct Lab_Order_ID from LABTEST),
+j as (select v.*, i.Lab_Order_ID is not null found, length(v.Result) <= 20 fits
+  from v left join ids i on v.Lab_Order_ID = i.Lab_Order_ID),
+last as (select Lab_Order_ID, arg_max(Result, seq) new_result from j where found and fits group by Lab_Order_ID)"""
+
+
+@register("lab_updates_labs", _LAB_SQL + """
+select l.* replace (coalesce(last.new_result, l.Result) as Result)
+from LABTEST l left join last on l.Lab_Order_ID = last.Lab_Order_ID""")
+def _lab_labs(fx: Fixture) -> DataFrame:
+    return C.update_lab_results(fx.LABTEST, fx.LAB_UPDATES)[0]
+
+
+@register("lab_updates_outcome", _LAB_SQL + f"""
+select seq, Lab_Order_ID, Result, found and fits ok,
+ case when not found then 'not_found' when not fits then 'too_long' end reason,
+ case when not found then '{C.MSG_LAB_NONE}' when not fits then '{C.MSG_LAB_TOO_LONG.replace("'", "''")}' else '{C.MSG_LAB_OK}' end message
+from j
+union all
+select seq, raw_id, raw_result, false, 'invalid_request', '{Q.MSG_BOTH_REQUIRED}' from u
+where not (coalesce(length(Lab_Order_ID), 0) > 0 and coalesce(length(Result), 0) > 0)""")
+def _lab_outcome(fx: Fixture) -> DataFrame:
+    return C.update_lab_results(fx.LABTEST, fx.LAB_UPDATES)[1]
+
+
+RESET_FROM = "1998-01-01"
+
+
+def _reset_cond():
+    return (F.col("Payment_Status") == "Paid") & (F.col("Service_Date") >= F.lit(RESET_FROM).cast("date"))
+
+
+@register("update_reset_paid_bills", f"""
+select b.* replace (
+  case when Payment_Status = 'Paid' and Service_Date >= date '{RESET_FROM}' then cast(0 as decimal(10,2)) else Amount_Paid end as Amount_Paid,
+  case when Payment_Status = 'Paid' and Service_Date >= date '{RESET_FROM}' then 'Pending' else Payment_Status end as Payment_Status,
+  case when Payment_Status = 'Paid' and Service_Date >= date '{RESET_FROM}' then null else Payment_Date end as Payment_Date),
+ case when Payment_Status = 'Paid' and Service_Date >= date '{RESET_FROM}' then 2 else 1 end version
+from BILLING b""")
+def _update_reset(fx: Fixture) -> DataFrame:
+    b = ensure_column(fx.BILLING, "version", "int", 1)
+    return C.update_where(b, _reset_cond(), {"Amount_Paid": 0, "Payment_Status": "Pending", "Payment_Date": None,
+                                              "version": F.col("version") + 1})
+
+
+@register("update_reset_affected_rows", f"""
+select cast(count(*) as bigint) affected_rows from BILLING
+where Payment_Status = 'Paid' and Service_Date >= date '{RESET_FROM}'""")
+def _update_affected(fx: Fixture) -> DataFrame:
+    return C.affected_rows(fx.BILLING, _reset_cond())
+
+
+@register("delete_canceled_appointments", """
+select * from APPOINTMENT where not coalesce(Status = 'Canceled', false)""")
+def _delete_canceled(fx: Fixture) -> DataFrame:
+    return C.delete_where(fx.APPOINTMENT, F.col("Status") == "Canceled")
