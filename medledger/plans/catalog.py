@@ -460,3 +460,98 @@ def _update_affected(fx: Fixture) -> DataFrame:
 select * from APPOINTMENT where not coalesce(Status = 'Canceled', false)""")
 def _delete_canceled(fx: Fixture) -> DataFrame:
     return C.delete_where(fx.APPOINTMENT, F.col("Status") == "Canceled")
+
+
+# ---------------------------------------------------------------- booking
+
+from medledger.operators import booking as BK  # noqa: E402
+
+BOOKING_AS_OF = "2024-01-10"
+
+
+@register("slot_conflicts", """
+select Appointment_ID, Patient_ID, Doctor_ID, Appointment_Date, Appointment_Time, patient_conflicts, doctor_conflicts
+from (select *,
+  count(*) over (partition by Patient_ID, Appointment_Date order by sec range between 1799 preceding and 1799 following) - 1
+   patient_conflicts,
+  count(*) over (partition by Doctor_ID, Appointment_Date order by sec range between 1799 preceding and 1799 following) - 1
+   doctor_conflicts
+ from APPOINTMENT) where patient_conflicts > 0 or doctor_conflicts > 0""")
+def _slot_conflicts(fx: Fixture) -> DataFrame:
+    return BK.slot_conflicts(fx.APPOINTMENT)
+
+
+def _sequential_booking_sql(requests_cte: str, existing_where: str | None, doctor_code: int, tail: str) -> str:
+    """Oracle: walk each date's requests in seq order, carrying the accepted slots."""
+    existing = (f"select Appointment_Date, list({{'p':Patient_ID,'d':Doctor_ID,'s':sec}}) acc0 from APPOINTMENT"
+                f" where {existing_where} group by Appointment_Date" if existing_where else
+                "select cast(null as date) Appointment_Date, "
+                "cast([] as struct(p varchar, d varchar, s integer)[]) acc0 where false")
+    return f"""
+with recursive {requests_cte},
+ex as ({existing}),
+r as (select *, row_number() over (partition by pd order by seq) rn from req),
+g as (
+ select x.pd, cast(0 as bigint) rn, cast(null as bigint) seq, cast(null as int) status, cast(null as varchar) reason,
+  coalesce(ex.acc0, cast([] as struct(p varchar, d varchar, s integer)[])) acc
+ from (select distinct pd from r) x left join ex on ex.Appointment_Date = x.pd
+ union all
+ select pd, rn, seq, status, reason, case when status = 0 then list_append(acc, {{'p':p,'d':d,'s':ps}}) else acc end
+ from (select r.pd, r.rn, r.seq, r.p, r.d, r.ps, g.acc,
+   case when len(list_filter(g.acc, lambda x: x.p = r.p and abs(x.s - r.ps) < 1800)) > 0 then -1
+        when len(list_filter(g.acc, lambda x: x.d = r.d and abs(x.s - r.ps) < 1800)) > 0 then {doctor_code}
+        when not r.eligible then null else 0 end status,
+   case when len(list_filter(g.acc, lambda x: x.p = r.p and abs(x.s - r.ps) < 1800)) > 0 then 'patient'
+        when len(list_filter(g.acc, lambda x: x.d = r.d and abs(x.s - r.ps) < 1800)) > 0 then 'doctor'
+        when r.past then 'past_date' when not r.p_ok then 'unknown_patient' when not r.d_ok then 'unknown_doctor'
+   end reason
+  from g join r on r.pd = g.pd and r.rn = g.rn + 1) q),
+decided as (select seq, status, reason from g where rn > 0)
+{tail}"""
+
+
+_REPLAY_REQUESTS = """req as (select seq, Patient_ID p, Doctor_ID d, Appointment_Date pd, sec ps, true eligible,
+  false past, true p_ok, true d_ok from APPOINTMENT)"""
+
+
+def _replay(fx: Fixture):
+    none_yet = fx.APPOINTMENT.where(F.lit(False))
+    return BK.book_appointments(none_yet, fx.VISIT_BILLING.where(F.lit(False)), fx.PATIENT, fx.DOCTOR,
+                                fx.BOOKING_REQUESTS, as_of=None, distinct_codes=True)
+
+
+@register("booking_replay_outcome",
+          _sequential_booking_sql(_REPLAY_REQUESTS, None, -2, "select seq, status from decided"))
+def _booking_replay(fx: Fixture) -> DataFrame:
+    return _replay(fx)[2].select("seq", "status")
+
+
+@register("booking_replay_new_appointments", _sequential_booking_sql(_REPLAY_REQUESTS, None, -2, """,
+ranked as (select seq, row_number() over (order by seq) k from decided where status = 0)
+select 'A'||lpad(cast(k as string), cast(greatest(4, length(cast(k as string))) as integer), '0') Appointment_ID, a.Patient_ID,
+ a.Doctor_ID, a.Department, a.Appointment_Date, a.Appointment_Time, 'Scheduled' Status, 1 version
+from ranked join APPOINTMENT a on a.seq = ranked.seq"""))
+def _booking_replay_appts(fx: Fixture) -> DataFrame:
+    return _replay(fx)[0]
+
+
+_HISTORY_REQUESTS = _VALIDATE_BOOKING_SQL.strip()[len("with "):] + f""",
+pats as (select distinct Patient_ID from PATIENT), docs as (select distinct Doctor_ID from DOCTOR),
+req as (select seq, p, d, pd, ps, pd < date '{BOOKING_AS_OF}' past, p in (select Patient_ID from pats) p_ok,
+  d in (select Doctor_ID from docs) d_ok,
+  not (pd < date '{BOOKING_AS_OF}') and p in (select Patient_ID from pats) and d in (select Doctor_ID from docs) eligible
+ from e where error is null)"""
+
+
+def _history(fx: Fixture):
+    history = fx.APPOINTMENT.where(F.col("Status") == "Completed")
+    return BK.book_appointments(history, fx.VISIT_BILLING, fx.PATIENT, fx.DOCTOR, fx.BOOKING_TEXT,
+                                as_of=BOOKING_AS_OF)
+
+
+@register("booking_history_outcome", _sequential_booking_sql(
+    _HISTORY_REQUESTS, "Status = 'Completed'", -1, """
+select seq, status, reason from decided
+union all select seq, null, 'invalid_request' from e where error is not null"""))
+def _booking_history(fx: Fixture) -> DataFrame:
+    return _history(fx)[2].select("seq", "status", "reason")
