@@ -532,7 +532,7 @@ select 'A'||lpad(cast(k as string), cast(greatest(4, length(cast(k as string)))
  a.Doctor_ID, a.Department, a.Appointment_Date, a.Appointment_Time, 'Scheduled' Status, 1 version
 from ranked join APPOINTMENT a on a.seq = ranked.seq"""))
 def _booking_replay_appts(fx: Fixture) -> DataFrame:
-    return _replay(fx)[0]
+    return _replay(fx)[0].select(*SC.APPOINTMENT.fieldNames(), "version")
 
 
 _HISTORY_REQUESTS = _VALIDATE_BOOKING_SQL.strip()[len("with "):] + f""",
