@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's ``str.strip()`` removes (``str.isspace``),
-# as a Java regex class.
-_PY_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The characters Python's ``str.strip()`` removes (``str.isspace``).
+PY_WHITESPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 # What Python's ``strptime`` accepts for ``%Y-%m-%d`` and ``%H:%M:%S``
 # (4-digit year; month and day with one or two digits, a day may also be ' 5';
@@ -19,9 +19,9 @@ SECONDS_PER_DAY = 86400
 
 
 def strip(c: Column | str) -> Column:
-    """Python-style ``strip()``: removes all leading and trailing whitespace."""
+    """Python-style ``strip()``: removes all leading and trailing whitespace (no regex)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, rf"^{_PY_SPACE}+|{_PY_SPACE}+$", "")
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def not_blank(c: Column | str) -> Column:
@@ -29,20 +29,21 @@ def not_blank(c: Column | str) -> Column:
     return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
 
 
-def parse_date(text: Column | str) -> Column:
+def parse_date(text: Column | str, stripped: bool = False) -> Column:
     """``YYYY-M-D`` text to DATE, NULL when Python's ``strptime`` would reject it."""
-    s = strip(text)
-    y = F.regexp_extract(s, DATE_PATTERN, 1)
-    m = F.regexp_extract(s, DATE_PATTERN, 2)
-    d = F.trim(F.regexp_extract(s, DATE_PATTERN, 3))
-    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(F.concat_ws("-", y, m, d), "y-M-d"))
+    s = text if stripped else strip(text)
+    s = F.col(s) if isinstance(s, str) else s
+    # The pattern admits a space only before a one-digit day, so dropping spaces is safe.
+    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(F.translate(s, " ", ""), "y-M-d"))
 
 
-def parse_time_sec(text: Column | str) -> Column:
+def parse_time_sec(text: Column | str, stripped: bool = False) -> Column:
     """``H:M:S`` text to second of day, NULL when invalid."""
-    s = strip(text)
-    parts = [F.regexp_extract(s, TIME_PATTERN, i).cast("int") for i in (1, 2, 3)]
-    return F.when(s.rlike(TIME_PATTERN), parts[0] * 3600 + parts[1] * 60 + parts[2])
+    s = text if stripped else strip(text)
+    s = F.col(s) if isinstance(s, str) else s
+    p = F.split(s, ":")
+    sec = p.getItem(0).cast("int") * 3600 + p.getItem(1).cast("int") * 60 + p.getItem(2).cast("int")
+    return F.when(s.rlike(TIME_PATTERN), sec)
 
 
 def time_of_day_sec(hhmmss: Column | str) -> Column:

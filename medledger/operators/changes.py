@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from medledger.operators.ordering import running_sums
 from medledger.operators.quality import NEGATIVE_BILLING_MESSAGE, validate_requests
+from medledger.session import cut_lineage
 
 # Outcome texts of the routines and the console client.
 MSG_PAYMENT_OK = "Payment processed successfully"
@@ -56,7 +57,7 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool = Fa
     j = j.join(lift, "Bill_ID", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     blocked = (F.col("_charged") < 0) | F.col("_first_ok").isNull() | (F.col("seq") < F.col("_first_ok"))
-    j = j.withColumn("_ok", found & ~blocked).withColumn("_one", F.lit(1))
+    j = cut_lineage(j.withColumn("_ok", found & ~blocked).withColumn("_one", F.lit(1)))
     ok = running_sums(j.where("_ok"), ["Bill_ID"], "seq", {"_cum": "amount", "_n": "_one"})
     paid_after = (F.col("_paid0") + F.col("_cum")).cast("decimal(10,2)")
     ok_out = ok.select(

@@ -30,14 +30,17 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
     """
     tagged = cut_lineage(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), _PARTITION_BITS)
-    counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # One row per partition of ``tagged``: the bound that makes the broadcast safe.
-    if tagged.rdd.getNumPartitions() <= 1_000_000:
-        offsets = F.broadcast(offsets)
+    # One count per partition of ``tagged``: bounded by the partition count, so it
+    # may come to the driver and go back as a small local table.
+    counts = sorted(tuple(r) for r in tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1))).collect())
+    offsets, running = [], 0
+    for p, n in counts:
+        offsets.append((p, running))
+        running += n
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
     local = F.col("_mid").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
-    out = tagged.withColumn("_pid", pid).join(offsets, "_pid")
+    out = tagged.withColumn("_pid", pid).join(F.broadcast(off), "_pid")
     return out.withColumn(name, (F.col("_off") + local + 1).cast("bigint")).drop("_pid", "_off", "_mid")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medledger.functions.columns import (
-    not_blank, parse_amount, parse_date, parse_time_sec, sec_to_time, strip,
+    parse_amount, parse_date, parse_time_sec, sec_to_time, strip,
 )
 
 AUDIT_COLUMNS = ["rule", "table_name", "column_name", "key", "detail"]
@@ -165,9 +165,10 @@ def validate_requests(df: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
     """
     if spec == "booking":
         s = df.select("*", *[strip(c).alias(f"_{c}") for c in BOOKING_FIELDS])
-        s = s.withColumn("_date", parse_date("_Appointment_Date")).withColumn(
-            "_sec", parse_time_sec("_Appointment_Time"))
-        error = (F.when(~reduce(lambda a, b: a & b, [not_blank(f"_{c}") for c in BOOKING_FIELDS]),
+        s = s.withColumn("_date", parse_date("_Appointment_Date", stripped=True)).withColumn(
+            "_sec", parse_time_sec("_Appointment_Time", stripped=True))
+        present = [F.coalesce(F.length(f"_{c}") > 0, F.lit(False)) for c in BOOKING_FIELDS]
+        error = (F.when(~reduce(lambda a, b: a & b, present),
                         F.lit(MSG_ALL_REQUIRED))
                  .when(F.col("_date").isNull(), F.lit(MSG_BAD_DATE))
                  .when(F.col("_sec").isNull(), F.lit(MSG_BAD_TIME)))
@@ -190,7 +191,8 @@ def validate_requests(df: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
         return valid, invalid
     if spec == "lab_update":
         s = df.withColumn("_id", strip("Lab_Order_ID")).withColumn("_res", strip("Result"))
-        error = F.when(~(not_blank("_id") & not_blank("_res")), F.lit(MSG_BOTH_REQUIRED))
+        present = F.coalesce((F.length("_id") > 0) & (F.length("_res") > 0), F.lit(False))
+        error = F.when(~present, F.lit(MSG_BOTH_REQUIRED))
         s = s.withColumn("error", error)
         valid = s.where(F.col("error").isNull()).select(
             "seq", F.col("_id").alias("Lab_Order_ID"), F.col("_res").alias("Result"))

@@ -1,0 +1,20 @@
+"""Parallelism guard for scans that arrive in too few splits.
+
+A source stored as a handful of large row groups scans in a handful of
+tasks, and every operator before the first shuffle inherits that. ``spread``
+adds a round-robin repartition only in that case; on a cluster reading many
+files the scan already has enough splits and nothing changes. Filters and
+column pruning still reach the scan (Catalyst pushes them below a
+repartition).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medledger.operators.ordering import global_rank
+from medledger.plans.parallelism import spread
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# Dimension tables that stay small at any scale factor of the driver data.
+SMALL_TABLES = {"region", "nation"}
+
 
 def key_id(prefix: str, key: Column | str, width: int = 8) -> Column:
     c = F.col(key) if isinstance(key, str) else key
@@ -38,7 +42,8 @@ class Fixture:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return df if name in SMALL_TABLES else spread(df)
 
     @cached_property
     def PATIENT(self) -> DataFrame:
