@@ -20,6 +20,7 @@ from medledger.sources.fixtures import Fixture
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+_ORACLE_TEXT: dict[str, str] = {}  # before the fixture CTEs are inlined
 
 # Parameters of the report queries on the driver data (the reference's own
 # constants name rows that the mapped data does not contain).
@@ -32,6 +33,7 @@ def register(name: str, oracle: str | None = None):
     def deco(fn: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(Fixture(spark, sf_dir))
         if oracle is not None:
+            _ORACLE_TEXT[name] = oracle
             ORACLES[name] = with_views(oracle)
         return fn
     return deco
@@ -555,3 +557,36 @@ select seq, status, reason from decided
 union all select seq, null, 'invalid_request' from e where error is not null"""))
 def _booking_history(fx: Fixture) -> DataFrame:
     return _history(fx)[2].select("seq", "status", "reason")
+
+
+# ---------------------------------------------------------------- SQL function and streams
+
+import uuid  # noqa: E402
+
+from medledger.plans.sql_functions import register_sql_functions  # noqa: E402
+from medledger.session import ensure_checkpoint_dir  # noqa: E402
+from medledger.streaming import streams as ST  # noqa: E402
+
+
+@register("outstanding_bill_sql_function", _ORACLE_TEXT["outstanding_bill_per_patient"])
+def _outstanding_sql_fn(fx: Fixture) -> DataFrame:
+    tag = uuid.uuid4().hex[:8]
+    fx.BILLING.createOrReplaceTempView(f"billing_{tag}")
+    fx.PATIENT.createOrReplaceTempView(f"patient_{tag}")
+    register_sql_functions(fx.spark, f"billing_{tag}")
+    return fx.spark.sql(f"SELECT Patient_ID, CalculateOutstandingBill(Patient_ID) AS Outstanding_Bill FROM patient_{tag}")
+
+
+def _scratch(fx: Fixture, name: str) -> str:
+    return f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/medledger/{name}-{uuid.uuid4().hex}"
+
+
+@register("stream_check_billing_rejected", _ORACLE_TEXT["check_billing_rejected"])
+def _stream_billing(fx: Fixture) -> DataFrame:
+    root = _scratch(fx, "billing-stream")
+    fx.ACCOUNT_BILLING.write.parquet(f"{root}/source")
+    q = ST.check_billing_stream(fx.spark, f"{root}/source", f"{root}/accepted", f"{root}/rejected",
+                                checkpoint=f"{root}/checkpoint")
+    q.awaitTermination()
+    return fx.spark.read.parquet(f"{root}/rejected").select(
+        "Bill_ID", "Patient_ID", "Amount_Charged", "Amount_Paid", "rule", "message")

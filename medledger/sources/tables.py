@@ -7,7 +7,9 @@ folder being read).
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Iterable, Mapping, Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +70,18 @@ def append_rows(df: DataFrame, rows: DataFrame | Sequence[tuple] | Sequence[Mapp
     return df.unionByName(new, allowMissingColumns=True)
 
 
+def _norm(path: str) -> str:
+    """Location without scheme differences that do not matter here (``file:///x`` vs ``/x``)."""
+    u = urlparse(path)
+    where = u.path if u.scheme in ("", "file") else f"{u.scheme}://{u.netloc}{u.path}"
+    return posixpath.normpath(where)
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write a new table version to ``path``; refuses a folder the plan reads from."""
-    target = path.rstrip("/")
+    target = _norm(path)
     for f in df.inputFiles():
-        if f.replace("file:", "").startswith(target + "/"):
+        if _norm(f).startswith(target + "/"):
             raise ValueError(f"{path} is read by this plan; write the snapshot to a new folder")
     w = df.write.mode("errorifexists")
     if partition_by:
