@@ -39,7 +39,6 @@ MSG_BOOKED = "Appointment booked successfully. ID: "
 MSG_SLOT_TAKEN = "Booking failed - time slot not available"
 MSG_MISSING_PARENT = "Cannot add or update a child row: a foreign key constraint fails"
 
-KEYS = ("Patient_ID", "Doctor_ID")
 _EARLIEST = -(1 << 63)
 
 
@@ -83,42 +82,66 @@ def _keys_present(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col).alias("_k")).where(F.col("_k").isNotNull()).distinct()
 
 
-def _blocking(existing: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """Existing appointments per (key, date, second) in key-dates that have requests."""
-    wanted = requests.select(key, "_date").distinct()
-    e = existing.join(wanted, [key, "_date"], "left_semi")
-    return e.groupBy(key, "_date", "_sec").agg(F.count(F.lit(1)).alias("_acc"),
-                                                F.lit(_EARLIEST).cast("bigint").alias("_aseq"))
+# The blocking table holds existing and accepted appointments for both keys:
+# (_kt: "p" patient / "d" doctor, _kv: key value, _date, _sec, _acc: count, _aseq: smallest seq).
+_KEY_TYPES = (("p", "Patient_ID"), ("d", "Doctor_ID"))
 
 
-def _round(pending: DataFrame, blocking: dict[str, DataFrame], minutes: int) -> DataFrame:
+def _by_key(rows: DataFrame, acc: Column, aseq: Column) -> DataFrame:
+    """Rows (Patient_ID, Doctor_ID, _date, _sec) as blocking entries for both keys."""
+    parts = [rows.select(F.lit(kt).alias("_kt"), F.col(key).alias("_kv"), "_date", "_sec",
+                         acc.cast("bigint").alias("_acc"), aseq.cast("bigint").alias("_aseq"))
+             for kt, key in _KEY_TYPES]
+    return parts[0].unionByName(parts[1])
+
+
+def _live(pending: DataFrame) -> DataFrame:
+    """(_kt, _kv, _date) touched by pending requests."""
+    return _by_key(pending, F.lit(0), F.lit(0)).select("_kt", "_kv", "_date").distinct()
+
+
+def _existing_blocking(existing: DataFrame, requests: DataFrame) -> DataFrame:
+    """Existing appointments per (key, date, second), only in key-dates that have requests."""
+    e = _by_key(existing, F.lit(1), F.lit(_EARLIEST))
+    e = e.join(_live(requests), ["_kt", "_kv", "_date"], "left_semi")
+    return e.groupBy("_kt", "_kv", "_date", "_sec").agg(F.sum("_acc").alias("_acc"), F.min("_aseq").alias("_aseq"))
+
+
+def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: int, aggs, outs) -> DataFrame:
+    """Window summaries per (key, date, second) over request points and blocking rows of one key type."""
+    b = blocking.where(F.col("_kt") == kt).select(F.col("_kv").alias(key), "_date", "_sec", "_acc", "_aseq")
+    pts = points.unionByName(b, allowMissingColumns=True)
+    per_sec = pts.groupBy(key, "_date", "_sec").agg(*aggs)
+    w = _window(key, minutes)
+    return per_sec.select(key, "_date", "_sec", *[f(c).over(w).alias(o) for f, c, o in outs])
+
+
+def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     """One acceptance round over the pending requests; adds ``_state``."""
     out = pending
-    for i, key in enumerate(KEYS):
-        live = pending.select(key, "_date").distinct()
-        b = blocking[key].join(live, [key, "_date"], "left_semi")
-        pts = pending.select(key, "_date", "_sec", F.col("seq").alias("_pseq"), F.lit(0).cast("bigint").alias("_acc")) \
-            .unionByName(b.select(key, "_date", "_sec", F.lit(None).cast("bigint").alias("_pseq"),
-                                  F.col("_acc").cast("bigint")))
-        per_sec = pts.groupBy(key, "_date", "_sec").agg(F.min("_pseq").alias("_pmin"), F.sum("_acc").alias("_acc"))
-        w = _window(key, minutes)
-        near = per_sec.select(key, "_date", "_sec", F.min("_pmin").over(w).alias(f"_wait{i}"),
-                              F.sum("_acc").over(w).alias(f"_block{i}"))
+    for i, (kt, key) in enumerate(_KEY_TYPES):
+        pts = pending.select(key, "_date", "_sec", F.col("seq").alias("_pseq"))
+        near = _near(pts, blocking, kt, key, minutes,
+                     [F.min("_pseq").alias("_pmin"), F.sum("_acc").alias("_acc")],
+                     [(F.min, "_pmin", f"_wait{i}"), (F.sum, "_acc", f"_block{i}")])
         out = out.join(near, [key, "_date", "_sec"])
-    blocked = (F.col("_block0") > 0) | (F.col("_block1") > 0)
+    blocked = F.coalesce(F.col("_block0") > 0, F.lit(False)) | F.coalesce(F.col("_block1") > 0, F.lit(False))
     first = (F.col("_wait0") >= F.col("seq")) & (F.col("_wait1") >= F.col("seq"))
     state = F.when(blocked, "rejected").when(first, "accepted").otherwise("pending")
     return out.withColumn("_state", state).drop("_wait0", "_wait1", "_block0", "_block1")
 
 
-def _earlier_conflict(req: DataFrame, blocking: DataFrame, key: str, minutes: int, name: str) -> DataFrame:
-    """Flag ``name``: an existing or accepted appointment with smaller seq lies in the window."""
-    pts = req.select(key, "_date", "_sec", F.lit(None).cast("bigint").alias("_aseq")) \
-        .unionByName(blocking.select(key, "_date", "_sec", "_aseq"))
-    per_sec = pts.groupBy(key, "_date", "_sec").agg(F.min("_aseq").alias("_amin"))
-    near = per_sec.select(key, "_date", "_sec", F.min("_amin").over(_window(key, minutes)).alias(f"_nb_{name}"))
-    j = req.join(near, [key, "_date", "_sec"])
-    return j.withColumn(name, F.coalesce(F.col(f"_nb_{name}") < F.col("seq"), F.lit(False))).drop(f"_nb_{name}")
+def _earlier_conflict(req: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
+    """Flags ``_conf_p`` / ``_conf_d``: an existing or accepted appointment with a smaller
+    seq lies in the window on that key (the sequential rule)."""
+    out = req
+    for (kt, key), name in zip(_KEY_TYPES, ("_conf_p", "_conf_d")):
+        pts = req.select(key, "_date", "_sec")
+        near = _near(pts, blocking, kt, key, minutes, [F.min("_aseq").alias("_amin")],
+                     [(F.min, "_amin", f"_nb{name}")])
+        out = out.join(near, [key, "_date", "_sec"])
+        out = out.withColumn(name, F.coalesce(F.col(f"_nb{name}") < F.col("seq"), F.lit(False))).drop(f"_nb{name}")
+    return out
 
 
 def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, doctors: DataFrame,
@@ -149,34 +172,42 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
     sec = F.col("sec") if "sec" in appts.columns else time_of_day_sec("Appointment_Time")
     existing = appts.select("Patient_ID", "Doctor_ID", F.col("Appointment_Date").alias("_date"),
                             sec.cast("int").alias("_sec"))
-    blocking = {k: cut_lineage(_blocking(existing, req, k)) for k in KEYS}
+    existing_blocking = cut_lineage(_existing_blocking(existing, req))
 
+    # Rounds. Pending requests only decrease, so after each round the blocking
+    # rows are cut down to the key-dates that still have pending requests.
     pending = req.where("_eligible").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
+    blocking = existing_blocking
     accepted_parts: list[DataFrame] = []
+    rejected_parts: list[DataFrame] = []
     while True:
         decided = cut_lineage(_round(pending, blocking, minutes))
         newly = decided.where(F.col("_state") == "accepted").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
         accepted_parts.append(newly)
-        for k in KEYS:
-            blocking[k] = blocking[k].unionByName(
-                newly.groupBy(k, "_date", "_sec").agg(F.count(F.lit(1)).alias("_acc"), F.min("seq").alias("_aseq")))
+        rejected_parts.append(decided.where(F.col("_state") == "rejected").select("seq"))
         pending = decided.where(F.col("_state") == "pending").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
         if pending.isEmpty():
             break
-
-    # Final statuses from the accepted set: the sequential rule, per request.
-    flagged = req
-    for k, name in zip(KEYS, ("_conf_p", "_conf_d")):
-        flagged = _earlier_conflict(flagged, blocking[k], k, minutes, name)
+        grown = blocking.unionByName(_by_key(newly, F.lit(1), F.col("seq")))
+        blocking = cut_lineage(grown.join(_live(pending), ["_kt", "_kv", "_date"], "left_semi"))
+
+    # Accepted requests have no earlier conflict by construction. For the rest,
+    # status and reason follow the sequential rule against the accepted set.
+    all_accepted = _union(accepted_parts)
+    final_blocking = existing_blocking.unionByName(_by_key(all_accepted, F.lit(1), F.col("seq")))
+    accepted = req.join(all_accepted.select("seq"), "seq", "left_semi")
+    rest = req.join(_union(rejected_parts), "seq", "left_semi").unionByName(req.where(~F.col("_eligible")))
+    rest = _earlier_conflict(rest, final_blocking, minutes)
     doctor_code = -2 if distinct_codes else -1
     status = (F.when(F.col("_conf_p"), F.lit(-1)).when(F.col("_conf_d"), F.lit(doctor_code))
-              .when(~F.col("_eligible"), F.lit(None)).otherwise(F.lit(0))).cast("int")
+              .when(~F.col("_eligible"), F.lit(None))).cast("int")
     reason = (F.when(F.col("_conf_p"), "patient").when(F.col("_conf_d"), "doctor")
               .when(F.col("_past"), "past_date").when(~F.col("_p_ok"), "unknown_patient")
               .when(~F.col("_d_ok"), "unknown_doctor"))
-    flagged = cut_lineage(flagged.withColumn("status", status).withColumn("reason", reason))
+    rest = rest.withColumn("status", status).withColumn("reason", reason).drop("_conf_p", "_conf_d")
+    accepted = accepted.withColumn("status", F.lit(0)).withColumn("reason", F.lit(None).cast("string"))
 
-    booked = global_rank(flagged.where(F.col("status") == 0), ["seq"], "_rank")
+    booked = global_rank(accepted, ["seq"], "_rank")
     booked = (booked
               .withColumn("Appointment_ID", format_id("A", top_id_number(appts, "Appointment_ID", "A") + F.col("_rank")))
               .withColumn("Bill_ID", format_id("B", top_id_number(bills, "Bill_ID", "B") + F.col("_rank"))))
@@ -192,8 +223,9 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
     appts_out = _append(appts, new_appts)
     bills_out = _append(bills, new_bills)
 
-    ids = booked.select("seq", "Appointment_ID", "Bill_ID")
-    decided_rows = flagged.join(ids, "seq", "left")
+    no_id = F.lit(None).cast("string")
+    rest_rows = rest.withColumn("Appointment_ID", no_id).withColumn("Bill_ID", no_id)
+    decided_rows = booked.select(*rest_rows.columns).unionByName(rest_rows)
     message = (F.when(F.col("status") == 0, F.concat(F.lit(MSG_BOOKED), F.col("Appointment_ID")))
                .when(F.col("status") < 0, F.lit(MSG_SLOT_TAKEN))
                .when(F.col("reason") == "past_date", F.lit(PAST_APPOINTMENT_MESSAGE))
@@ -209,6 +241,13 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
     return appts_out, bills_out, outcome.unionByName(rejected)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _append(table: DataFrame, rows: DataFrame) -> DataFrame:
     cols = [c for c in table.columns if c in rows.columns]
     extra = [c for c in rows.columns if c not in table.columns]

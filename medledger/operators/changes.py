@@ -50,14 +50,17 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool = Fa
     b = bills.select(
         "Bill_ID", F.col("Amount_Charged").alias("_charged"), F.col("Amount_Paid").alias("_paid0"),
         (F.col("version") if has_version else F.lit(1)).alias("_v0"), F.lit(True).alias("_found"))
-    j = valid.join(b, "Bill_ID", "left")
-    # First payment that can lift a negative paid amount to >= 0 (only matters for bad rows).
-    lift = (j.where(F.col("_found") & (F.col("_paid0") + F.col("amount") >= 0))
+    j = cut_lineage(valid.join(b, "Bill_ID", "left"))
+    # Bills the billing rule would block: a negative charge (every update fails) or a
+    # negative paid amount (updates fail until one payment lifts it to >= 0). Such rows
+    # are rare, so the "first lifting payment" table is small.
+    lift = (j.where(F.col("_found") & (F.col("_paid0") < 0) & (F.col("_paid0") + F.col("amount") >= 0))
             .groupBy("Bill_ID").agg(F.min("seq").alias("_first_ok")))
     j = j.join(lift, "Bill_ID", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
-    blocked = (F.col("_charged") < 0) | F.col("_first_ok").isNull() | (F.col("seq") < F.col("_first_ok"))
-    j = cut_lineage(j.withColumn("_ok", found & ~blocked).withColumn("_one", F.lit(1)))
+    blocked = ((F.col("_charged") < 0)
+               | ((F.col("_paid0") < 0) & (F.col("_first_ok").isNull() | (F.col("seq") < F.col("_first_ok")))))
+    j = j.withColumn("_ok", found & ~F.coalesce(blocked, F.lit(False))).withColumn("_one", F.lit(1))
     ok = running_sums(j.where("_ok"), ["Bill_ID"], "seq", {"_cum": "amount", "_n": "_one"})
     paid_after = (F.col("_paid0") + F.col("_cum")).cast("decimal(10,2)")
     ok_out = ok.select(

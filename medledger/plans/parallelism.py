@@ -10,10 +10,14 @@ repartition).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    if os.environ.get("MEDLEDGER_SPREAD", "1") == "0":
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
