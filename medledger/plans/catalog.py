@@ -58,6 +58,18 @@ def _lookup_pending(fx: Fixture) -> DataFrame:
     return R.lookup(fx.BILLING, "Payment_Status", "Pending")
 
 
+@register("lookup_patient", f"""
+select * from PATIENT where Patient_ID = '{REPORT_PATIENT}'""")
+def _lookup_patient(fx: Fixture) -> DataFrame:
+    return R.lookup(fx.PATIENT, "Patient_ID", REPORT_PATIENT)
+
+
+@register("lookup_patient_appointments", f"""
+select * from APPOINTMENT where Patient_ID = '{REPORT_PATIENT}'""")
+def _lookup_patient_appts(fx: Fixture) -> DataFrame:
+    return R.lookup(fx.APPOINTMENT, "Patient_ID", REPORT_PATIENT)
+
+
 @register("patient_appointment_history", f"""
 select a.Appointment_ID, a.Appointment_Date, a.Appointment_Time, a.Department, a.Status, d.Full_Name Doctor_Name
 from APPOINTMENT a join DOCTOR d on a.Doctor_ID = d.Doctor_ID
@@ -134,6 +146,25 @@ def _patient_report(fx: Fixture) -> DataFrame:
     return R.patient_report(fx.APPOINTMENT, fx.LABTEST, fx.BILLING)
 
 
+@register("patient_report_positions", """
+with rows as (
+ select Patient_ID, 'appointments' section, 1 sec_order, Appointment_ID record_id, Appointment_Date event_date,
+  Appointment_Time event_time, Department item, Status status, cast(null as decimal(10,2)) Amount_Charged,
+  cast(null as decimal(10,2)) Amount_Paid, cast(null as decimal(11,2)) Balance from APPOINTMENT
+ union all
+ select Patient_ID, 'lab_tests', 2, Lab_Order_ID, Scheduled_Date, cast(null as string), Test_Type, Result,
+  null, null, null from LABTEST
+ union all
+ select Patient_ID, 'billing', 3, Bill_ID, Service_Date, cast(null as string), Service_Type, Payment_Status,
+  Amount_Charged, Amount_Paid, cast(Amount_Charged - Amount_Paid as decimal(11,2)) from BILLING)
+select Patient_ID, section, record_id, event_date, event_time, item, status, Amount_Charged, Amount_Paid, Balance,
+ cast(row_number() over (partition by Patient_ID, section
+   order by event_date desc, event_time desc nulls last, record_id) as bigint) pos
+from rows""")
+def _patient_report_pos(fx: Fixture) -> DataFrame:
+    return R.patient_report(fx.APPOINTMENT, fx.LABTEST, fx.BILLING, with_positions=True)
+
+
 # ---------------------------------------------------------------- quality
 
 from medledger.functions.columns import DATE_PATTERN, TIME_PATTERN  # noqa: E402
@@ -230,6 +261,21 @@ def _audit_len(fx: Fixture) -> DataFrame:
                                        for t in AUDIT_TABLES])
 
 
+@register("audit_decimal_ranges", """
+select 'decimal_range' rule, 'BILLING' table_name, 'o_totalprice' column_name,
+ concat('B',lpad(cast(o_orderkey as string),8,'0')) key, cast(o_totalprice as string) detail
+from orders where o_totalprice is not null and try_cast(o_totalprice as decimal(10,2)) is null
+union all
+select 'decimal_range', 'ACCOUNT_BILLING', 'c_acctbal', concat('C',lpad(cast(c_custkey as string),8,'0')),
+ cast(c_acctbal as string) from customer where c_acctbal is not null and try_cast(c_acctbal as decimal(10,2)) is null""")
+def _audit_decimals(fx: Fixture) -> DataFrame:
+    from medledger.sources.fixtures import key_id
+    o = fx.raw("orders").withColumn("Bill_ID", key_id("B", "o_orderkey"))
+    c = fx.raw("customer").withColumn("Bill_ID", key_id("C", "c_custkey"))
+    return Q.audit_decimals(o, ["o_totalprice"], "Bill_ID", table="BILLING").unionAll(
+        Q.audit_decimals(c, ["c_acctbal"], "Bill_ID", table="ACCOUNT_BILLING"))
+
+
 @register("check_billing_rule", f"""
 select Bill_ID, Amount_Charged, Amount_Paid,
  case when Amount_Charged < 0 or Amount_Paid < 0 then 'negative_amount' end rule,
