@@ -68,24 +68,31 @@ def audit_not_null(df: DataFrame, columns: Sequence[str], table: str = "") -> Da
 
 
 def audit_lengths(df: DataFrame, limits: Mapping[str, int], key: str, table: str = "") -> DataFrame:
-    """Rows whose text is longer than the declared VARCHAR(n), one row per (row, column)."""
-    parts = [
-        _audit(df.where(F.length(c) > n), "length", table, c, F.col(key),
-               F.concat(F.length(c).cast("string"), F.lit(f" > {n}")))
-        for c, n in limits.items()
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    """Rows whose text is longer than the declared VARCHAR(n), one row per (row, column).
+
+    One scan: each row carries an array of its over-long columns, which is
+    exploded (empty for a clean row).
+    """
+    checks = F.array(*[F.struct(F.lit(c).alias("c"), F.length(c).alias("n"), F.lit(n).alias("lim"))
+                       for c, n in limits.items()])
+    bad = df.select(F.col(key).alias("_key"), F.explode(F.filter(checks, lambda x: x["n"] > x["lim"])).alias("_v"))
+    return bad.select(F.lit("length").alias("rule"), F.lit(table).alias("table_name"),
+                      F.col("_v.c").alias("column_name"), F.col("_key").cast("string").alias("key"),
+                      F.concat(F.col("_v.n").cast("string"), F.lit(" > "), F.col("_v.lim").cast("string"))
+                      .alias("detail"))
 
 
 def audit_decimals(df: DataFrame, columns: Sequence[str], key: str, precision: int = 10, scale: int = 2,
                    table: str = "") -> DataFrame:
-    """Values that do not fit DECIMAL(precision, scale)."""
-    parts = [
-        _audit(df.where(F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({precision},{scale})").isNull()),
-               "decimal_range", table, c, F.col(key), F.col(c))
-        for c in columns
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    """Values that do not fit DECIMAL(precision, scale), in one scan."""
+    target = f"decimal({precision},{scale})"
+    checks = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"),
+                                (F.col(c).isNotNull() & F.col(c).try_cast(target).isNull()).alias("bad"))
+                       for c in columns])
+    bad = df.select(F.col(key).alias("_key"), F.explode(F.filter(checks, lambda x: x["bad"])).alias("_v"))
+    return bad.select(F.lit("decimal_range").alias("rule"), F.lit(table).alias("table_name"),
+                      F.col("_v.c").alias("column_name"), F.col("_key").cast("string").alias("key"),
+                      F.col("_v.v").alias("detail"))
 
 
 @dataclass(frozen=True)

@@ -636,3 +636,15 @@ def _stream_billing(fx: Fixture) -> DataFrame:
     q.awaitTermination()
     return fx.spark.read.parquet(f"{root}/rejected").select(
         "Bill_ID", "Patient_ID", "Amount_Charged", "Amount_Paid", "rule", "message")
+
+
+@register("stream_check_appointment_rejected", f"""
+select Appointment_ID, Appointment_Date, 'past_date' rule, '{Q.PAST_APPOINTMENT_MESSAGE}' message
+from APPOINTMENT where Appointment_Date < date '{AS_OF}'""")
+def _stream_appointments(fx: Fixture) -> DataFrame:
+    root = _scratch(fx, "appointment-stream")
+    fx.APPOINTMENT.select(*SC.APPOINTMENT.fieldNames()).write.parquet(f"{root}/source")
+    q = ST.check_appointment_stream(fx.spark, f"{root}/source", f"{root}/accepted", f"{root}/rejected", AS_OF,
+                                    checkpoint=f"{root}/checkpoint")
+    q.awaitTermination()
+    return fx.spark.read.parquet(f"{root}/rejected").select("Appointment_ID", "Appointment_Date", "rule", "message")
