@@ -18,7 +18,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medledger.plans.parallelism import spread
 from medledger.functions.columns import (
     parse_amount, parse_date, parse_time_sec, sec_to_time, strip,
 )
@@ -171,7 +170,6 @@ def validate_requests(df: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
     ``spec`` is ``booking``, ``payment`` or ``lab_update``. Text fields are
     stripped; the first failing check wins, in the client's order.
     """
-    df = spread(df)  # text parsing is the heavy per-row work: give it all cores
     if spec == "booking":
         s = df.select("*", *[strip(c).alias(f"_{c}") for c in BOOKING_FIELDS])
         s = s.withColumn("_date", parse_date("_Appointment_Date", stripped=True)).withColumn(

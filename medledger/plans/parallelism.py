@@ -1,4 +1,4 @@
-"""Parallelism guard for scans that arrive in too few splits.
+"""Parallelism guard for file scans that arrive in too few splits.
 
 A source stored as a handful of large row groups scans in a handful of
 tasks, and every operator before the first shuffle inherits that. ``spread``
@@ -6,6 +6,9 @@ adds a round-robin repartition only in that case; on a cluster reading many
 files the scan already has enough splits and nothing changes. Filters and
 column pruning still reach the scan (Catalyst pushes them below a
 repartition).
+
+Apply it to a plain file scan only: asking a plan that contains exchanges for
+its partition count would make adaptive execution run those stages early.
 """
 
 from __future__ import annotations
