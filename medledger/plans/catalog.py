@@ -648,3 +648,24 @@ def _stream_appointments(fx: Fixture) -> DataFrame:
                                     checkpoint=f"{root}/checkpoint")
     q.awaitTermination()
     return fx.spark.read.parquet(f"{root}/rejected").select("Appointment_ID", "Appointment_Date", "rule", "message")
+
+
+@register("next_bill_ids_for_visits", """
+with top as (select coalesce(max(try_cast(substring(Bill_ID, 2) as bigint)), 0) t from BILLING),
+r as (select seq, Patient_ID, row_number() over (order by seq) k from APPOINTMENT)
+select seq, Patient_ID, 'B'||lpad(cast(t + k as string), cast(greatest(4, length(cast(t + k as string))) as integer), '0')
+ Bill_ID from r, top""")
+def _next_bill_ids(fx: Fixture) -> DataFrame:
+    visits = fx.APPOINTMENT.select("seq", "Patient_ID")
+    return BK.next_ids(fx.BILLING, "Bill_ID", visits, "seq", "B", "Bill_ID")
+
+
+@register("booking_replay_new_bills", _sequential_booking_sql(_REPLAY_REQUESTS, None, -2, """,
+ranked as (select seq, row_number() over (order by seq) k from decided where status = 0)
+select 'B'||lpad(cast(k as string), cast(greatest(4, length(cast(k as string))) as integer), '0') Bill_ID,
+ a.Patient_ID, a.Department||' Consultation' Service_Type, a.Appointment_Date Service_Date,
+ cast(200 as decimal(10,2)) Amount_Charged, cast(0 as decimal(10,2)) Amount_Paid, cast(null as date) Payment_Date,
+ 'Pending' Payment_Status, 1 version
+from ranked join APPOINTMENT a on a.seq = ranked.seq"""))
+def _booking_replay_bills(fx: Fixture) -> DataFrame:
+    return _replay(fx)[1]
