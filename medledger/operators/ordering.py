@@ -4,9 +4,10 @@
   single-partition window: range-partitioned sort, per-partition counts,
   prefix offsets over a table with one row per partition.
 * ``running_sums`` - per-key running totals where one key may hold a third
-  of all rows: the order axis is cut into chunks of at most ``2**bits``
-  values, each chunk is summed locally, and chunk offsets come from the same
-  procedure one level up (so no window partition exceeds ``2**bits`` rows).
+  of all rows: when some key has more than ``2**bits`` rows, the order axis
+  is cut into chunks of at most ``2**bits`` values, each chunk is summed
+  locally, and chunk offsets come from the same procedure one level up (so
+  no window partition exceeds ``2**bits`` rows).
 """
 
 from __future__ import annotations
@@ -55,9 +56,16 @@ def running_sums(
 
     ``order_col`` must be integral and unique within a key.
     """
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    span = 0 if lo is None else int(hi - lo).bit_length()
-    base = df.withColumn("_ord0", (F.col(order_col) - F.lit(lo if lo is not None else 0)).cast("bigint"))
+    # One small job: the order range and the largest group. When no key holds more
+    # than 2**bits rows a plain per-key window is already bounded; otherwise the
+    # order axis is chunked.
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order_col).alias("_lo"),
+                                    F.max(order_col).alias("_hi"))
+    biggest, lo, hi = per_key.agg(F.max("_n"), F.min("_lo"), F.max("_hi")).first()
+    if lo is None or biggest <= (1 << bits):
+        return _running(df, list(keys), order_col, dict(sums), bits, 0, 0)
+    span = int(hi - lo).bit_length()
+    base = df.withColumn("_ord0", (F.col(order_col) - F.lit(lo)).cast("bigint"))
     out = _running(base, list(keys), "_ord0", dict(sums), bits, span, 0)
     return out.drop("_ord0")
 

@@ -140,3 +140,13 @@ def test_global_rank_and_running_sums(spark):
     pdf["cum"] = pdf.groupby("k")["v"].cumsum()
     assert got["cum"].tolist() == pdf["cum"].tolist()
     assert F is not None
+
+
+def test_running_sums_hot_key_uses_chunks(spark):
+    # One key with more rows than 2**bits: the chunked path must still be exact.
+    rows = [("hot", seq, seq % 7) for seq in range(0, 3000, 3)] + [("cold", seq, 1) for seq in range(1, 40, 3)]
+    df = spark.createDataFrame(rows, "k string, seq long, v long").repartition(4)
+    got = running_sums(df, ["k"], "seq", {"cum": "v"}, bits=4).toPandas().sort_values(["k", "seq"])
+    pdf = pd.DataFrame(rows, columns=["k", "seq", "v"]).sort_values(["k", "seq"])
+    pdf["cum"] = pdf.groupby("k")["v"].cumsum()
+    assert got["cum"].tolist() == pdf["cum"].tolist()
