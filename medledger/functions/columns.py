@@ -24,11 +24,6 @@ def strip(c: Column | str) -> Column:
     return F.trim(c, F.lit(PY_WHITESPACE))
 
 
-def not_blank(c: Column | str) -> Column:
-    """True when the stripped text is present and non-empty (NULL counts as blank)."""
-    return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
-
-
 def parse_date(text: Column | str, stripped: bool = False) -> Column:
     """``YYYY-M-D`` text to DATE, NULL when Python's ``strptime`` would reject it."""
     s = text if stripped else strip(text)

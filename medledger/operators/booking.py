@@ -156,6 +156,11 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
     doctor, not the patient, is busy), NULL for a failed insert or an
     invalid request; ``reason`` and ``message`` explain.
     """
+    if minutes <= 0:
+        raise ValueError("minutes must be positive")
+    # The routine handles one call at a time, so ``seq`` must be a total order.
+    if not requests.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError("booking requests need unique seq values")
     valid, invalid = validate_requests(requests, "booking")
     req = (valid.withColumnRenamed("Appointment_Date", "_date").withColumnRenamed("sec", "_sec")
            .join(_keys_present(patients, "Patient_ID").withColumnRenamed("_k", "Patient_ID")

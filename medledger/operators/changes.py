@@ -29,10 +29,6 @@ MSG_LAB_NONE = "No records updated - check Lab Order ID"
 MSG_LAB_TOO_LONG = "Data too long for column 'Result'"
 MSG_BAD_ACTION = "Unknown action"
 
-PAYMENT_OUTCOME = ["seq", "Bill_ID", "amount", "ok", "Amount_Paid", "Payment_Status", "version", "reason",
-                   "message"]
-
-
 def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool = False
                    ) -> tuple[DataFrame, DataFrame]:
     """Apply payments per bill in ``seq`` order.

@@ -22,8 +22,6 @@ from medledger.functions.columns import (
     parse_amount, parse_date, parse_time_sec, sec_to_time, strip,
 )
 
-AUDIT_COLUMNS = ["rule", "table_name", "column_name", "key", "detail"]
-
 # The trigger messages of the schema.
 NEGATIVE_BILLING_MESSAGE = "Negative billing amounts are not allowed."
 PAST_APPOINTMENT_MESSAGE = "Cannot schedule an appointment in the past."

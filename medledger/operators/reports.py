@@ -137,10 +137,6 @@ def outstanding_bill(patient_ids: DataFrame, bills: DataFrame) -> DataFrame:
     return j.select("Patient_ID", value.alias("Outstanding_Bill"))
 
 
-REPORT_COLUMNS = ["Patient_ID", "section", "record_id", "event_date", "event_time", "item", "status",
-                  "Amount_Charged", "Amount_Paid", "Balance"]
-
-
 def patient_report(appts: DataFrame, labs: DataFrame, bills: DataFrame, ids: DataFrame | None = None,
                    with_positions: bool = False) -> DataFrame:
     """Appointments, lab tests and bills per patient, each section newest first.

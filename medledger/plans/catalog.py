@@ -175,11 +175,6 @@ AUDIT_TABLES = ["PATIENT", "DOCTOR", "APPOINTMENT", "LABTEST", "PRESCRIPTION", "
 AS_OF = "2024-01-15"
 
 
-def _present(fx: Fixture, table: str, columns) -> list[str]:
-    have = set(getattr(fx, table).columns)
-    return [c for c in columns if c in have]
-
-
 def _fixture_columns(table: str) -> list[str]:
     # Columns the fixture mapping provides (see fixture_sql.VIEWS); fixed by the mapping.
     return {

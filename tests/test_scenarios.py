@@ -222,3 +222,12 @@ def test_update_and_delete(spark):
     # A NULL condition keeps the row (Payment_Date is NULL).
     assert C.delete_where(b, F.col("Payment_Date") < F.lit("2030-01-01").cast("date")).count() == 1
     assert C.delete_where(b, F.col("Bill_ID") == "B6001").count() == 0
+
+
+def test_booking_rejects_ambiguous_order(spark):
+    import pytest
+    t = seed_tables(spark)
+    rows = [(1, "P1002", "D2002", "2025-07-01", "10:00:00", "Neurology"),
+            (1, "P1002", "D2002", "2025-07-01", "10:10:00", "Neurology")]
+    with pytest.raises(ValueError):
+        _book(spark, t, rows)
