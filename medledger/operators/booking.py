@@ -117,18 +117,30 @@ def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: in
 
 
 def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
-    """One acceptance round over the pending requests; adds ``_state``."""
+    """One acceptance round over the pending requests; adds ``_state``.
+
+    First every pending request with an existing or accepted appointment in
+    reach is marked rejected (final). Then a request is accepted when no
+    earlier pending request that survived that step lies in its window: a
+    neighbour rejected in this round can no longer block it, so chains of
+    reject-then-accept settle in one round.
+    """
     out = pending
     for i, (kt, key) in enumerate(_KEY_TYPES):
-        pts = pending.select(key, "_date", "_sec", F.col("seq").alias("_pseq"))
-        near = _near(pts, blocking, kt, key, minutes,
-                     [F.min("_pseq").alias("_pmin"), F.sum("_acc").alias("_acc")],
-                     [(F.min, "_pmin", f"_wait{i}"), (F.sum, "_acc", f"_block{i}")])
+        pts = pending.select(key, "_date", "_sec")
+        near = _near(pts, blocking, kt, key, minutes, [F.sum("_acc").alias("_acc")],
+                     [(F.sum, "_acc", f"_block{i}")])
         out = out.join(near, [key, "_date", "_sec"])
-    blocked = F.coalesce(F.col("_block0") > 0, F.lit(False)) | F.coalesce(F.col("_block1") > 0, F.lit(False))
+    out = out.withColumn("_blocked", F.coalesce(F.col("_block0") > 0, F.lit(False))
+                         | F.coalesce(F.col("_block1") > 0, F.lit(False))).drop("_block0", "_block1")
+    alive = out.where(~F.col("_blocked"))
+    for i, (kt, key) in enumerate(_KEY_TYPES):
+        per_sec = alive.groupBy(key, "_date", "_sec").agg(F.min("seq").alias("_pmin"))
+        near = per_sec.select(key, "_date", "_sec", F.min("_pmin").over(_window(key, minutes)).alias(f"_wait{i}"))
+        out = out.join(near, [key, "_date", "_sec"], "left")
     first = (F.col("_wait0") >= F.col("seq")) & (F.col("_wait1") >= F.col("seq"))
-    state = F.when(blocked, "rejected").when(first, "accepted").otherwise("pending")
-    return out.withColumn("_state", state).drop("_wait0", "_wait1", "_block0", "_block1")
+    state = F.when(F.col("_blocked"), "rejected").when(first, "accepted").otherwise("pending")
+    return out.withColumn("_state", state).drop("_wait0", "_wait1", "_blocked")
 
 
 def _earlier_conflict(req: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:

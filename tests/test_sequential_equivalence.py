@@ -150,3 +150,24 @@ def test_running_sums_hot_key_uses_chunks(spark):
     pdf = pd.DataFrame(rows, columns=["k", "seq", "v"]).sort_values(["k", "seq"])
     pdf["cum"] = pdf.groupby("k")["v"].cumsum()
     assert got["cum"].tolist() == pdf["cum"].tolist()
+
+
+def test_booking_dense_chains_match_sequential_loop(spark):
+    # Many calls packed into one hour for few patients and doctors: long chains of
+    # accept / reject / accept across both keys.
+    rng = random.Random(23)
+    patients = [f"P{i:04d}" for i in range(6)]
+    doctors = [f"D{i:04d}" for i in range(3)]
+    day = dt.date(2025, 7, 1)
+    reqs = [(seq, rng.choice(patients), rng.choice(doctors), day, rng.randrange(9 * 3600, 10 * 3600 + 1800))
+            for seq in rng.sample(range(1000), 300)]
+    expect = _sequential_booking([], reqs, set(patients), set(doctors), dt.date(2000, 1, 1))
+    appts = spark.createDataFrame([], S.APPOINTMENT)
+    bills = spark.createDataFrame([], S.BILLING)
+    pats = spark.createDataFrame([(p, p, dt.date(1980, 1, 1), "x", "x", "x", "x") for p in patients], S.PATIENT)
+    docs = spark.createDataFrame([(d, d, "Dept", "x", "x") for d in doctors], S.DOCTOR)
+    req_df = spark.createDataFrame([(s, p, d, x.isoformat(), _hms(sec), "Dept") for s, p, d, x, sec in reqs],
+                                   S.BOOKING_REQUESTS)
+    _, _, outcome = BK.book_appointments(appts, bills, pats, docs, req_df)
+    got = {r["seq"]: (r["status"], r["reason"]) for r in outcome.collect()}
+    assert got == expect
