@@ -159,11 +159,21 @@ def _earlier_conflict(req: DataFrame, blocking: DataFrame, minutes: int) -> Data
 def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, doctors: DataFrame,
                       requests: DataFrame, as_of=None, distinct_codes: bool = False, minutes: int = 30,
                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decide an ordered batch of booking calls; returns (appointments, bills, outcome)
+    with the booked rows appended (see ``book_new_rows``)."""
+    new_appts, new_bills, outcome = book_new_rows(appts, bills, patients, doctors, requests, as_of=as_of,
+                                                  distinct_codes=distinct_codes, minutes=minutes)
+    return _append(appts, new_appts), _append(bills, new_bills), outcome
+
+
+def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, doctors: DataFrame,
+                  requests: DataFrame, as_of=None, distinct_codes: bool = False, minutes: int = 30,
+                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decide an ordered batch of booking calls.
 
     ``requests``: seq, Patient_ID, Doctor_ID, Appointment_Date, Appointment_Time,
     Department (text as typed). ``as_of`` is "today" for the past-date rule
-    (None: no such rule). Returns (appointments, bills, outcome); outcome
+    (None: no such rule). Returns (new appointment rows, new bill rows, outcome); outcome
     ``status`` is 0 booked, -1 slot taken (``distinct_codes``: -2 when the
     doctor, not the patient, is busy), NULL for a failed insert or an
     invalid request; ``reason`` and ``message`` explain.
@@ -237,8 +247,6 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
         F.col("_date").alias("Service_Date"), F.lit(200).cast("decimal(10,2)").alias("Amount_Charged"),
         F.lit(0).cast("decimal(10,2)").alias("Amount_Paid"), F.lit(None).cast("date").alias("Payment_Date"),
         F.lit("Pending").alias("Payment_Status"), F.lit(1).alias("version"))
-    appts_out = _append(appts, new_appts)
-    bills_out = _append(bills, new_bills)
 
     no_id = F.lit(None).cast("string")
     rest_rows = rest.withColumn("Appointment_ID", no_id).withColumn("Bill_ID", no_id)
@@ -255,7 +263,7 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
         F.col("Appointment_Time"), F.lit(None).cast("int").alias("status"),
         F.lit("invalid_request").alias("reason"), F.col("error").alias("message"),
         F.lit(None).cast("string").alias("Appointment_ID"), F.lit(None).cast("string").alias("Bill_ID"))
-    return appts_out, bills_out, outcome.unionByName(rejected)
+    return new_appts, new_bills, outcome.unionByName(rejected)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,8 @@ the batch operator with ``foreachBatch``:
 * ``check_billing_stream`` / ``check_appointment_stream``: the trigger rules
   split each micro-batch into accepted and rejected rows (with message).
 * ``booking_stream`` / ``payment_stream``: each micro-batch of requests is
-  decided against the latest snapshot, and a new snapshot version is written.
+  decided against the current state, and only the rows it adds or changes are
+  written (append-only for booking, merge-on-read updates for payments).
 
 Every output folder carries the batch id, and a replayed batch overwrites
 its own folder, so a restart after a failure is idempotent. Checkpoints live
@@ -20,6 +21,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -79,11 +81,11 @@ def check_appointment_stream(spark: SparkSession, source: str, accepted: str, re
                   checkpoint, available_now)
 
 
-def _latest(spark: SparkSession, root: str, batch_id: int, initial: DataFrame) -> DataFrame:
-    """Snapshot written by the previous batch, or the initial one."""
-    if batch_id == 0:
-        return initial
-    return spark.read.parquet(f"{root}/v={batch_id - 1}")
+def _earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """Rows written by batches before ``batch_id`` under ``root/batch_id=<n>`` (a replayed
+    batch never sees its own earlier attempt)."""
+    with_batch = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType(), True)])
+    return spark.read.schema(with_batch).parquet(root).where(F.col("batch_id") < batch_id)
 
 
 def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills: DataFrame, patients: DataFrame,
@@ -91,31 +93,68 @@ def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills:
                    checkpoint: str | None = None, available_now: bool = True,
                    max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Booking calls arriving as files; each micro-batch is decided in ``seq`` order
-    against the snapshot left by the previous one (``out/appointments/v=<n>``)."""
+    against the initial tables plus everything booked by earlier batches.
+
+    Booking only appends, so a batch writes just its new rows
+    (``out/appointments_added/batch_id=<n>``, ``out/bills_added/...``) and its outcome:
+    the work per batch follows the batch, not the size of the tables.
+    """
     src = _source(spark, S.BOOKING_REQUESTS, requests, max_files_per_trigger)
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        cur_a = _latest(spark, f"{out}/appointments", batch_id, appts)
-        cur_b = _latest(spark, f"{out}/bills", batch_id, bills)
-        new_a, new_b, outcome = BK.book_appointments(cur_a, cur_b, patients, doctors, batch, as_of=as_of,
+        cur_a, cur_b = appts, bills
+        if batch_id > 0:
+            added_a = _earlier_batches(spark, f"{out}/appointments_added", batch_id, _added_schema(appts))
+            added_b = _earlier_batches(spark, f"{out}/bills_added", batch_id, _added_schema(bills))
+            cur_a = appts.unionByName(added_a.drop("batch_id"), allowMissingColumns=True)
+            cur_b = bills.unionByName(added_b.drop("batch_id"), allowMissingColumns=True)
+        added_a, added_b, outcome = BK.book_new_rows(cur_a, cur_b, patients, doctors, batch, as_of=as_of,
                                                      distinct_codes=distinct_codes)
         outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
-        new_a.write.mode("overwrite").parquet(f"{out}/appointments/v={batch_id}")
-        new_b.write.mode("overwrite").parquet(f"{out}/bills/v={batch_id}")
+        added_a.write.mode("overwrite").parquet(f"{out}/appointments_added/batch_id={batch_id}")
+        added_b.write.mode("overwrite").parquet(f"{out}/bills_added/batch_id={batch_id}")
 
     return _start(src, decide, "booking", checkpoint, available_now)
 
 
+def _added_schema(table: DataFrame) -> T.StructType:
+    """Schema of rows booking appends to ``table`` (its columns plus ``version``)."""
+    fields = [f for f in table.schema.fields]
+    if "version" not in table.columns:
+        fields.append(T.StructField("version", T.IntegerType(), True))
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+
+
+def current_bills(spark: SparkSession, bills: DataFrame, out: str, batch_id: int | None = None) -> DataFrame:
+    """Bills as left by ``payment_stream``: the initial table overlaid with the latest
+    update of each changed bill (from batches before ``batch_id``, or all)."""
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in bills.schema.fields])
+    ups = _earlier_batches(spark, f"{out}/bill_updates", (1 << 62) if batch_id is None else batch_id, schema)
+    latest = ups.groupBy("Bill_ID").agg(F.max_by(F.struct(*bills.columns), "batch_id").alias("_u"))
+    j = bills.join(latest, "Bill_ID", "left")
+    return j.select(*[(F.col(c) if c == "Bill_ID" else
+                       F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c))).alias(c)
+                      for c in bills.columns])
+
+
 def payment_stream(spark: SparkSession, payments: str, bills: DataFrame, out: str, use_version: bool = False,
                    checkpoint: str | None = None, available_now: bool = True,
                    max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Payment calls arriving as files, applied per micro-batch in ``seq`` order."""
+    """Payment calls arriving as files, applied per micro-batch in ``seq`` order.
+
+    A batch writes only the bills it changed (``out/bill_updates/batch_id=<n>``) and
+    its outcome; ``current_bills`` overlays the latest update per bill on the initial
+    table (merge on read), so no batch rewrites the whole bills table.
+    """
     src = _source(spark, S.PAYMENTS, payments, max_files_per_trigger)
+    base = bills if not use_version or "version" in bills.columns else bills.withColumn("version", F.lit(1))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        cur = _latest(spark, f"{out}/bills", batch_id, bills)
+        cur = base if batch_id == 0 else current_bills(spark, base, out, batch_id)
         new_b, outcome = C.apply_payments(cur, batch, use_version=use_version)
         outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
-        new_b.write.mode("overwrite").parquet(f"{out}/bills/v={batch_id}")
+        touched = outcome.where("ok").select("Bill_ID").distinct()
+        new_b.join(touched, "Bill_ID", "left_semi").write.mode("overwrite").parquet(
+            f"{out}/bill_updates/batch_id={batch_id}")
 
     return _start(src, apply, "payments", checkpoint, available_now)

@@ -55,7 +55,10 @@ def test_booking_stream_equals_batch(spark, scratch):
     _, _, batch = BK.book_appointments(t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"], req)
     expect = {r["seq"]: (r["status"], r["reason"], r["Appointment_ID"]) for r in batch.collect()}
     assert streamed == expect
-    assert len(os.listdir(f"{scratch}/out/appointments")) >= 2
+    assert len([d for d in os.listdir(f"{scratch}/out/appointments_added") if d.startswith("batch_id=")]) >= 2
+    added = spark.read.parquet(f"{scratch}/out/appointments_added")
+    booked = sorted(r["Appointment_ID"] for r in batch.where("status = 0").collect())
+    assert sorted(r["Appointment_ID"] for r in added.collect()) == booked
 
 
 def test_payment_stream_equals_batch(spark, scratch):
@@ -69,8 +72,10 @@ def test_payment_stream_equals_batch(spark, scratch):
     q.awaitTermination()
     streamed = {r["seq"]: (r["Amount_Paid"], r["Payment_Status"], r["version"])
                 for r in spark.read.parquet(f"{scratch}/out/outcome").collect()}
-    _, batch = C.apply_payments(t["BILLING"], pays, use_version=True)
+    batch_bills, batch = C.apply_payments(t["BILLING"], pays, use_version=True)
     assert streamed == {r["seq"]: (r["Amount_Paid"], r["Payment_Status"], r["version"]) for r in batch.collect()}
+    now = ST.current_bills(spark, t["BILLING"].withColumn("version", F.lit(1)), f"{scratch}/out")
+    assert [tuple(r) for r in now.collect()] == [tuple(r) for r in batch_bills.collect()]
 
 
 def test_sql_function(spark):
