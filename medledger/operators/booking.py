@@ -221,9 +221,11 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     # Accepted requests have no earlier conflict by construction. For the rest,
     # status and reason follow the sequential rule against the accepted set.
     all_accepted = _union(accepted_parts)
-    final_blocking = existing_blocking.unionByName(_by_key(all_accepted, F.lit(1), F.col("seq")))
     accepted = req.join(all_accepted.select("seq"), "seq", "left_semi")
     rest = req.join(_union(rejected_parts), "seq", "left_semi").unionByName(req.where(~F.col("_eligible")))
+    # Only key-dates of the remaining requests matter for their statuses.
+    final_blocking = (existing_blocking.unionByName(_by_key(all_accepted, F.lit(1), F.col("seq")))
+                      .join(_live(rest), ["_kt", "_kv", "_date"], "left_semi"))
     rest = _earlier_conflict(rest, final_blocking, minutes)
     doctor_code = -2 if distinct_codes else -1
     status = (F.when(F.col("_conf_p"), F.lit(-1)).when(F.col("_conf_d"), F.lit(doctor_code))
