@@ -231,3 +231,17 @@ def test_booking_rejects_ambiguous_order(spark):
             (1, "P1002", "D2002", "2025-07-01", "10:10:00", "Neurology")]
     with pytest.raises(ValueError):
         _book(spark, t, rows)
+
+
+def test_book_new_rows_and_version_default(spark):
+    t = seed_tables(spark)
+    rows = [(1, "P1002", "D2002", "2025-07-01", "10:00:00", "Neurology")]
+    new_a, new_b, out = BK.book_new_rows(t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"],
+                                         _requests(spark, rows))
+    assert [r["Appointment_ID"] for r in new_a.collect()] == ["A3002"]
+    assert [r["Bill_ID"] for r in new_b.collect()] == ["B6002"]
+    a, b, _ = BK.book_appointments(t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"], _requests(spark, rows))
+    # Tables without a version column get it with DEFAULT 1 for the existing rows.
+    assert sorted((r["Appointment_ID"], r["version"]) for r in a.collect()) == [("A3001", 1), ("A3002", 1)]
+    assert sorted((r["Bill_ID"], r["version"]) for r in b.collect()) == [("B6001", 1), ("B6002", 1)]
+    assert out.count() == 1
