@@ -245,3 +245,14 @@ def test_book_new_rows_and_version_default(spark):
     assert sorted((r["Appointment_ID"], r["version"]) for r in a.collect()) == [("A3001", 1), ("A3002", 1)]
     assert sorted((r["Bill_ID"], r["version"]) for r in b.collect()) == [("B6001", 1), ("B6002", 1)]
     assert out.count() == 1
+
+
+def test_empty_batches(spark):
+    t = seed_tables(spark)
+    a, b, out = BK.book_appointments(t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"], _requests(spark, []))
+    assert out.count() == 0 and a.count() == 1 and b.count() == 1
+    bills, pay_out = C.apply_payments(t["BILLING"], spark.createDataFrame([], S.PAYMENTS))
+    assert pay_out.count() == 0 and bills.first()["Amount_Paid"] == Decimal("0.00")
+    appts, bills, ch_out = C.apply_status_changes(t["APPOINTMENT"], t["BILLING"],
+                                                  spark.createDataFrame([], S.STATUS_CHANGES))
+    assert ch_out.count() == 0 and appts.first()["Status"] == "Scheduled"
