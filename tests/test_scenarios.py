@@ -256,3 +256,12 @@ def test_empty_batches(spark):
     appts, bills, ch_out = C.apply_status_changes(t["APPOINTMENT"], t["BILLING"],
                                                   spark.createDataFrame([], S.STATUS_CHANGES))
     assert ch_out.count() == 0 and appts.first()["Status"] == "Scheduled"
+
+
+def test_rule_order_and_null_conditions(spark):
+    df = spark.createDataFrame([(1, -5, None), (2, 5, -1), (3, None, None), (4, -1, -1)], "id int, a int, b int")
+    rules = [Q.Rule("a_negative", F.col("a") < 0, "a < 0"), Q.Rule("b_negative", F.col("b") < 0, "b < 0")]
+    ok, bad = Q.split_valid(df, rules)
+    assert sorted(r["id"] for r in ok.collect()) == [3]
+    assert sorted((r["id"], r["rule"]) for r in bad.collect()) == [(1, "a_negative"), (2, "b_negative"),
+                                                                   (4, "a_negative")]
