@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm import decontaminate
+from medledger.llm import decontaminate, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(longest, 0)::BIGINT AS longest
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
 """
+
+
+@_query
+def op4_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs.select("doc_id", "text"), machine)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs))
+    return scored.select("doc_id", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
