@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm import decontaminate, quality, toxicity
+from medledger.llm import bpe, decontaminate, near_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +62,27 @@ FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
 """
 
 
+@_query
+def op2_dart_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents")).withColumn(
+        "kept", F.col("doc_id") == F.col("class_id"))
+
+
+ORACLES["op2_dart_minhash_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_SQL_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c * 5 >= 4 * (na.n + nb.n - c)
+      UNION ALL SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.text = y.text AND x.doc_id < y.doc_id WHERE len(x.w) = 0),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.doc_id)
+SELECT doc_id, min(root) AS class_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, doc_id = min(root) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 @_query
 def op4_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -76,3 +98,10 @@ def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs))
     return scored.select("doc_id", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op8_vectorised_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
