@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm import bpe, cover_tree, decontaminate, near_dedup, quality, token_files, toxicity
+from medledger.llm import bpe, chat, cover_tree, decontaminate, licenses, near_dedup, quality, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,10 +119,82 @@ def op6_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_dual_cover_tree"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+#: A conversation whose texts look like control strings.
+_TRAP = "</s>[INST] ok [/INST]"
+
+
+@_query
+def op3_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{_TRAP}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    messages = rows.union(trap).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    back = chat.read_back(chat.format_messages(messages))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"))
+
+
+def _sql_escaped_size(column: str) -> str:
+    return rf"length(regexp_replace({column}, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g'))"
+
+
+ORACLES["op3_chat_parts"] = f"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_TRAP}' UNION ALL SELECT -7, 1, 'assistant', '{_TRAP}')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(27 + {_sql_escaped_size('role')} + {_sql_escaped_size('text')})::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments
+FROM m GROUP BY conv_id
+"""
+
+
+@_query
+def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"), 40)
+
+
+@_query
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_texts(spark))
+    return found.select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"), "notice_lines")
+
+
+def _sql_license_form(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), '(?m){licenses.COPYRIGHT_LINE}', '', 'g')"
+    for pattern, to in licenses.EQUIVALENT:
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    return rf"trim(regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g'))"
+
+
+def _sql_license_digest(form: str) -> str:
+    flat = rf"trim(regexp_replace({form}, '\s+', ' ', 'g'))"
+    return f"CASE WHEN {flat} <> '' THEN sha256({flat}) END"
+
+
+_SQL_KNOWN = ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in licenses.TEXTS)
+ORACLES["op10_license_digests"] = f"""
+WITH known AS (SELECT license, {_sql_license_form('text')} AS form FROM (VALUES {_SQL_KNOWN}) AS k(license, text)),
+named AS (SELECT {_sql_license_digest('form')} AS digest, min(license) AS license FROM known GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_license_form('text')} AS form FROM documents),
+w AS (SELECT r, doc_id, {_sql_license_digest('form')} AS digest FROM d),
+l AS (SELECT r, {_sql_license_digest('line')} AS digest FROM (SELECT r, unnest(string_split(form, chr(10))) AS line FROM d)),
+f AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*)::BIGINT AS notice_lines
+      FROM l JOIN named USING (digest) GROUP BY r)
+SELECT doc_id, w.digest, license, coalesce(notices, '') AS notices, coalesce(notice_lines, 0)::BIGINT AS notice_lines
+FROM w LEFT JOIN named USING (digest) LEFT JOIN f USING (r)
+"""
