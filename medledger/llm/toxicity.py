@@ -3,10 +3,11 @@
 Terms of a text are its distinct words and their prefixes of 4, 5 and 6 bytes (so that an insult is
 known in its inflected forms), hashed into ``2**BITS`` features of value 1 or 0. The machine adds linear
 weights and, for every pair of terms present, the product of their factor vectors, so that it learns
-pairs such as an insult with a group mention that no sum of single weights can express. Linear weights
-come from FTRL with an L1 term; factors are kept only for terms whose linear weight is not zero and are
-trained with it by AdaGrad. Most weights are exactly 0, so whole texts of any length are scored on the
-few terms that matter, in Arrow batches, with no shuffle.
+pairs such as an insult with a group mention that no sum of single weights can express. Only terms that the
+sample ties to a label have weights: those whose share of toxic documents differs from the overall share by
+``SCREEN`` standard deviations. Weights and factors are trained by AdaGrad. All other terms weigh exactly 0,
+so a long text is not swayed by its many ordinary words, and whole texts of any length are scored on the few
+terms that matter, in Arrow batches, with no shuffle.
 
 Training reads a bounded sample of labelled documents: at most ``per_class`` documents of each label,
 the first in the order of a hash of their id, and at most ``max_terms`` terms in all. Everything else
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medledger.llm.sparse import flat, ftrl, row_sums, sigmoid
+from medledger.llm.sparse import flat, row_sums, sigmoid
 from medledger.llm.text import blocks, find_words, mix, ship_package, slice_hashes
 
 BITS = 20
@@ -39,6 +40,9 @@ PER_CLASS = 3000
 MAX_TERMS = 20_000_000
 #: A term that fewer documents of the sample have gets no weight.
 MIN_DOCS = 3
+SCREEN = 5.0
+#: The bias is not trained below this: a text without a known term is no proof, and one insult must be able to outweigh it.
+LEAST_BIAS = -1.5
 BLOCK_BYTES = 4 << 20
 
 
@@ -92,19 +96,25 @@ class Machine:
         return self.bias + row_sums(self.weights[at], cut) + pairs
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: int = 6, rate: float = 0.05,
-          l1: float = 3.0, l2: float = 1e-4) -> Machine:
-    """Fit a machine on rows of distinct features. Linear weights first, then weights and factors together."""
+def _screened(rows: list[np.ndarray], labels: np.ndarray, screen: float) -> np.ndarray:
+    """Terms of at least ``MIN_DOCS`` documents whose label share is off the overall share by ``screen`` deviations."""
+    feature, cut = flat(rows)
+    feature, label = feature.astype(np.int64), np.repeat(labels, np.diff(cut))
+    n = np.bincount(feature, minlength=1 << BITS)
+    share = labels.mean()
+    off = np.bincount(feature, label, minlength=1 << BITS) - n * share
+    return np.flatnonzero((n >= MIN_DOCS) & (np.abs(off) >= screen * np.sqrt(n * share * (1 - share))))
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: int = 20, rate: float = 0.1,
+          l2: float = 1e-4, screen: float = SCREEN) -> Machine:
+    """Fit a machine on rows of distinct features."""
     none = Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)))
     if len(np.unique(labels)) < 2:
         return none
-    feature, _ = flat(rows)
-    count = np.bincount(feature.astype(np.int64), minlength=1 << BITS)
-    rows = [r[count[r] >= MIN_DOCS] for r in rows]
-    w, bias = ftrl(rows, [np.ones(len(r)) for r in rows], labels, 1 << BITS, l1=l1)
-    ids = np.flatnonzero(w)
+    ids = _screened(rows, labels, screen)
     draw = np.random.default_rng(seed)
-    m = Machine(bias, ids, w[ids], draw.normal(0, 0.01, (len(ids), RANK)))
+    m = Machine(0.0, ids, np.zeros(len(ids)), draw.normal(0, 0.01, (len(ids), RANK)))
     active = [p[p >= 0] for p in map(m.place, rows)]
     sum_w, sum_v, sum_b = np.full(len(ids), 1e-6), np.full((len(ids), RANK), 1e-6), 1e-6
     for _ in range(epochs):
@@ -123,7 +133,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: in
             sum_b += gb * gb
             m.weights[here] -= rate * gw / np.sqrt(sum_w[here])
             m.factors[here] -= rate * gf / np.sqrt(sum_v[here])
-            m.bias -= rate * gb / np.sqrt(sum_b)
+            m.bias = max(LEAST_BIAS, m.bias - rate * gb / np.sqrt(sum_b))
     return m
 
 
