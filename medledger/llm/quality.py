@@ -31,6 +31,7 @@ from medledger.session import cut_lineage
 
 BITS = 18
 SAMPLE = 8000
+SHRINK = 10
 BLOCK_BYTES = 4 << 20
 #: A text is kept when its score (likelihood of good) is at least this.
 THRESHOLD = 0.5
@@ -49,6 +50,9 @@ _ODD = np.zeros(256, bool)
 _ODD[33:127] = True
 _ODD &= ~_LETTER & ~_PROSE
 _ODD[48:58] = False
+_ODD[[ord(c) for c in "+=/@_-"]] = False  # of addresses, numbers and code
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".?!"]] = True
 
@@ -75,7 +79,7 @@ def statistics(found: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
     pairs = np.unique(np.stack([row.astype(np.uint64), hashes]), axis=1) if len(hashes) else np.zeros((2, 0))
     return {
-        "bytes": np.diff(found.offsets).astype(float), "words": n, "space": count(_SPACE), "letters": count(_LETTER),
+        "bytes": np.diff(found.offsets).astype(float), "words": n, "space": count(_SPACE), "letters": count(_LETTER | _DIGIT),
         "upper": count(_UPPER), "lower": count(_LOWER), "odd": count(_ODD), "stops": count(_STOP), "pipes": one("|"),
         "shouts": one("!"), "again": np.bincount(row, again, minlength=rows).astype(float),
         "distinct": np.bincount(pairs[0].astype(np.int64), minlength=rows).astype(float),
@@ -98,7 +102,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
         by(s["again"] / words, lambda x: x < 0.08, lambda x: x > 0.25),          # a word said again at once
         by(s["distinct"] / words, lambda x: x > 0.35, lambda x: (x < 0.2) & (s["words"] < 2000) & (s["words"] > 20)),
         by(s["stops"] / words, lambda x: (x > 0.02) & (x < 0.6), lambda x: x > 1.0),  # ends of sentences
-        by(s["letters"] / solid, lambda x: x > 0.85, lambda x: x < 0.7),         # letters
+        by(s["letters"] / solid, lambda x: x > 0.85, lambda x: x < 0.7),         # letters and digits
         by(solid / words, lambda x: (x > 2.5) & (x < 12), lambda x: (x > 25) | (s["words"] == 0)),  # word length
         np.where(s["words"] == 0, BAD, ABSTAIN),                                 # no word at all
     ], axis=1)
@@ -132,7 +136,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 def features(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, their hashes, and (row, feature, value) with distinct features per row, rows ascending.
 
-    Values are shares of the text's words, scaled so that one kind of feature sums to about 1.
+    Values are shares of the text's words; one kind of feature sums to about 1, and to less in a short text
+    (``SHRINK`` words are added to its count), which says less about itself.
     """
     found = find_words(texts)
     hashes = found.hashes()
@@ -153,7 +158,7 @@ def features(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray
         (mix(h ^ np.uint64(0x2545F4914F6CDD1D * (k + 1) & (2**64 - 1))) >> np.uint64(64 - BITS)).astype(np.int64) for k, h in enumerate(kinds)])
     pairs, count = np.unique((np.tile(row, 4) << BITS) | feature, return_counts=True)
     row_of = pairs >> BITS
-    return found, hashes, row_of, pairs & ((1 << BITS) - 1), count / np.diff(found.first)[row_of]
+    return found, hashes, row_of, pairs & ((1 << BITS) - 1), count / (np.diff(found.first)[row_of] + SHRINK)
 
 
 @dataclass
@@ -211,7 +216,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         v.append(np.array(r["values"]) * 10)
         y.append(r["target"])
     weights, bias = ftrl(x, v, np.array(y), 1 << BITS, l1=l1, rate=0.5, epochs=4)
-    return Scorer(weights * 10, bias)
+    # The sample has other shares of good and bad than the corpus has.
+    odds = lambda share: np.log((share + 1e-3) / (1 - share + 1e-3))
+    amount = np.array([r["count"] for r in counted], float)
+    return Scorer(weights * 10, bias + odds(float((posterior * amount).sum() / amount.sum())) - odds(float(np.mean(y))))
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "score") -> DataFrame:
