@@ -69,7 +69,8 @@ class Benchmark:
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``symbols`` (small non-negative integers) sorted by their next ``depth`` symbols.
+    """Positions of ``symbols`` (small non-negative integers, of which 0 ends a text) sorted by their next
+    ``depth`` symbols; what follows a 0 does not matter.
 
     The first key packs as many symbols as 63 bits hold; after that the sorted prefix doubles, and only
     positions that still tie are sorted again.
@@ -252,9 +253,9 @@ def _scanner(bench, text: int, before: int | None, names: list[str], arrow_out:
     return run
 
 
-def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-             item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``docs`` with one struct column ``_found`` (``SCAN_TYPE``) added, row by row."""
+def _findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+              item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The columns of ``docs`` as c0, c1... and one struct column ``found`` (``SCAN_TYPE``), row by row."""
     spark = docs.sparkSession
     ship_package(spark)
     columns = docs.columns
@@ -271,7 +272,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         run = _scanner(spark.sparkContext.broadcast(part), at, len(columns) if passed else None, names, out)
         inner = inner.mapInArrow(run, f"{kind}, found struct<{SCAN_TYPE}>")
         passed = True
-    return inner.toDF(*columns, "_found")
+    return inner
 
 
 def contaminated(n_hit, n_words, ratio: int = RATIO):
@@ -281,14 +282,14 @@ def contaminated(n_hit, n_words, ratio: int = RATIO):
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document: id, word and hit counts, longest hit run, item ids and hit spans (in words)."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return findings(slim, benchmark, "text", **options).select("doc_id", "_found.*").withColumn(
+    return _findings(slim, benchmark, "text", **options).select(F.col("c0").alias("doc_id"), "found.*").withColumn(
         "contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ratio: int = RATIO, **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    marked = findings(docs, benchmark, text, **options)
-    return marked.where(~contaminated(F.col("_found.n_hit"), F.col("_found.n_words"), ratio)).drop("_found")
+    marked = _findings(docs, benchmark, text, **options)
+    return marked.where(~contaminated(F.col("found.n_hit"), F.col("found.n_words"), ratio)).drop("found").toDF(*docs.columns)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
