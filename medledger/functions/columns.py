@@ -62,7 +62,7 @@ def parse_amount(text: Column | str) -> Column:
 def id_number(id_col: Column | str, prefix_len: int = 1) -> Column:
     """Numeric suffix of an id such as ``A0042`` (NULL when it is not a number)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.substring(c, prefix_len + 1, 1 << 20).try_cast("bigint")
+    return F.substr(c, F.lit(prefix_len + 1)).try_cast("bigint")
 
 
 def format_id(prefix: str, number: Column, width: int = 4) -> Column:

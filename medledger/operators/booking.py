@@ -12,12 +12,18 @@ Scale design
   neighbourhood test is a range window over per-(key, date, second)
   aggregates: at most 86,400 rows per window partition however hot a
   patient or doctor is, and the aggregates are combined map-side.
-* Acceptance runs in rounds (a parallel greedy): a pending request is
-  accepted once no earlier pending request and no accepted appointment lies
-  in its window on either key, and rejected once an accepted one does. Each
-  round is exact; the earliest pending request always decides, so the loop
-  ends, and in practice after a handful of rounds. Each round's state is
-  checkpointed (reliable checkpoint) to cut lineage.
+* Acceptance runs in rounds. A pending request is rejected once an accepted or
+  existing appointment lies in its window, and accepted once nothing earlier
+  that is undecided does. Within a round, requests that are contested on one
+  key only (no undecided neighbour on the other) are decided in one pass over
+  that key and date in ``seq`` order, so a whole day of one doctor settles in
+  one round however long its chain; only chains that keep changing between
+  doctors and patients take a round for about every two links. The pass
+  sees the smallest ``seq`` of each second: at most 86,400 rows per key and date.
+  Each round's state is written as a Parquet table, which cuts the lineage.
+* Existing appointments are cut to the dates of the requests (a literal range
+  that reaches the scan) and summed per (key, date, second) before they meet
+  the requests, so a hot key-date travels as at most 86,400 rows.
 * The final status of every request is recomputed from the accepted set
   ("is there an earlier accepted or existing appointment in my window?"),
   which is exactly the sequential rule.
@@ -26,11 +32,12 @@ Scale design
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medledger.functions.columns import format_id, id_number, time_of_day_sec
-from medledger.operators.ordering import global_rank
+from medledger.operators.ordering import global_rank, ordered_requests
 from medledger.operators.quality import PAST_APPOINTMENT_MESSAGE, validate_requests
 from medledger.session import cut_lineage
 
@@ -63,6 +70,11 @@ def slot_conflicts(appts: DataFrame, minutes: int = 30) -> DataFrame:
         "patient_conflicts", "doctor_conflicts")
 
 
+def top_id(existing: DataFrame, id_col: str, prefix: str) -> int:
+    """Largest numeric id suffix in ``existing`` (0 when none)."""
+    return existing.agg(F.coalesce(F.max(id_number(id_col, len(prefix))), F.lit(0))).first()[0]
+
+
 def top_id_number(existing: DataFrame, id_col: str, prefix: str) -> Column:
     """Largest numeric id suffix in ``existing`` (0 when none), as a lazy scalar subquery."""
     return existing.select(F.coalesce(F.max(id_number(id_col, len(prefix))), F.lit(0)).alias("_top")).scalar()
@@ -78,8 +90,10 @@ def next_ids(existing: DataFrame, id_col: str, new: DataFrame, order: str, prefi
     return ranked.withColumn(out, format_id(prefix, top + F.col("_rank"), width)).drop("_rank")
 
 
-def _keys_present(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+def _keys_present(df: DataFrame, col: str, requests: DataFrame) -> DataFrame:
+    """The distinct keys of the requests that ``df`` has: the large table is only filtered, never aggregated whole."""
+    asked = requests.select(col).where(F.col(col).isNotNull()).distinct()
+    return df.select(col).join(asked, col, "left_semi").distinct()
 
 
 # The blocking table holds existing and accepted appointments for both keys:
@@ -103,8 +117,32 @@ def _live(pending: DataFrame) -> DataFrame:
 def _existing_blocking(existing: DataFrame, requests: DataFrame) -> DataFrame:
     """Existing appointments per (key, date, second), only in key-dates that have requests."""
     e = _by_key(existing, F.lit(1), F.lit(_EARLIEST))
-    e = e.join(_live(requests), ["_kt", "_kv", "_date"], "left_semi")
-    return e.groupBy("_kt", "_kv", "_date", "_sec").agg(F.sum("_acc").alias("_acc"), F.min("_aseq").alias("_aseq"))
+    e = e.groupBy("_kt", "_kv", "_date", "_sec").agg(F.sum("_acc").alias("_acc"), F.min("_aseq").alias("_aseq"))
+    return e.join(_live(requests), ["_kt", "_kv", "_date"], "left_semi")
+
+
+def _existing(appts: DataFrame, requests: DataFrame) -> DataFrame:
+    """The appointments on the dates that the requests span."""
+    lo, hi = requests.agg(F.min("_date"), F.max("_date")).first()
+    sec = F.col("sec") if "sec" in appts.columns else time_of_day_sec("Appointment_Time")
+    near = appts.where(F.col("Appointment_Date").between(F.lit(lo), F.lit(hi))) if lo else appts.limit(0)
+    return near.select("Patient_ID", "Doctor_ID", F.col("Appointment_Date").alias("_date"), sec.cast("int").alias("_sec"))
+
+
+def request_conflicts(appts: DataFrame, requests: DataFrame, minutes: int = 30) -> DataFrame:
+    """Per valid request: how many stored appointments of its patient and of its doctor are less than
+    ``minutes`` away on its date, and the reason for which it would be refused (the patient's come first)."""
+    valid, _ = validate_requests(ordered_requests(requests, "booking requests"), "booking")
+    req = cut_lineage(valid.select("seq", "Patient_ID", "Doctor_ID", F.col("Appointment_Date").alias("_date"),
+                                   F.col("sec").alias("_sec")))
+    blocking = _existing_blocking(_existing(appts, req), req)
+    out = req
+    for (kt, key), name in zip(_KEY_TYPES, ("patient_conflicts", "doctor_conflicts")):
+        near = _near(req.select(key, "_date", "_sec"), blocking, kt, key, minutes, [F.sum("_acc").alias("_acc")],
+                     [(F.sum, "_acc", name)])
+        out = out.join(near, [key, "_date", "_sec"]).withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    reason = F.when(F.col("patient_conflicts") > 0, "patient").when(F.col("doctor_conflicts") > 0, "doctor")
+    return out.select("seq", "patient_conflicts", "doctor_conflicts", reason.alias("reason"))
 
 
 def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: int, aggs, outs) -> DataFrame:
@@ -116,14 +154,38 @@ def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: in
     return per_sec.select(key, "_date", "_sec", *[f(c).over(w).alias(o) for f, c, o in outs])
 
 
+def _fold_day(minutes: int, key: str):
+    """A pass over one key and date in ``seq`` order; see ``_round``."""
+    reach = minutes * 60 - 1
+
+    def fold(rows):
+        rows = rows.sort_values("_m")
+        taken, open_ = np.zeros(86400, bool), np.zeros(86400, bool)
+        verdict = []
+        for sec, sure in zip(rows["_sec"].tolist(), rows["_sure"].tolist(), strict=True):
+            near = slice(max(0, sec - reach), sec + reach + 1)
+            if taken[sec]:
+                verdict.append("rejected")
+            elif sure and not open_[sec]:
+                verdict.append("accepted")
+                taken[near] = True
+            else:
+                verdict.append("open")
+                open_[near] = True
+        return rows.assign(_v=verdict)[[key, "_date", "_sec", "_m", "_v"]]
+
+    return fold
+
+
 def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     """One acceptance round over the pending requests; adds ``_state``.
 
-    First every pending request with an existing or accepted appointment in
-    reach is marked rejected (final). Then a request is accepted when no
-    earlier pending request that survived that step lies in its window: a
-    neighbour rejected in this round can no longer block it, so chains of
-    reject-then-accept settle in one round.
+    1. A pending request with an existing or accepted appointment in reach is rejected.
+    2. Of the rest, a request is *alone* on a key if no other is in its window there, and *first* if no
+       earlier one is in its window on either key (so it is accepted).
+    3. Per key and date, requests are passed in ``seq`` order (the smallest of each second; the others of
+       that second cannot do better). One in reach of an accepted one is rejected; else, if it is first or
+       alone on the other key, and out of reach of open ones, it is accepted; else it is open.
     """
     out = pending
     for i, (kt, key) in enumerate(_KEY_TYPES):
@@ -133,14 +195,31 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
         out = out.join(near, [key, "_date", "_sec"])
     out = out.withColumn("_blocked", F.coalesce(F.col("_block0") > 0, F.lit(False))
                          | F.coalesce(F.col("_block1") > 0, F.lit(False))).drop("_block0", "_block1")
-    alive = out.where(~F.col("_blocked"))
-    for i, (kt, key) in enumerate(_KEY_TYPES):
-        per_sec = alive.groupBy(key, "_date", "_sec").agg(F.min("seq").alias("_pmin"))
-        near = per_sec.select(key, "_date", "_sec", F.min("_pmin").over(_window(key, minutes)).alias(f"_wait{i}"))
-        out = out.join(near, [key, "_date", "_sec"], "left")
+    out = cut_lineage(out)
+    alive = out.where(~F.col("_blocked")).drop("_blocked")
+    seen = alive
+    for i, (_, key) in enumerate(_KEY_TYPES):
+        per_sec = alive.groupBy(key, "_date", "_sec").agg(F.min("seq").alias("_m"), F.count(F.lit(1)).alias("_c"))
+        w = _window(key, minutes)
+        near = per_sec.select(key, "_date", "_sec", F.min("_m").over(w).alias(f"_wait{i}"), F.sum("_c").over(w).alias(f"_n{i}"))
+        seen = seen.join(near, [key, "_date", "_sec"])
     first = (F.col("_wait0") >= F.col("seq")) & (F.col("_wait1") >= F.col("seq"))
-    state = F.when(F.col("_blocked"), "rejected").when(first, "accepted").otherwise("pending")
-    return out.withColumn("_state", state).drop("_wait0", "_wait1", "_blocked")
+    seen = cut_lineage(seen.withColumn("_first", first).drop("_wait0", "_wait1"))
+    state = seen
+    for i, (_, key) in enumerate(_KEY_TYPES):
+        sure = F.col("_first") | (F.col(f"_n{1 - i}") == 1)
+        days = seen.where(F.col(f"_n{i}") > 1).groupBy(key, "_date", "_sec").agg(F.min(F.struct("seq", sure.alias("s"))).alias("_l"))
+        days = days.select(key, "_date", "_sec", F.col("_l.seq").alias("_m"), F.col("_l.s").alias("_sure"))
+        folded = days.groupBy(key, "_date").applyInPandas(
+            _fold_day(minutes, key), f"{key} string, _date date, _sec int, _m bigint, _v string")
+        state = state.join(folded.withColumnsRenamed({"_m": f"_m{i}", "_v": f"_v{i}"}), [key, "_date", "_sec"], "left")
+    lost = [(F.col(f"_v{i}") == "rejected") | ((F.col(f"_v{i}") == "accepted") & (F.col(f"_m{i}") < F.col("seq"))) for i in (0, 1)]
+    won = [(F.col(f"_n{1 - i}") == 1) & ((F.col(f"_n{i}") == 1) | (F.col(f"_v{i}") == "accepted")) for i in (0, 1)]
+    no = F.lit(False)
+    verdict = (F.when(F.coalesce(lost[0], no) | F.coalesce(lost[1], no), "rejected")
+               .when(F.col("_first") | F.coalesce(won[0], no) | F.coalesce(won[1], no), "accepted").otherwise("pending"))
+    decided = state.select(*pending.columns, verdict.alias("_state"))
+    return decided.unionByName(out.where("_blocked").select(*pending.columns, F.lit("rejected").alias("_state")))
 
 
 def _earlier_conflict(req: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
@@ -168,6 +247,7 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
 
 def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, doctors: DataFrame,
                   requests: DataFrame, as_of=None, distinct_codes: bool = False, minutes: int = 30,
+                  tops: tuple[int, int] | None = None, rounds: list[int] | None = None,
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decide an ordered batch of booking calls.
 
@@ -176,19 +256,17 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     (None: no such rule). Returns (new appointment rows, new bill rows, outcome); outcome
     ``status`` is 0 booked, -1 slot taken (``distinct_codes``: -2 when the
     doctor, not the patient, is busy), NULL for a failed insert or an
-    invalid request; ``reason`` and ``message`` explain.
+    invalid request; ``reason`` and ``message`` explain. ``tops`` gives the largest
+    appointment and bill id numbers where the caller keeps them (else they are
+    read off the tables); ``rounds`` takes the number of rounds.
     """
     if minutes <= 0:
         raise ValueError("minutes must be positive")
     # The routine handles one call at a time, so ``seq`` must be a total order.
-    if not requests.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
-        raise ValueError("booking requests need unique seq values")
-    valid, invalid = validate_requests(requests, "booking")
+    valid, invalid = validate_requests(ordered_requests(requests, "booking requests"), "booking")
     req = (valid.withColumnRenamed("Appointment_Date", "_date").withColumnRenamed("sec", "_sec")
-           .join(_keys_present(patients, "Patient_ID").withColumnRenamed("_k", "Patient_ID")
-                 .withColumn("_p_ok", F.lit(True)), "Patient_ID", "left")
-           .join(_keys_present(doctors, "Doctor_ID").withColumnRenamed("_k", "Doctor_ID")
-                 .withColumn("_d_ok", F.lit(True)), "Doctor_ID", "left"))
+           .join(_keys_present(patients, "Patient_ID", valid).withColumn("_p_ok", F.lit(True)), "Patient_ID", "left")
+           .join(_keys_present(doctors, "Doctor_ID", valid).withColumn("_d_ok", F.lit(True)), "Doctor_ID", "left"))
     past = F.lit(False) if as_of is None else (F.col("_date") < F.lit(str(as_of)).cast("date"))
     req = (req.withColumn("_past", past)
            .withColumn("_p_ok", F.coalesce("_p_ok", F.lit(False)))
@@ -196,9 +274,7 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     req = req.withColumn("_eligible", ~F.col("_past") & F.col("_p_ok") & F.col("_d_ok"))
     req = cut_lineage(req)
 
-    sec = F.col("sec") if "sec" in appts.columns else time_of_day_sec("Appointment_Time")
-    existing = appts.select("Patient_ID", "Doctor_ID", F.col("Appointment_Date").alias("_date"),
-                            sec.cast("int").alias("_sec"))
+    existing = _existing(appts, req)
     existing_blocking = cut_lineage(_existing_blocking(existing, req))
 
     # Rounds. Pending requests only decrease, so after each round the blocking
@@ -214,6 +290,8 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
         rejected_parts.append(decided.where(F.col("_state") == "rejected").select("seq"))
         pending = decided.where(F.col("_state") == "pending").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
         if pending.isEmpty():
+            if rounds is not None:
+                rounds.append(len(accepted_parts))
             break
         grown = blocking.unionByName(_by_key(newly, F.lit(1), F.col("seq")))
         blocking = cut_lineage(grown.join(_live(pending), ["_kt", "_kv", "_date"], "left_semi"))
@@ -237,9 +315,10 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     accepted = accepted.withColumn("status", F.lit(0)).withColumn("reason", F.lit(None).cast("string"))
 
     booked = global_rank(accepted, ["seq"], "_rank")
-    booked = (booked
-              .withColumn("Appointment_ID", format_id("A", top_id_number(appts, "Appointment_ID", "A") + F.col("_rank")))
-              .withColumn("Bill_ID", format_id("B", top_id_number(bills, "Bill_ID", "B") + F.col("_rank"))))
+    top_a, top_b = (F.lit(t) for t in tops) if tops else (
+        top_id_number(appts, "Appointment_ID", "A"), top_id_number(bills, "Bill_ID", "B"))
+    booked = (booked.withColumn("Appointment_ID", format_id("A", top_a + F.col("_rank")))
+              .withColumn("Bill_ID", format_id("B", top_b + F.col("_rank"))))
 
     new_appts = booked.select(
         "Appointment_ID", "Patient_ID", "Doctor_ID", "Department", F.col("_date").alias("Appointment_Date"),

@@ -3,19 +3,20 @@ function from DataFrames to (new snapshot, outcome per request).
 
 Requests carry ``seq``: the order in which the calls would have run. Every
 "last one wins" rule is an aggregate (``max_by`` on seq), and every running
-balance uses ``running_sums``, so a bill or appointment with a huge share of
-the requests is never collected into one task.
+balance uses ``running_sums`` or a walk in bounded steps, so a bill or
+appointment with a huge share of the requests is never collected into one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medledger.operators.ordering import running_sums
-from medledger.operators.quality import NEGATIVE_BILLING_MESSAGE, validate_requests
+from medledger.operators.ordering import ordered_requests, running_sums
+from medledger.operators.quality import NEGATIVE_BILLING_MESSAGE, Rule, enforce, validate_requests
 from medledger.session import cut_lineage
 
 # Outcome texts of the routines and the console client.
@@ -28,71 +29,149 @@ MSG_LAB_OK = "Lab result updated successfully"
 MSG_LAB_NONE = "No records updated - check Lab Order ID"
 MSG_LAB_TOO_LONG = "Data too long for column 'Result'"
 MSG_BAD_ACTION = "Unknown action"
+MSG_OUT_OF_RANGE = "Out of range value for column 'Amount_Paid'"
 
-def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool = False
+
+# Largest amount that DECIMAL(10,2) holds, in cents.
+MAX_CENTS = 10**10 - 1
+#: Rows of one bill that one step of the sequential walk takes.
+WALK_ROWS = 1 << 16
+
+_WALKED = "seq bigint, Bill_ID string, cents bigint, reason string, paid bigint, version bigint"
+
+
+def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | None = None,
                    ) -> tuple[DataFrame, DataFrame]:
-    """Apply payments per bill in ``seq`` order.
+    """Apply payments per bill in ``seq`` order; returns (bills, outcome).
 
     Each accepted payment adds its amount; the status becomes Paid once the
     new paid amount reaches the charge, else Pending (one evaluation, see
-    README). With ``use_version`` every accepted payment also bumps
-    ``version``. Payments are validated first (amount must be a positive
-    number). The billing rule blocks updates on a bill with a negative
-    charge, and on a bill with a negative paid amount until a payment lifts
-    it to zero or more. Returns (bills, outcome).
+    README). As in the routine, ``version`` is bumped by every accepted payment
+    if the bills have that column (``use_version`` overrides). A payment may
+    carry ``expected_version``: it fails when the bill has moved on by its turn.
+
+    Refused payments leave the bill as it is, with a reason: ``invalid_request``
+    (amount must be a positive number), ``not_found``, ``version_conflict``,
+    ``negative_amount`` (the update rule: charge or new paid amount below zero)
+    and ``out_of_range`` (the paid amount would not fit DECIMAL(10,2)).
+
+    Most bills have no payment whose fate depends on another's: their totals are
+    one aggregate, and running sums give the outcomes. Bills where it does
+    (an expected version, a negative paid amount, a sum out of range) are walked in
+    order, ``WALK_ROWS`` payments of a bill at a time, so no task holds more of one
+    bill than that.
     """
-    valid, invalid = validate_requests(payments, "payment")
     has_version = "version" in bills.columns
-    b = bills.select(
-        "Bill_ID", F.col("Amount_Charged").alias("_charged"), F.col("Amount_Paid").alias("_paid0"),
-        (F.col("version") if has_version else F.lit(1)).alias("_v0"), F.lit(True).alias("_found"))
-    j = cut_lineage(valid.join(b, "Bill_ID", "left"))
-    # Bills the billing rule would block: a negative charge (every update fails) or a
-    # negative paid amount (updates fail until one payment lifts it to >= 0). Such rows
-    # are rare, so the "first lifting payment" table is small.
-    lift = (j.where(F.col("_found") & (F.col("_paid0") < 0) & (F.col("_paid0") + F.col("amount") >= 0))
-            .groupBy("Bill_ID").agg(F.min("seq").alias("_first_ok")))
-    j = j.join(lift, "Bill_ID", "left")
-    found = F.coalesce(F.col("_found"), F.lit(False))
-    blocked = ((F.col("_charged") < 0)
-               | ((F.col("_paid0") < 0) & (F.col("_first_ok").isNull() | (F.col("seq") < F.col("_first_ok")))))
-    j = j.withColumn("_ok", found & ~F.coalesce(blocked, F.lit(False))).withColumn("_one", F.lit(1))
-    ok = running_sums(j.where("_ok"), ["Bill_ID"], "seq", {"_cum": "amount", "_n": "_one"})
-    paid_after = (F.col("_paid0") + F.col("_cum")).cast("decimal(10,2)")
-    ok_out = ok.select(
-        "seq", "Bill_ID", "amount", F.lit(True).alias("ok"), paid_after.alias("Amount_Paid"),
-        F.when(paid_after >= F.col("_charged"), "Paid").otherwise("Pending").alias("Payment_Status"),
-        ((F.col("_v0") + F.col("_n")).cast("int") if use_version else F.lit(None).cast("int")).alias("version"),
-        F.lit(None).cast("string").alias("reason"), F.lit(MSG_PAYMENT_OK).alias("message"))
-    failed = j.where(~F.col("_ok")).select(
-        "seq", "Bill_ID", "amount", F.lit(False).alias("ok"), F.lit(None).cast("decimal(10,2)").alias("Amount_Paid"),
-        F.lit(None).cast("string").alias("Payment_Status"), F.lit(None).cast("int").alias("version"),
-        F.when(~found, "not_found").otherwise("negative_amount").alias("reason"),
-        F.when(~found, MSG_PAYMENT_FAILED).otherwise(NEGATIVE_BILLING_MESSAGE).alias("message"))
-    rejected = invalid.select(
-        "seq", "Bill_ID", F.lit(None).cast("decimal(10,2)").alias("amount"), F.lit(False).alias("ok"),
-        F.lit(None).cast("decimal(10,2)").alias("Amount_Paid"), F.lit(None).cast("string").alias("Payment_Status"),
-        F.lit(None).cast("int").alias("version"), F.lit("invalid_request").alias("reason"),
-        F.col("error").alias("message"))
-    outcome = ok_out.unionByName(failed).unionByName(rejected)
-
-    totals = j.where("_ok").groupBy("Bill_ID").agg(F.sum("amount").alias("_add"), F.count(F.lit(1)).alias("_k"))
-    nb = bills.join(totals, "Bill_ID", "left")
-    new_paid = (F.col("Amount_Paid") + F.col("_add")).cast("decimal(10,2)")
-    changed = F.col("_add").isNotNull()
+    use_version = has_version if use_version is None else use_version
+    payments = ordered_requests(payments, "payments")
+    if "expected_version" not in payments.columns:
+        payments = payments.withColumn("expected_version", F.lit(None).cast("int"))
+    valid, invalid = validate_requests(payments, "payment")
+    cents = lambda c: (F.col(c) * 100).cast("bigint")
+    base = F.col("version") if has_version else F.lit(1)
+    state = bills.select("Bill_ID", cents("Amount_Charged").alias("_charged"), cents("Amount_Paid").alias("_paid"),
+                         base.cast("bigint").alias("_version"), F.lit(True).alias("_found"))
+    asked = valid.groupBy("Bill_ID").agg(
+        F.sum(cents("amount")).alias("_add"), F.count(F.lit(1)).alias("_k"),
+        F.max(F.col("expected_version").isNotNull()).alias("_guarded"))
+    asked = asked.join(state, "Bill_ID", "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
+    walk = F.col("_guarded") | (F.col("_paid") < 0) | (F.col("_paid") + F.col("_add") > MAX_CENTS)
+    # One row per bill that is paid on: how its payments are decided.
+    asked = asked.withColumn("_way", F.when(~F.col("_found"), "not_found").when(F.col("_charged") < 0, "negative_amount")
+                             .when(walk, "walk").otherwise("plain"))
+    asked = cut_lineage(asked)
+    j = valid.join(asked.drop("_add", "_k", "_guarded", "_found"), "Bill_ID")
+
+    walked = _walk(j.where("_way = 'walk'"))
+    plain = j.where("_way = 'plain'").withColumn("_cents", cents("amount")).withColumn("_one", F.lit(1))
+    plain = running_sums(plain, ["Bill_ID"], "seq", {"_sum": "_cents", "_n": "_one"})
+    money = lambda c: (c.cast("decimal(20,0)") / 100).cast("decimal(10,2)")
+
+    def rows(df: DataFrame, amount: Column, reason: Column, paid: Column, version: Column) -> DataFrame:
+        ok = reason.isNull()
+        bad = (F.when(reason == "negative_amount", NEGATIVE_BILLING_MESSAGE).when(reason == "out_of_range", MSG_OUT_OF_RANGE)
+               .otherwise(MSG_PAYMENT_FAILED))
+        return df.select(
+            "seq", "Bill_ID", amount.alias("amount"), ok.alias("ok"), F.when(ok, money(paid)).alias("Amount_Paid"),
+            F.when(ok, F.when(paid >= F.col("_charged"), "Paid").otherwise("Pending")).alias("Payment_Status"),
+            F.when(ok & F.lit(use_version), version.cast("int")).alias("version"),
+            reason.alias("reason"), F.when(ok, MSG_PAYMENT_OK).otherwise(bad).alias("message"))
+
+    none = F.lit(None).cast("string")
+    refused = j.where("_way IN ('not_found', 'negative_amount')")
+    outcome = rows(plain, F.col("amount"), none, F.col("_paid") + F.col("_sum"), F.col("_version") + F.col("_n"))
+    moved = (F.col("_way") == "negative_amount") & (F.col("expected_version") != F.col("_version"))
+    why = F.when(F.coalesce(moved, F.lit(False)), "version_conflict").otherwise(F.col("_way"))
+    outcome = outcome.unionByName(rows(refused, F.col("amount"), why, F.lit(0).cast("bigint"), F.lit(0)))
+    charges = asked.where("_way = 'walk'").select("Bill_ID", "_charged")
+    outcome = outcome.unionByName(rows(walked.join(charges, "Bill_ID"), money(F.col("cents")), F.col("reason"),
+                                       F.col("paid"), F.col("version")))
+    null = lambda t: F.lit(None).cast(t)
+    outcome = outcome.unionByName(invalid.select(
+        "seq", "Bill_ID", null("decimal(10,2)").alias("amount"), F.lit(False).alias("ok"),
+        null("decimal(10,2)").alias("Amount_Paid"), null("string").alias("Payment_Status"), null("int").alias("version"),
+        F.lit("invalid_request").alias("reason"), F.col("error").alias("message")))
+
+    done = asked.where("_way = 'plain'").select("Bill_ID", (F.col("_paid") + F.col("_add")).alias("_new"), "_k")
+    last = walked.where("reason IS NULL").groupBy("Bill_ID").agg(F.max_by("paid", "seq").alias("_new"), F.count(F.lit(1)).alias("_k"))
+    nb = bills.join(done.unionByName(last), "Bill_ID", "left")
+    changed, new_paid = F.col("_new").isNotNull(), money(F.col("_new"))
     cols = {
         "Amount_Paid": F.when(changed, new_paid).otherwise(F.col("Amount_Paid")),
         "Payment_Status": F.when(changed, F.when(new_paid >= F.col("Amount_Charged"), "Paid").otherwise("Pending"))
         .otherwise(F.col("Payment_Status")),
     }
     if use_version:
-        base_version = F.col("version") if has_version else F.lit(1)
-        cols["version"] = (base_version + F.coalesce(F.col("_k"), F.lit(0))).cast("int")
+        cols["version"] = (base + F.coalesce(F.col("_k"), F.lit(0))).cast("int")
     new_bills = nb.select(*[cols.get(c, F.col(c)).alias(c) for c in bills.columns],
                           *([cols["version"].alias("version")] if use_version and not has_version else []))
     return new_bills, outcome
 
 
+def _walk(j: DataFrame) -> DataFrame:
+    """Decide the payments of contested bills one after the other.
+
+    Returns seq, Bill_ID, cents, reason (null: accepted), paid and version after each payment. A step takes
+    at most ``WALK_ROWS`` payments of every bill and hands the state of each bill to the next step.
+    """
+    rows = j.select("seq", "Bill_ID", (F.col("amount") * 100).cast("bigint").alias("cents"),
+                    F.col("expected_version").cast("bigint").alias("expected"), F.col("_paid").alias("paid"),
+                    F.col("_version").alias("version"), F.lit(1).alias("_one"))
+    rows = cut_lineage(running_sums(rows, ["Bill_ID"], "seq", {"_nth": "_one"})
+                       .withColumn("_step", ((F.col("_nth") - 1) / WALK_ROWS).cast("int")).drop("_one", "_nth"))
+    steps = rows.agg(F.max("_step")).first()[0]
+    parts = []
+    for step in range(0 if steps is None else steps + 1):
+        now = rows.where(F.col("_step") == step).drop("_step")
+        if parts:
+            state = parts[-1].groupBy("Bill_ID").agg(F.max_by("paid", "seq").alias("_p"), F.max_by("version", "seq").alias("_v"))
+            now = now.join(state, "Bill_ID").withColumns({"paid": F.col("_p"), "version": F.col("_v")}).drop("_p", "_v")
+        parts.append(cut_lineage(now.groupBy("Bill_ID").applyInPandas(_walk_bill, _WALKED)))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.select(
+        "seq", "Bill_ID", "cents", F.lit(None).cast("string").alias("reason"), "paid", "version")
+
+
+def _walk_bill(rows):
+    """The payments of one bill in one step."""
+    rows = rows.sort_values("seq")
+    paid, version = int(rows["paid"].iloc[0]), int(rows["version"].iloc[0])
+    reasons, after, versions = [], [], []
+    for cents, expected in zip(rows["cents"].tolist(), rows["expected"].tolist(), strict=True):
+        reason = None
+        if expected == expected and expected is not None and int(expected) != version:
+            reason = "version_conflict"
+        elif paid + cents < 0:
+            reason = "negative_amount"
+        elif paid + cents > MAX_CENTS:
+            reason = "out_of_range"
+        else:
+            paid, version = paid + int(cents), version + 1
+        reasons.append(reason)
+        after.append(paid)
+        versions.append(version)
+    return rows.assign(reason=reasons, paid=after, version=versions)[["seq", "Bill_ID", "cents", "reason", "paid", "version"]]
+
+
 def apply_status_changes(appts: DataFrame, bills: DataFrame, changes: DataFrame
                          ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Complete or cancel appointments in ``seq`` order.
@@ -100,8 +179,11 @@ def apply_status_changes(appts: DataFrame, bills: DataFrame, changes: DataFrame
     complete: appointment Completed, the patient's bills of that date
     Processing. cancel: Canceled and Void. The last change wins, per
     appointment and per (patient, date) for bills. Unknown ids change
-    nothing and are reported ``not_found``. Returns (appts, bills, outcome).
+    nothing and are reported ``not_found``. The update rule of the bills holds:
+    a change that would touch a bill with a negative amount fails as a whole
+    (``negative_amount``). Returns (appts, bills, outcome).
     """
+    changes = ordered_requests(changes, "status changes")
     act = F.lower(F.trim(F.col("action")))
     c = changes.select("seq", "Appointment_ID", "action", act.alias("_act"))
     keys = appts.select("Appointment_ID", "Patient_ID", F.col("Appointment_Date").alias("_date"),
@@ -109,7 +191,12 @@ def apply_status_changes(appts: DataFrame, bills: DataFrame, changes: DataFrame
     j = c.join(keys, "Appointment_ID", "left")
     good = F.col("_act").isin("complete", "cancel")
     found = F.coalesce(F.col("_found"), F.lit(False))
-    applied = j.where(good & found)
+    # The amounts do not change here, so a (patient, date) is refused for every change or for none.
+    barred = bills.where((F.col("Amount_Charged") < 0) | (F.col("Amount_Paid") < 0)).select(
+        F.col("Patient_ID").alias("_bp"), F.col("Service_Date").alias("_bd"), F.lit(True).alias("_barred")).distinct()
+    j = j.join(barred, (F.col("Patient_ID") == F.col("_bp")) & (F.col("_date") == F.col("_bd")), "left")
+    free = F.col("_barred").isNull()
+    applied = j.where(good & found & free)
 
     per_appt = applied.groupBy("Appointment_ID").agg(F.max_by("_act", "seq").alias("_last"))
     per_day = applied.groupBy(F.col("Patient_ID").alias("_pid"), F.col("_date").alias("_sdate")).agg(
@@ -127,9 +214,11 @@ def apply_status_changes(appts: DataFrame, bills: DataFrame, changes: DataFrame
                             for col in bills.columns])
 
     outcome = j.select(
-        "seq", "Appointment_ID", "action", (good & found).alias("ok"),
-        F.when(~good, "invalid_request").when(~found, "not_found").alias("reason"),
-        F.when(~good, MSG_BAD_ACTION).when(~found, MSG_APPOINTMENT_NOT_FOUND)
+        "seq", "Appointment_ID", "action", F.coalesce(good & found & free, F.lit(False)).alias("ok"),
+        F.when(~F.coalesce(good, F.lit(False)), "invalid_request").when(~found, "not_found")
+        .when(~free, "negative_amount").alias("reason"),
+        F.when(~F.coalesce(good, F.lit(False)), MSG_BAD_ACTION).when(~found, MSG_APPOINTMENT_NOT_FOUND)
+        .when(~free, NEGATIVE_BILLING_MESSAGE)
         .when(F.col("_act") == "complete", MSG_COMPLETED).otherwise(MSG_CANCELED).alias("message"))
     return new_appts, new_bills, outcome
 
@@ -140,7 +229,7 @@ def update_lab_results(labs: DataFrame, updates: DataFrame, max_length: int = 20
     Unknown ids are reported "No records updated"; results longer than the
     column are rejected. Returns (labs, outcome).
     """
-    valid, invalid = validate_requests(updates, "lab_update")
+    valid, invalid = validate_requests(ordered_requests(updates, "lab updates"), "lab_update")
     ids = labs.select("Lab_Order_ID").distinct().withColumn("_found", F.lit(True))
     j = valid.join(ids, "Lab_Order_ID", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
@@ -159,10 +248,13 @@ def update_lab_results(labs: DataFrame, updates: DataFrame, max_length: int = 20
     return new_labs, outcome
 
 
-def update_where(df: DataFrame, cond: Column, sets: Mapping[str, Column | object]) -> DataFrame:
+def update_where(df: DataFrame, cond: Column, sets: Mapping[str, Column | object],
+                 rules: Sequence[Rule] = ()) -> DataFrame:
     """UPDATE ... SET col = value WHERE cond (a NULL condition leaves the row as it is).
 
-    Every value is computed from the row before the update, as in SQL.
+    Every value is computed from the row before the update, as in SQL. ``rules``
+    (``billing_rules()`` for bills) are held against every updated row after the
+    update, like an update trigger: the first violation fails the whole statement.
     """
     hit = F.coalesce(cond, F.lit(False))
     out = []
@@ -172,7 +264,11 @@ def update_where(df: DataFrame, cond: Column, sets: Mapping[str, Column | object
             out.append(F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
-    return df.select(*out)
+    if not rules:
+        return df.select(*out)
+    updated = df.select(*out, hit.alias("_hit"))
+    held = [Rule(r.name, F.col("_hit") & r.violation, r.message) for r in rules]
+    return enforce(updated, held).drop("_hit")
 
 
 def delete_where(df: DataFrame, cond: Column) -> DataFrame:

@@ -4,15 +4,17 @@
   single-partition window: range-partitioned sort, per-partition counts,
   prefix offsets over a table with one row per partition.
 * ``running_sums`` - per-key running totals where one key may hold a third
-  of all rows: when some key has more than ``2**bits`` rows, the order axis
-  is cut into chunks of at most ``2**bits`` values, each chunk is summed
-  locally, and chunk offsets come from the same procedure one level up (so
-  no window partition exceeds ``2**bits`` rows).
+  of all rows: the order axis is always cut into chunks of ``2**bits`` values,
+  each chunk is summed locally, and chunk offsets come from the same
+  procedure one level up (so no window partition exceeds ``2**bits`` rows).
+* ``ordered_requests`` - materialises a batch and insists on unique ``seq``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,29 +47,30 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
     return out.withColumn(name, (F.col("_off") + local + 1).cast("bigint")).drop("_pid", "_off", "_mid")
 
 
+def ordered_requests(requests: DataFrame, what: str) -> DataFrame:
+    """The batch, materialised once; its ``seq`` must be a total order (the calls ran one after the other)."""
+    held = cut_lineage(requests)
+    repeated = held.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR seq IS NULL")
+    if not repeated.isEmpty():
+        raise ValueError(f"{what} need unique seq values")
+    return held
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order_col: str,
     sums: Mapping[str, str],
-    bits: int = 16,
+    bits: int = 22,
+    order_bits: int = 64,
 ) -> DataFrame:
     """Add inclusive running sums ``{out: value_col}`` per ``keys`` in ``order_col`` order.
 
-    ``order_col`` must be integral and unique within a key.
+    ``order_col`` must be integral and unique within a key. Null keys are a group like any other.
+    The plan is the same whatever the data: by default it covers all 64 bits of the order axis; values
+    known to be within ``[0, 2**order_bits)`` need fewer levels.
     """
-    # One small job: the order range and the largest group. When no key holds more
-    # than 2**bits rows a plain per-key window is already bounded; otherwise the
-    # order axis is chunked.
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order_col).alias("_lo"),
-                                    F.max(order_col).alias("_hi"))
-    biggest, lo, hi = per_key.agg(F.max("_n"), F.min("_lo"), F.max("_hi")).first()
-    if lo is None or biggest <= (1 << bits):
-        return _running(df, list(keys), order_col, dict(sums), bits, 0, 0)
-    span = int(hi - lo).bit_length()
-    base = df.withColumn("_ord0", (F.col(order_col) - F.lit(lo)).cast("bigint"))
-    out = _running(base, list(keys), "_ord0", dict(sums), bits, span, 0)
-    return out.drop("_ord0")
+    return _running(df, list(keys), order_col, dict(sums), bits, order_bits, 0)
 
 
 def _running(df: DataFrame, keys: list[str], ocol: str, sums: dict[str, str], bits: int, span: int,
@@ -87,6 +90,8 @@ def _running(df: DataFrame, keys: list[str], ocol: str, sums: dict[str, str], bi
     prefix = _running(totals, keys, chunk, {inc[o]: tot[o] for o in sums}, bits, span - bits, level + 1)
     offsets = prefix.select(*keys, chunk, *[(F.col(inc[o]) - F.col(tot[o])).alias(f"_off{level}_{o}")
                                             for o in sums])
-    joined = local.join(offsets, [*keys, chunk])
+    right = offsets.toDF(*[f"_key{level}_{c}" for c in (*keys, chunk)], *offsets.columns[len(keys) + 1:])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key{level}_{c}")) for c in (*keys, chunk)])
+    joined = local.join(right, same)
     return joined.select(
         *df.columns, *[(F.col(loc[o]) + F.col(f"_off{level}_{o}")).alias(o) for o in sums])

@@ -35,25 +35,23 @@ def _audit(df: DataFrame, rule: str, table: str, column: str, key: Column, detai
 
 def audit_primary_key(df: DataFrame, key: str, table: str = "") -> DataFrame:
     """Keys that repeat (one row per key with its count) and rows with a NULL key."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    dup = counts.where(F.col(key).isNotNull() & (F.col("_n") > 1))
-    nul = counts.where(F.col(key).isNull())
-    return _audit(dup, "primary_key_duplicate", table, key, F.col(key), F.concat(F.col("_n"), F.lit(" rows"))) \
-        .unionAll(_audit(nul, "primary_key_null", table, key, F.lit(None), F.concat(F.col("_n"), F.lit(" rows"))))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull())
+    rows = counts.withColumn("_rule", F.when(F.col(key).isNull(), "primary_key_null").otherwise("primary_key_duplicate"))
+    return rows.select(F.col("_rule").alias("rule"), F.lit(table).alias("table_name"), F.lit(key).alias("column_name"),
+                       F.col(key).cast("string").alias("key"), F.concat(F.col("_n").cast("string"), F.lit(" rows")).alias("detail"))
 
 
 def audit_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_key: str, child_key: str,
                       table: str = "") -> DataFrame:
-    """Child rows whose non-NULL reference has no parent row.
+    """Child rows whose non-NULL reference has no parent row: one anti join per reference.
 
-    Distinct child values are checked first (map-side combined, so a hot value
-    costs one row), and only the orphan values are joined back to the rows.
+    The child is read once; a value that many rows share is split by the adaptive
+    skew join, and the parent side is one row per key.
     """
-    values = child.select(F.col(column).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    parents = parent.select(F.col(parent_key).alias("_v")).distinct()
-    orphans = values.join(parents, "_v", "left_anti")
-    rows = child.join(orphans, child[column] == orphans["_v"], "left_semi")
-    return _audit(rows, "foreign_key", table, column, F.col(child_key), F.col(column))
+    parents = parent.select(F.col(parent_key).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    rows = child.where(F.col(column).isNotNull()).select(F.col(child_key).alias("_key"), F.col(column).alias("_ref"))
+    orphans = rows.join(parents, rows["_ref"] == parents["_v"], "left_anti")
+    return _audit(orphans, "foreign_key", table, column, F.col("_key"), F.col("_ref"))
 
 
 def audit_not_null(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFrame:
@@ -191,7 +189,8 @@ def validate_requests(df: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
                  .when(F.col("_amount") <= 0, F.lit(MSG_NOT_POSITIVE)))
         s = s.withColumn("error", error)
         valid = s.where(F.col("error").isNull()).select(
-            "seq", F.col("_bill").alias("Bill_ID"), F.col("_amount").alias("amount"))
+            "seq", F.col("_bill").alias("Bill_ID"), F.col("_amount").alias("amount"),
+            *(c for c in ("expected_version",) if c in df.columns))
         invalid = s.where(F.col("error").isNotNull()).select("seq", "Bill_ID", "amount", "error")
         return valid, invalid
     if spec == "lab_update":

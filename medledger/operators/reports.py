@@ -68,11 +68,9 @@ def _pending_totals(bills: DataFrame) -> DataFrame:
 
 def outstanding_bills(patients: DataFrame, bills: DataFrame) -> DataFrame:
     """Patients whose Pending bills leave a positive balance, with their names."""
-    people = patients.groupBy("Patient_ID", "Full_Name").agg(F.count(F.lit(1)).alias("_mult"))
-    joined = people.join(_pending_totals(bills), "Patient_ID")
-    total = (F.col("_total") * F.col("_mult")).cast(MONEY_SUM)
+    joined = patients.select("Patient_ID", "Full_Name").join(_pending_totals(bills), "Patient_ID")
     return (
-        joined.select("Patient_ID", "Full_Name", total.alias("Total_Outstanding"))
+        joined.select("Patient_ID", "Full_Name", F.col("_total").cast(MONEY_SUM).alias("Total_Outstanding"))
         .where(F.col("Total_Outstanding") > 0)
     )
 
@@ -107,14 +105,12 @@ def _appointment_counts(appts: DataFrame) -> DataFrame:
 
 def doctor_appointment_stats(doctors: DataFrame, appts: DataFrame) -> DataFrame:
     """Every doctor (also those with no appointment): total and completed, busiest first."""
-    docs = doctors.groupBy("Doctor_ID", "Full_Name").agg(F.count(F.lit(1)).alias("_mult"))
-    j = docs.join(_appointment_counts(appts), "Doctor_ID", "left")
+    j = doctors.select("Doctor_ID", "Full_Name").join(_appointment_counts(appts), "Doctor_ID", "left")
     return (
         j.select(
             "Doctor_ID", "Full_Name",
-            (F.coalesce(F.col("_total"), F.lit(0)) * F.col("_mult")).cast("bigint").alias("Total_Appointments"),
-            (F.coalesce(F.col("_completed"), F.lit(0)) * F.col("_mult")).cast("bigint")
-            .alias("Completed_Appointments"),
+            F.coalesce(F.col("_total"), F.lit(0)).cast("bigint").alias("Total_Appointments"),
+            F.coalesce(F.col("_completed"), F.lit(0)).cast("bigint").alias("Completed_Appointments"),
         )
         .orderBy(F.desc("Total_Appointments"), "Doctor_ID")
     )
@@ -122,11 +118,10 @@ def doctor_appointment_stats(doctors: DataFrame, appts: DataFrame) -> DataFrame:
 
 def doctor_appointment_counts(doctors: DataFrame, appts: DataFrame) -> DataFrame:
     """Every doctor with its appointment count (zero when none)."""
-    docs = doctors.groupBy("Doctor_ID").agg(F.count(F.lit(1)).alias("_mult"))
-    j = docs.join(_appointment_counts(appts), "Doctor_ID", "left")
+    j = doctors.select("Doctor_ID").join(_appointment_counts(appts), "Doctor_ID", "left")
     return j.select(
         "Doctor_ID",
-        (F.coalesce(F.col("_total"), F.lit(0)) * F.col("_mult")).cast("bigint").alias("Total_Appointments"),
+        F.coalesce(F.col("_total"), F.lit(0)).cast("bigint").alias("Total_Appointments"),
     )
 
 

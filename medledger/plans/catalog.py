@@ -2,12 +2,12 @@
 
 ``QUERIES[name]`` builds the Spark DataFrame from (spark, sf_dir);
 ``ORACLES[name]`` is the equivalent SQL over the driver tables, with the
-fixture mapping inlined as CTEs. Names without an oracle are checked by
-row count only (or against a sequential loop in the tests).
+fixture mapping inlined as CTEs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -271,6 +271,47 @@ def _audit_decimals(fx: Fixture) -> DataFrame:
         Q.audit_decimals(c, ["c_acctbal"], "Bill_ID", table="ACCOUNT_BILLING"))
 
 
+# The same audits over tables that have every declared column and hold faults.
+
+def _faulty(sql: str) -> str:
+    return reduce(lambda q, t: re.sub(rf"\bfrom {t}\b", f"from FAULTY_{t}", q), AUDIT_TABLES, sql)
+
+
+@register("audit_foreign_keys_faulty", "\nunion all\n".join(
+    f"select 'foreign_key' rule, '{child}' table_name, '{col}' column_name, c.{SC.PRIMARY_KEYS[child]} key, c.{col} detail"
+    f" from FAULTY_{child} c where c.{col} is not null and not exists (select 1 from {parent} p where p.{pk} = c.{col})"
+    for child, col, parent, pk in SC.FOREIGN_KEYS))
+def _audit_fk_faulty(fx: Fixture) -> DataFrame:
+    return reduce(DataFrame.unionAll, [
+        Q.audit_foreign_key(fx.FAULTY[child], col, getattr(fx, parent), pk, SC.PRIMARY_KEYS[child], child)
+        for child, col, parent, pk in SC.FOREIGN_KEYS])
+
+
+@register("audit_not_null_faulty", _faulty("\nunion all\n".join(
+    f"select 'not_null' rule, '{t}' table_name, '{c}' column_name, cast(count(*) - count({c}) as bigint) null_rows from {t}"
+    for t in AUDIT_TABLES for c in SC.not_null_columns(t))))
+def _audit_nn_faulty(fx: Fixture) -> DataFrame:
+    return reduce(DataFrame.unionAll, [Q.audit_not_null(fx.FAULTY[t], SC.not_null_columns(t), t) for t in AUDIT_TABLES])
+
+
+@register("audit_lengths_faulty", _faulty("\nunion all\n".join(
+    f"select 'length' rule, '{t}' table_name, '{c}' column_name, cast({SC.PRIMARY_KEYS[t]} as string) key,"
+    f" cast(length({c}) as string)||' > {n}' detail from {t} where length({c}) > {n}"
+    for t in AUDIT_TABLES for c, n in SC.LENGTH_LIMITS[t].items())))
+def _audit_len_faulty(fx: Fixture) -> DataFrame:
+    return reduce(DataFrame.unionAll, [Q.audit_lengths(fx.FAULTY[t], SC.LENGTH_LIMITS[t], SC.PRIMARY_KEYS[t], t)
+                                       for t in AUDIT_TABLES])
+
+
+@register("audit_decimals_faulty", "\nunion all\n".join(
+    f"select 'decimal_range' rule, '{t}' table_name, '{c}' column_name, {SC.PRIMARY_KEYS[t]} key, cast({c} as string) detail"
+    f" from FAULTY_{t} where {c} is not null and try_cast({c} as decimal(10,2)) is null"
+    for t, cols in SC.DECIMAL_COLUMNS.items() for c in cols))
+def _audit_dec_faulty(fx: Fixture) -> DataFrame:
+    return reduce(DataFrame.unionAll, [Q.audit_decimals(fx.FAULTY[t], cols, SC.PRIMARY_KEYS[t], table=t)
+                                       for t, cols in SC.DECIMAL_COLUMNS.items()])
+
+
 @register("check_billing_rule", f"""
 select Bill_ID, Amount_Charged, Amount_Paid,
  case when Amount_Charged < 0 or Amount_Paid < 0 then 'negative_amount' end rule,
@@ -409,6 +450,51 @@ def _payments_v_bills(fx: Fixture) -> DataFrame:
     return C.apply_payments(fx.VISIT_BILLING, fx.PAYMENT_TEXT, use_version=True)[0]
 
 
+def _guarded_sql(tail: str) -> str:
+    """Oracle: walk each bill's payments in seq order, carrying its paid amount (cents) and version."""
+    return f"""
+with recursive p as (select seq, Bill_ID, try_cast(amount as decimal(10,2)) amount, expected_version e from ACCOUNT_PAYMENTS),
+j as (select p.seq, p.Bill_ID, p.amount, p.e, cast(p.amount * 100 as bigint) c, cast(b.Amount_Charged * 100 as bigint) ch,
+  row_number() over (partition by p.Bill_ID order by p.seq) rn from p join ACCOUNT_BILLING b on b.Bill_ID = p.Bill_ID
+  where p.amount > 0),
+g as (
+ select Bill_ID, cast(0 as bigint) rn, cast(null as bigint) seq, cast(null as varchar) reason,
+  cast(Amount_Paid * 100 as bigint) paid, 1 v from ACCOUNT_BILLING
+ union all
+ select q.Bill_ID, q.rn, q.seq, q.reason, case when reason is null then q.paid + q.c else q.paid end,
+  case when reason is null then q.v + 1 else q.v end
+ from (select j.Bill_ID, j.rn, j.seq, j.c, g.paid, g.v, case when j.e is not null and j.e <> g.v then 'version_conflict'
+   when j.ch < 0 or g.paid + j.c < 0 then 'negative_amount' when g.paid + j.c > {C.MAX_CENTS} then 'out_of_range' end reason
+  from g join j on j.Bill_ID = g.Bill_ID and j.rn = g.rn + 1) q),
+outcome as (
+ select j.seq, j.Bill_ID, j.amount, g.reason is null ok,
+  case when g.reason is null then cast(g.paid / 100.0 as decimal(10,2)) end Amount_Paid,
+  case when g.reason is null then case when g.paid >= j.ch then 'Paid' else 'Pending' end end Payment_Status,
+  case when g.reason is null then g.v end version, g.reason,
+  case g.reason when 'version_conflict' then '{C.MSG_PAYMENT_FAILED}' when 'negative_amount' then '{Q.NEGATIVE_BILLING_MESSAGE}'
+   when 'out_of_range' then '{C.MSG_OUT_OF_RANGE.replace("'", "''")}' else '{C.MSG_PAYMENT_OK}' end message
+ from g join j on j.Bill_ID = g.Bill_ID and j.rn = g.rn),
+last as (select Bill_ID, max(paid) paid, max(v) v, count(*) filter (where rn > 0 and reason is null) k from g group by Bill_ID)
+{tail}"""
+
+
+def _guarded(fx: Fixture):
+    return C.apply_payments(ensure_column(fx.ACCOUNT_BILLING, "version", "int", 1), fx.ACCOUNT_PAYMENTS)
+
+
+@register("payments_guarded_outcome", _guarded_sql("select * from outcome"))
+def _payments_guarded_outcome(fx: Fixture) -> DataFrame:
+    return _guarded(fx)[1]
+
+
+@register("payments_guarded_bills", _guarded_sql("""
+select b.* replace (case when k > 0 then cast(paid / 100.0 as decimal(10,2)) else b.Amount_Paid end as Amount_Paid,
+  case when k = 0 then b.Payment_Status when paid >= cast(b.Amount_Charged * 100 as bigint) then 'Paid' else 'Pending' end as Payment_Status),
+ v version from ACCOUNT_BILLING b join last on last.Bill_ID = b.Bill_ID"""))
+def _payments_guarded_bills(fx: Fixture) -> DataFrame:
+    return _guarded(fx)[0]
+
+
 _STATUS_SQL = f"""
 with c as (select seq, Appointment_ID, action, lower(trim(action)) act from STATUS_CHANGES),
 j as (select c.*, a.Patient_ID, a.Appointment_Date d, a.Appointment_ID is not null found
@@ -443,6 +529,32 @@ def _status_outcome(fx: Fixture) -> DataFrame:
     return C.apply_status_changes(fx.APPOINTMENT, fx.VISIT_BILLING, fx.STATUS_CHANGES)[2]
 
 
+_STATUS_BARRED_SQL = f"""
+with c as (select seq, Appointment_ID, action, lower(trim(action)) act from STATUS_CHANGES),
+bad as (select distinct Patient_ID, Service_Date from ACCOUNT_VISIT_BILLING where Amount_Charged < 0 or Amount_Paid < 0),
+j as (select c.*, a.Patient_ID, a.Appointment_Date d, a.Appointment_ID is not null found, bad.Patient_ID is not null barred
+  from c left join APPOINTMENT a on c.Appointment_ID = a.Appointment_ID
+  left join bad on bad.Patient_ID = a.Patient_ID and bad.Service_Date = a.Appointment_Date),
+ap as (select * from j where found and not barred and act in ('complete','cancel')),
+pd as (select Patient_ID, d, arg_max(act, seq) last_bill from ap group by Patient_ID, d)"""
+
+
+@register("status_changes_negative_bills", _STATUS_BARRED_SQL + """
+select b.* replace (case pd.last_bill when 'complete' then 'Processing' when 'cancel' then 'Void'
+  else b.Payment_Status end as Payment_Status)
+from ACCOUNT_VISIT_BILLING b left join pd on b.Patient_ID = pd.Patient_ID and b.Service_Date = pd.d""")
+def _status_negative_bills(fx: Fixture) -> DataFrame:
+    return C.apply_status_changes(fx.APPOINTMENT, fx.ACCOUNT_VISIT_BILLING, fx.STATUS_CHANGES)[1]
+
+
+@register("status_changes_negative_outcome", _STATUS_BARRED_SQL + f"""
+select seq, Appointment_ID, action, found and not barred ok, case when barred then 'negative_amount' end reason,
+ case when barred then '{Q.NEGATIVE_BILLING_MESSAGE}' when act = 'complete' then '{C.MSG_COMPLETED}'
+  else '{C.MSG_CANCELED}' end message from j""")
+def _status_negative_outcome(fx: Fixture) -> DataFrame:
+    return C.apply_status_changes(fx.APPOINTMENT, fx.ACCOUNT_VISIT_BILLING, fx.STATUS_CHANGES)[2]
+
+
 _LAB_SQL = f"""
 with u as (select seq, Lab_Order_ID raw_id, Result raw_result, trim(Lab_Order_ID) Lab_Order_ID, trim(Result) Result
   from LAB_UPDATES),
@@ -499,6 +611,12 @@ def _update_affected(fx: Fixture) -> DataFrame:
     return C.affected_rows(fx.BILLING, _reset_cond())
 
 
+@register("delete_test_prefix", """
+select * from LABTEST where not coalesce(Lab_Order_ID like 'L0000001%', false)""")
+def _delete_prefix(fx: Fixture) -> DataFrame:
+    return C.delete_where(fx.LABTEST, F.col("Lab_Order_ID").startswith("L0000001"))
+
+
 @register("delete_canceled_appointments", """
 select * from APPOINTMENT where not coalesce(Status = 'Canceled', false)""")
 def _delete_canceled(fx: Fixture) -> DataFrame:
@@ -600,18 +718,55 @@ def _booking_history(fx: Fixture) -> DataFrame:
     return _history(fx)[2].select("seq", "status", "reason")
 
 
+# A second, disjoint set of calls into a book that holds every appointment, Canceled ones too.
+_SHIFTED_REQUESTS = """req as (select seq, Patient_ID p, Doctor_ID d, Appointment_Date pd, (sec + 2700) % 86400 ps, true eligible,
+  false past, true p_ok, true d_ok from APPOINTMENT)"""
+
+
+def _full_book(fx: Fixture):
+    return BK.book_new_rows(fx.APPOINTMENT, fx.VISIT_BILLING, fx.PATIENT, fx.DOCTOR, fx.SHIFTED_REQUESTS)
+
+
+_FULL_IDS = """,
+top as (select max(cast(substring(Appointment_ID, 2) as bigint)) t from APPOINTMENT),
+ids as (select seq, 'A'||lpad(cast(t + k as string), cast(greatest(4, length(cast(t + k as string))) as integer), '0') Appointment_ID
+ from (select seq, row_number() over (order by seq) k from decided where status = 0), top)
+select d.seq, d.status, d.reason, ids.Appointment_ID from decided d left join ids on ids.seq = d.seq"""
+
+
+ORACLE_OF_FULL_BOOK = _sequential_booking_sql(_SHIFTED_REQUESTS, "true", -1, _FULL_IDS)
+
+
+@register("booking_full_book_outcome", ORACLE_OF_FULL_BOOK)
+def _booking_full_book(fx: Fixture) -> DataFrame:
+    return _full_book(fx)[2].select("seq", "status", "reason", "Appointment_ID")
+
+
+@register("request_conflicts_full_book", """
+with r as (select seq, Patient_ID, Doctor_ID, Appointment_Date, (sec + 2700) % 86400 s from APPOINTMENT),
+p as (select r.seq, count(*) n from r join APPOINTMENT a on a.Patient_ID = r.Patient_ID
+  and a.Appointment_Date = r.Appointment_Date and abs(a.sec - r.s) < 1800 group by r.seq),
+d as (select r.seq, count(*) n from r join APPOINTMENT a on a.Doctor_ID = r.Doctor_ID
+  and a.Appointment_Date = r.Appointment_Date and abs(a.sec - r.s) < 1800 group by r.seq)
+select r.seq, cast(coalesce(p.n, 0) as bigint) patient_conflicts, cast(coalesce(d.n, 0) as bigint) doctor_conflicts,
+ case when p.n > 0 then 'patient' when d.n > 0 then 'doctor' end reason
+from r left join p on p.seq = r.seq left join d on d.seq = r.seq""")
+def _request_conflicts(fx: Fixture) -> DataFrame:
+    return BK.request_conflicts(fx.APPOINTMENT, fx.SHIFTED_REQUESTS)
+
+
 # ---------------------------------------------------------------- SQL function and streams
 
 import uuid  # noqa: E402
 
 from medledger.plans.sql_functions import register_sql_functions  # noqa: E402
-from medledger.session import ensure_checkpoint_dir  # noqa: E402
+from medledger.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from medledger.streaming import streams as ST  # noqa: E402
 
 
 @register("outstanding_bill_sql_function", _ORACLE_TEXT["outstanding_bill_per_patient"])
 def _outstanding_sql_fn(fx: Fixture) -> DataFrame:
-    tag = uuid.uuid4().hex[:8]
+    tag = "medledger"  # the same two views for every call
     fx.BILLING.createOrReplaceTempView(f"billing_{tag}")
     fx.PATIENT.createOrReplaceTempView(f"patient_{tag}")
     register_sql_functions(fx.spark, f"billing_{tag}")
@@ -645,6 +800,93 @@ def _stream_appointments(fx: Fixture) -> DataFrame:
     return fx.spark.read.parquet(f"{root}/rejected").select("Appointment_ID", "Appointment_Date", "rule", "message")
 
 
+@register("stream_check_billing_accepted", """
+select * from ACCOUNT_BILLING where not coalesce(Amount_Charged < 0 or Amount_Paid < 0, false)""")
+def _stream_billing_accepted(fx: Fixture) -> DataFrame:
+    root = _scratch(fx, "billing-stream")
+    fx.ACCOUNT_BILLING.write.parquet(f"{root}/source")
+    q = ST.check_billing_stream(fx.spark, f"{root}/source", f"{root}/accepted", f"{root}/rejected",
+                                checkpoint=f"{root}/checkpoint")
+    q.awaitTermination()
+    return fx.spark.read.parquet(f"{root}/accepted").drop("batch_id")
+
+
+def _feed(fx: Fixture, calls: DataFrame, path: str, parts: int = 3, files: int = 4) -> int:
+    """Write calls in ``parts`` steps of ascending ``seq``, each as ``files`` files; returns the files per step."""
+    held = cut_lineage(calls)
+    low, high = held.agg(F.min("seq"), F.max("seq")).first()
+    for k in range(parts):
+        lo, hi = (low + (high + 1 - low) * x // parts for x in (k, k + 1))
+        held.where(F.col("seq").between(lo, hi - 1)).repartition(files).write.mode("append").parquet(path)
+    return files
+
+
+@register("booking_stream_outcome", ORACLE_OF_FULL_BOOK)
+def _booking_stream(fx: Fixture) -> DataFrame:
+    root = _scratch(fx, "booking-stream")
+    step = _feed(fx, fx.SHIFTED_REQUESTS, f"{root}/source", parts=2)
+    book = fx.APPOINTMENT.select(*SC.APPOINTMENT.fieldNames())
+    q = ST.booking_stream(fx.spark, f"{root}/source", book, fx.VISIT_BILLING, fx.PATIENT, fx.DOCTOR, f"{root}/out",
+                          checkpoint=f"{root}/checkpoint", max_files_per_trigger=step)
+    q.awaitTermination()
+    return fx.spark.read.parquet(f"{root}/out/outcome").select("seq", "status", "reason", "Appointment_ID")
+
+
+@register("payment_stream_bills", _ORACLE_TEXT["payments_bills"])
+def _payment_stream(fx: Fixture) -> DataFrame:
+    root = _scratch(fx, "payment-stream")
+    step = _feed(fx, fx.PAYMENT_TEXT, f"{root}/source")
+    q = ST.payment_stream(fx.spark, f"{root}/source", fx.BILLING, f"{root}/out", checkpoint=f"{root}/checkpoint",
+                          max_files_per_trigger=step)
+    q.awaitTermination()
+    return ST.current_bills(fx.spark, fx.BILLING, f"{root}/out")
+
+
+# ---------------------------------------------------------------- stored tables and inserts
+
+from medledger.sources.tables import append_rows, load_tables, write_snapshot  # noqa: E402
+
+
+def _stored(fx: Fixture) -> dict[str, DataFrame]:
+    """The six tables written with all declared columns, then loaded and checked against their schemas."""
+    root = _scratch(fx, "tables")
+    for name, declared in SC.TABLES.items():
+        df = getattr(fx, name)
+        cols = [(F.col(f.name) if f.name in df.columns else
+                 (F.lit("1980-02-03") if f.name == "DOB" else F.lit(f"{f.name} text"))).cast(f.dataType).alias(f.name)
+                for f in declared.fields]
+        write_snapshot(df.select(*cols), f"{root}/{name}")
+    return load_tables(fx.spark, root)
+
+
+@register("stored_tables_outstanding", """
+select Patient_ID, cast(sum(Amount_Charged - Amount_Paid) as decimal(21,2)) Total_Outstanding
+from BILLING where Payment_Status = 'Pending' group by Patient_ID""")
+def _stored_outstanding(fx: Fixture) -> DataFrame:
+    return R.outstanding_by_patient(_stored(fx)["BILLING"])
+
+
+@register("append_bills_with_defaults", """
+select *, 1 version from BILLING
+union all select * replace ('N'||substring(Bill_ID, 2) as Bill_ID), 1 from ACCOUNT_BILLING where Amount_Charged >= 0""")
+def _append_bills(fx: Fixture) -> DataFrame:
+    bills = ensure_column(_stored(fx)["BILLING"], "version", "int", 1)
+    new = fx.ACCOUNT_BILLING.where("Amount_Charged >= 0").withColumn("Bill_ID", F.concat(F.lit("N"), F.substr("Bill_ID", F.lit(2))))
+    return append_rows(bills, new, "BILLING", Q.billing_rules())
+
+
+@register("append_appointments_checked", f"""
+select Appointment_ID, Patient_ID, Doctor_ID, Department, Appointment_Date, Appointment_Time, Status from APPOINTMENT
+union all
+select 'N'||substring(Appointment_ID, 2), Patient_ID, Doctor_ID, Department, Appointment_Date, Appointment_Time, Status
+from APPOINTMENT where Appointment_Date >= date '{AS_OF}'""")
+def _append_appointments(fx: Fixture) -> DataFrame:
+    stored = _stored(fx)["APPOINTMENT"]
+    new = stored.where(F.col("Appointment_Date") >= F.lit(AS_OF).cast("date")).withColumn(
+        "Appointment_ID", F.concat(F.lit("N"), F.substr("Appointment_ID", F.lit(2))))
+    return append_rows(stored, new, "APPOINTMENT", Q.appointment_date_rules(AS_OF))
+
+
 @register("next_bill_ids_for_visits", """
 with top as (select coalesce(max(try_cast(substring(Bill_ID, 2) as bigint)), 0) t from BILLING),
 r as (select seq, Patient_ID, row_number() over (order by seq) k from APPOINTMENT)

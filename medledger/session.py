@@ -7,9 +7,11 @@ driver's smoke check.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst",
-                os.environ.get("MEDLEDGER_PARALLELISM_FIRST", "false"))
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.files.minPartitionNum", str(max(4, shuffle_partitions)))
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("MEDLEDGER_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,12 +54,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # one process; local-cluster[...] has machines of its own
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="medledger-ckpt-"))
         return sc.getCheckpointDir()
     raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``cut_lineage`` writes inside the block when it ends.
+
+    Results built inside must be written or collected before the block ends: they
+    read these tables lazily.
+    """
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.remove(written)
+        jvm = spark.sparkContext._jvm
+        for path in written:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -68,5 +92,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/medledger-tables/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,14 +1,15 @@
 """The fixture mapping as portable SQL text, for the DuckDB oracles.
 
 Each entry is the body of a CTE over the driver's tables; ``with_views``
-prefixes a query with the CTEs it needs (in dependency order). The text runs
-unchanged in Spark SQL and DuckDB.
+prefixes a query with the CTEs it needs (in dependency order).
 """
 
 from __future__ import annotations
 
 import re
 
+from medledger.sources.schemas import LENGTH_LIMITS, PRIMARY_KEYS, TABLES
+
 VIEWS: dict[str, str] = {
     "PATIENT": """
 select concat('P',lpad(cast(c_custkey as string),8,'0')) Patient_ID, c_name Full_Name from customer""",
@@ -77,6 +78,45 @@ select seq, Bill_ID, case when cast(amount as decimal(10,2)) < 1000 then '-'||am
   when cast(amount as decimal(10,2)) < 1100 then 'n/a' else amount end amount from PAYMENTS""",
 }
 
+VIEWS["ACCOUNT_VISIT_BILLING"] = """
+select v.* replace (cast(c_acctbal as decimal(10,2)) as Amount_Charged) from VISIT_BILLING v
+join customer on v.Patient_ID = concat('P',lpad(cast(c_custkey as string),8,'0'))"""
+VIEWS["ACCOUNT_PAYMENTS"] = """
+select o_orderkey seq, concat('C',lpad(cast(o_custkey as string),8,'0')) Bill_ID,
+ cast(cast(cast(o_totalprice as decimal(12,2)) * 40 as decimal(12,2)) as string) amount,
+ case when o_orderkey % 3 <> 0 then cast(o_orderkey % 5 + 1 as int) end expected_version from orders"""
+
+# Columns that the mapping itself provides.
+_MAPPED = {
+    "PATIENT": ("Patient_ID", "Full_Name"), "DOCTOR": ("Doctor_ID", "Full_Name", "Department"),
+    "PRESCRIPTION": ("Prescription_ID", "Patient_ID", "Doctor_ID", "Date_Issued", "Medication_Name", "Dosage"),
+}
+
+
+def _faulty(table: str) -> str:
+    """The table with every declared column and faults placed by the number n in the key: in column i, NULL
+    where n % 97 = i, an unknown parent where n % 83 = i, a text one too long where n % 79 = i, an amount out of
+    range where n % 89 = i."""
+    key, cols = PRIMARY_KEYS[table], []
+    for i, f in enumerate(TABLES[table].fields):
+        has = f.name in _MAPPED.get(table, TABLES[table].fieldNames())
+        c = f.name if has else ("date '1980-02-03'" if f.name == "DOB" else f"'{f.name} text'")
+        if f.name == key:
+            cols.append(f"{key}")
+            continue
+        if f.name in ("Amount_Charged", "Amount_Paid"):
+            c = f"case when n % 89 = {i} then cast(1000000000 as decimal(14,2)) else cast({c} as decimal(14,2)) end"
+        elif f.name in ("Patient_ID", "Doctor_ID"):
+            c = f"case when n % 83 = {i} then 'X404' else {c} end"
+        elif f.name in LENGTH_LIMITS[table]:
+            c = f"case when n % 79 = {i} then repeat('z', {LENGTH_LIMITS[table][f.name] + 1}) else {c} end"
+        cols.append(f"case when n % 97 <> {i} then {c} end {f.name}")
+    number = f"cast(regexp_replace({key}, '[^0-9]', '', 'g') as bigint)"
+    return f"select {', '.join(cols)} from (select *, {number} n from {table})"
+
+
+VIEWS |= {f"FAULTY_{t}": _faulty(t) for t in TABLES}
+
 _ORDER = list(VIEWS)
 
 

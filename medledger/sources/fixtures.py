@@ -13,16 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medledger.operators.ordering import global_rank
-from medledger.plans.parallelism import spread
+from medledger.sources.schemas import LENGTH_LIMITS, PRIMARY_KEYS, TABLES
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-SPREAD_TABLES = {"events"}
-
-
 def key_id(prefix: str, key: Column | str, width: int = 8) -> Column:
     c = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit(prefix), F.lpad(c.cast("string"), width, "0"))
@@ -41,9 +38,7 @@ class Fixture:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        # Events feed the text parsing of booking calls, the heaviest per-row work.
-        return spread(df) if name in SPREAD_TABLES else df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def PATIENT(self) -> DataFrame:
@@ -171,6 +166,58 @@ class Fixture:
             F.lit("Pending").alias("Payment_Status"),
         )
 
+    @cached_property
+    def ACCOUNT_VISIT_BILLING(self) -> DataFrame:
+        """Visit bills charged with the patient's balance: negative ones break the billing rule."""
+        balance = self.raw("customer").select(key_id("P", "c_custkey").alias("Patient_ID"), money("c_acctbal").alias("_charged"))
+        v = self.VISIT_BILLING.join(balance, "Patient_ID")
+        return v.select(*[(F.col("_charged") if c == "Amount_Charged" else F.col(c)).alias(c) for c in self.VISIT_BILLING.columns])
+
+    @cached_property
+    def ACCOUNT_PAYMENTS(self) -> DataFrame:
+        """One payment per order on its customer's account bill; two in three expect a version of the bill,
+        and amounts are large enough that some bills run out of range."""
+        o = self.raw("orders")
+        return o.select(
+            F.col("o_orderkey").alias("seq"), key_id("C", "o_custkey").alias("Bill_ID"),
+            (F.col("o_totalprice").cast("decimal(12,2)") * 40).cast("decimal(12,2)").cast("string").alias("amount"),
+            F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("expected_version"))
+
+    @cached_property
+    def SHIFTED_REQUESTS(self) -> DataFrame:
+        """A second set of calls: every appointment's patient and doctor again, 45 minutes later that day."""
+        a = self.APPOINTMENT
+        later = (F.col("sec") + 2700) % 86400
+        text = F.concat_ws(":", *[F.lpad(x.cast("int").cast("string"), 2, "0") for x in (
+            F.floor(later / 3600), F.floor(later % 3600 / 60), later % 60)])
+        return a.select("seq", "Patient_ID", "Doctor_ID", F.col("Appointment_Date").cast("string").alias("Appointment_Date"),
+                        text.alias("Appointment_Time"), "Department")
+
+    @cached_property
+    def FAULTY(self) -> dict[str, DataFrame]:
+        """The six tables with every declared column and with faults: NULLs, orphans, over-long texts and
+        amounts out of range, placed by arithmetic on the keys (see ``fixture_sql.faulty``)."""
+        return {t: self._faulty(t) for t in TABLES}
+
+    def _faulty(self, table: str) -> DataFrame:
+        df = getattr(self, table)
+        n = F.regexp_replace(PRIMARY_KEYS[table], "[^0-9]", "").cast("bigint")
+        cols = []
+        for i, f in enumerate(TABLES[table].fields):
+            c = F.col(f.name) if f.name in df.columns else (
+                F.lit("1980-02-03").cast("date") if f.name == "DOB" else F.lit(f"{f.name} text"))
+            if f.name == PRIMARY_KEYS[table]:
+                cols.append(c.alias(f.name))
+                continue
+            if f.name in ("Amount_Charged", "Amount_Paid"):
+                c = F.when(n % 89 == i, F.lit(10**9).cast("decimal(14,2)")).otherwise(c.cast("decimal(14,2)"))
+            elif f.name in ("Patient_ID", "Doctor_ID"):
+                c = F.when(n % 83 == i, F.lit("X404")).otherwise(c)
+            elif f.name in LENGTH_LIMITS[table]:
+                c = F.when(n % 79 == i, F.repeat(F.lit("z"), LENGTH_LIMITS[table][f.name] + 1)).otherwise(c)
+            cols.append(F.when(n % 97 != i, c).alias(f.name))
+        return df.select(*cols)
+
     @cached_property
     def PAYMENTS(self) -> DataFrame:
         """One payment per line item against the bill of its order, in a fixed global order."""

@@ -18,6 +18,7 @@ def _schema(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in fields])
 
 
+# The declared columns of the six tables.
 PATIENT = _schema(
     ("Patient_ID", S, False), ("Full_Name", S, False), ("DOB", D, False), ("Gender", S, False),
     ("Contact_Number", S, False), ("Insurance_Number", S, False), ("Address", S, False),
@@ -97,6 +98,7 @@ BOOKING_REQUESTS = _schema(
     ("seq", T.LongType(), False), ("Patient_ID", S, True), ("Doctor_ID", S, True),
     ("Appointment_Date", S, True), ("Appointment_Time", S, True), ("Department", S, True),
 )
-PAYMENTS = _schema(("seq", T.LongType(), False), ("Bill_ID", S, True), ("amount", S, True))
+PAYMENTS = _schema(("seq", T.LongType(), False), ("Bill_ID", S, True), ("amount", S, True),
+                   ("expected_version", T.IntegerType(), True))
 STATUS_CHANGES = _schema(("seq", T.LongType(), False), ("Appointment_ID", S, True), ("action", S, True))
 LAB_UPDATES = _schema(("seq", T.LongType(), False), ("Lab_Order_ID", S, True), ("Result", S, True))

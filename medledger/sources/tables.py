@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medledger.sources.schemas import TABLES
+from medledger.operators.quality import Rule, enforce
+from medledger.sources.schemas import TABLES, not_null_columns
 
 
 def load_tables(spark: SparkSession, path: str, names: Iterable[str] = TABLES, fmt: str = "parquet",
@@ -53,9 +54,19 @@ def ensure_column(df: DataFrame, name: str, dtype: T.DataType | str, default) ->
     return df.withColumn(name, F.lit(default).cast(dtype))
 
 
-def append_rows(df: DataFrame, rows: DataFrame | Sequence[tuple] | Sequence[Mapping]) -> DataFrame:
-    """INSERT: positional tuples use the table's column order; mappings or a
-    DataFrame name their columns, and omitted columns become NULL."""
+#: Columns with a default, and its value (DDL ``DEFAULT``).
+DEFAULTS = {"version": 1}
+
+
+def append_rows(df: DataFrame, rows: DataFrame | Sequence[tuple] | Sequence[Mapping], table: str | None = None,
+                rules: Sequence[Rule] = ()) -> DataFrame:
+    """INSERT: positional tuples use the table's column order; mappings or a DataFrame name their columns.
+
+    An omitted column takes its default (``version``: 1) or becomes NULL. With ``table`` the declared
+    NOT NULL columns are enforced: an omitted one is refused at once, a NULL in one fails the query,
+    as do ``rules`` (``billing_rules()`` for bills, ``appointment_date_rules(as_of)`` for appointments, like
+    the insert triggers). A failed insert appends nothing.
+    """
     spark = df.sparkSession
     if isinstance(rows, DataFrame):
         new = rows
@@ -66,8 +77,18 @@ def append_rows(df: DataFrame, rows: DataFrame | Sequence[tuple] | Sequence[Mapp
     else:
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
         new = spark.createDataFrame(list(rows), schema)
-    new = new.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields if f.name in new.columns])
-    return df.unionByName(new, allowMissingColumns=True)
+    required = not_null_columns(table) if table else []
+    missing = [c for c in required if c not in new.columns]
+    if missing:
+        raise ValueError(f"{table}: columns without a default need a value: {missing}")
+    unknown = [c for c in new.columns if c not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown columns {unknown}")
+    new = new.select(*[
+        (F.col(f.name) if f.name in new.columns else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name)
+        for f in df.schema.fields])
+    nulls = [Rule("not_null", F.col(c).isNull(), f"Column '{c}' cannot be null") for c in required]
+    return df.unionByName(enforce(new, [*nulls, *rules]))
 
 
 def _norm(path: str) -> str:
@@ -77,11 +98,23 @@ def _norm(path: str) -> str:
     return posixpath.normpath(where)
 
 
+def _roots(df: DataFrame) -> list[str]:
+    """The folders or files named in the plan's scans: one entry per path given to a reader, not per file."""
+    out = []
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and "HadoopFsRelation" in leaf.relation().getClass().getName():
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(k).toString() for k in range(paths.size())]
+    return out
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write a new table version to ``path``; refuses a folder the plan reads from."""
     target = _norm(path)
-    for f in df.inputFiles():
-        if _norm(f).startswith(target + "/"):
+    for root in _roots(df):
+        if _norm(root) == target or _norm(root).startswith(target + "/"):
             raise ValueError(f"{path} is read by this plan; write the snapshot to a new folder")
     w = df.write.mode("errorifexists")
     if partition_by:

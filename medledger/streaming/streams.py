@@ -29,7 +29,7 @@ from medledger.operators import booking as BK
 from medledger.operators import changes as C
 from medledger.operators import quality as Q
 from medledger.sources import schemas as S
-from medledger.session import ensure_checkpoint_dir
+from medledger.session import cut_lineage, ensure_checkpoint_dir, intermediate_tables
 
 
 def _checkpoint_location(spark: SparkSession, name: str, location: str | None) -> str:
@@ -81,11 +81,14 @@ def check_appointment_stream(spark: SparkSession, source: str, accepted: str, re
                   checkpoint, available_now)
 
 
-def _earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """Rows written by batches before ``batch_id`` under ``root/batch_id=<n>`` (a replayed
+def _earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: T.StructType, since: int = 0) -> DataFrame:
+    """Rows written by batches from ``since`` and before ``batch_id`` under ``root/batch_id=<n>`` (a replayed
     batch never sees its own earlier attempt)."""
     with_batch = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType(), True)])
-    return spark.read.schema(with_batch).parquet(root).where(F.col("batch_id") < batch_id)
+    return spark.read.schema(with_batch).parquet(root).where(F.col("batch_id").between(since, batch_id - 1))
+
+
+_TOPS = "appointment bigint, bill bigint"
 
 
 def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills: DataFrame, patients: DataFrame,
@@ -95,24 +98,32 @@ def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills:
     """Booking calls arriving as files; each micro-batch is decided in ``seq`` order
     against the initial tables plus everything booked by earlier batches.
 
-    Booking only appends, so a batch writes just its new rows
-    (``out/appointments_added/batch_id=<n>``, ``out/bills_added/...``) and its outcome:
-    the work per batch follows the batch, not the size of the tables.
+    A batch writes just its new rows (``out/appointments_added/batch_id=<n>``, by date, and
+    ``out/bills_added/...``), its outcome, and the largest ids so far (``out/tops/...``), which the
+    next batch reads instead of the tables. Of the appointments it reads the dates of its requests
+    only (a filter on the initial table, partitions of the added rows), of patients and doctors
+    the keys it asks for. Its intermediate tables are removed when it ends.
     """
     src = _source(spark, S.BOOKING_REQUESTS, requests, max_files_per_trigger)
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        cur_a, cur_b = appts, bills
-        if batch_id > 0:
-            added_a = _earlier_batches(spark, f"{out}/appointments_added", batch_id, _added_schema(appts))
-            added_b = _earlier_batches(spark, f"{out}/bills_added", batch_id, _added_schema(bills))
-            cur_a = appts.unionByName(added_a.drop("batch_id"), allowMissingColumns=True)
-            cur_b = bills.unionByName(added_b.drop("batch_id"), allowMissingColumns=True)
-        added_a, added_b, outcome = BK.book_new_rows(cur_a, cur_b, patients, doctors, batch, as_of=as_of,
-                                                     distinct_codes=distinct_codes)
-        outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
-        added_a.write.mode("overwrite").parquet(f"{out}/appointments_added/batch_id={batch_id}")
-        added_b.write.mode("overwrite").parquet(f"{out}/bills_added/batch_id={batch_id}")
+        with intermediate_tables(spark):
+            book = appts
+            if batch_id > 0:
+                added = _earlier_batches(spark, f"{out}/appointments_added", batch_id, _added_schema(appts))
+                book = appts.unionByName(added.drop("batch_id"), allowMissingColumns=True)
+                tops = tuple(spark.read.schema(_TOPS).parquet(f"{out}/tops/batch_id={batch_id - 1}").first())
+            else:
+                tops = (BK.top_id(appts, "Appointment_ID", "A"), BK.top_id(bills, "Bill_ID", "B"))
+            added_a, added_b, outcome = BK.book_new_rows(book, bills, patients, doctors, batch, as_of=as_of,
+                                                         distinct_codes=distinct_codes, tops=tops)
+            outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
+            added_a.write.mode("overwrite").partitionBy("Appointment_Date").parquet(
+                f"{out}/appointments_added/batch_id={batch_id}")
+            added_b.write.mode("overwrite").parquet(f"{out}/bills_added/batch_id={batch_id}")
+            booked = spark.read.schema(outcome.schema).parquet(f"{out}/outcome/batch_id={batch_id}").where("status = 0").count()
+            spark.createDataFrame([(tops[0] + booked, tops[1] + booked)], _TOPS).coalesce(1).write.mode("overwrite").parquet(
+                f"{out}/tops/batch_id={batch_id}")
 
     return _start(src, decide, "booking", checkpoint, available_now)
 
@@ -125,36 +136,62 @@ def _added_schema(table: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
 
+#: Every so many batches the bill updates so far are merged into one table.
+COMPACT_EVERY = 16
+
+
 def current_bills(spark: SparkSession, bills: DataFrame, out: str, batch_id: int | None = None) -> DataFrame:
     """Bills as left by ``payment_stream``: the initial table overlaid with the latest
     update of each changed bill (from batches before ``batch_id``, or all)."""
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in bills.schema.fields])
-    ups = _earlier_batches(spark, f"{out}/bill_updates", (1 << 62) if batch_id is None else batch_id, schema)
-    latest = ups.groupBy("Bill_ID").agg(F.max_by(F.struct(*bills.columns), "batch_id").alias("_u"))
+    latest = _latest_updates(spark, bills, out, batch_id)
     j = bills.join(latest, "Bill_ID", "left")
     return j.select(*[(F.col(c) if c == "Bill_ID" else
                        F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c))).alias(c)
                       for c in bills.columns])
 
 
-def payment_stream(spark: SparkSession, payments: str, bills: DataFrame, out: str, use_version: bool = False,
+def _latest_updates(spark: SparkSession, bills: DataFrame, out: str, batch_id: int | None) -> DataFrame:
+    """(Bill_ID, _u: its latest row) from the last merged table before ``batch_id`` and the batches since."""
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in bills.schema.fields])
+    since = 0 if batch_id is None else batch_id // COMPACT_EVERY * COMPACT_EVERY
+    ups = _earlier_batches(spark, f"{out}/bill_updates", (1 << 62) if batch_id is None else batch_id, schema, since)
+    if since:
+        merged = spark.read.schema(schema).parquet(f"{out}/bill_updates_merged/before={since}")
+        ups = ups.unionByName(merged.withColumn("batch_id", F.lit(-1).cast("bigint")))
+    return ups.groupBy("Bill_ID").agg(F.max_by(F.struct(*bills.columns), "batch_id").alias("_u"))
+
+
+def payment_stream(spark: SparkSession, payments: str, bills: DataFrame, out: str, use_version: bool | None = None,
                    checkpoint: str | None = None, available_now: bool = True,
                    max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Payment calls arriving as files, applied per micro-batch in ``seq`` order.
 
     A batch writes only the bills it changed (``out/bill_updates/batch_id=<n>``) and
     its outcome; ``current_bills`` overlays the latest update per bill on the initial
-    table (merge on read), so no batch rewrites the whole bills table.
+    table (merge on read), so no batch rewrites the whole bills table. It reads the
+    bills that its payments name, and merged updates instead of the whole history. Its
+    intermediate tables are removed when it ends.
     """
     src = _source(spark, S.PAYMENTS, payments, max_files_per_trigger)
     base = bills if not use_version or "version" in bills.columns else bills.withColumn("version", F.lit(1))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        cur = base if batch_id == 0 else current_bills(spark, base, out, batch_id)
-        new_b, outcome = C.apply_payments(cur, batch, use_version=use_version)
-        outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
-        touched = outcome.where("ok").select("Bill_ID").distinct()
-        new_b.join(touched, "Bill_ID", "left_semi").write.mode("overwrite").parquet(
-            f"{out}/bill_updates/batch_id={batch_id}")
+        with intermediate_tables(spark):
+            held = cut_lineage(batch)
+            asked = held.select(F.trim("Bill_ID").alias("Bill_ID")).distinct()
+            cur = base.join(asked, "Bill_ID", "left_semi")
+            cur = cur if batch_id == 0 else current_bills(spark, cur, out, batch_id)
+            new_b, outcome = C.apply_payments(cur, held, use_version=use_version)
+            outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
+            done = spark.read.schema(outcome.schema).parquet(f"{out}/outcome/batch_id={batch_id}")
+            touched = done.where("ok").select("Bill_ID").distinct()
+            new_b.select(*base.columns).join(touched, "Bill_ID", "left_semi").write.mode("overwrite").parquet(
+                f"{out}/bill_updates/batch_id={batch_id}")
+            if (batch_id + 1) % COMPACT_EVERY == 0:
+                # Later batches read this instead of the batches it merges.
+                before = _latest_updates(spark, base, out, batch_id)
+                now = spark.read.schema(base.schema).parquet(f"{out}/bill_updates/batch_id={batch_id}")
+                kept = before.join(now, "Bill_ID", "left_anti").select("_u.*")
+                kept.unionByName(now).write.mode("overwrite").parquet(f"{out}/bill_updates_merged/before={batch_id + 1}")
 
     return _start(src, apply, "payments", checkpoint, available_now)

@@ -1,4 +1,4 @@
-"""Seed rows of the six tables (the sample rows of the schema's data script)."""
+"""Invented rows of the six tables under the documented keys."""
 
 import datetime as dt
 from decimal import Decimal

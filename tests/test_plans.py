@@ -7,10 +7,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SMALL_SF
 
-QUERIES = E.queries()
+from medledger.plans import catalog
+
+QUERIES = catalog.QUERIES
 
 
 def _plan(df) -> str:
@@ -45,3 +46,29 @@ def test_filters_reach_the_scan(spark, scratch):
     assert "EqualTo(Payment_Status,Pending)" in plan
     assert "ReadSchema: struct<Patient_ID:string,Amount_Charged:decimal(10,2),Amount_Paid:decimal(10,2)," \
            "Payment_Status:string>" in plan
+
+
+def _stored(spark, scratch):
+    from medledger.sources.tables import load_tables
+    from seed import seed_tables
+    for name, df in seed_tables(spark).items():
+        df.write.parquet(f"{scratch}/{name}")
+    return load_tables(spark, scratch)
+
+
+def test_audits_read_each_table_once(spark, scratch):
+    from medledger.operators import quality as Q
+    t = _stored(spark, scratch)
+    scans = lambda df: len(re.findall(r"^\(\d+\) Scan parquet", _plan(df), re.M))
+    assert scans(Q.audit_primary_key(t["BILLING"], "Bill_ID")) == 1
+    assert scans(Q.audit_foreign_key(t["BILLING"], "Patient_ID", t["PATIENT"], "Patient_ID", "Bill_ID")) == 2
+    assert scans(Q.audit_not_null(t["BILLING"], ["Bill_ID", "Patient_ID"])) == 1
+
+
+def test_reports_do_not_aggregate_the_named_tables(spark, scratch):
+    from medledger.operators import reports as R
+    t = _stored(spark, scratch)
+    plan = _plan(R.outstanding_bills(t["PATIENT"], t["BILLING"]))
+    assert plan.count("hashpartitioning") <= 2 and len(re.findall(r"^\(\d+\) HashAggregate", plan, re.M)) == 2
+    plan = _plan(R.doctor_appointment_stats(t["DOCTOR"], t["APPOINTMENT"]))
+    assert len(re.findall(r"^\(\d+\) HashAggregate", plan, re.M)) == 2

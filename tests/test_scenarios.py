@@ -142,11 +142,14 @@ def test_billing_and_date_rules(spark):
     assert failed
 
 
+def _pays(spark, rows):
+    return spark.createDataFrame([(*r, None)[:4] for r in rows], S.PAYMENTS)
+
+
 def test_payments_scenario(spark):
     t = seed_tables(spark)
-    pays = spark.createDataFrame([(1, "B6001", "100"), (2, "B6001", "100.00"), (3, "B0000", "5"),
-                                  (4, "B6001", "abc"), (5, "B6001", "0"), (6, "B6001", "-5"),
-                                  (7, "B6001", "NaN")], S.PAYMENTS)
+    pays = _pays(spark, [(1, "B6001", "100"), (2, "B6001", "100.00"), (3, "B0000", "5"), (4, "B6001", "abc"),
+                         (5, "B6001", "0"), (6, "B6001", "-5"), (7, "B6001", "NaN")])
     bills, out = C.apply_payments(t["BILLING"], pays, use_version=True)
     o = {r["seq"]: r for r in out.collect()}
     assert o[1]["Payment_Status"] == "Pending" and o[1]["Amount_Paid"] == Decimal("100.00")
@@ -164,7 +167,7 @@ def test_payment_on_negative_paid_bill(spark):
         ("B1", "P1", "x", dt.date(2025, 1, 1), Decimal("100"), Decimal("-50"), None, "Pending"),
         ("B2", "P1", "x", dt.date(2025, 1, 1), Decimal("-10"), Decimal("0"), None, "Pending"),
     ], S.BILLING)
-    pays = spark.createDataFrame([(1, "B1", "20"), (2, "B1", "60"), (3, "B1", "10"), (4, "B2", "5")], S.PAYMENTS)
+    pays = _pays(spark, [(1, "B1", "20"), (2, "B1", "60"), (3, "B1", "10"), (4, "B2", "5")])
     _, out = C.apply_payments(bills, pays)
     o = {r["seq"]: r for r in out.collect()}
     assert [o[i]["ok"] for i in (1, 2, 3, 4)] == [False, True, True, False]
