@@ -80,7 +80,8 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
     asked = asked.withColumn("_way", F.when(~F.col("_found"), "not_found").when(F.col("_charged") < 0, "negative_amount")
                              .when(walk, "walk").otherwise("plain"))
     asked = cut_lineage(asked)
-    j = valid.join(asked.drop("_add", "_k", "_guarded", "_found"), "Bill_ID")
+    ways = asked.drop("_add", "_k", "_guarded", "_found").withColumnRenamed("Bill_ID", "_bill")
+    j = valid.join(ways, F.col("Bill_ID").eqNullSafe(F.col("_bill"))).drop("_bill")  # a call may lack its bill
 
     walked = _walk(j.where("_way = 'walk'"))
     plain = j.where("_way = 'plain'").withColumn("_cents", cents("amount")).withColumn("_one", F.lit(1))
@@ -146,30 +147,35 @@ def _walk(j: DataFrame) -> DataFrame:
         if parts:
             state = parts[-1].groupBy("Bill_ID").agg(F.max_by("paid", "seq").alias("_p"), F.max_by("version", "seq").alias("_v"))
             now = now.join(state, "Bill_ID").withColumns({"paid": F.col("_p"), "version": F.col("_v")}).drop("_p", "_v")
-        parts.append(cut_lineage(now.groupBy("Bill_ID").applyInPandas(_walk_bill, _WALKED)))
+        parts.append(cut_lineage(now.groupBy("Bill_ID").applyInPandas(_bill_walker(), _WALKED)))
     return reduce(DataFrame.unionByName, parts) if parts else rows.select(
         "seq", "Bill_ID", "cents", F.lit(None).cast("string").alias("reason"), "paid", "version")
 
 
-def _walk_bill(rows):
-    """The payments of one bill in one step."""
-    rows = rows.sort_values("seq")
-    paid, version = int(rows["paid"].iloc[0]), int(rows["version"].iloc[0])
-    reasons, after, versions = [], [], []
-    for cents, expected in zip(rows["cents"].tolist(), rows["expected"].tolist(), strict=True):
-        reason = None
-        if expected == expected and expected is not None and int(expected) != version:
-            reason = "version_conflict"
-        elif paid + cents < 0:
-            reason = "negative_amount"
-        elif paid + cents > MAX_CENTS:
-            reason = "out_of_range"
-        else:
-            paid, version = paid + int(cents), version + 1
-        reasons.append(reason)
-        after.append(paid)
-        versions.append(version)
-    return rows.assign(reason=reasons, paid=after, version=versions)[["seq", "Bill_ID", "cents", "reason", "paid", "version"]]
+def _bill_walker():
+    """A function that decides the payments of one bill in one step (a closure, so that it travels by value)."""
+    most = MAX_CENTS
+
+    def walk(rows):
+        rows = rows.sort_values("seq")
+        paid, version = int(rows["paid"].iloc[0]), int(rows["version"].iloc[0])
+        reasons, after, versions = [], [], []
+        for cents, expected in zip(rows["cents"].tolist(), rows["expected"].tolist(), strict=True):
+            reason = None
+            if expected == expected and expected is not None and int(expected) != version:
+                reason = "version_conflict"
+            elif paid + cents < 0:
+                reason = "negative_amount"
+            elif paid + cents > most:
+                reason = "out_of_range"
+            else:
+                paid, version = paid + int(cents), version + 1
+            reasons.append(reason)
+            after.append(paid)
+            versions.append(version)
+        return rows.assign(reason=reasons, paid=after, version=versions)[["seq", "Bill_ID", "cents", "reason", "paid", "version"]]
+
+    return walk
 
 
 def apply_status_changes(appts: DataFrame, bills: DataFrame, changes: DataFrame
