@@ -23,6 +23,7 @@ result. Only the two named columns are read.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +45,8 @@ def _range_of(splitters: list[Key]) -> Column:
     """The number of splitters that are not above a row's key, found by halving steps."""
     if not splitters:
         return F.lit(0)
-    cuts = F.array(*[F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip(_KEY, k, strict=True))) for k in splitters])
+    said = json.dumps([dict(zip(_KEY, k, strict=True)) for k in splitters])
+    cuts = F.from_json(F.lit(said), f"array<struct<{','.join(f'{c}:bigint' for c in _KEY)}>>")  # folded into one literal
     key = F.struct(*_KEY)
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(splitters).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at))
