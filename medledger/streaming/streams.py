@@ -8,7 +8,9 @@ the batch operator with ``foreachBatch``:
   split each micro-batch into accepted and rejected rows (with message).
 * ``booking_stream`` / ``payment_stream``: each micro-batch of requests is
   decided against the current state, and only the rows it adds or changes are
-  written (append-only for booking, merge-on-read updates for payments).
+  written (append-only for booking, merge-on-read updates for payments). The
+  initial tables are filtered by what the batch asks for (dates, keys), which
+  a scan of them still reads unless they are partitioned or sorted that way.
 
 Every output folder carries the batch id, and a replayed batch overwrites
 its own folder, so a restart after a failure is idempotent. Checkpoints live
