@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from medledger.llm.text import AS_IS, blocks, ship_package, slice_hashes, text_bytes
 
-BLOCK_BYTES = 2 << 20
-CACHE_PIECES = 400_000
+BLOCK_BYTES = 1 << 20
+CACHE_PIECES = 200_000
 
 # Code-point classes.
 OTHER, LETTER, NUMBER, WHITE, SPACE, QUOTE = range(6)

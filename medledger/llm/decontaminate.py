@@ -35,7 +35,7 @@ from medledger.llm.text import blocks, find_words, ship_package
 from medledger.session import cut_lineage
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 PASS_BYTES = 16 << 20
 #: A document is contaminated when at least one word in ``RATIO`` is hit.
 RATIO = 20

@@ -51,7 +51,7 @@ BANDS, ROWS = 40, 6
 SKETCH = 2048
 #: Similarity of at least 0.8 as a fraction.
 OVER, UNDER = 4, 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Up to so many ids are sent to all executors to pick their documents; beyond that the ids are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -206,8 +206,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lowest bit of every place of a long signature, 64 to a number."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for at in range(0, batch.num_rows, 16):
+            part = batch.slice(at, 16)
             sets = [np.frombuffer(x.as_buffer(), _U) for x in part.column(1)]
             first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             bits = (signatures(np.concatenate(sets), first, SKETCH) & _U(1)).astype(np.uint8)

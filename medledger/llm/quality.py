@@ -32,7 +32,7 @@ from medledger.session import cut_lineage
 BITS = 18
 SAMPLE = 8000
 SHRINK = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: A text is kept when its score (likelihood of good) is at least this.
 THRESHOLD = 0.5
 
@@ -77,12 +77,13 @@ def statistics(found: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     row = found.rows()
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-    pairs = np.unique(np.stack([row.astype(np.uint64), hashes]), axis=1) if len(hashes) else np.zeros((2, 0))
+    with np.errstate(over="ignore"):
+        _, lead = np.unique(mix(hashes ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True)
     return {
         "bytes": np.diff(found.offsets).astype(float), "words": n, "space": count(_SPACE), "letters": count(_LETTER | _DIGIT),
         "upper": count(_UPPER), "lower": count(_LOWER), "odd": count(_ODD), "stops": count(_STOP), "pipes": one("|"),
         "shouts": one("!"), "again": np.bincount(row, again, minlength=rows).astype(float),
-        "distinct": np.bincount(pairs[0].astype(np.int64), minlength=rows).astype(float),
+        "distinct": np.bincount(row[lead], minlength=rows).astype(float),
     }
 
 

@@ -46,7 +46,7 @@ from medledger.llm.bpe import Codec, class_table, every_code_point
 from medledger.llm.text import blocks, ship_package
 from medledger.session import ensure_checkpoint_dir
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Ids per frame at most; a longer document has several frames.
 FRAME_IDS = 1 << 20
 LEVEL = 3

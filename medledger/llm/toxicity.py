@@ -43,7 +43,7 @@ MIN_DOCS = 3
 SCREEN = 5.0
 #: The bias is not trained below this: a text without a known term is no proof, and one insult must be able to outweigh it.
 LEAST_BIAS = -1.5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
