@@ -3,11 +3,14 @@
 Terms of a text are its distinct words and their prefixes of 4, 5 and 6 bytes (so that an insult is
 known in its inflected forms), hashed into ``2**BITS`` features of value 1 or 0. The machine adds linear
 weights and, for every pair of terms present, the product of their factor vectors, so that it learns
-pairs such as an insult with a group mention that no sum of single weights can express. Only terms that the
-sample ties to a label have weights: those whose share of toxic documents differs from the overall share by
-``SCREEN`` standard deviations. Weights and factors are trained by AdaGrad. All other terms weigh exactly 0,
-so a long text is not swayed by its many ordinary words, and whole texts of any length are scored on the few
-terms that matter, in Arrow batches, with no shuffle.
+pairs such as an insult with a group mention that no sum of single weights can express. Every term of at
+least ``MIN_DOCS`` documents of the sample is in the machine. Weights and factors are trained by AdaGrad in two
+passes: first the strong terms, those whose share of toxic documents differs from the overall share by
+``SCREEN`` standard deviations, then all terms together on what the strong ones leave unexplained, so a
+rare toxic term and a term that matters only beside another one are learned too. The others are held by L2 in the
+second pass (``RIDGE_W`` and ``RIDGE_V``, spread over a term's documents) and their own weights are not
+negative: a long text is not swayed, and not talked clean, by its many ordinary words; their pairs may lower a
+score. Whole texts of any length are scored in Arrow batches, with no shuffle.
 
 Training reads a bounded sample of labelled documents: at most ``per_class`` documents of each label,
 the first in the order of a hash of their id, and at most ``max_terms`` terms in all. Everything else
@@ -41,6 +44,8 @@ MAX_TERMS = 20_000_000
 #: A term that fewer documents of the sample have gets no weight.
 MIN_DOCS = 3
 SCREEN = 5.0
+#: L2 on the weights and on the factors of the terms that are not strong.
+RIDGE_W, RIDGE_V = 1.0, 3000.0
 #: The bias is not trained below this: a text without a known term is no proof, and one insult must be able to outweigh it.
 LEAST_BIAS = -1.5
 BLOCK_BYTES = 1 << 20
@@ -96,44 +101,59 @@ class Machine:
         return self.bias + row_sums(self.weights[at], cut) + pairs
 
 
-def _screened(rows: list[np.ndarray], labels: np.ndarray, screen: float) -> np.ndarray:
-    """Terms of at least ``MIN_DOCS`` documents whose label share is off the overall share by ``screen`` deviations."""
-    feature, cut = flat(rows)
-    feature, label = feature.astype(np.int64), np.repeat(labels, np.diff(cut))
-    n = np.bincount(feature, minlength=1 << BITS)
+def _usual(rows: list[np.ndarray], labels: np.ndarray, screen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of at least ``MIN_DOCS`` documents, how many have each, and whether its label share is off the overall share by ``screen`` deviations."""
+    n, off = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
     share = labels.mean()
-    off = np.bincount(feature, label, minlength=1 << BITS) - n * share
-    return np.flatnonzero((n >= MIN_DOCS) & (np.abs(off) >= screen * np.sqrt(n * share * (1 - share))))
+    for row, label in zip(rows, labels, strict=True):
+        n[row] += 1
+        off[row] += label - share
+    ids = np.flatnonzero(n >= MIN_DOCS)
+    n = n[ids]
+    return ids, n, np.abs(off[ids]) >= screen * np.sqrt(n * share * (1 - share))
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: int = 20, rate: float = 0.1,
-          l2: float = 1e-4, screen: float = SCREEN) -> Machine:
-    """Fit a machine on rows of distinct features."""
+          l2: float = 1e-4, screen: float = SCREEN, more_epochs: int = 10) -> Machine:
+    """Fit a machine on rows of distinct features: ``epochs`` over the strong terms, ``more_epochs`` over all."""
     none = Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, RANK)))
     if len(np.unique(labels)) < 2:
         return none
-    ids = _screened(rows, labels, screen)
+    ids, n, strong = _usual(rows, labels, screen)
     draw = np.random.default_rng(seed)
-    m = Machine(0.0, ids, np.zeros(len(ids)), draw.normal(0, 0.01, (len(ids), RANK)))
+    # The factors of the others start at 0 and grow beside terms that have some; without strong terms all start as those do.
+    apart = strong if strong.any() else np.ones(len(ids), bool)
+    m = Machine(0.0, ids, np.zeros(len(ids)), np.where(apart[:, None], draw.normal(0, 0.01, (len(ids), RANK)), 0.0))
     active = [p[p >= 0] for p in map(m.place, rows)]
-    sum_w, sum_v, sum_b = np.full(len(ids), 1e-6), np.full((len(ids), RANK), 1e-6), 1e-6
-    for _ in range(epochs):
-        for pick in np.array_split(draw.permutation(len(rows)), max(1, len(rows) // 32)):
-            at, cut = flat([active[i] for i in pick])
-            at = at.astype(np.int64)
-            error = sigmoid(m.margin(at, cut)) - labels[pick]
-            v, per = m.factors[at], np.repeat(np.arange(len(pick)), np.diff(cut))
-            gv = error[per, None] * (row_sums(v, cut)[per] - v)
-            here, back = np.unique(at, return_inverse=True)
-            gw = np.bincount(back, error[per], minlength=len(here)) + l2 * m.weights[here]
-            gf = np.stack([np.bincount(back, gv[:, f], minlength=len(here)) for f in range(RANK)], axis=1) + l2 * m.factors[here]
-            gb = float(error.sum())
-            sum_w[here] += gw * gw
-            sum_v[here] += gf * gf
-            sum_b += gb * gb
-            m.weights[here] -= rate * gw / np.sqrt(sum_w[here])
-            m.factors[here] -= rate * gf / np.sqrt(sum_v[here])
-            m.bias = max(LEAST_BIAS, m.bias - rate * gb / np.sqrt(sum_b))
+    # Of the others' pass only: a bias below the floor, so that ordinary words do not stand in for it. Scores do without it.
+    shift = 0.0
+    for all_terms, rounds, start in ((False, epochs, 1e-6), (True, more_epochs, 1.0)):
+        used = active if all_terms else [a[strong[a]] for a in active]
+        hold_w, hold_v = np.where(strong, l2, RIDGE_W / n), np.where(strong, l2, RIDGE_V / n)
+        sum_w, sum_v, sum_b = np.full(len(ids), start), np.full((len(ids), RANK), start), 1e-6
+        for _ in range(rounds):
+            for pick in np.array_split(draw.permutation(len(rows)), max(1, len(rows) // 32)):
+                at, cut = flat([used[i] for i in pick])
+                at = at.astype(np.int64)
+                error = sigmoid(m.margin(at, cut) + shift) - labels[pick]
+                v, per = m.factors[at], np.repeat(np.arange(len(pick)), np.diff(cut))
+                gv = error[per, None] * (row_sums(v, cut)[per] - v)
+                here, back, times = np.unique(at, return_inverse=True, return_counts=True)
+                gw = np.bincount(back, error[per], minlength=len(here))
+                gf = np.stack([np.bincount(back, gv[:, f], minlength=len(here)) for f in range(RANK)], axis=1)
+                gb = float(error.sum())
+                sum_w[here] += gw * gw
+                sum_v[here] += gf * gf
+                sum_b += gb * gb
+                # A step down the error, then the L2 in closed form (stable however large it is).
+                step_w, step_v = rate / np.sqrt(sum_w[here]), rate / np.sqrt(sum_v[here])
+                w = (m.weights[here] - step_w * gw) / (1 + step_w * hold_w[here] * times)
+                m.weights[here] = np.where(strong[here], w, np.maximum(w, 0.0))
+                m.factors[here] = (m.factors[here] - step_v * gf) / (1 + step_v * (hold_v[here] * times)[:, None])
+                if all_terms:
+                    shift -= rate * gb / np.sqrt(sum_b)
+                else:
+                    m.bias = max(LEAST_BIAS, m.bias - rate * gb / np.sqrt(sum_b))
     return m
 
 

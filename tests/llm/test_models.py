@@ -36,6 +36,39 @@ def test_pair_of_terms_is_learned():
     assert m.factors[m.place(np.array([1]))[0]] @ m.factors[m.place(np.array([2]))[0]] > 1
 
 
+def _scored(machine, *features):
+    at = machine.place(np.array(features))
+    return float(T.sigmoid(machine.margin(at[at >= 0], np.array([0, (at >= 0).sum()])))[0])
+
+
+def test_pairs_with_many_weakly_tied_terms_are_learned():
+    """An ambiguous insult is toxic beside any of 20 group terms, some of which are too even by themselves to pass ``SCREEN``."""
+    rng = np.random.default_rng(0)
+    rows, labels, seen = [], [], [0, 0]
+    while min(seen) < 3000:
+        insult, group = rng.random() < 0.4, np.flatnonzero(rng.random(20) < 0.05)
+        label = int(insult and len(group) > 0)
+        if seen[label] < 3000:
+            seen[label] += 1
+            rows.append(np.unique(np.concatenate([1000 + rng.zipf(1.3, 30) % 3000, [1] * int(insult), 10 + group]).astype(np.int64)))
+            labels.append(float(label))
+    ids, _, strong = T._usual(rows, np.array(labels), T.SCREEN)
+    assert not strong[np.searchsorted(ids, np.arange(10, 30))].all()
+    m = T.train(rows, np.array(labels))
+    assert _scored(m, 1) < T.THRESHOLD
+    assert all(_scored(m, 10 + g) < T.THRESHOLD <= _scored(m, 1, 10 + g) for g in range(20))
+
+
+def test_rare_toxic_only_term_is_learned():
+    """Eight documents have a word that no clean one has; most toxic ones are known by another word."""
+    texts = [f"note {i // 2 % 50} about item {i // 2 % 70}" + (" dreadfulword" if i < 16 else " commonslur") * (i % 2 == 0) for i in range(1000)]
+    row, feature = T.distinct(*T.terms(pa.array(texts)))
+    labels = np.array([float(i % 2 == 0) for i in range(1000)])
+    m = T.train(np.split(feature, np.searchsorted(row, np.arange(1, 1000))), labels)
+    got = m.score(pa.array(["a dreadfulword of item 3", "a commonslur of item 3", "note 7 about item 3"]))
+    assert (got[:2] >= T.THRESHOLD).all() and got[2] < 0.5
+
+
 def test_margin_equals_all_pairs():
     rng = np.random.default_rng(1)
     m = T.Machine(0.3, np.arange(6), rng.normal(size=6), rng.normal(size=(6, T.RANK)))
