@@ -25,11 +25,12 @@ Components are found by alternating large and small stars, as joins and minima o
 each round written to the shared checkpoint folder. Shingle sets move only for classes that share a band
 with another.
 
-Defined cases: texts without words are one group per equal text (null is empty); a null id belongs to no
-group and its class is null, and ``dedup`` keeps such rows; repeated rows and repeated ids are classed row
-by row by their text; an empty table gives an empty result. Only the two named columns are read; ``dedup``
-returns all columns of its input, whatever their names. Sets and classes are told apart by 64-bit hashes
-together with their size.
+Defined cases: texts without words are one group per equal text (null is empty); repeated rows and repeated
+ids are classed row by row by their text; an empty table gives an empty result. In ``classes`` a null id
+belongs to no group and its class is null. ``dedup`` groups all rows, whatever their ids, and keeps exactly
+one row of each group: the one with the smallest id, rows without an id last, then by a hash of id and text. Only
+the two named columns are read; ``dedup`` returns all columns of its input, whatever their names. Sets and
+classes are told apart by 64-bit hashes together with their size.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medledger.llm.text import blocks, find_words, mix, ship_package, text_bytes
@@ -181,8 +182,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
         yield pa.RecordBatch.from_arrays(
             [block.column(0), pa.array(_set_keys(sets, first, block.column(1))), pa.array(size, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys[some].ravel()))],
-            names=["doc_id", "key", "n", "bands"])
+             pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys[some].ravel())), *block.columns[2:]],
+            names=["doc_id", "key", "n", "bands", *block.schema.names[2:]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +258,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut_lineage(slim.mapInArrow(_sign, "doc_id long, key long, n long, bands array<long>"))
     whole = signed.where("doc_id IS NOT NULL")
+    rooted = _rooted(slim, whole)
+    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    names = cut_lineage(rooted.join(least, "root").select("key", "class_id"))
+    out = signed.join(names, "key", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
+    return out.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+
+
+def _rooted(slim: DataFrame, whole: DataFrame) -> DataFrame:
+    """key, least (its smallest doc_id) and root (the key its group is told by) of every set key of ``whole``, which has the signatures of ``slim``."""
     rep = whole.groupBy("key", "n").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
     rep = rep.where("n > 0").select("key", "n", F.col("r.doc_id").alias("doc_id"), F.explode("r.bands").alias("bucket"))
     bands = cut_lineage(rep)
@@ -285,11 +295,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     more = cut_lineage(_linked(pairs, sets))
     group = components(links.union(more))
     rooted = whole.groupBy("key").agg(F.min("doc_id").alias("least")).join(group.withColumnRenamed("node", "key"), "key", "left")
-    rooted = cut_lineage(rooted.select("key", "least", F.coalesce("root", "key").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    names = cut_lineage(rooted.join(least, "root").select("key", "class_id"))
-    out = signed.join(names, "key", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
-    return out.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+    return cut_lineage(rooted.select("key", "least", F.coalesce("root", "key").alias("root")))
 
 
 def _across(contested: DataFrame) -> DataFrame:
@@ -310,14 +316,19 @@ def _across(contested: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the rows whose id is their class id, once per id; rows without an id stay."""
+    """One row of each group: the smallest id, rows without an id last, then by a hash of id and text; of rows equal in both, one."""
+    ship_package(docs.sparkSession)
     columns = docs.columns
-    at = columns.index(doc_id)
-    slim = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # any input names will do
-    key = f"c{at}"
-    kept = classes(docs, doc_id, text).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    some = slim.join(kept, F.col(key).cast("long") == F.col("kept"), "left_semi")
-    told = F.col(f"c{columns.index(text)}")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(told), told)
-    one = some.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
-    return one.union(slim.where(F.col(key).isNull())).toDF(*columns)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # any input names will do
+    real, told = F.col(f"c{columns.index(doc_id)}").cast("long"), F.col(f"c{columns.index(text)}")
+    who = F.xxhash64(real, told)
+    slim = inner.select(who.alias("doc_id"), told.alias("text"))  # never null, and apart for rows of one id with different texts
+    signed = inner.select(who.alias("doc_id"), told.alias("text"), real.alias("id"))
+    signed = cut_lineage(signed.mapInArrow(_sign, "doc_id long, key long, n long, bands array<long>, id long"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("who"))
+    best = signed.groupBy("key").agg(F.min(first).alias("first")).join(_rooted(slim, signed).select("key", "root"), "key")
+    kept = cut_lineage(best.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.who").alias("kept")))
+    some = inner.withColumns({"who": who, "id": real, "row": F.monotonically_increasing_id()})
+    some = some.join(kept, (F.col("who") == F.col("kept")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    one = some.groupBy("who", "id").agg(F.min_by(F.struct(*inner.columns), "row").alias("r"))
+    return one.select("r.*").toDF(*columns)

@@ -104,3 +104,15 @@ def test_odd_inputs(spark):
     assert kept.columns == odd(spark).columns
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "3", "4", "6", "8", "None"]
     assert N.classes(none(spark)).count() == 0 and N.dedup(none(spark)).count() == 0
+
+
+def test_dedup_keeps_one_row_of_each_group(spark):
+    """Repeated ids with different texts, ids whose smaller half is a copy, and rows without an id."""
+    x, w, z, y = ([f"{c}{i}" for i in range(60)] for c in "xwzy")
+    near = [*x[:-1], "other"]
+    rows = [(1, x), (5, near), (5, w), (7, z), (7, z), (7, y), (None, y), (None, near), (None, ["q"] * 3), (None, ["q"] * 3), (None, w[::-1]), (9, [])]
+    rows += [(7, [f"own{i}", *w[:9], f"own{i}"]) for i in range(30)]
+    frame = spark.createDataFrame([(i, " ".join(t), n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(5)
+    got = Counter((r["doc_id"], r["text"]) for r in N.dedup(frame).collect())
+    want = [(1, x), (5, w), (7, z), (7, y), (None, ["q"] * 3), (None, w[::-1]), (9, []), *rows[12:]]
+    assert got == Counter((i, " ".join(t)) for i, t in want)
