@@ -13,8 +13,9 @@ negative: a long text is not swayed, and not talked clean, by its many ordinary
 score. Whole texts of any length are scored in Arrow batches, with no shuffle.
 
 Training reads a bounded sample of labelled documents: at most ``per_class`` documents of each label,
-the first in the order of a hash of their id, and at most ``max_terms`` terms in all. Everything else
-(scoring) covers every document whole.
+the first in the order of a hash of their id, each with one row (the smallest text of its id), and at most
+``max_terms`` terms in all: beyond that the sample ends earlier in that order, for both labels at the same share
+of their documents. Everything else (scoring) covers every document whole.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias alone; a document
 with several labels counts as toxic if any of them says so; null labels and null ids are not learned
@@ -24,6 +25,7 @@ table gives an empty result. Scores read the text column only, so other columns
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from medledger.llm.sparse import flat, row_sums, sigmoid
 from medledger.llm.text import blocks, find_words, mix, ship_package, slice_hashes
+from medledger.session import cut_lineage
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -167,7 +170,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, feature = distinct(*terms(block.column(1)))
         cut = np.searchsorted(row, np.arange(block.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
-        yield pa.RecordBatch.from_arrays([block.column(0), lists], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), lists], names=["id", "label", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -184,14 +187,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return train([], np.zeros(0))
     wanted = spark.createDataFrame(sample, "id long, label int")
     chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted), "id")
-    rows, targets, size = [], [], 0
-    for r in chosen.select("label", "text").mapInArrow(_features, "label int, features array<int>").toLocalIterator():
-        rows.append(np.array(r["features"], np.int64))
-        targets.append(r["label"])
-        size += len(rows[-1])
-        if size >= max_terms:
+    chosen = chosen.groupBy("id", "label").agg(F.min("text").alias("text"))
+    kind = "id long, label int, features array<int>"
+    made = cut_lineage(chosen.select("id", "text", "label").mapInArrow(_features, kind))
+    size = {r["id"]: r["n"] for r in made.select("id", F.size("features").alias("n")).collect()}
+    place = {i: at for at, i in enumerate(_within([[i for i, y in sample if y == side] for side in (0, 1)], size, max_terms))}
+    if len(place) < len(sample):
+        warnings.warn(f"toxicity: {len(place)} of {len(sample)} sampled documents have {max_terms} terms; the others are not learned from", stacklevel=2)
+        made = made.join(F.broadcast(spark.createDataFrame([(i,) for i in place], "id long")), "id", "left_semi")
+    rows, targets = [np.zeros(0, np.int64)] * len(place), np.zeros(len(place))
+    for r in made.toLocalIterator():
+        rows[place[r["id"]]], targets[place[r["id"]]] = np.array(r["features"], np.int64), r["label"]
+    return train(rows, targets)
+
+
+def _within(classes: list[list[int]], size: dict[int, int], limit: int) -> list[int]:
+    """The first ids of every class, an equal share of each, whose sizes sum to at most ``limit``; at least the first of each."""
+    order = sorted((at / len(ids), side, i) for side, ids in enumerate(classes) for at, i in enumerate(ids))
+    kept, total = [], 0
+    for share, _, i in order:
+        total += size[i]
+        if share and total > limit:
             break
-    return train(rows, np.array(targets, float))
+        kept.append(i)
+    return kept
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:

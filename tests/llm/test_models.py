@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from medledger.llm import quality as Q
@@ -69,6 +70,17 @@ def test_rare_toxic_only_term_is_learned():
     assert (got[:2] >= T.THRESHOLD).all() and got[2] < 0.5
 
 
+def test_term_bound_cuts_both_labels_alike(spark):
+    """Files sorted by label, and one id on very many rows: the bound takes an equal share of each label."""
+    rows = [(i, f"plain words{i % 7} of item {i % 5}") for i in range(60)] + [(i, f"plain words{i % 7} commonslur {i % 5}") for i in range(60, 120)]
+    docs = spark.createDataFrame([(0, "plain words0 of item 0")] * 300 + rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="of 120 sampled documents"):
+        m = T.fit(docs, labels, max_terms=600)
+    got = m.score(pa.array(["some commonslur here", "plain words of item 3"]))
+    assert got[0] >= T.THRESHOLD > 0.5 > got[1]
+
+
 def test_margin_equals_all_pairs():
     rng = np.random.default_rng(1)
     m = T.Machine(0.3, np.arange(6), rng.normal(size=6), rng.normal(size=(6, T.RANK)))
