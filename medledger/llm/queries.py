@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm import bpe, chat, cover_tree, decontaminate, licenses, near_dedup, quality, sharding, token_files, toxicity
+from medledger.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, licenses, near_dedup, quality, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,104 @@ f AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, c
 SELECT doc_id, w.digest, license, coalesce(notices, '') AS notices, coalesce(notice_lines, 0)::BIGINT AS notice_lines
 FROM w LEFT JOIN named USING (digest) LEFT JOIN f USING (r)
 """
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with the faults that the contract plants."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return turns.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), fault.alias("fault")).where("fault <> 0").select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(copies).alias("copy")).drop("copy")
+
+
+@_query
+def op11_target_alignment_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    damaged = _damaged(turns)
+    return conversation_repair.digest(damaged, conversation_repair.audit(damaged, turns))
+
+
+#: Numbers of the CRC-32 table, and the checksum of a short ASCII string, in DuckDB.
+_SQL_CRC_TABLE = """SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"""
+
+
+def _sql_crc(codes: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _sql_more(best: str, cost: int | str, edit: str) -> str:
+    """A cost of nine digits and an audit, one edit later."""
+    return f"(lpad((substr({best}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({best}, 10) || '{edit}')"
+
+
+def _sql_repair() -> str:
+    # b0, bs, bu, ba: the best way to each grammar state behind a row; an insertion may follow every row.
+    def row(state: str) -> dict[str, str]:
+        drop = {k: _sql_more(f"{state}.b{k}", 2, "D") for k in "0sua"}
+        keep = lambda best, letter: f"CASE WHEN NOT gone AND initial = '{letter}' THEN {_sql_more(best, 'late', 'K')} END"
+        tag = lambda best, letter: f"CASE WHEN NOT gone AND initial <> '{letter}' THEN {_sql_more(best, '1 + late', 'R')} END"
+        before = {"u": ("0", "s", "a"), "a": ("u",)}
+        out = {"0": drop["0"], "s": f"least({drop['s']}, {keep(f'{state}.b0', 's')})"}
+        for k, froms in before.items():
+            out[k] = f"least({', '.join([drop[k], *[f(f'{state}.b{x}', k) for x in froms for f in (keep, tag)]])})"
+        return out
+
+    step = row("w")
+    one = {"u": f"least(bu, {', '.join(_sql_more(f'b{x}', 5, 'I') for x in '0sa')})", "a": f"least(ba, {_sql_more('bu', 5, 'I')})"}
+    return f"""
+WITH RECURSIVE crc AS ({_SQL_CRC_TABLE}),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_sql_crc("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)")} % 20 AS fault
+  FROM conversations, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM src WHERE fault <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS spoken,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), nth) AS i, nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM hurt)),
+marked AS (
+  SELECT *, spoken = '' AS blank, spoken <> '' AND nth > 1 AS again,
+         spoken <> '' AND nth = 1 AND right(spoken, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+flat AS (SELECT conv_id, i, role, text, initial, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS late FROM marked),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS b0, NULL::VARCHAR AS bs, '000000005I' AS bu, '000000010II' AS ba FROM (SELECT DISTINCT conv_id FROM flat)
+  UNION ALL
+  SELECT conv_id, i, b0, bs, {one['u']} AS bu, {one['a']} AS ba FROM (
+    SELECT w.conv_id, w.i + 1 AS i, {step['0']} AS b0, {step['s']} AS bs, {step['u']} AS bu, {step['a']} AS ba
+    FROM ways w JOIN flat f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+best AS (
+  SELECT conv_id, substr(x, 1, 9)::BIGINT AS cost, substr(x, 10) AS audit
+  FROM (SELECT conv_id, least(b0, ba) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM ways) WHERE k = 1),
+edits AS (SELECT conv_id, nth, substr(audit, nth::INT, 1) AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS nth FROM best)),
+led AS (
+  SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS pos,
+         sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) % 2 AS odd
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING)),
+made AS (
+  SELECT led.conv_id, led.nth, CASE WHEN edit = 'K' THEN role WHEN (pos + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN edit = 'I' THEN '' ELSE text END AS said
+  FROM led LEFT JOIN flat ON flat.conv_id IS NOT DISTINCT FROM led.conv_id AND flat.i = led.i WHERE edit <> 'D'),
+digests AS (SELECT conv_id, sha256(string_agg(said, chr(10) ORDER BY nth)) AS repaired_sha256 FROM made GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE again) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLES["op11_target_alignment_repair"] = _sql_repair()
