@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, licenses, near_dedup, quality, sharding, token_files, toxicity
+from medledger.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, importance, licenses, near_dedup, quality, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -299,3 +299,40 @@ LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
 
 
 ORACLES["op11_target_alignment_repair"] = _sql_repair()
+
+
+@_query
+def op12_regular_sampling_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_SQL_FEATURES = """list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"""
+_SQL_HEX = "(strpos('0123456789ABCDEF', substr(hex(encode(g)), 2 * i + {0}, 1)) - 1)"
+ORACLES["op12_regular_sampling_resample"] = f"""
+WITH crc AS ({_SQL_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT {_SQL_WORDS} AS w FROM benchmark),
+f AS (SELECT r, unnest({_SQL_FEATURES}) AS g FROM d),
+bf AS (SELECT unnest({_SQL_FEATURES}) AS g FROM b),
+bucket AS (
+  SELECT g, {_sql_crc(f"list_transform(range(0, octet_length(encode(g))), lambda i: (16 * {_SQL_HEX.format(1)} + {_SQL_HEX.format(2)})::BIGINT)")} % 10000 AS k
+  FROM (SELECT DISTINCT g FROM (SELECT g FROM f UNION ALL SELECT g FROM bf)), crc),
+s AS (SELECT k, count(*) AS n FROM f JOIN bucket USING (g) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM bf JOIN bucket USING (g) GROUP BY k),
+gain AS (
+  SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE
+                            / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (k)),
+w AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN bucket USING (g) JOIN gain USING (k) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w.w)::BIGINT AS n_words, len({_SQL_FEATURES.replace('w[', 'w.w[').replace('(w,', '(w.w,').replace('len(w)', 'len(w.w)')})::BIGINT AS n_features,
+         coalesce(x.weight, 0) AS weight,
+         coalesce(x.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d w LEFT JOIN w x USING (r)),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features)::BIGINT AS rank, 5 * count(*) OVER () // 100 AS drawn
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
