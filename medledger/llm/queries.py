@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, importance, licenses, near_dedup, quality, sharding, token_files, toxicity
+from medledger.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, importance, licenses, lz_fingerprint, near_dedup, quality, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -336,3 +336,8 @@ placed AS (
   FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN placed USING (r)
 """
+
+
+@_query
+def op13_lz_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited(_table(spark, sf_dir, "documents"))
