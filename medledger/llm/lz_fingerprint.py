@@ -142,12 +142,12 @@ def compared(texts: list[str], following: list[str]) -> list[tuple]:
     own_ends.append([])
     parse(last, {}, 0, 0, own_ends[-1])
     found, changed = sketches([*own, last], own_ends), sketches(edits, edit_ends)
-    return [(len(text), hashlib.sha256(edit).hexdigest(), written(a), written(b), likeness(a, b), likeness(a, c))
+    return [(len(text), hashlib.sha256(edit).digest(), written(a), written(b), likeness(a, b), likeness(a, c))
             for text, edit, a, b, c in zip(texts, edits, found, changed, found[1:], strict=False)]
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
@@ -206,7 +206,7 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     closed = pairs.select("doc_id", "text", "following").mapInArrow(close, f"doc_id {kind}, {_RESULT}")
     both = held.where("edge IS NULL").select(*closed.columns).unionByName(closed)
-    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def _found(ids: list, rows: list[tuple], part: int, kind: pa.DataType) -> pa.RecordBatch:
