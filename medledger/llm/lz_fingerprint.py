@@ -8,7 +8,7 @@ the union is no larger), which is high where one text's dictionary would compres
 
 ``fingerprint`` works row by row and shuffles nothing. ``edited`` compares every document with an edit of it: its last
 half replaced by the beginning of the next document in falling order of ids. For that, the texts are range-partitioned
-by (id, hash of the text, row number) and sorted, so that the next document is the next row; two rows of every
+by (id, hash of the text, row number) and sorted, each packed by zstandard, so that the next document is the next row; two rows of every
 partition, its first and its last, are written with their texts and joined with the ones of the next partition. An
 edited text shares its first half with its document, and so does its parse, which is carried on from there.
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,28 +164,39 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     spark = docs.sparkSession
     ship_package(spark)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = (F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
+    told = F.coalesce(F.col(text), F.lit(""))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(told).alias("hash"), told.alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order[:2]).withColumn("part", F.spark_partition_id())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        for block in blocks(batches, 2, BLOCK_BYTES):
+            packed = pa.array([squeeze(t.encode()) for t in block.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], packed], names=["doc_id", "hash", "packed"])
+
+    order = (F.col("doc_id").desc_nulls_last(), F.col("hash"))
+    packed = slim.mapInArrow(pack, f"doc_id {kind}, hash long, packed binary")
+    ranged = packed.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    ranged = ranged.select("doc_id", "packed", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares all rows but the last; gives the first and the last with their texts."""
+        unpack = zstandard.ZstdDecompressor().decompress
         ids: list = []
         texts: list[str] = []
-        size, part, schema, begun = 0, None, None, False
-        for batch in blocks(batches, 1, BLOCK_BYTES):
+        size, part, schema = 0, None, None
+        for batch in batches:
             schema = batch.schema.field(0).type
-            part = batch.column(2)[0].as_py()
-            if not begun:
-                yield _edge([None], batch.column(1).slice(0, 1).to_pylist(), part, "first", schema)
-                begun = True
-            ids += batch.column(0).to_pylist()
-            texts += batch.column(1).to_pylist()
-            size += sum(map(len, texts[-batch.num_rows :]))
-            if size > BLOCK_BYTES and len(texts) > 1:
-                yield _found(ids[:-1], compared(texts[:-1], texts[1:]), part, schema)
-                ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
+            for name, row, at in zip(*batch.columns, strict=True):
+                ids.append(name.as_py())
+                texts.append(unpack(row.as_buffer()).decode())
+                size += len(texts[-1])
+                if part is None:
+                    part = at.as_py()
+                    yield _edge([None], texts, part, "first", schema)
+                if size > BLOCK_BYTES and len(texts) > 1:
+                    yield _found(ids[:-1], compared(texts[:-1], texts[1:]), part, schema)
+                    ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
         if len(texts) > 1:
             yield _found(ids[:-1], compared(texts[:-1], texts[1:]), part, schema)
         if texts:
