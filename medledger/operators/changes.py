@@ -3,8 +3,8 @@ function from DataFrames to (new snapshot, outcome per request).
 
 Requests carry ``seq``: the order in which the calls would have run. Every
 "last one wins" rule is an aggregate (``max_by`` on seq), and every running
-balance uses ``running_sums`` or a walk in bounded steps, so a bill or
-appointment with a huge share of the requests is never collected into one task.
+balance uses ``running_sums``, a fold of a bounded array or chains followed by doubling, so a
+bill or appointment with a huge share of the requests is never collected into one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medledger.operators.ordering import ordered_requests, running_sums
+from medledger.operators.ordering import order_bits, ordered_requests, running_sums
 from medledger.operators.quality import NEGATIVE_BILLING_MESSAGE, Rule, enforce, validate_requests
 from medledger.session import cut_lineage
 
@@ -34,10 +34,8 @@ MSG_OUT_OF_RANGE = "Out of range value for column 'Amount_Paid'"
 
 # Largest amount that DECIMAL(10,2) holds, in cents.
 MAX_CENTS = 10**10 - 1
-#: Rows of one bill that one step of the sequential walk takes.
-WALK_ROWS = 1 << 16
-
-_WALKED = "seq bigint, Bill_ID string, cents bigint, reason string, paid bigint, version bigint"
+#: Payments of one bill that are folded as one array; those behind them are decided by chains.
+FOLD_ROWS = 128
 
 
 def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | None = None,
@@ -57,13 +55,14 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
 
     Most bills have no payment whose fate depends on another's: their totals are
     one aggregate, and running sums give the outcomes. Bills where it does
-    (an expected version, a negative paid amount, a sum out of range) are walked in
-    order, ``WALK_ROWS`` payments of a bill at a time, so no task holds more of one
-    bill than that.
+    (an expected version, a negative paid amount, a sum out of range) are decided in
+    order: the first ``FOLD_ROWS`` payments of a bill by folding an array, any others
+    by chains over all bills (see ``_chains``), so no task holds more of one bill.
     """
     has_version = "version" in bills.columns
     use_version = has_version if use_version is None else use_version
     payments = ordered_requests(payments, "payments")
+    bits = order_bits(payments, "seq")
     if "expected_version" not in payments.columns:
         payments = payments.withColumn("expected_version", F.lit(None).cast("int"))
     valid, invalid = validate_requests(payments, "payment")
@@ -83,9 +82,9 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
     ways = asked.drop("_add", "_k", "_guarded", "_found").withColumnRenamed("Bill_ID", "_bill")
     j = valid.join(ways, F.col("Bill_ID").eqNullSafe(F.col("_bill"))).drop("_bill")  # a call may lack its bill
 
-    walked = _walk(j.where("_way = 'walk'"))
+    walked = _walk(j.where("_way = 'walk'"), bits)
     plain = j.where("_way = 'plain'").withColumn("_cents", cents("amount")).withColumn("_one", F.lit(1))
-    plain = running_sums(plain, ["Bill_ID"], "seq", {"_sum": "_cents", "_n": "_one"})
+    plain = running_sums(plain, ["Bill_ID"], "seq", {"_sum": "_cents", "_n": "_one"}, order_bits=bits)
     money = lambda c: (c.cast("decimal(20,0)") / 100).cast("decimal(10,2)")
 
     def rows(df: DataFrame, amount: Column, reason: Column, paid: Column, version: Column) -> DataFrame:
@@ -129,53 +128,110 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
     return new_bills, outcome
 
 
-def _walk(j: DataFrame) -> DataFrame:
-    """Decide the payments of contested bills one after the other.
+def _walk(j: DataFrame, bits: int) -> DataFrame:
+    """Decide the payments of contested bills in order.
 
-    Returns seq, Bill_ID, cents, reason (null: accepted), paid and version after each payment. A step takes
-    at most ``WALK_ROWS`` payments of every bill and hands the state of each bill to the next step.
+    Returns seq, Bill_ID, cents, reason (null: accepted), paid and version after each payment. The first
+    ``FOLD_ROWS`` payments of a bill are one array, folded by an expression; where a bill has more,
+    ``_chains`` decides the rest for all such bills at once.
     """
     rows = j.select("seq", "Bill_ID", (F.col("amount") * 100).cast("bigint").alias("cents"),
                     F.col("expected_version").cast("bigint").alias("expected"), F.col("_paid").alias("paid"),
                     F.col("_version").alias("version"), F.lit(1).alias("_one"))
-    rows = cut_lineage(running_sums(rows, ["Bill_ID"], "seq", {"_nth": "_one"})
-                       .withColumn("_step", ((F.col("_nth") - 1) / WALK_ROWS).cast("int")).drop("_one", "_nth"))
-    steps = rows.agg(F.max("_step")).first()[0]
-    parts = []
-    for step in range(0 if steps is None else steps + 1):
-        now = rows.where(F.col("_step") == step).drop("_step")
-        if parts:
-            state = parts[-1].groupBy("Bill_ID").agg(F.max_by("paid", "seq").alias("_p"), F.max_by("version", "seq").alias("_v"))
-            now = now.join(state, "Bill_ID").withColumns({"paid": F.col("_p"), "version": F.col("_v")}).drop("_p", "_v")
-        parts.append(cut_lineage(now.groupBy("Bill_ID").applyInPandas(_bill_walker(), _WALKED)))
-    return reduce(DataFrame.unionByName, parts) if parts else rows.select(
-        "seq", "Bill_ID", "cents", F.lit(None).cast("string").alias("reason"), "paid", "version")
-
-
-def _bill_walker():
-    """A function that decides the payments of one bill in one step (a closure, so that it travels by value)."""
-    most = MAX_CENTS
-
-    def walk(rows):
-        rows = rows.sort_values("seq")
-        paid, version = int(rows["paid"].iloc[0]), int(rows["version"].iloc[0])
-        reasons, after, versions = [], [], []
-        for cents, expected in zip(rows["cents"].tolist(), rows["expected"].tolist(), strict=True):
-            reason = None
-            if expected == expected and expected is not None and int(expected) != version:
-                reason = "version_conflict"
-            elif paid + cents < 0:
-                reason = "negative_amount"
-            elif paid + cents > most:
-                reason = "out_of_range"
-            else:
-                paid, version = paid + int(cents), version + 1
-            reasons.append(reason)
-            after.append(paid)
-            versions.append(version)
-        return rows.assign(reason=reasons, paid=after, version=versions)[["seq", "Bill_ID", "cents", "reason", "paid", "version"]]
-
-    return walk
+    rows = cut_lineage(running_sums(rows, ["Bill_ID"], "seq", {"_nth": "_one"}, order_bits=bits).drop("_one"))
+    head = rows.where(F.col("_nth") <= FOLD_ROWS).groupBy("Bill_ID", "paid", "version").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "cents", "expected"))).alias("_calls"))
+    step = "struct<seq:bigint,cents:bigint,reason:string,paid:bigint,version:bigint>"
+    start = F.struct(F.col("paid"), F.col("version"), F.array().cast(f"array<{step}>").alias("done"))
+
+    def fold(state: Column, call: Column) -> Column:
+        reason = _refusal(state["paid"], state["version"], call["cents"], call["expected"])
+        paid = F.when(reason.isNull(), state["paid"] + call["cents"]).otherwise(state["paid"])
+        version = F.when(reason.isNull(), state["version"] + 1).otherwise(state["version"])
+        now = F.struct(call["seq"].alias("seq"), call["cents"].alias("cents"), reason.alias("reason"), paid.alias("paid"), version.alias("version"))
+        return F.struct(paid.alias("paid"), version.alias("version"), F.concat(state["done"], F.array(now.cast(step))).alias("done"))
+
+    head = head.select("Bill_ID", F.explode(F.aggregate("_calls", start, fold)["done"]).alias("_r"))
+    head = cut_lineage(head.select("_r.seq", "Bill_ID", "_r.cents", "_r.reason", "_r.paid", "_r.version"))
+    rest = rows.where(F.col("_nth") > FOLD_ROWS).drop("paid", "version", "_nth")
+    if rest.isEmpty():
+        return head
+    state = head.groupBy("Bill_ID").agg(F.max_by("paid", "seq").alias("paid"), F.max_by("version", "seq").alias("version"))
+    state = cut_lineage(state.join(rest.select("Bill_ID").distinct(), "Bill_ID", "left_semi"))
+    accepted = _chains(rest, state, bits).withColumn("_ok", F.lit(1))
+    rest = rest.join(accepted, ["Bill_ID", "seq"], "left").join(state, "Bill_ID")
+    rest = rest.withColumn("_ok", F.coalesce("_ok", F.lit(0))).withColumn("_got", F.col("cents") * F.col("_ok"))
+    rest = running_sums(rest, ["Bill_ID"], "seq", {"_sum": "_got", "_n": "_ok"}, order_bits=bits)
+    paid, version = F.col("paid") + F.col("_sum"), F.col("version") + F.col("_n")
+    reason = F.when(F.col("_ok") == 0, _refusal(paid, version, F.col("cents"), F.col("expected")))
+    return head.unionByName(rest.select("seq", "Bill_ID", "cents", reason.alias("reason"), paid.alias("paid"), version.alias("version")))
+
+
+def _refusal(paid: Column, version: Column, cents: Column, expected: Column) -> Column:
+    """Why a bill in this state refuses a payment; null: it does not."""
+    return (F.when(expected.isNotNull() & (expected != version), "version_conflict").when(paid + cents < 0, "negative_amount")
+            .when(paid + cents > MAX_CENTS, "out_of_range"))
+
+
+def _chains(rows: DataFrame, state: DataFrame, bits: int) -> DataFrame:
+    """The accepted payments (Bill_ID, seq) of bills in a given state (paid, version), whatever their number.
+
+    A payment without an expected version moves the version by one. One that expects a version is accepted if the
+    expected version, less the payments without one before it, is what the accepted ones before it have made of it. So
+    the accepted ones of a bill are a chain: the first that is due at 0, the first behind that due at 1, and so on.
+    ``_chain`` follows all bills' chains by doubling. Where a bill could run out of range, the chain holds up to the
+    first payment that does not fit, and the next round goes on behind it, without those too large for what is left.
+    """
+    first = F.lit(-(1 << 63)).cast("bigint")
+    opening = rows.join(state.where("paid < 0"), "Bill_ID").where(
+        (F.col("paid") + F.col("cents") >= 0) & (F.col("expected").isNull() | (F.col("expected") == F.col("version"))))
+    opening = opening.groupBy("Bill_ID").agg(F.min(F.struct("seq", "cents")).alias("_o"))  # the first that ends a debt
+    opening = cut_lineage(opening.select("Bill_ID", "_o.seq", F.col("_o.cents").alias("_add")))
+    accepted = [opening.select("Bill_ID", "seq")]
+    state = state.join(opening, "Bill_ID", "left").where("paid >= 0 OR seq IS NOT NULL").select(
+        "Bill_ID", (F.col("paid") + F.coalesce("_add", F.lit(0))).alias("paid"),
+        (F.col("version") + F.when(F.col("seq").isNull(), 0).otherwise(1)).alias("version"), F.coalesce("seq", first).alias("_from"))
+    while True:
+        fit = rows.join(state, "Bill_ID").where((F.col("seq") > F.col("_from")) & (F.col("paid") + F.col("cents") <= MAX_CENTS))
+        fit = fit.withColumn("_free", F.col("expected").isNull().cast("int")).withColumn("_one", F.lit(1))
+        fit = cut_lineage(running_sums(fit, ["Bill_ID"], "seq", {"_u": "_free"}, order_bits=bits))
+        due = fit.where("_free = 0").select("Bill_ID", "seq", (F.col("expected") - F.col("version") - F.col("_u")).alias("due"))
+        chain = _chain(due.where("due >= 0"), bits).withColumn("_in", F.lit(True))
+        taken = fit.join(chain, ["Bill_ID", "seq"], "left").where("_free = 1 OR _in")
+        taken = cut_lineage(running_sums(taken.drop("_in"), ["Bill_ID"], "seq", {"_sum": "cents", "_n": "_one"}, order_bits=bits))
+        over = taken.where(F.col("paid") + F.col("_sum") > MAX_CENTS)
+        stops = cut_lineage(over.groupBy("Bill_ID").agg(F.min("seq").alias("_stop")))
+        good = taken.join(stops, "Bill_ID", "left").where("_stop IS NULL OR seq < _stop")
+        accepted.append(good.select("Bill_ID", "seq"))
+        if stops.isEmpty():
+            return reduce(DataFrame.unionByName, accepted)
+        moved = good.where("_stop IS NOT NULL").groupBy("Bill_ID").agg(F.max("_sum").alias("_add"), F.max("_n").alias("_k"))
+        state = cut_lineage(state.join(stops, "Bill_ID").join(moved, "Bill_ID", "left").select(
+            "Bill_ID", (F.col("paid") + F.coalesce("_add", F.lit(0))).alias("paid"),
+            (F.col("version") + F.coalesce("_k", F.lit(0))).alias("version"), F.col("_stop").alias("_from")))
+
+
+def _chain(due: DataFrame, bits: int) -> DataFrame:
+    """Per bill, the first row due at 0, the first behind it due at 1, and so on (Bill_ID, seq), in log2(length) rounds.
+
+    A row's successor is the row due at one more whose rank is one above the number of such rows before it; ranks
+    and numbers are running sums, so no crowd of rows that are due at one time meets in one window.
+    """
+    seen = due.withColumn("_is", F.lit(1)).unionByName(due.withColumn("due", F.col("due") + 1).withColumn("_is", F.lit(0)))
+    seen = cut_lineage(running_sums(seen, ["Bill_ID", "due"], "seq", {"_r": "_is"}, order_bits=bits))
+    there = seen.where("_is = 1").select("Bill_ID", "due", "_r", F.col("seq").alias("_next"))
+    jump = cut_lineage(seen.where("_is = 0").withColumn("_r", F.col("_r") + 1).join(there, ["Bill_ID", "due", "_r"]).select("Bill_ID", "seq", "_next"))
+    parts = [seen.where("_is = 1 AND due = 0 AND _r = 1").select("Bill_ID", "seq")]
+    while True:
+        found = reduce(DataFrame.unionByName, parts)
+        more = cut_lineage(found.join(jump, ["Bill_ID", "seq"]).select("Bill_ID", F.col("_next").alias("seq")))
+        if more.isEmpty():
+            return found
+        parts.append(more)
+        # Jumps twice as far, for the bills whose chain goes on.
+        on = jump.join(more.select("Bill_ID").distinct(), "Bill_ID", "left_semi")
+        far = on.select("Bill_ID", F.col("seq").alias("_next"), F.col("_next").alias("_far"))
+        jump = cut_lineage(on.join(far, ["Bill_ID", "_next"]).select("Bill_ID", "seq", F.col("_far").alias("_next")))
 
 
 def apply_status_changes(appts: DataFrame, bills: DataFrame, changes: DataFrame

@@ -56,6 +56,12 @@ def ordered_requests(requests: DataFrame, what: str) -> DataFrame:
     return held
 
 
+def order_bits(df: DataFrame, order_col: str) -> int:
+    """The bits of the order axis that ``running_sums`` has to cover (one cheap aggregate; 64 if values are negative)."""
+    low, high = df.agg(F.min(order_col), F.max(order_col)).first()
+    return 64 if (low or 0) < 0 else max(1, int(high or 0).bit_length())
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -24,9 +24,9 @@ def _bills(spark, rows):
     return spark.createDataFrame([(b, "P1", "x", DAY, Decimal(ch), Decimal(paid), None, "Pending") for b, ch, paid in rows], S.BILLING)
 
 
-@pytest.mark.parametrize("walk_rows", [1 << 16, 3])
-def test_payments_equal_a_sequential_loop_with_every_rule(spark, monkeypatch, walk_rows):
-    monkeypatch.setattr(C, "WALK_ROWS", walk_rows)
+@pytest.mark.parametrize("fold_rows", [C.FOLD_ROWS, 3, 1])
+def test_payments_equal_a_sequential_loop_with_every_rule(spark, monkeypatch, fold_rows):
+    monkeypatch.setattr(C, "FOLD_ROWS", fold_rows)
     r = random.Random(8)
     start = [("B0", "100", "0"), ("B1", "5000", "-20"), ("B2", "-1", "0"), ("B3", "99999999", "99999900"), ("B4", "50", "0")]
     pays = [(s, r.choice(["B0", "B1", "B2", "B3", "B4", "B9"]), str(r.choice([5, 30, 70, 99999999])),
@@ -53,6 +53,38 @@ def test_payments_equal_a_sequential_loop_with_every_rule(spark, monkeypatch, wa
     assert {x["Bill_ID"]: (x["Amount_Paid"], x["version"]) for x in new.collect()} == {b: (s[1], s[2]) for b, s in state.items()}
 
 
+@pytest.mark.parametrize("expecting", [0.9, 0.4])
+def test_a_bill_with_a_third_of_all_guarded_payments(spark, monkeypatch, expecting):
+    """Long chains: most calls know the version that the bill has, some are late, some race for the same one."""
+    monkeypatch.setattr(C, "FOLD_ROWS", 16)
+    r = random.Random(int(expecting * 10))
+    start = [(f"B{k}", "100", "0" if k else "99999000") for k in range(4)]
+    state = {b: [Decimal(p), 1] for b, _, p in start}
+    pays, want = [], {}
+    for s in range(700):
+        b = "B0" if r.random() < 0.34 else r.choice(list(state))
+        e = state[b][1] - r.choice([0, 0, 0, 1]) if r.random() < expecting else None
+        a = Decimal(r.choice([1, 2, 9, 60, 400]))
+        pays.append((3 * s, b, str(a), e))
+        if e is not None and e != state[b][1]:
+            want[3 * s] = "version_conflict"
+        elif state[b][0] + a > Decimal("99999999.99"):
+            want[3 * s] = "out_of_range"
+        else:
+            state[b] = [state[b][0] + a, state[b][1] + 1]
+            want[3 * s] = tuple(state[b])
+    r.shuffle(pays)
+    _, out = C.apply_payments(ensure_column(_bills(spark, start), "version", "int", 1), spark.createDataFrame(pays, S.PAYMENTS))
+    assert {x["seq"]: x["reason"] or (x["Amount_Paid"], x["version"]) for x in out.collect()} == want
+    assert "out_of_range" in want.values() and "version_conflict" in want.values()
+
+
+def test_guarded_payments_run_no_python(spark):
+    bills = ensure_column(_bills(spark, [("B0", "10", "0")]), "version", "int", 1)
+    _, out = C.apply_payments(bills, spark.createDataFrame([(1, "B0", "5", 1)], S.PAYMENTS))
+    assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
+
+
 def test_version_is_bumped_where_the_table_has_it(spark):
     pays = spark.createDataFrame([(1, "B0", "5", None)], S.PAYMENTS)
     plain = _bills(spark, [("B0", "10", "0")])
