@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -60,7 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """The scopes open in a thread: two streams run their batches in two threads at once."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
@@ -68,14 +76,14 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that ``cut_lineage`` writes inside the block when it ends.
 
     Results built inside must be written or collected before the block ends: they
-    read these tables lazily.
+    read these tables lazily. Scopes belong to the thread that opens them and may be nested.
     """
     written: list[str] = []
-    _scopes.append(written)
+    _scopes.open.append(written)
     try:
         yield
     finally:
-        _scopes.remove(written)
+        _scopes.open[:] = [s for s in _scopes.open if s is not written]
         jvm = spark.sparkContext._jvm
         for path in written:
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -92,7 +100,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/medledger-tables/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,12 @@ the batch operator with ``foreachBatch``:
   initial tables are filtered by what the batch asks for (dates, keys), which
   a scan of them still reads unless they are partitioned or sorted that way.
 
+A call has one outcome, whatever batch it arrives in: a call whose ``seq`` an earlier
+batch has decided (or that arrives twice in one batch) is not carried out again, and is
+written to ``out/repeated/batch_id=<n>`` instead. A call that arrives after a batch with a
+larger ``seq`` is decided when it arrives, behind that batch, and marked ``late`` in its outcome.
+Two different calls of one ``seq`` in one batch stop the stream.
+
 Every output folder carries the batch id, and a replayed batch overwrites
 its own folder, so a restart after a failure is idempotent. Checkpoints live
 under the session's ``spark.checkpoint.dir`` unless a location is given.
@@ -90,6 +96,40 @@ def _earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: T.St
     return spark.read.schema(with_batch).parquet(root).where(F.col("batch_id").between(since, batch_id - 1))
 
 
+_SPAN = "low bigint, high bigint"
+
+
+def _new_calls(spark: SparkSession, batch: DataFrame, out: str, batch_id: int) -> tuple[DataFrame, int | None]:
+    """The calls of a batch that no earlier batch has decided, and the largest ``seq`` decided before.
+
+    Every batch leaves the span of its ``seq`` values (one row), so outcomes of earlier batches are read only
+    where their span meets this batch's: none, as long as calls arrive in order.
+    """
+    held = cut_lineage(batch.distinct())
+    low, high = held.agg(F.min("seq"), F.max("seq")).first()
+    top, meets = None, []
+    if batch_id > 0:
+        spans = _earlier_batches(spark, f"{out}/spans", batch_id, T.StructType.fromDDL(_SPAN)).where("low IS NOT NULL")
+        top = spans.agg(F.max("high")).first()[0]
+        if low is not None:
+            meets = [r["batch_id"] for r in spans.where((F.col("low") <= high) & (F.col("high") >= low)).select("batch_id").collect()]
+    spark.createDataFrame([(low, high)], _SPAN).coalesce(1).write.mode("overwrite").parquet(f"{out}/spans/batch_id={batch_id}")
+    new = held
+    if meets:
+        decided = spark.read.schema("seq bigint").parquet(*[f"{out}/outcome/batch_id={k}" for k in meets]).distinct()
+        held.join(decided, "seq", "left_semi").write.mode("overwrite").parquet(f"{out}/repeated/batch_id={batch_id}")
+        new = held.join(decided, "seq", "left_anti")
+    return new, top
+
+
+def _write_outcome(outcome: DataFrame, top: int | None, out: str, batch_id: int) -> DataFrame:
+    """Write a batch's outcome, with ``late`` added, and read it back."""
+    late = F.lit(False) if top is None else F.coalesce(F.col("seq") < F.lit(top), F.lit(False))
+    outcome = outcome.withColumn("late", late)
+    outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
+    return outcome.sparkSession.read.schema(outcome.schema).parquet(f"{out}/outcome/batch_id={batch_id}")
+
+
 _TOPS = "appointment bigint, bill bigint"
 
 
@@ -110,6 +150,7 @@ def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills:
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         with intermediate_tables(spark):
+            calls, top = _new_calls(spark, batch, out, batch_id)
             book = appts
             if batch_id > 0:
                 added = _earlier_batches(spark, f"{out}/appointments_added", batch_id, _added_schema(appts))
@@ -117,13 +158,13 @@ def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills:
                 tops = tuple(spark.read.schema(_TOPS).parquet(f"{out}/tops/batch_id={batch_id - 1}").first())
             else:
                 tops = (BK.top_id(appts, "Appointment_ID", "A"), BK.top_id(bills, "Bill_ID", "B"))
-            added_a, added_b, outcome = BK.book_new_rows(book, bills, patients, doctors, batch, as_of=as_of,
+            added_a, added_b, outcome = BK.book_new_rows(book, bills, patients, doctors, calls, as_of=as_of,
                                                          distinct_codes=distinct_codes, tops=tops)
-            outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
+            decided = _write_outcome(outcome, top, out, batch_id)
             added_a.write.mode("overwrite").partitionBy("Appointment_Date").parquet(
                 f"{out}/appointments_added/batch_id={batch_id}")
             added_b.write.mode("overwrite").parquet(f"{out}/bills_added/batch_id={batch_id}")
-            booked = spark.read.schema(outcome.schema).parquet(f"{out}/outcome/batch_id={batch_id}").where("status = 0").count()
+            booked = decided.where("status = 0").count()
             spark.createDataFrame([(tops[0] + booked, tops[1] + booked)], _TOPS).coalesce(1).write.mode("overwrite").parquet(
                 f"{out}/tops/batch_id={batch_id}")
 
@@ -179,14 +220,13 @@ def payment_stream(spark: SparkSession, payments: str, bills: DataFrame, out: st
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         with intermediate_tables(spark):
-            held = cut_lineage(batch)
+            calls, top = _new_calls(spark, batch, out, batch_id)
+            held = cut_lineage(calls)
             asked = held.select(F.trim("Bill_ID").alias("Bill_ID")).distinct()
             cur = base.join(asked, "Bill_ID", "left_semi")
             cur = cur if batch_id == 0 else current_bills(spark, cur, out, batch_id)
             new_b, outcome = C.apply_payments(cur, held, use_version=use_version)
-            outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch_id={batch_id}")
-            done = spark.read.schema(outcome.schema).parquet(f"{out}/outcome/batch_id={batch_id}")
-            touched = done.where("ok").select("Bill_ID").distinct()
+            touched = _write_outcome(outcome, top, out, batch_id).where("ok").select("Bill_ID").distinct()
             new_b.select(*base.columns).join(touched, "Bill_ID", "left_semi").write.mode("overwrite").parquet(
                 f"{out}/bill_updates/batch_id={batch_id}")
             if (batch_id + 1) % COMPACT_EVERY == 0:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import threading
+import time
 from decimal import Decimal
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from medledger.operators import booking as BK
 from medledger.operators import changes as C
 from medledger.plans.sql_functions import register_sql_functions
+from medledger.session import cut_lineage, intermediate_tables
 from medledger.sources import schemas as S
 from medledger.sources.tables import append_rows, ensure_column, load_tables, tables_present, write_snapshot
 from medledger.streaming import streams as ST
@@ -78,6 +81,74 @@ def test_payment_stream_equals_batch(spark, scratch):
     assert [tuple(r) for r in now.collect()] == [tuple(r) for r in batch_bills.collect()]
 
 
+def _feed(spark, path, rows, schema):
+    """One file per list of rows, so one micro-batch each."""
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in the order of their times
+
+
+def test_payments_repeated_or_late_across_batches(spark, scratch):
+    t = seed_tables(spark)
+    call = lambda seq, amount: (seq, "B6001", amount, None)
+    _feed(spark, f"{scratch}/src", [[call(5, "10"), call(6, "20"), call(6, "20")], [call(6, "20"), call(7, "30")], [call(2, "1"), call(5, "10"), call(9, "2")]], S.PAYMENTS)
+    ST.payment_stream(spark, f"{scratch}/src", t["BILLING"], f"{scratch}/out", use_version=True, checkpoint=f"{scratch}/ckpt",
+                      max_files_per_trigger=1).awaitTermination()
+    out = {r["seq"]: (r["batch_id"], r["late"], r["version"], r["Amount_Paid"]) for r in spark.read.parquet(f"{scratch}/out/outcome").collect()}
+    start = t["BILLING"].where("Bill_ID = 'B6001'").first()["Amount_Paid"]
+    assert {k: (*v[:3], v[3] - start) for k, v in out.items()} == {
+        5: (0, False, 2, 10), 6: (0, False, 3, 30), 7: (1, False, 4, 60), 2: (2, True, 5, 61), 9: (2, False, 6, 63)}
+    assert spark.read.parquet(f"{scratch}/out/outcome").count() == 5
+    assert sorted((r["batch_id"], r["seq"]) for r in spark.read.parquet(f"{scratch}/out/repeated").collect()) == [(1, 6), (2, 5)]
+    now = ST.current_bills(spark, t["BILLING"].withColumn("version", F.lit(1)), f"{scratch}/out").where("Bill_ID = 'B6001'").first()
+    assert now["Amount_Paid"] - start == 63 and now["version"] == 6
+
+
+def test_a_booking_call_in_two_files_is_booked_once(spark, scratch):
+    t = seed_tables(spark)
+    call = lambda seq, at: (seq, "P1001", "D2001", "2025-07-01", at, "Cardiology")
+    _feed(spark, f"{scratch}/src", [[call(3, "09:00:00")], [call(3, "09:00:00"), call(4, "11:00:00")], [call(1, "11:10:00"), call(2, "13:00:00")]], S.BOOKING_REQUESTS)
+    ST.booking_stream(spark, f"{scratch}/src", t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"], f"{scratch}/out",
+                      checkpoint=f"{scratch}/ckpt", max_files_per_trigger=1).awaitTermination()
+    out = {r["seq"]: (r["batch_id"], r["late"], r["status"]) for r in spark.read.parquet(f"{scratch}/out/outcome").collect()}
+    assert out == {3: (0, False, 0), 4: (1, False, 0), 1: (2, True, -1), 2: (2, True, 0)}
+    assert spark.read.parquet(f"{scratch}/out/appointments_added").count() == 3
+
+
+def test_two_streams_at_once_and_nested_scopes(spark, scratch):
+    """A scope that ends takes its own tables only, in its own thread only."""
+    t = seed_tables(spark)
+    with intermediate_tables(spark):
+        with intermediate_tables(spark):
+            pass
+        outer = cut_lineage(spark.range(3))
+        done = []
+
+        def other():
+            with intermediate_tables(spark):
+                done.append(cut_lineage(spark.range(4)).count())
+
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        assert done == [4] and outer.count() == 3
+        where = outer.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(where)
+    pays = [(i, "B6001", "1", None) for i in range(12)]
+    calls = [(i, "P1001", "D2001", "2025-07-01", f"{8 + i:02d}:00:00", "Cardiology") for i in range(12)]
+    for part in range(3):
+        spark.createDataFrame(pays[part * 4 : part * 4 + 4], S.PAYMENTS).coalesce(1).write.mode("append").parquet(f"{scratch}/pays")
+        spark.createDataFrame(calls[part * 4 : part * 4 + 4], S.BOOKING_REQUESTS).coalesce(1).write.mode("append").parquet(f"{scratch}/calls")
+    one = ST.payment_stream(spark, f"{scratch}/pays", t["BILLING"], f"{scratch}/p", checkpoint=f"{scratch}/cp", max_files_per_trigger=1)
+    two = ST.booking_stream(spark, f"{scratch}/calls", t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"], f"{scratch}/b",
+                            checkpoint=f"{scratch}/cb", max_files_per_trigger=1)
+    one.awaitTermination()
+    two.awaitTermination()
+    assert one.exception() is None and two.exception() is None
+    assert spark.read.parquet(f"{scratch}/p/outcome").where("ok").count() == 12
+    assert spark.read.parquet(f"{scratch}/b/outcome").where("status = 0").count() == 12
+
+
 def test_sql_function(spark):
     t = seed_tables(spark)
     t["BILLING"].createOrReplaceTempView("seed_billing")
