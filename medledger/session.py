@@ -73,7 +73,7 @@ _scopes = _Scopes()
 
 @contextmanager
 def intermediate_tables(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables that ``cut_lineage`` writes inside the block when it ends.
+    """Remove the tables that ``cut_lineage`` writes (and other scratch folders) inside the block when it ends.
 
     Results built inside must be written or collected before the block ends: they
     read these tables lazily. Scopes belong to the thread that opens them and may be nested.
@@ -90,6 +90,14 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the shared checkpoint folder; an open scope of ``intermediate_tables`` removes it at its end."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -99,8 +107,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     real sizes. Never a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/medledger-tables/{uuid.uuid4().hex}"
-    if _scopes.open:
-        _scopes.open[-1].append(path)
+    path = scratch_folder(spark, "medledger-tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
