@@ -6,8 +6,8 @@ classes, looked up in a table, is turned into transition functions of a small au
 composition is associative, so an inclusive scan over blocks of functions gives the state at every code
 point, and with it all piece boundaries, in a fixed number of array operations.
 
-Each distinct piece of a block is merged once, by rank, and kept in a bounded per-worker cache. Token
-ids of a block are gathered from the distinct pieces; byte offsets of the tokens are kept, and decoding
+Each distinct piece of a block is merged once, by rank, and kept in a bounded per-worker cache (sorted hashes
+that are looked up as an array). Token ids of a block are gathered from the distinct pieces; byte offsets of the tokens are kept, and decoding
 gathers token bytes by them. Every encoded block is decoded and compared with its bytes, so a collision
 of piece hashes (64 bits) cannot pass: such a block is encoded again piece by piece.
 
@@ -25,7 +25,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame
 from medledger.llm.text import AS_IS, blocks, ship_package, slice_hashes, text_bytes
 
 BLOCK_BYTES = 1 << 20
-CACHE_PIECES = 200_000
+#: Pieces whose ids a worker keeps (some 40 bytes each); beyond that, the half not used for longest goes.
+CACHE_PIECES = 1_000_000
 
 # Code-point classes.
 OTHER, LETTER, NUMBER, WHITE, SPACE, QUOTE = range(6)
@@ -149,34 +151,44 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray, points: np.ndarray, clas
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    place = np.flatnonzero((data & 0xC0) != 0x80)
+    place = np.flatnonzero((data & 0xC0) != 0x80) if n < len(data) else None  # None: every byte is a code point
     filled = np.diff(offsets) > 0
-    first = np.searchsorted(place, offsets[:-1][filled])
+    first = offsets[:-1][filled] if place is None else np.searchsorted(place, offsets[:-1][filled])
     last = np.concatenate([first[1:], [n]]) - 1
     kind = classes[points]
-    symbol = np.minimum(kind, WHITE).astype(np.uint8)
-    sign = kind < WHITE
-    sign |= kind == QUOTE
-    before_sign = np.zeros(n, bool)
-    before_sign[:-1] = sign[1:]
-    before_sign[last] = False
-    white = (kind == WHITE) | (kind == SPACE)
+    # A code point of the class of the one before it changes nothing, unless it is white or among the three behind a
+    # quote: only the others are passed through the automaton.
+    keep = np.ones(n, bool)
+    np.not_equal(kind[1:], kind[:-1], out=keep[1:])
+    keep |= kind >= WHITE
+    keep[first] = True
+    quotes = np.flatnonzero(kind == QUOTE)
+    for k in (1, 2, 3):
+        keep[np.minimum(quotes + k, n - 1)] = True
+    at = np.flatnonzero(keep)
+    here, ahead = kind[at], kind[np.minimum(at + 1, n - 1)]
+    symbol = np.minimum(here, WHITE).astype(np.uint8)
+    before_sign = (ahead < WHITE) | (ahead == QUOTE)
+    ends = np.searchsorted(at, last)
+    before_sign[ends[at[np.minimum(ends, len(at) - 1)] == last]] = False
+    white = (here == WHITE) | (here == SPACE)
     symbol[white] = WHITE_MORE
     symbol[white & before_sign] = WHITE_LAST
-    symbol[(kind == SPACE) & before_sign] = SPACE_LAST
-    quotes = np.flatnonzero(kind == QUOTE)
+    symbol[(here == SPACE) & before_sign] = SPACE_LAST
     if len(quotes):
         end = last[np.searchsorted(last, quotes)]
         one = np.where(quotes + 1 <= end, points[np.minimum(quotes + 1, n - 1)], 0)
         two = np.where(quotes + 2 <= end, points[np.minimum(quotes + 2, n - 1)], 0)
-        symbol[quotes] = OTHER
-        symbol[quotes[np.isin(one, [ord(c) for c in "stmd"])]] = QUOTE1
+        mark = np.searchsorted(at, quotes)
+        symbol[mark] = OTHER
+        symbol[mark[np.isin(one, [ord(c) for c in "stmd"])]] = QUOTE1
         pair = (one.astype(np.int64) << 21) | two
-        symbol[quotes[np.isin(pair, [(ord(a) << 21) | ord(b) for a, b in ("re", "ve", "ll")])]] = QUOTE2
-    symbol[first] += FIRST
+        symbol[mark[np.isin(pair, [(ord(a) << 21) | ord(b) for a, b in ("re", "ve", "ll")])]] = QUOTE2
+    symbol[np.searchsorted(at, first)] += FIRST
     state = APPLY[scan(FUNCTION[symbol]), ENDED]
     before = np.concatenate([[ENDED], state[:-1]])
-    return place[BEGINS[before, symbol]]
+    begin = at[BEGINS[before, symbol]]
+    return begin if place is None else place[begin]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -306,11 +318,58 @@ class PairMerger:
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+class PieceCache:
+    """Ids of known pieces by their hashes: sorted hashes, and where the ids of each stand in one array."""
+
+    def __init__(self):
+        self.keys, self.begin, self.size, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.flat, self.end, self.turn = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of some hashes, -1 for unknown ones."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        at[~known] = -1
+        self.turn += 1
+        self.used[at[known]] = self.turn
+        return at
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Keep the ids of new pieces; returns where they begin."""
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.end : self.end + len(ids)] = ids
+        begin = self.end + np.cumsum(size, dtype=np.int64) - size
+        self.end += len(ids)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.begin = np.insert(self.keys, at, keys[order]), np.insert(self.begin, at, begin[order])
+        self.size, self.used = np.insert(self.size, at, size[order]), np.insert(self.used, at, self.turn)
+        return begin
+
+    def trim(self, most: int) -> None:
+        """Forget the half that has not been used for longest, if there are more than so many."""
+        if len(self.keys) <= most:
+            return
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: most // 2])
+        flat = gather(self.flat, self.begin[keep], self.size[keep])
+        self.keys, self.size, self.used = self.keys[keep], self.size[keep], self.used[keep]
+        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.flat, self.end = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), len(flat)
+
+
 class Codec:
-    """Encodes and decodes blocks of texts. ``encode_pieces`` gives the ids of each of some distinct pieces."""
+    """Encodes and decodes blocks of texts.
+
+    ``encode_pieces`` gives the ids of some distinct pieces, one after the other, and how many each has. Texts that
+    hold one of ``special`` are given whole to ``encode_whole``, which gives their ids.
+    """
 
-    def __init__(self, classes: np.ndarray, tokens: list[bytes], encode_pieces: Callable[[list[bytes]], list[list[int]]]):
-        self.classes, self.encode_pieces = classes, encode_pieces
+    def __init__(self, classes: np.ndarray, tokens: list[bytes], encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+                 special: Sequence[bytes] = (), encode_whole: Callable[[str], list[int]] | None = None):
+        self.classes, self.encode_pieces, self.special, self.encode_whole = classes, encode_pieces, special, encode_whole
         self.size = np.array([len(t) for t in tokens], np.int32)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int32)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -318,37 +377,39 @@ class Codec:
         self.decimal_size = np.array([len(d) for d in decimal], np.int32)
         self.decimal_at = np.concatenate([[0], np.cumsum(self.decimal_size)[:-1]]).astype(np.int32)
         self.decimal = np.frombuffer(b"".join(decimal), np.uint8)
-        self.cache: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}  # the generation before
+        self.cache = PieceCache()
 
     @classmethod
     def of_ranks(cls, classes: np.ndarray, ranks: dict[bytes, int]) -> Codec:
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        return cls(classes, tokens, PairMerger(ranks))
+        merge = PairMerger(ranks)
+
+        def pieces(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            each = merge(raw)
+            size = np.fromiter(map(len, each), np.int32, len(each))
+            return np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(size.sum())), size
+
+        return cls(classes, tokens, pieces)
 
     def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has."""
         codes = pa.array(slice_hashes(data, starts, [ends], AS_IS)[0]).dictionary_encode()
-        inverse = codes.indices.to_numpy(zero_copy_only=False)
-        keys = codes.dictionary.to_numpy().tolist()
+        inverse, keys = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_numpy()
         example = np.zeros(len(keys), np.int64)
         example[inverse[::-1]] = np.arange(len(inverse))[::-1]
-        if len(self.cache) > CACHE_PIECES // 2:
-            self.cache, self.older = {}, self.cache
-        got = [self.cache.get(k) or self.older.get(k) for k in keys]
-        self.cache.update((k, g) for k, g in zip(keys, got, strict=True) if g is not None)
-        missing = [i for i, g in enumerate(got) if g is None]
-        if missing:
-            raw = data.tobytes()
-            pieces = [raw[starts[e] : ends[e]] for e in example[missing]]
-            for i, ids in zip(missing, self.encode_pieces(pieces), strict=True):
-                got[i] = self.cache[keys[i]] = np.array(ids, "<u4").tobytes()
-        size = np.array([len(g) // 4 for g in got], np.int32)
-        flat = np.frombuffer(b"".join(got), "<u4")
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int32)
-        return gather(flat, begin[inverse], size[inverse]), size[inverse]
+        self.cache.trim(CACHE_PIECES)
+        at = self.cache.find(keys)
+        new = np.flatnonzero(at < 0)
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        old = np.flatnonzero(at >= 0)
+        begin[old], size[old] = self.cache.begin[at[old]], self.cache.size[at[old]]
+        if len(new):
+            raw, place = data.tobytes(), example[new]
+            ids, size[new] = self.encode_pieces([raw[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
+            begin[new] = self.cache.add(keys[new], ids, size[new])
+        return gather(self.cache.flat, begin[inverse], size[inverse]), size[inverse]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end, byte offset of each id in its text, UTF-8 bytes)."""
@@ -358,14 +419,24 @@ class Codec:
         ids, size = self._ids(data, starts, ends)
         if not np.array_equal(self.decode(ids), data):
             raw = data.tobytes()
-            each = self.encode_pieces([raw[a:b] for a, b in zip(starts, ends, strict=True)])
-            size = np.array([len(e) for e in each], np.int32)
-            ids = np.array([i for e in each for i in e], np.uint32)
+            ids, size = self.encode_pieces([raw[a:b] for a, b in zip(starts, ends, strict=True)])
         upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         cut = upto[np.searchsorted(starts, offsets)]
+        ids, cut = self._whole(data, offsets, ids, cut)
         place = np.cumsum(self.size[ids], dtype=np.int64) - self.size[ids]
         return ids, cut, place - np.repeat(offsets[:-1], np.diff(cut)), data
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with those of texts that hold a special string replaced."""
+        raw = data.tobytes() if self.special else b""
+        if not any(s in raw for s in self.special):
+            return ids, cut
+        parts = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if any(raw.find(s, a, b) >= 0 for s in self.special):
+                parts[k] = np.array(self.encode_whole(raw[a:b].decode()), np.uint32)
+        return np.concatenate(parts).astype(np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of some ids."""
         return gather(self.bytes, self.at[ids], self.size[ids])

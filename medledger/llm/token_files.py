@@ -16,17 +16,20 @@ systems, under a name of their own first and then moved into place, so a task th
 executor leaves one whole file. The manifest has one row per file and is all that the driver holds.
 
 Encoding cuts texts into pieces and encodes each distinct piece once with the tokenizers library (see
-``bpe``); the library's whole-text result is the same, as tests show. Strings of special tokens inside a
-text are ordinary text.
+``bpe``); the library's whole-text result is the same, as tests show, for byte-level BPE files without a
+normalizer (others are refused). A text that holds the string of a special token is given whole to the
+library, which makes that token of it, or with ``special_as_text`` is text like any other.
 
 Defined cases: a null text is an empty text and has the end id alone; documents with a null id come first;
-equal ids keep all their rows, ordered by a hash of the text; an empty table gives no files and an empty
-result. Only the two named columns are read.
+equal ids keep all their rows, in the order of the table's rows; an empty table gives no files and an empty
+result. Only the two named columns are read; ids are integers. A folder that is not named is removed with the scope
+of ``session.intermediate_tables`` that it is written in, if there is one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import uuid
@@ -42,11 +45,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medledger.llm.bpe import Codec, class_table, every_code_point
+from medledger.llm.bpe import Codec, class_table, every_code_point, gather
 from medledger.llm.text import blocks, ship_package
-from medledger.session import ensure_checkpoint_dir
+from medledger.session import scratch_folder
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 #: Ids per frame at most; a longer document has several frames.
 FRAME_IDS = 1 << 20
 LEVEL = 3
@@ -167,52 +170,103 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class LibraryCodec:
-    """A broadcast of a tokenizers file from which each Python worker makes its codec once."""
+    """A broadcast of a tokenizers file from which each Python worker makes its codec once.
+
+    With ``special_as_text`` the strings of special tokens are ordinary text; otherwise a text that holds one is
+    given whole to the library, which finds them itself.
+    """
 
     _made: dict[str, Codec] = {}
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, special_as_text: bool = False):
         with open(path, encoding="utf-8") as f:
             said = f.read()
-        self.key = hashlib.sha256(said.encode()).hexdigest()
+        told = json.loads(said)
+        cutter = told["pre_tokenizer"] or {}
+        if told["normalizer"] or told["model"]["type"] != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+            raise ValueError("only byte-level BPE files without a normalizer and with the usual pattern are cut as the library does")
+        self.key = hashlib.sha256(f"{special_as_text}{said}".encode()).hexdigest()
         self.wide = self._vocabulary(said)[1] > 1 << 16
-        self.held = spark.sparkContext.broadcast((library_classes().tobytes(), said))
+        self.held = spark.sparkContext.broadcast((library_classes().tobytes(), said, special_as_text))
 
     @staticmethod
     def _vocabulary(said: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(said)
-        tokenizer.encode_special_tokens = True
         return tokenizer, max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
 
     def get(self) -> Codec:
         if self.key not in self._made:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            classes, said = self.held.value
+            classes, said, special_as_text = self.held.value
             tokenizer, size = self._vocabulary(said)
             alphabet = _byte_alphabet()
+            added = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
             tokens = [b""] * size
             for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
-                tokens[i] = bytes(alphabet[c] for c in token)
+                tokens[i] = token.encode() if i in added.values() else bytes(alphabet[c] for c in token)
+            for content, i in added.items():
+                tokens[i] = content
+            plain = self._vocabulary(said)[0]
+            plain.encode_special_tokens = True
+            self._made[self.key] = Codec(
+                np.frombuffer(classes, np.uint8), tokens, PieceEncoder(plain, np.array([len(t) for t in tokens], np.int64)),
+                () if special_as_text else tuple(added), lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._made[self.key]
 
-            def pieces(raw: list[bytes]) -> list[list[int]]:
-                return [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in raw], add_special_tokens=False)]
 
-            self._made[self.key] = Codec(np.frombuffer(classes, np.uint8), tokens, pieces)
-        return self._made[self.key]
+class PieceEncoder:
+    """The library's ids of some pieces, one after the other, and how many each has.
+
+    Pieces of one space and signs behind it are given to the library in long strings, which it cuts before
+    the spaces again; token sizes tell where each piece ends. Should one not end there, and for all other pieces,
+    the library gets them one by one.
+    """
+
+    STRING = 4096
+
+    def __init__(self, tokenizer, size: np.ndarray):
+        self.tokenizer, self.size = tokenizer, size
+
+    def __call__(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [i for i, p in enumerate(raw) if p[0] == 32 and len(p) > 1 and (32 < p[1] < 128 or p[1] > 127 and not p.decode()[1].isspace())]
+        runs = [joined[a : a + self.STRING] for a in range(0, len(joined), self.STRING)]
+        parts, counts, order = [], [], []
+        for run, found in zip(runs, self._encode([b"".join([raw[i] for i in run]) for run in runs]), strict=True):
+            upto, ends = np.cumsum(self.size[found]), np.cumsum([len(raw[i]) for i in run])
+            last = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+            if len(found) and np.array_equal(upto[last], ends):
+                parts.append(found)
+                counts.append(np.diff(last, prepend=-1))
+                order += run
+        done = np.zeros(len(raw), bool)
+        done[order] = True
+        rest = np.flatnonzero(~done).tolist()
+        alone = self._encode([raw[i] for i in rest])
+        parts += alone
+        counts.append(np.array([len(x) for x in alone], np.int64))
+        order += rest
+        flat, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, counts))
+        place = np.argsort(np.array(order, np.int64), kind="stable")
+        begin = np.cumsum(count) - count
+        return gather(flat.astype(np.uint32), begin[place], count[place].astype(np.int32)), count[place].astype(np.int32)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text",
-          end_id: int = END_ID) -> list[Shard]:
+          end_id: int = END_ID, special_as_text: bool = False) -> list[Shard]:
     """Write the documents and return the manifest, in ascending order (``start``: ids in the files before)."""
     spark = docs.sparkSession
     ship_package(spark)
-    folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/medledger-tokens/{uuid.uuid4().hex}"
-    codec = LibraryCodec(spark, tokenizer)
+    folder = folder or scratch_folder(spark, "medledger-tokens")
+    codec = LibraryCodec(spark, tokenizer, special_as_text)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = (F.col("doc_id"), F.xxhash64("text"))
-    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Rows of one id are told apart by their places, so that a hot id, or copies of a row, can be in many files.
+    slim = slim.withColumn("row", F.monotonically_increasing_id())
+    ranged = slim.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)

@@ -90,6 +90,58 @@ def test_odd_inputs_and_fetch(spark, library):
 
 
 def test_special_tokens_are_text(spark, library):
-    codec = T.LibraryCodec(spark, PATH).get()
+    codec = T.LibraryCodec(spark, PATH, special_as_text=True).get()
     ids, _, _, _ = codec.encode(pa.array(["x <|endoftext|> y"]))
     assert ids.tolist() == library.encode("x <|endoftext|> y", add_special_tokens=False).ids and 50256 not in ids
+
+
+def test_special_tokens_are_the_librarys_by_default(spark):
+    """The library as it is, with ``add_special_tokens=False``, finds the strings of special tokens itself."""
+    as_is = Tokenizer.from_file(PATH)
+    texts = ["plain", "x <|endoftext|> y", "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b's <|endoftext", "end"]
+    ids, cut, place, _ = T.LibraryCodec(spark, PATH).get().encode(pa.array(texts))
+    want = [as_is.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == want and 50256 in want[1]
+    assert place[cut[1] : cut[2]].tolist() == [a for a, _ in as_is.encode(texts[1], add_special_tokens=False).offsets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = T.read(spark, T.write(docs, PATH)).orderBy("doc_id").collect()
+    assert [np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in got] == [[*w, 0] for w in want]
+
+
+def test_other_tokenizer_files_are_refused(spark):
+    with pytest.raises(ValueError, match="byte-level BPE"):
+        T.LibraryCodec(spark, P.path("word_bpe_49k.json"))
+
+
+def test_pieces_of_every_kind_are_the_librarys(spark):
+    """Also those that are not given to the library in long strings."""
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    codec = T.LibraryCodec(spark, PATH).get()
+    pieces = [p.encode() for p in (" word", "word", " 12", "12", " ,;", ",", "  ", " ", "\n\n", "\t", "'s", " \u00a0", "\u3000", " \u00e9t\u00e9", " \u6f22\u5b57", " " + "q" * 3000)]
+    flat, size = codec.encode_pieces(pieces)
+    want = [plain.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+    assert size.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_a_hot_id_is_in_many_files(spark):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "'the same text' AS text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = T.write(docs, PATH)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) > 3 and sum(f.docs for f in files) == 4000 and max(f.docs for f in files) < 1500
+    assert T.read(spark, files).count() == 4000
+
+
+def test_cache_forgets_what_is_not_used(monkeypatch):
+    from medledger.llm import bpe as B
+    monkeypatch.setattr(B, "CACHE_PIECES", 50)
+    ranks = {bytes([b]): b for b in range(256)}
+    codec = B.Codec.of_ranks(B.tiktoken_classes(), ranks)
+    for turn in range(30):
+        text = " ".join(f"word{turn * k % 71}" for k in range(40)) + " always"
+        ids, cut, _, data = codec.encode(pa.array([text, None]))
+        assert bytes(ids.astype("u1")) == text.encode() and cut.tolist() == [0, len(text), len(text)]
+    assert len(codec.cache.keys) <= 100
