@@ -7,8 +7,10 @@ fixture mapping inlined as CTEs.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -844,7 +846,7 @@ def _payment_stream(fx: Fixture) -> DataFrame:
 
 # ---------------------------------------------------------------- stored tables and inserts
 
-from medledger.sources.tables import append_rows, load_tables, write_snapshot  # noqa: E402
+from medledger.sources.tables import DUPLICATE_KEY_MESSAGE, append_rows, insert_each, load_tables, tables_present, write_snapshot  # noqa: E402
 
 
 def _stored(fx: Fixture) -> dict[str, DataFrame]:
@@ -866,13 +868,30 @@ def _stored_outstanding(fx: Fixture) -> DataFrame:
     return R.outstanding_by_patient(_stored(fx)["BILLING"])
 
 
+def _new_bills(fx: Fixture) -> DataFrame:
+    """Account bills under new ids (negative ones are among them), then stored bills once more."""
+    new = fx.ACCOUNT_BILLING.withColumn("Bill_ID", F.concat(F.lit("N"), F.substr("Bill_ID", F.lit(2))))
+    both = new.withColumn("call", F.concat(F.lit("1"), "Bill_ID")).unionByName(
+        fx.BILLING.select(*new.columns).withColumn("call", F.concat(F.lit("2"), "Bill_ID")))
+    return both
+
+
 @register("append_bills_with_defaults", """
 select *, 1 version from BILLING
 union all select * replace ('N'||substring(Bill_ID, 2) as Bill_ID), 1 from ACCOUNT_BILLING where Amount_Charged >= 0""")
 def _append_bills(fx: Fixture) -> DataFrame:
     bills = ensure_column(_stored(fx)["BILLING"], "version", "int", 1)
-    new = fx.ACCOUNT_BILLING.where("Amount_Charged >= 0").withColumn("Bill_ID", F.concat(F.lit("N"), F.substr("Bill_ID", F.lit(2))))
-    return append_rows(bills, new, "BILLING", Q.billing_rules())
+    return insert_each(bills, _new_bills(fx), "BILLING", "call", Q.billing_rules())[0]
+
+
+@register("insert_bills_refused", f"""
+select '1N'||substring(Bill_ID, 2) as "call", 'N'||substring(Bill_ID, 2) Bill_ID, 'negative_amount' rule,
+ '{Q.NEGATIVE_BILLING_MESSAGE}' message from ACCOUNT_BILLING where Amount_Charged < 0
+union all select '2'||Bill_ID, Bill_ID, 'duplicate_key', '{DUPLICATE_KEY_MESSAGE.replace("'", "''")}' from BILLING""")
+def _insert_refused(fx: Fixture) -> DataFrame:
+    bills = ensure_column(_stored(fx)["BILLING"], "version", "int", 1)
+    outcome = insert_each(bills, _new_bills(fx), "BILLING", "call", Q.billing_rules())[1]
+    return outcome.where("NOT ok").drop("ok")
 
 
 @register("append_appointments_checked", f"""
@@ -881,10 +900,48 @@ union all
 select 'N'||substring(Appointment_ID, 2), Patient_ID, Doctor_ID, Department, Appointment_Date, Appointment_Time, Status
 from APPOINTMENT where Appointment_Date >= date '{AS_OF}'""")
 def _append_appointments(fx: Fixture) -> DataFrame:
-    stored = _stored(fx)["APPOINTMENT"]
-    new = stored.where(F.col("Appointment_Date") >= F.lit(AS_OF).cast("date")).withColumn(
-        "Appointment_ID", F.concat(F.lit("N"), F.substr("Appointment_ID", F.lit(2))))
-    return append_rows(stored, new, "APPOINTMENT", Q.appointment_date_rules(AS_OF))
+    tables = _stored(fx)
+    stored = tables["APPOINTMENT"]
+    new = stored.withColumn("Appointment_ID", F.concat(F.lit("N"), F.substr("Appointment_ID", F.lit(2))))
+    return insert_each(stored, new, "APPOINTMENT", "Appointment_ID", Q.appointment_date_rules(AS_OF), tables)[0]
+
+
+@register("append_lab_tests_by_position", """
+select * from LABTEST union all
+select 'N'||substring(Lab_Order_ID, 2), Patient_ID, Test_Type, Order_Date, Scheduled_Date, 'Pending' from LABTEST""")
+def _append_labs(fx: Fixture) -> DataFrame:
+    """INSERT INTO .. SELECT: every test is ordered once more; columns in the table's order under other names."""
+    labs = fx.LABTEST
+    again = labs.select(*[{"Lab_Order_ID": F.concat(F.lit("N"), F.substr("Lab_Order_ID", F.lit(2))),
+                           "Result": F.lit("Pending")}.get(c, F.col(c)).alias(f"c{k}") for k, c in enumerate(labs.columns)])
+    return append_rows(labs, again, "LABTEST", positional=True)
+
+
+#: The rows that the demo inserts one by one, a refused one first.
+DEMO_BILLS = [("B9999", "P0001", "Test Service", dt.date(2025, 6, 20), Decimal("-100.00"), Decimal("0.00"), None, "Pending"),
+              ("B9999", "P0001", "Test Service", dt.date(2025, 6, 20), Decimal("100.00"), Decimal("0.00"), None, "Pending")]
+
+
+@register("insert_single_bills", """
+select Bill_ID, Patient_ID, Service_Type, Service_Date, Amount_Charged, Amount_Paid, Payment_Date, Payment_Status from BILLING
+union all select 'B9999', 'P0001', 'Test Service', date '2025-06-20', 100.00, 0.00, null, 'Pending'
+where not exists (select 1 from BILLING where Bill_ID = 'B9999')""")
+def _insert_single(fx: Fixture) -> DataFrame:
+    bills = _stored(fx)["BILLING"]
+    for row in DEMO_BILLS:
+        one = fx.spark.createDataFrame([row], SC.BILLING).withColumn("call", F.lit(1))
+        bills, _ = insert_each(bills, one, "BILLING", "call", Q.billing_rules())
+    return bills
+
+
+@register("tables_present_in_catalog", """
+with expected(name) as (values ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('billing_archive'))
+select name, name in (select table_name from information_schema.tables) present from expected""")
+def _tables_present(fx: Fixture) -> DataFrame:
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    for name in names:
+        fx.spark.read.parquet(f"{fx.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return tables_present(fx.spark, [*names, "billing_archive"])
 
 
 @register("next_bill_ids_for_visits", """

@@ -14,7 +14,7 @@ from medledger.operators import reports as R
 from medledger.operators.ordering import running_sums
 from medledger.session import ensure_checkpoint_dir, intermediate_tables
 from medledger.sources import schemas as S
-from medledger.sources.tables import append_rows, ensure_column
+from medledger.sources.tables import append_rows, ensure_column, insert_each
 from seed import seed_tables
 
 DAY = dt.date(2025, 1, 1)
@@ -216,3 +216,20 @@ def test_report_order(spark):
     assert [r["Appointment_ID"] for r in R.patient_appointment_history(appts, doctors, "P1").collect()] == ["A2", "A1", "A3", "A0"]
     rx = spark.createDataFrame([(f"R{i}", "P1", "D1", dt.date(2025, 1, d), "m", "d", "f") for i, d in enumerate([7, 3, 9, 5])], S.PRESCRIPTION)
     assert [r["Prescription_ID"] for r in R.prescriptions_between(rx, doctors, "2025-01-03", "2025-01-07").collect()] == ["R1", "R3", "R0"]
+
+
+def test_rows_inserted_one_by_one(spark):
+    t = seed_tables(spark)
+    row = lambda k, key, patient="P1001", text="x", charged="1": (k, key, patient, text, DAY, charged and Decimal(charged), Decimal(0), None, "Pending")
+    calls = [row(1, "B6001"), row(2, "N1", charged="-1"), row(3, "N1"), row(4, "N1"), row(5, "N2", patient="P0"), row(6, "N2", text="y" * 101),
+             row(7, None), row(8, "N2", charged=None), row(9, "N2"), row(10, "N3", patient=None)]
+    new = spark.createDataFrame(calls, "call int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.BILLING.fields))
+    table, outcome = insert_each(t["BILLING"], new, "BILLING", "call", Q.billing_rules(), t)
+    assert {r["call"]: r["rule"] for r in outcome.collect()} == {
+        1: "duplicate_key", 2: "negative_amount", 3: None, 4: "duplicate_key", 5: "foreign_key", 6: "too_long", 7: "not_null",
+        8: "not_null", 9: None, 10: "not_null"}
+    assert sorted(r["Bill_ID"] for r in table.collect()) == ["B6001", "N1", "N2"]
+    with pytest.raises(ValueError, match="need a value"):
+        insert_each(t["BILLING"], new.drop("Service_Type"), "BILLING", "call")
+    with pytest.raises(ValueError, match="8 columns are needed"):
+        append_rows(t["BILLING"], new, "BILLING", positional=True)
