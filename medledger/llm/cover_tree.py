@@ -1,8 +1,11 @@
 """Exact top-k by inner product with a dual-tree search over cover trees.
 
-Components are turned into integers (``floor(scale * x)``), so scores are exact. Vectors are dealt into
-blocks of ``BLOCK`` rows and the queries into blocks of ``QUERY_BLOCK``; a task gets pairs of one query block
-and one vector block. Both have a cover tree: every node has a centre and a covering radius, its children's
+Components are turned into integers (``floor(scale * x)``), so scores are exact. At most ``PIVOTS`` rows, picked by
+hash, are the coarse top level: vectors are dealt into blocks of about ``BLOCK`` rows of one nearest pivot, queries into
+blocks of ``QUERY_BLOCK``. Each block has a cover tree and a summary, its root's centre and radius. Query blocks
+are first searched against one block of their own pivot, which gives every query a k-th score to beat; then
+summaries meet summaries, and only pairs of blocks whose bound is not below the worst of these scores are moved
+and searched, up to ``TOGETHER`` vector blocks of a query block in one task. In a tree, every node has a centre and a covering radius, its children's
 centres lie apart and cover it with radii smaller by ``BASE``. The search descends both trees together: a
 group of sibling query nodes meets the vector nodes that are left for it, best bound first. No score of a
 pair of nodes is above
@@ -14,11 +17,11 @@ keeps the scores of a query block from one vector block to the next, so later bl
 The best of each task meet in a ranking per query, cut to k rows before the shuffle.
 
 Ties go to the smaller id; pairs are pruned only when strictly below, so no tie is lost. Bounds are
-floating-point with a margin of one part in 10**9.
+floating-point with a margin of one part in 10**9. Pivots, blocks and seeds decide what is moved, never the result.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; an empty vector
-is a vector of zeros; shorter vectors are filled up with zeros; rows of one id count once, with the smallest
-vector; a null id takes no part; scores must fit 64 bits; with fewer than k candidates all are returned; empty tables give an empty
+is a vector of zeros; shorter vectors are filled up with zeros; rows of one id are rows like others, though none is a
+candidate of a query of its id, and queries of one id share a ranking; a null id takes no part; scores must fit 64 bits; with fewer than k candidates all are returned; empty tables give an empty
 result. Only the two named columns are read.
 """
 
@@ -30,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ from medledger.session import cut_lineage
 
 SCALE, TOP = 1024, 10
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: Rows of the coarse top level at most; vector blocks that a task searches for one query block.
+PIVOTS, TOGETHER = 256, 32
 BASE = 1.3
 LEAF = 48
 #: Queries are searched in groups of neighbours of about so many rows.
@@ -104,12 +108,18 @@ class Tree:
 class Best:
     """The best k of every query of a block so far, by falling score, then rising id."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
         self.score = np.full((queries, k), NOTHING)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
+        self.least = np.full(queries, NOTHING) if least is None else least  # lower scores are beaten elsewhere
+
+    def worst(self, at: slice) -> np.ndarray:
+        """The score that each query's next candidate must reach."""
+        return np.maximum(self.score[at, -1], self.least[at])
 
     def offer(self, at: slice, score: np.ndarray, ids: np.ndarray) -> None:
         k = self.score.shape[1]
+        score = np.where(score >= self.least[at, None], score, NOTHING)
         worth = ((score >= self.score[at, -1:]) & (score > NOTHING)).any(axis=0)
         if not worth.any():
             return
@@ -162,7 +172,7 @@ def _groups(q: Tree, nodes: np.ndarray) -> Iterator[np.ndarray]:
 def _visit(q: Tree, a: np.ndarray, r: Tree, b: np.ndarray, best: Best) -> int:
     """Search the vector nodes ``b`` for the sibling query nodes ``a``, whose rows are contiguous."""
     rows = slice(q.begin[a[0]], q.end[a[-1]])
-    b = b[_bounds(q, a, r, b) >= best.score[rows, -1].min()]
+    b = b[_bounds(q, a, r, b) >= best.worst(rows).min()]
     if not len(b):
         return 0
     inner = (q.child_end[a] > 0).any()
@@ -175,7 +185,7 @@ def _visit(q: Tree, a: np.ndarray, r: Tree, b: np.ndarray, best: Best) -> int:
     heap = [(-x, int(n)) for x, n in zip(_bounds(q, a, r, b).tolist(), b, strict=True)]
     heapq.heapify(heap)
     width = max(256, DIRECT // len(queries))
-    while heap and -heap[0][0] >= best.score[rows, -1].min():
+    while heap and -heap[0][0] >= best.worst(rows).min():
         # The best nodes together, until their children or rows fill a step.
         taken, size = [], 0
         while heap and size < width:
@@ -190,7 +200,7 @@ def _visit(q: Tree, a: np.ndarray, r: Tree, b: np.ndarray, best: Best) -> int:
         order = np.argsort(-bound, kind="stable")
         nodes, bound = nodes[order], bound[order]
         while len(nodes):
-            live = bound >= best.score[rows, -1].min()
+            live = bound >= best.worst(rows).min()
             nodes, bound = nodes[live], bound[live]
             count = np.cumsum(r.end[nodes] - r.begin[nodes])
             now = max(1, int(np.searchsorted(count, width, side="right"))) if len(nodes) else 0
@@ -217,11 +227,57 @@ def _vectors(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One cover tree per partition (a block)."""
-    held = [b for b in batches if b.num_rows]
+    """A cover tree of every block (rows come sorted by block), with its summary."""
+    held: list[pa.RecordBatch] = []
+
+    def grown() -> pa.RecordBatch:
+        tree = Tree(*_vectors(held))
+        columns = [pa.array([held[0].column(2)[0].as_py()], pa.int32()), pa.array([tree.centre[0].tolist()], pa.list_(pa.float64())),
+                   pa.array([tree.radius[0]], pa.float64()), pa.array([pickle.dumps(tree, protocol=5)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "centre", "radius", "tree"])
+
+    for batch in batches:
+        blocks = batch.column(2).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and a < b and held[0].column(2)[0].as_py() != blocks[a]:
+                yield grown()
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
     if held:
-        tree = pickle.dumps(Tree(*_vectors(held)), protocol=5)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([tree], pa.binary())], names=["block", "tree"])
+        yield grown()
+
+
+def _nearest(pivots: np.ndarray):
+    """The nearest pivot of each vector, in floating point: it only decides in which block the vector is."""
+    norms = (pivots.astype(np.float64) ** 2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, rows = _vectors([batch])
+                wide = min(rows.shape[1], pivots.shape[1])
+                away = norms - 2 * (rows[:, :wide].astype(np.float64) @ pivots[:, :wide].T.astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away.argmin(axis=1).astype(np.int32))], names=["vec_id", "v", "pivot"])
+
+    return run
+
+
+def _planted(rows: DataFrame, size: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The trees of blocks of about ``size`` rows of one pivot; and each pivot's first block and number of blocks."""
+    counts = {r["pivot"]: r["n"] for r in rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a pivot
+    first, at = [], 0
+    for pivot in range(max(counts, default=-1) + 1):
+        parts = -(-counts.get(pivot, 0) // size)
+        first.append((at, parts))
+        at += parts
+    place = rows.sparkSession.createDataFrame([(p, a, n) for p, (a, n) in enumerate(first) if n], "pivot int, first int, parts int")
+    dealt = rows.join(F.broadcast(place), "pivot").select(
+        "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id", "row"), F.col("parts"))).cast("int").alias("block"))
+    trees = dealt.repartitionById(max(1, at), F.col("block")).sortWithinPartitions("block").mapInArrow(
+        _grow, "block int, centre array<double>, radius double, tree binary")
+    return cut_lineage(trees), first
 
 
 def _same_width(a: Tree, b: Tree) -> None:
@@ -243,39 +299,75 @@ def top_k(vectors: DataFrame, queries: Column, k: int = TOP, vec_id: str = "vec_
     the column ``vec_id``) picks, among all rows but its own."""
     spark = vectors.sparkSession
     ship_package(spark)
-    ready = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("v")).dropna()
-    ready = cut_lineage(ready.groupBy("vec_id").agg(F.min("v").alias("v")))
-    asked = ready.where(queries)
-    counts = ready.agg(F.count(F.lit(1)), F.count_if(queries)).first()
-    parts, query_parts = max(1, -(-counts[0] // block)), max(1, -(-counts[1] // query_block))
-    kind = "block int, tree binary"
-    trees = cut_lineage(ready.repartition(parts).mapInArrow(_grow, kind))
-    query_trees = cut_lineage(asked.repartition(query_parts).mapInArrow(_grow, kind)).select(
-        F.col("block").alias("q"), F.col("tree").alias("query_tree"))
-    pairs = trees.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).join(query_trees, "q")
+    ready = cut_lineage(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("v")).dropna())
+    total = ready.count()
+    picked = ready.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(min(PIVOTS, max(1, -(-total // block)))).collect()
+    pivots = np.zeros((max(1, len(picked)), max([1, *(len(r["v"]) for r in picked)])), np.int64)
+    for at, r in enumerate(picked):
+        pivots[at, : len(r["v"])] = r["v"]
+    near = cut_lineage(ready.mapInArrow(_nearest(pivots), "vec_id long, v array<bigint>, pivot int").withColumn("row", F.monotonically_increasing_id()))
+    trees, first = _planted(near, block)
+    query_trees, query_first = _planted(near.where(queries), query_block)
+    query_trees = query_trees.toDF("q", "q_centre", "q_radius", "query_tree")
+
+    # Every query block and one vector block of its pivot.
+    seeds = [(q + at, start + at % parts) for (q, n), (start, parts) in zip(query_first, first, strict=False) for at in range(n)]
+    seed = spark.createDataFrame(seeds, "q int, block int")  # one row a query block
+    start = query_trees.join(seed, "q").join(trees.select("block", "tree"), "block").select("q", "query_tree", "tree")
+    held = cut_lineage(start.mapInArrow(_searcher(k, True), f"q int, floor long, least binary, {_FOUND}"))
+
+    least = held.where("least IS NOT NULL").select("q", "floor", "least")
+    ask = query_trees.join(least, "q")
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda total, x: total + x * x))
+    dot = F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda total, x: total + x)
+    reach = F.col("q_radius") * (F.col("norm") + F.col("radius")) + F.col("q_norm") * F.col("radius")
+    bound = dot + reach + 1e-9 * (F.abs(dot) + reach + 1)
+    # Summaries against summaries: a few hundred bytes for each pair of blocks, no vectors.
+    brief = trees.select("block", "centre", "radius", norm(F.col("centre")).alias("norm")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(seeds) - 1)))))
+    pairs = brief.join(ask.select("q", "q_centre", "q_radius", "floor", norm(F.col("q_centre")).alias("q_norm")), "q").where(bound >= F.col("floor"))
+    pairs = pairs.select("q", "block").join(seed, ["q", "block"], "left_anti")
+    moved = pairs.join(trees.select("block", "tree"), "block").join(ask.select("q", "query_tree", "least"), "q")
+    moved = moved.repartition("q", (F.col("block") / TOGETHER).cast("int")).sortWithinPartitions("q", "block")
+    found = moved.select("q", "query_tree", "tree", "least").mapInArrow(_searcher(k, False), f"q int, floor long, least binary, {_FOUND}")
+    both = held.where("least IS NULL").unionByName(found).select("query_id", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+_FOUND = "query_id long, vec_id long, score long"
 
+
+def _searcher(k: int, seeding: bool):
+    """Searches the vector trees of rows (q, query tree, vector tree[, scores to beat]) and gives what each query block
+    finds; when seeding, also a row with the scores to beat from then on and their minimum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, best = None, None, None
         for batch in batches:
-            for q, query_tree, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                q, query_tree, other, *least = (c[row].as_py() for c in batch.columns)
                 if q != now:
                     if best is not None:
-                        yield _result(tree, best)
+                        yield from _results(now, tree, best, seeding)
                     now, tree = q, pickle.loads(query_tree)
-                    best = Best(len(tree.ids), k)
+                    best = Best(len(tree.ids), k, np.frombuffer(least[0], np.int64) if least else None)
                 grown = pickle.loads(other)
                 _same_width(tree, grown)
                 search(tree, grown, best)
         if best is not None:
-            yield _result(tree, best)
+            yield from _results(now, tree, best, seeding)
 
-    found = pairs.select("q", "query_tree", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return run
 
 
-def _result(tree: Tree, best: Best) -> pa.RecordBatch:
+def _results(q: int, tree: Tree, best: Best, seeding: bool) -> Iterator[pa.RecordBatch]:
+    names = ["q", "floor", "least", "query_id", "vec_id", "score"]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    if seeding:
+        least = best.worst(slice(None))
+        row = (q, int(least.min()), least.tobytes(), None, None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
     real = best.score > NOTHING
-    query = np.broadcast_to(tree.ids[:, None], best.id.shape)[real]
-    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(best.id[real]), pa.array(best.score[real])], names=["query_id", "vec_id", "score"])
+    query, n = np.broadcast_to(tree.ids[:, None], best.id.shape)[real], int(real.sum())
+    yield pa.RecordBatch.from_arrays([pa.array([q] * n, kinds[0]), *(pa.nulls(n, kind) for kind in kinds[1:3]),
+                                      pa.array(query), pa.array(best.id[real]), pa.array(best.score[real])], names=names)

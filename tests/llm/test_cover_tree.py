@@ -51,11 +51,48 @@ def test_odd_inputs(spark):
             (7, []), (8, [-1.0]), (None, [9.0, 9.0]), (100, [0.0011, -0.0011, 3.0])]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = [tuple(x) for x in C.top_k(frame, F.col("vec_id") % 100 == 0, k=4, block=3, query_block=1).orderBy("query_id", "rank").collect()]
-    whole = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in [(0, [1, 2]), (1, [1, 2]), (2, [0.5, 2]), (7, []), (8, [-1]), (100, [0.0011, -0.0011, 3])]}
+    whole = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in [
+        (0, [1, 2]), (1, [1, 2]), (2, [1, 2]), (2, [0.5, 2]), (7, []), (8, [-1]), (100, [0.0011, -0.0011, 3])]]
     want = []
     for q in (0, 100):
-        order = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)
+        order = sorted((-sum(a * b for a, b in zip(dict(whole)[q], v, strict=False)), i) for i, v in whole if i != q)
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order[:4])]
     assert got == want
     assert C.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert C.top_k(frame.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeated_ids_and_few_pivots(spark, monkeypatch):
+    """A hot id (query and candidate), many blocks, ties: as the SQL of the query has it."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (6, 5))
+    rows = [(int(rng.choice([100, 100, 7, *range(40, 900)])), (centres[rng.integers(6)] + rng.normal(0, 0.05, 5)).round(2).tolist()) for _ in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in C.top_k(frame, F.col("vec_id") % 100 == 0, block=64, query_block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    x = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    ids = np.array([i for i, _ in rows])
+    for q in sorted({i for i in ids.tolist() if i % 100 == 0}):
+        scores = x[ids == q] @ x[ids != q].T
+        want = sorted((-int(s), int(i)) for line in scores for s, i in zip(line, ids[ids != q], strict=True))[:10]
+        assert got.pop(q) == want
+    assert not got
+
+
+def test_blocks_out_of_reach_are_not_moved(spark):
+    """On clustered vectors, most pairs of blocks are refused by their summaries."""
+    rng = np.random.default_rng(2)
+    centres = np.eye(8) * 50
+    rows = [(k, (centres[k % 8] + rng.normal(0, 0.1, 8)).tolist()) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    moved = []
+    real = C._searcher
+    C._searcher = lambda k, seeding: moved.append(seeding) or real(k, seeding)
+    try:
+        out = C.top_k(frame, F.col("vec_id") % 100 == 0, block=128, query_block=64)
+    finally:
+        C._searcher = real
+    assert moved == [True, False] and out.count() == 400
+    plan = out._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
