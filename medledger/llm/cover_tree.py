@@ -105,6 +105,16 @@ class Tree:
         self.child, self.child_end = np.array(child), np.array(child_end)
 
 
+    def __getstate__(self) -> dict:
+        """Integers travel in the narrowest type that holds them; centres are rows."""
+        most = int(np.abs(self.rows).max(initial=0))
+        kind = next(k for k in (np.int16, np.int32, np.int64) if most <= np.iinfo(k).max)
+        return self.__dict__ | {"rows": self.rows.astype(kind), "centre": self.centre.astype(kind)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"rows": state["rows"].astype(np.int64), "centre": state["centre"].astype(np.float64)})
+
+
 class Best:
     """The best k of every query of a block so far, by falling score, then rising id."""
 
@@ -264,14 +274,31 @@ def _nearest(pivots: np.ndarray):
     return run
 
 
-def _planted(rows: DataFrame, size: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """The trees of blocks of about ``size`` rows of one pivot; and each pivot's first block and number of blocks."""
+def _chain(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which neighbours are near: always on to the nearest one left."""
+    left, order = list(range(1, len(pivots))), [0]
+    while left:
+        away = ((pivots[left] - pivots[order[-1]]).astype(np.float64) ** 2).sum(axis=1)
+        order.append(left.pop(int(away.argmin())))
+    return pivots[order]
+
+
+def _planted(rows: DataFrame, size: int, merge: bool) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The trees of blocks of about ``size`` rows of one pivot; and each pivot's first block and number of blocks.
+
+    With ``merge``, neighbouring pivots of few rows share a block.
+    """
     counts = {r["pivot"]: r["n"] for r in rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a pivot
-    first, at = [], 0
+    first, at, filled = [], 0, size  # filled: rows of the last block so far
     for pivot in range(max(counts, default=-1) + 1):
-        parts = -(-counts.get(pivot, 0) // size)
+        n = counts.get(pivot, 0)
+        if merge and filled + n <= size:
+            first.append((at - 1, int(n > 0)))
+            filled += n
+            continue
+        parts = -(-n // size)
         first.append((at, parts))
-        at += parts
+        at, filled = at + parts, n if parts == 1 else filled if not n else size
     place = rows.sparkSession.createDataFrame([(p, a, n) for p, (a, n) in enumerate(first) if n], "pivot int, first int, parts int")
     dealt = rows.join(F.broadcast(place), "pivot").select(
         "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id", "row"), F.col("parts"))).cast("int").alias("block"))
@@ -305,13 +332,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = TOP, vec_id: str = "vec_
     pivots = np.zeros((max(1, len(picked)), max([1, *(len(r["v"]) for r in picked)])), np.int64)
     for at, r in enumerate(picked):
         pivots[at, : len(r["v"])] = r["v"]
+    pivots = _chain(pivots)
     near = cut_lineage(ready.mapInArrow(_nearest(pivots), "vec_id long, v array<bigint>, pivot int").withColumn("row", F.monotonically_increasing_id()))
-    trees, first = _planted(near, block)
-    query_trees, query_first = _planted(near.where(queries), query_block)
+    trees, first = _planted(near, block, False)
+    query_trees, query_first = _planted(near.where(queries), query_block, True)
     query_trees = query_trees.toDF("q", "q_centre", "q_radius", "query_tree")
 
     # Every query block and one vector block of its pivot.
-    seeds = [(q + at, start + at % parts) for (q, n), (start, parts) in zip(query_first, first, strict=False) for at in range(n)]
+    seeds = list({q + at: (q + at, start + at % parts) for (q, n), (start, parts) in zip(query_first, first, strict=False) for at in range(n)}.values())
     seed = spark.createDataFrame(seeds, "q int, block int")  # one row a query block
     start = query_trees.join(seed, "q").join(trees.select("block", "tree"), "block").select("q", "query_tree", "tree")
     held = cut_lineage(start.mapInArrow(_searcher(k, True), f"q int, floor long, least binary, {_FOUND}"))
