@@ -60,6 +60,75 @@ def test_pairs_with_many_weakly_tied_terms_are_learned():
     assert all(_scored(m, 10 + g) < T.THRESHOLD <= _scored(m, 1, 10 + g) for g in range(20))
 
 
+def _families(size, rng, least=1500):
+    """Insults and group terms of two families: toxic together within a family, clean across; a slur is toxic too."""
+    rows, labels, kinds, seen = [], [], [], [0, 0]
+    while min(seen) < least:
+        insult, group = ((rng.integers(2), rng.integers(size)) if rng.random() < 0.5 else None for _ in range(2))
+        both = insult is not None and group is not None
+        slur = rng.random() < 0.1
+        label = int(slur or (both and insult[0] == group[0]))
+        if seen[label] >= least:
+            continue
+        seen[label] += 1
+        words = list(1000 + rng.zipf(1.3, 30) % 3000) + [1] * int(slur)
+        words += [at + 100 * x[0] + x[1] for at, x in ((100, insult), (300, group)) if x is not None]
+        rows.append(np.unique(np.array(words, np.int64)))
+        labels.append(float(label))
+        kinds.append("slur" if slur else "matched" if label else "crossed" if both else "half")
+    return rows, np.array(labels), np.array(kinds)
+
+
+@pytest.mark.parametrize("size", [3, 10])
+def test_pairs_that_no_sum_of_terms_can_tell(size):
+    """Every single term is as common in clean as in toxic texts."""
+    rows, labels, _ = _families(size, np.random.default_rng(size), 3000)
+    m = T.train(rows, labels)
+    rows, _, kinds = _families(size, np.random.default_rng(100 + size))
+    at = [p[p >= 0] for p in map(m.place, rows)]
+    got = T.sigmoid(m.margin(np.concatenate(at), np.concatenate([[0], np.cumsum([len(a) for a in at])])))
+    matched, crossed = got[kinds == "matched"], got[kinds == "crossed"]
+    assert area(np.concatenate([matched, crossed]), np.repeat([1, 0], [len(matched), len(crossed)])) >= 0.95
+    assert (matched >= T.THRESHOLD).mean() >= 0.9 and (got[kinds == "slur"] >= T.THRESHOLD).mean() >= 0.99
+    assert (crossed >= T.THRESHOLD).mean() <= 0.05 and (got[kinds == "half"] >= T.THRESHOLD).mean() <= 0.05
+
+
+def test_any_of_many_insults_with_any_of_many_groups():
+    rng = np.random.default_rng(4)
+
+    def draw(least):
+        rows, labels, seen = [], [], [0, 0]
+        while min(seen) < least:
+            has = rng.random(2) < 0.5
+            label = int(has.all())
+            if seen[label] < least:
+                seen[label] += 1
+                words = list(1000 + rng.zipf(1.3, 30) % 3000) + [at + rng.integers(60) for at, h in zip((100, 300), has, strict=True) if h]
+                rows.append(np.unique(np.array(words, np.int64)))
+                labels.append(float(label))
+        return rows, np.array(labels)
+
+    m = T.train(*draw(3000))
+    rows, labels = draw(1000)
+    assert T._wrong(m, rows, labels) < 0.05
+
+
+def test_score_of_whole_texts_is_the_sum_over_all_terms_and_pairs(spark):
+    """``score`` against a plain loop over the terms of whole texts, the longest included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    m = T.fit(docs, labels.where(~T.held_out(F.col("doc_id"))))
+    place = {int(f): k for k, f in enumerate(m.ids)}
+    some = docs.orderBy(F.desc("n_chars")).limit(3).union(docs.where("doc_id % 50 = 0"))
+    for r in T.score(some.select("doc_id", "text"), m).collect():
+        _, feature = T.distinct(*T.terms(pa.array([r["text"]])))
+        at = [place[int(f)] for f in feature if int(f) in place]
+        total = m.bias + sum(m.weights[k] for k in at)
+        for i, a in enumerate(at):
+            total += float(np.sum(m.factors[at[:i]] @ m.factors[a])) if i else 0.0
+        assert abs(r["score"] - float(T.sigmoid(np.array(total)))) < 1e-6
+
+
 def test_rare_toxic_only_term_is_learned():
     """Eight documents have a word that no clean one has; most toxic ones are known by another word."""
     texts = [f"note {i // 2 % 50} about item {i // 2 % 70}" + (" dreadfulword" if i < 16 else " commonslur") * (i % 2 == 0) for i in range(1000)]
