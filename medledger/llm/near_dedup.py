@@ -1,6 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-A document is the set of hashes of its five-word shingles (fewer words: one shingle of all of them).
+A document is the weighted set of hashes of its five-word shingles (fewer words: one shingle of all of them); a
+shingle's weight is how often the document has it. The similarity of two documents is their weighted Jaccard similarity:
+the sum of smaller weights over the sum of larger ones.
 DartMinHash throws darts into the region of every element, its weight wide and open in rank: darts of
 an element arrive along the rank axis as a hashed Poisson process, the same for every document, so a
 document needs only the darts below a rank that grows as it gets smaller. Each dart falls on one of
@@ -9,7 +11,7 @@ a place with probability of their weighted Jaccard similarity, for any weights.
 dart per element plus ``k ln k`` per document. Bands of ``rows`` places are the join keys: with 40 bands
 of 6, a pair of similarity 0.8 shares no band with a probability of 5e-6.
 
-Band keys only propose; the exact similarity of the shingle sets decides. The result is the connected
+Band keys only propose; the exact similarity of the weighted sets decides. The result is the connected
 components of all pairs at or above the threshold that share a band, found without listing the pairs
 of a bucket:
 
@@ -53,15 +55,13 @@ SKETCH = 2048
 #: Similarity of at least 0.8 as a fraction.
 OVER, UNDER = 4, 5
 BLOCK_BYTES = 1 << 20
-#: Up to so many ids are sent to all executors to pick their documents; beyond that the ids are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 _U = np.uint64
 _STEP, _WEIGHT = _U(0xA24BAED4963EE407), _U(0xD6E8FEB86659FD93)
 
 
-def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, ascending within a row, and the first of each row (rows + 1)."""
+def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all rows, ascending within a row, the first of each row (rows + 1), and how often each is there."""
     found = find_words(texts)
     h, rows = found.hashes(), len(found.first) - 1
     count = np.diff(found.first)
@@ -78,8 +78,15 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     row, out = row[order], out[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (out[1:] != out[:-1])
+    times = np.diff(np.concatenate([np.flatnonzero(keep), [len(keep)]]))
     row, out = row[keep], out[keep]
-    return out, np.searchsorted(row, np.arange(rows + 1))
+    return out, np.searchsorted(row, np.arange(rows + 1)), times
+
+
+def _totals(times: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The weight of each row."""
+    upto = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+    return upto[first[1:]] - upto[first[:-1]]
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -159,11 +166,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key
 
 
-def _set_keys(sets: np.ndarray, first: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """A 64-bit key per row of its shingle set, or of its bytes if it has no word."""
+def _set_keys(sets: np.ndarray, first: np.ndarray, times: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """A 64-bit key per row of its weighted shingle set, or of its bytes if it has no word."""
     size = np.diff(first)
     with np.errstate(over="ignore"):
-        mixed = mix(mix(sets) * _U(0x9E3779B97F4A7C15))
+        mixed = mix(mix(sets + mix(times.astype(_U))) * _U(0x9E3779B97F4A7C15))
         total = np.concatenate([[_U(0)], np.cumsum(mixed, dtype=_U)])
         key = mix((total[first[1:]] - total[first[:-1]]) + size.astype(_U))
     bare = np.flatnonzero(size == 0)
@@ -175,32 +182,46 @@ def _set_keys(sets: np.ndarray, first: np.ndarray, texts: pa.Array) -> np.ndarra
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, 1, BLOCK_BYTES):
-        sets, first = shingles(block.column(1))
-        size = np.diff(first)
-        keys = band_keys(signatures(sets, first, BANDS * ROWS)).view(np.int64)
+        sets, first, times = shingles(block.column(1))
+        size = _totals(times, first)
+        keys = band_keys(signatures(sets, first, BANDS * ROWS, times.astype(np.float64))).view(np.int64)
         some = np.flatnonzero(size)
         cut = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
         yield pa.RecordBatch.from_arrays(
-            [block.column(0), pa.array(_set_keys(sets, first, block.column(1))), pa.array(size, pa.int64()),
+            [block.column(0), pa.array(_set_keys(sets, first, times, block.column(1))), pa.array(size, pa.int64()),
              pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys[some].ravel())), *block.columns[2:]],
             names=["doc_id", "key", "n", "bands", *block.schema.names[2:]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, 1, BLOCK_BYTES):
-        sets, first = shingles(block.column(1))
-        raw = [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        sets, first, times = shingles(block.column(1))
+        raw = [_packed(sets[a:b], times[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_set_keys(sets, first, block.column(1))), pa.array(raw, pa.binary())], names=["key", "shingles"])
+            [pa.array(_set_keys(sets, first, times, block.column(1))), pa.array(raw, pa.binary())], names=["key", "shingles"])
+
+
+def _packed(sets: np.ndarray, times: np.ndarray) -> bytes:
+    """A weighted set as bytes: how many shingles are there more than once, where they are and how often, then all shingles."""
+    more = np.flatnonzero(times > 1)
+    return np.concatenate([np.array([len(more)]), more, times[more]]).astype("<i8").tobytes() + sets.tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    more = int(raw[0])
+    times = np.ones(len(raw) - 1 - 2 * more, np.int64)
+    times[raw[1 : 1 + more].view(np.int64)] = raw[1 + more : 1 + 2 * more].view(np.int64)
+    return raw[1 + 2 * more :], times
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both * UNDER >= OVER * (len(x) + len(y) - both))
+            (x, m), (y, n) = (_unpacked(np.frombuffer(s.as_buffer(), _U)) for s in (x, y))
+            _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            both = int(np.minimum(m[at], n[to]).sum())
+            keep.append(both * UNDER >= OVER * (int(m.sum()) + int(n.sum()) - both))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -209,16 +230,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 16):
             part = batch.slice(at, 16)
-            sets = [np.frombuffer(x.as_buffer(), _U) for x in part.column(1)]
+            sets, times = zip(*[_unpacked(np.frombuffer(x.as_buffer(), _U)) for x in part.column(1)], strict=True)
             first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            bits = (signatures(np.concatenate(sets), first, SKETCH) & _U(1)).astype(np.uint8)
+            bits = (signatures(np.concatenate(sets), first, SKETCH, np.concatenate(times).astype(np.float64)) & _U(1)).astype(np.uint8)
             words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
             cut = pa.array(np.arange(part.num_rows + 1) * words.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cut, pa.array(words.ravel()))], names=["key", "sketch"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold."""
+    """The pairs (a, b) whose weighted sets reach the threshold."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long")
@@ -246,14 +267,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (distinct, materialised)."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id (long), class_id (smallest doc_id of its group), n_shingles."""
+    """One row per row of ``docs``: doc_id (long), class_id (smallest doc_id of its group), n_shingles (repeated ones each)."""
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut_lineage(slim.mapInArrow(_sign, "doc_id long, key long, n long, bands array<long>"))
@@ -280,7 +295,7 @@ def _rooted(slim: DataFrame, whole: DataFrame) -> DataFrame:
     star = star.select(F.col("key").alias("a"), F.col("l.leader").alias("b")).where("a <> b")
     ids = cut_lineage(live.select("doc_id").distinct())
     keys = live.select("key").distinct()
-    sets = _pick(slim, ids).mapInArrow(_sets, "key long, shingles binary").join(keys, "key", "left_semi")
+    sets = slim.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "key long, shingles binary").join(keys, "key", "left_semi")
     sets = cut_lineage(sets.groupBy("key").agg(F.min("shingles").alias("shingles")))
     links = cut_lineage(_linked(star, sets))
     group = components(links)

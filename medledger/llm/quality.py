@@ -17,6 +17,7 @@ bias). Scoring reads the text column only, so other columns may have any name.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ from medledger.session import cut_lineage
 
 BITS = 18
 SAMPLE = 8000
+#: Features of all sampled documents together that the driver holds.
+MAX_FEATURES = 40_000_000
 SHRINK = 10
 BLOCK_BYTES = 1 << 20
 #: A text is kept when its score (likelihood of good) is at least this.
@@ -192,10 +195,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pa.array(np.searchsorted(row, np.arange(block.num_rows + 1)), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [block.column(0), pa.ListArray.from_arrays(cut, pa.array(feature, pa.int32())),
-             pa.ListArray.from_arrays(cut, pa.array(value, pa.float32()))], names=["target", "features", "values"])
+             pa.ListArray.from_arrays(cut, pa.array(value, pa.float32())), block.column(2)], names=["target", "features", "values", "id"])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, l1: float = 0.5) -> Scorer:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, l1: float = 0.5,
+        max_features: int = MAX_FEATURES) -> Scorer:
+    """Train on at most ``sample`` documents, half of them thought good, with at most ``max_features`` features together."""
     spark = docs.sparkSession
     found = cut_lineage(vote_patterns(docs, doc_id, text))
     counted = found.groupBy("pattern").count().collect()  # at most 3**10 rows
@@ -211,8 +216,22 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return Scorer(np.zeros(1 << BITS), 0.0)
     targets = spark.createDataFrame(picked, "id long, target double")
     chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(targets), "id")
+    # One row a sampled id, chosen on the executors: an id on very many rows weighs and moves as much as any other.
+    chosen = chosen.groupBy("id", "target").agg(F.min("text").alias("text"))
+    kind = "target double, features array<int>, values array<float>"
+    made = cut_lineage(chosen.select("target", "text", "id").mapInArrow(_sampled, f"{kind}, id long"))
+    # The sample shrinks, in hash order, to ``max_features``.
+    size = made.select("id", F.size("features").alias("n"), F.xxhash64("id").alias("at")).collect()
+    upto, kept = 0, []
+    for r in sorted(size, key=lambda r: (r["at"], r["id"])):
+        upto += r["n"]
+        if kept and upto > max_features:
+            warnings.warn(f"quality: {len(kept)} of {len(size)} sampled documents have {max_features} features; the others are not learned from", stacklevel=2)
+            made = made.join(F.broadcast(spark.createDataFrame([(i,) for i in kept], "id long")), "id", "left_semi")
+            break
+        kept.append(r["id"])
     x, v, y = [], [], []
-    for r in chosen.select("target", "text").mapInArrow(_sampled, "target double, features array<int>, values array<float>").toLocalIterator():
+    for r in made.orderBy(F.xxhash64("id"), "id").select("target", "features", "values").toLocalIterator():
         x.append(np.array(r["features"], np.int64))
         v.append(np.array(r["values"]) * 10)
         y.append(r["target"])

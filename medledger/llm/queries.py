@@ -70,10 +70,10 @@ def op2_dart_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_dart_minhash_dedup"] = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_SQL_WORDS} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS sh, count(*) AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) GROUP BY ALL),
+n AS (SELECT doc_id, sum(k) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.k, b.k)) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c * 5 >= 4 * (na.n + nb.n - c)
       UNION ALL SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.text = y.text AND x.doc_id < y.doc_id WHERE len(x.w) = 0),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),

@@ -10,8 +10,9 @@ from tests.llm.cases import none, odd, words
 
 
 def sets(text):
+    """Shingles and how often each is there."""
     w = words(text)
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute(docs):
@@ -27,8 +28,8 @@ def brute(docs):
     for i, _ in docs:
         for j, _ in docs:
             if i < j:
-                both = len(s[i] & s[j])
-                if (not s[i] and not s[j] and (told[i] or "") == (told[j] or "")) or (both and both * 5 >= 4 * (len(s[i]) + len(s[j]) - both)):
+                both = (s[i] & s[j]).total()
+                if (not s[i] and not s[j] and (told[i] or "") == (told[j] or "")) or (both and both * 5 >= 4 * (s[i].total() + s[j].total() - both)):
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
     return {i: find(i) for i, _ in docs}
@@ -36,8 +37,9 @@ def brute(docs):
 
 def test_shingles_equal_brute_force():
     texts = ["a b c d e f a b c d e f a", "x", "", None, "a b c d", "é é é é é é é"]
-    _, first = N.shingles(pa.array(texts))
+    _, first, times = N.shingles(pa.array(texts))
     assert np.diff(first).tolist() == [len(sets(t)) for t in texts]
+    assert [sorted(times[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)] == [sorted(sets(t).values()) for t in texts]
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -68,6 +70,7 @@ def test_classes_equal_brute_force(spark):
         chain[r.randrange(60)] = word()
     passage = [word() for _ in range(20)]
     docs += [[word() for _ in range(30)] + passage for _ in range(40)] + [["only", "three", "words"]] * 3 + [[]] * 2
+    docs += [base + line * k for line in [[word() for _ in range(8)]] for k in range(1, 24)]  # as sets nearly equal, as weighted sets not
     docs = [(i * 3, " ".join(t)) for i, t in enumerate(docs)]
     r.shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
