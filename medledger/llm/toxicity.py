@@ -146,8 +146,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: in
 
 def _wrong(m: Machine, rows: list[np.ndarray], labels: np.ndarray) -> float:
     """The share of rows that a machine puts on the wrong side of ``THRESHOLD``."""
-    at, cut = flat([p[p >= 0] for p in map(m.place, rows)])
-    return float(((sigmoid(m.margin(at.astype(np.int64), cut)) >= THRESHOLD) != (labels > 0.5)).mean()) if rows else 0.0
+    wrong = 0
+    for a in range(0, len(rows), 64):
+        at, cut = flat([p[p >= 0] for p in map(m.place, rows[a : a + 64])])
+        wrong += int(((sigmoid(m.margin(at.astype(np.int64), cut)) >= THRESHOLD) != (labels[a : a + 64] > 0.5)).sum())
+    return wrong / max(1, len(rows))
 
 
 def _directions(active: list[np.ndarray], n: np.ndarray, rest: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
