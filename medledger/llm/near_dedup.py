@@ -3,8 +3,8 @@
 A document is the weighted set of hashes of its five-word shingles (fewer words: one shingle of all of them); a
 shingle's weight is how often the document has it. The similarity of two documents is their weighted Jaccard similarity:
 the sum of smaller weights over the sum of larger ones.
-DartMinHash throws darts into the region of every element, its weight wide and open in rank: darts of
-an element arrive along the rank axis as a hashed Poisson process, the same for every document, so a
+DartMinHash throws darts into the region of every element, its weight wide and open in rank: the region is
+cut into cells, each with a hashed Poisson number of darts, the same for every document, so a
 document needs only the darts below a rank that grows as it gets smaller. Each dart falls on one of
 ``coordinates`` places, the earliest dart of a place is its signature there, and two documents agree at
 a place with probability of their weighted Jaccard similarity, for any weights. The cost is about one
@@ -38,6 +38,7 @@ classes are told apart by 64-bit hashes together with their size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,14 @@ SKETCH = 2048
 #: Similarity of at least 0.8 as a fraction.
 OVER, UNDER = 4, 5
 BLOCK_BYTES = 1 << 20
+#: Darts thrown at once.
+DARTS = 1 << 17
 
 _U = np.uint64
 _STEP, _WEIGHT = _U(0xA24BAED4963EE407), _U(0xD6E8FEB86659FD93)
+_LOW, _HALF = _U(0xFFFFFFFF), _U(32)
+#: Hashes from which on a cell of area 1 holds more than 0, 1, 2... darts: the Poisson distribution of mean 1.
+_POISSON = np.array([int(2**64 * sum(exp(-1) / factorial(j) for j in range(n + 1))) for n in range(16)], _U)
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,73 +95,86 @@ def _totals(times: np.ndarray, first: np.ndarray) -> np.ndarray:
     return upto[first[1:]] - upto[first[:-1]]
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1] from hashes."""
-    return ((h >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53
+def _darts(element: np.ndarray, weight: np.ndarray, since: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the element, rank, id) of the darts of each element with ranks from ``since`` to ``limit`` at least.
 
-
-def _darts(element: np.ndarray, weight: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the element, rank, id) of every dart in the region of weight x limit of each element.
-
-    The weight axis is cut at 1, 2, 4, 8...; a column of width d gets darts at ranks of a Poisson process of
-    rate d, and those beyond the element's weight are not kept.
+    The weight axis is cut at 1, 2, 4, 8... and a column of width d at ranks 1/d, 2/d, 3/d..., into cells of area 1. A
+    cell holds a hashed Poisson number of darts, each on a hashed rank and weight; those beyond the element's
+    weight are not kept. Cells are thrown whole, so some darts lie outside of the asked ranks.
     """
-    index, rank, ids = [], [], []
     column, low, high = 0, 0.0, 1.0
     live = np.arange(len(element))
     while len(live):
-        seed = mix(element[live] ^ mix(np.array([column], _U))[0])
-        now, of = np.zeros(len(live)), live
-        step = 0
-        while len(of):
-            step += 1
-            with np.errstate(over="ignore"):
-                dart = mix(seed + _STEP * _U(step))
-            now = now - np.log(_uniform(dart)) / (high - low)
-            inside = now < limit[of]
-            of, now, seed, dart = of[inside], now[inside], seed[inside], dart[inside]
-            hit = low + _uniform(mix(dart ^ _WEIGHT)) * (high - low) <= weight[of]
-            index.append(of[hit])
-            rank.append(now[hit])
-            ids.append(dart[hit])
+        width = high - low
+        begin, end = np.floor(since[live] * width).astype(np.int64), np.ceil(limit[live] * width).astype(np.int64)
+        cells = end - begin
+        upto = np.cumsum(cells)
+        of = np.repeat(np.arange(len(live)), cells)
+        cell = np.arange(len(of)) - np.repeat(upto - cells - begin, cells)
+        with np.errstate(over="ignore"):
+            seed = mix(element[live] ^ mix(np.array([column], _U))[0])
+            held = mix(seed[of] + _STEP * cell.astype(_U))
+            darts = np.searchsorted(_POISSON, held, side="right")
+            order = np.arange(darts.sum()) - np.repeat(np.cumsum(darts) - darts, darts)
+            dart = mix(np.repeat(held, darts) + _STEP * (order + 1).astype(_U))
+        index = np.repeat(live[of], darts)
+        rank = (np.repeat(cell, darts) + (dart & _LOW).astype(np.float64) * 2.0**-32) / width
+        if (weight[live] < high).any():
+            at = low + (mix(dart ^ _WEIGHT) >> _U(11)).astype(np.float64) * 2.0**-53 * width
+            hit = at < weight[index]
+            index, rank, dart = index[hit], rank[hit], dart[hit]
+        yield index, rank, dart
         column, low, high = column + 1, high, high * 2
         live = live[weight[live] > low]
-    if not index:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, _U)
-    return np.concatenate(index), np.concatenate(rank), np.concatenate(ids)
 
 
 def signatures(element: np.ndarray, first: np.ndarray, coordinates: int, weight: np.ndarray | None = None) -> np.ndarray:
     """DartMinHash signatures (rows x coordinates) of weighted sets; a row without elements gets zeros.
 
     A place's value is the id of the earliest dart on it over all ranks: rows with an empty place throw
-    again up to twice the rank.
+    on, from the rank that they have reached to half as much again. Rows are handled in groups of about ``DARTS`` darts.
     """
     rows = len(first) - 1
     weight = np.ones(len(element)) if weight is None else weight
     total = np.diff(np.concatenate([[0.0], np.cumsum(weight)])[first])
     need = coordinates * (np.log(coordinates) + 2.0)
     out = np.zeros((rows, coordinates), _U)
-    todo = np.flatnonzero(total > 0)
-    limit = need / np.where(total > 0, total, 1.0)
-    size = np.diff(first)
-    while len(todo):
-        local = np.repeat(np.arange(len(todo)), size[todo])
-        at = np.arange(len(local)) - np.repeat(np.cumsum(size[todo]) - size[todo], size[todo]) + first[todo][local]
-        of, rank, dart = _darts(element[at], weight[at], limit[todo][local])
-        place = local[of] * coordinates + (mix(dart) % _U(coordinates)).astype(np.int64)
-        best = np.full(len(todo) * coordinates, np.inf)
-        np.minimum.at(best, place, rank)
-        lead = rank == best[place]
-        value = np.zeros(len(todo) * coordinates, _U)
-        value[place[lead]] = dart[lead]
-        full = np.isfinite(best).reshape(len(todo), coordinates).all(axis=1)
-        out[todo[full]] = value.reshape(len(todo), coordinates)[full]
-        limit[todo] *= 2
-        todo = todo[~full]
+    some = np.flatnonzero(total > 0)
+    cost = np.cumsum(need + total[some])
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0.0) + DARTS, side="right")))
+        _sign_rows(element, first, weight, some[at:end], _whole(need / total[some[at:end]]), out)
+        at = end
     return out
 
 
+def _whole(limit: np.ndarray) -> np.ndarray:
+    """Ranks rounded up to whole cells of every column, where they reach one."""
+    return np.where(limit > 1, np.ceil(limit), limit)
+
+
+def _sign_rows(element: np.ndarray, first: np.ndarray, weight: np.ndarray, todo: np.ndarray, limit: np.ndarray, out: np.ndarray) -> None:
+    """Fill in the signatures of the rows ``todo``."""
+    coordinates = out.shape[1]
+    since = np.zeros(len(todo))
+    best, value = np.full((len(todo), coordinates), np.inf), np.zeros((len(todo), coordinates), _U)
+    while len(todo):
+        size = np.diff(first)[todo]
+        local = np.repeat(np.arange(len(todo)), size)
+        at = np.arange(len(local)) + np.repeat(first[todo] - np.cumsum(size) + size, size)
+        earliest, ids = best.ravel(), value.ravel()
+        for of, rank, dart in _darts(element[at], weight[at], since[local], limit[local]):
+            place = local[of] * coordinates + (((dart >> _HALF) * _U(coordinates)) >> _HALF).astype(np.int64)
+            np.minimum.at(earliest, place, rank)
+            lead = rank == earliest[place]
+            ids[place[lead]] = dart[lead]
+        full = (best < limit[:, None]).all(axis=1)
+        out[todo[full]] = value[full]
+        todo, since, best, value = todo[~full], limit[~full], best[~full], value[~full]
+        limit = _whole(since * 1.5)
+
+
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per band, different for different bands."""
     key = np.tile(mix(np.arange(bands, dtype=_U)), (len(signature), 1))

@@ -53,6 +53,35 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((got[0] == got[1]).mean() - true) < 0.04
 
 
+def test_signatures_are_the_earliest_of_all_darts(monkeypatch):
+    """Against all darts of four times the rank, thrown at once; whatever rows are signed together."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 0, 7, 300, 40, 3000]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    element = mix(np.arange(first[-1], dtype=np.uint64))
+    weight = rng.choice([1.0, 1.0, 1.0, 2.0, 3.0, 0.4, 11.5, 100.0], first[-1])
+    got = N.signatures(element, first, 64, weight)
+    monkeypatch.setattr(N, "DARTS", 1)
+    assert (N.signatures(element, first, 64, weight) == got).all()
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        best = [(np.inf, 0)] * 64
+        limit = np.full(b - a, 4 * 64 * (np.log(64) + 2) / max(weight[a:b].sum(), 0.1))
+        for _, ranks, darts in N._darts(element[a:b], weight[a:b], np.zeros(b - a), limit):
+            for rank, dart in zip(ranks.tolist(), darts.tolist(), strict=True):
+                best[(dart >> 32) * 64 >> 32] = min(best[(dart >> 32) * 64 >> 32], (rank, dart))
+        assert got[i].tolist() == [d for _, d in best]
+
+
+def test_cells_hold_darts_by_area():
+    """Mean and variance of the number of darts of a region are its area."""
+    element = mix(np.arange(20000, dtype=np.uint64))
+    for weight, limit in ((1.0, 3.0), (2.5, 2.0), (0.4, 5.0)):
+        count = np.zeros(len(element))
+        for index, rank, _ in N._darts(element, np.full(len(element), weight), np.zeros(len(element)), np.full(len(element), limit)):
+            count += np.bincount(index[rank < limit], minlength=len(element))
+        assert abs(count.mean() / (weight * limit) - 1) < 0.02 and abs(count.var() / (weight * limit) - 1) < 0.05
+
+
 def test_classes_equal_brute_force(spark):
     """A large group of near copies around a centre, chains, exact copies, and a passage that many share."""
     r = random.Random(5)
