@@ -17,9 +17,12 @@ Scale design
   that is undecided does. Within a round, requests that are contested on one
   key only (no undecided neighbour on the other) are decided in one pass over
   that key and date in ``seq`` order, so a whole day of one doctor settles in
-  one round however long its chain; only chains that keep changing between
-  doctors and patients take a round for about every two links. The pass
+  one round however long its chain. The pass
   sees the smallest ``seq`` of each second: at most 86,400 rows per key and date.
+* Chains that keep changing between doctors and patients are settled by pointer doubling
+  (``_settle_chains``): a request with exactly one earlier undecided neighbour has the opposite
+  outcome of it, so jumps twice as far each time reach a decided request in logarithmically many steps.
+  Requests with several earlier undecided neighbours wait for the next round.
   Each round's state is written as a Parquet table, which cuts the lineage.
 * Existing appointments are cut to the dates of the requests (a literal range
   that reaches the scan) and summed per (key, date, second) before they meet
@@ -186,6 +189,7 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     3. Per key and date, requests are passed in ``seq`` order (the smallest of each second; the others of
        that second cannot do better). One in reach of an accepted one is rejected; else, if it is first or
        alone on the other key, and out of reach of open ones, it is accepted; else it is open.
+    4. What is open with a single earlier neighbour follows from that one; see ``_settle_chains``.
     """
     out = pending
     for i, (kt, key) in enumerate(_KEY_TYPES):
@@ -199,12 +203,18 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     alive = out.where(~F.col("_blocked")).drop("_blocked")
     seen = alive
     for i, (_, key) in enumerate(_KEY_TYPES):
-        per_sec = alive.groupBy(key, "_date", "_sec").agg(F.min("seq").alias("_m"), F.count(F.lit(1)).alias("_c"))
+        per_sec = alive.groupBy(key, "_date", "_sec").agg(F.min("seq").alias("_m"), F.max("seq").alias("_l"), F.count(F.lit(1)).alias("_c"))
         w = _window(key, minutes)
-        near = per_sec.select(key, "_date", "_sec", F.min("_m").over(w).alias(f"_wait{i}"), F.sum("_c").over(w).alias(f"_n{i}"))
+        near = per_sec.select(key, "_date", "_sec", F.min("_m").over(w).alias(f"_wait{i}"), F.max("_l").over(w).alias(f"_last{i}"),
+                              F.sum("_c").over(w).alias(f"_n{i}"))
         seen = seen.join(near, [key, "_date", "_sec"])
     first = (F.col("_wait0") >= F.col("seq")) & (F.col("_wait1") >= F.col("seq"))
-    seen = cut_lineage(seen.withColumn("_first", first).drop("_wait0", "_wait1"))
+    # The only earlier neighbour, where the counts tell that there is just one.
+    none = [F.col(f"_wait{i}") >= F.col("seq") for i in (0, 1)]
+    one = [~none[i] & ((F.col(f"_n{i}") == 2) | ((F.col(f"_n{i}") == 3) & (F.col(f"_last{i}") > F.col("seq")))) for i in (0, 1)]
+    prev = (F.when(one[0] & (none[1] | (one[1] & (F.col("_wait0") == F.col("_wait1")))), F.col("_wait0"))
+            .when(none[0] & one[1], F.col("_wait1")))
+    seen = cut_lineage(seen.withColumn("_first", first).withColumn("_prev", prev).drop("_wait0", "_wait1", "_last0", "_last1"))
     state = seen
     for i, (_, key) in enumerate(_KEY_TYPES):
         sure = F.col("_first") | (F.col(f"_n{1 - i}") == 1)
@@ -218,10 +228,34 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     no = F.lit(False)
     verdict = (F.when(F.coalesce(lost[0], no) | F.coalesce(lost[1], no), "rejected")
                .when(F.col("_first") | F.coalesce(won[0], no) | F.coalesce(won[1], no), "accepted").otherwise("pending"))
-    decided = state.select(*pending.columns, verdict.alias("_state"))
+    decided = cut_lineage(state.select(*pending.columns, verdict.alias("_state"), "_prev"))
+    decided = _settle_chains(decided).drop("_prev")
     return decided.unionByName(out.where("_blocked").select(*pending.columns, F.lit("rejected").alias("_state")))
 
 
+def _settle_chains(state: DataFrame) -> DataFrame:
+    """Decide pending requests that hang on a decided one by a chain of single earlier neighbours (``_prev``).
+
+    Such a request is accepted iff its neighbour is not. Each step doubles the jump of every
+    request; ``_odd`` tells whether the outcome turns an odd number of times on the way.
+    """
+    links = state.where((F.col("_state") == "pending") & F.col("_prev").isNotNull())
+    links = links.select("seq", F.col("_prev").alias("_at"), F.lit(True).alias("_odd"))
+    if links.isEmpty():
+        return state
+    while True:
+        on = links.select(F.col("seq").alias("_at"), F.col("_at").alias("_far"), F.col("_odd").alias("_turn"))
+        links = cut_lineage(links.join(on, "_at", "left").select(
+            "seq", F.coalesce("_far", "_at").alias("_at"), (F.col("_odd") != F.coalesce("_turn", F.lit(False))).alias("_odd"),
+            F.col("_far").isNotNull().alias("_moved")))
+        if links.where("_moved").isEmpty():
+            break
+    ends = state.where(F.col("_state") != "pending").select(F.col("seq").alias("_at"), (F.col("_state") == "accepted").alias("_end"))
+    told = links.join(ends, "_at").select("seq", F.when(F.col("_end") == F.col("_odd"), "rejected").otherwise("accepted").alias("_told"))
+    settled = state.join(told, "seq", "left").withColumn("_state", F.coalesce("_told", "_state")).drop("_told")
+    return cut_lineage(settled.select(*state.columns))
+
+
 def _earlier_conflict(req: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     """Flags ``_conf_p`` / ``_conf_d``: an existing or accepted appointment with a smaller
     seq lies in the window on that key (the sequential rule)."""
@@ -284,7 +318,7 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     accepted_parts: list[DataFrame] = []
     rejected_parts: list[DataFrame] = []
     while True:
-        decided = cut_lineage(_round(pending, blocking, minutes))
+        decided = _round(pending, blocking, minutes)
         newly = decided.where(F.col("_state") == "accepted").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
         accepted_parts.append(newly)
         rejected_parts.append(decided.where(F.col("_state") == "rejected").select("seq"))

@@ -195,6 +195,19 @@ def test_a_hopping_chain_takes_a_round_per_two_links(spark):
     assert rounds <= 7
 
 
+def test_a_long_hopping_chain_is_settled_by_doubling(spark):
+    """64 doubly contested links, a branch off the chain and a call with two earlier neighbours."""
+    calls = [(i, f"P{(i + 1) // 2}", f"D{i // 2}", 600) for i in range(64)]
+    calls += [(100, "P100", "D31", 615), (101, "P100", "D200", 630), (102, "P7", "D14", 600), (103, "P101", "D200", 650)]
+    taken, want = [], {}
+    for s, p, d, m in calls:
+        busy = any(abs(m - n) < 30 and (p == q or d == e) for q, e, n in taken)
+        want[s] = -1 if busy else 0
+        taken += [] if busy else [(p, d, m)]
+    got, rounds = _book(spark, calls)
+    assert got == want and rounds <= 4
+
+
 def test_intermediate_tables_are_removed(spark):
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark) + "/medledger-tables")
