@@ -391,6 +391,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _append(table: DataFrame, rows: DataFrame) -> DataFrame:
     cols = [c for c in table.columns if c in rows.columns]
     extra = [c for c in rows.columns if c not in table.columns]
-    base = table if not extra else table.select("*", *[F.lit(1).alias(c) for c in extra])
+    # Rows from before a column was there have its default: 1 for ``version``, NULL for any other.
+    fill = [F.lit(1 if c == "version" else None).cast(rows.schema[c].dataType).alias(c) for c in extra]
+    base = table.select("*", *fill)
     return base.unionByName(rows.select(*[F.col(c).cast(table.schema[c].dataType) for c in cols], *extra),
                             allowMissingColumns=True)

@@ -208,6 +208,12 @@ def test_a_long_hopping_chain_is_settled_by_doubling(spark):
     assert got == want and rounds <= 4
 
 
+def test_columns_that_old_rows_lack_take_their_defaults(spark):
+    old = spark.createDataFrame([("A1",)], "Appointment_ID string")
+    new = spark.createDataFrame([("A2", "Heart", 3)], "Appointment_ID string, Department string, version int")
+    assert sorted(tuple(r) for r in BK._append(old, new).collect()) == [("A1", None, 1), ("A2", "Heart", 3)]
+
+
 def test_intermediate_tables_are_removed(spark):
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark) + "/medledger-tables")
