@@ -29,6 +29,26 @@ def _date(value: str | dt.date | Column) -> Column:
     return F.lit(str(value)).cast("date")
 
 
+def month_column(date_column: str) -> str:
+    """The column that tables stored by month of ``date_column`` have besides."""
+    return f"{date_column}_Month"
+
+
+def month_of(date: Column) -> Column:
+    """yyyymm as a number; null for a null date."""
+    return (F.year(date) * 100 + F.month(date)).cast("int")
+
+
+def _in_months(df: DataFrame, date_column: str, lo=None, hi=None) -> DataFrame:
+    """Only the months that dates from ``lo`` to ``hi`` fall in, where ``df`` is stored by month (else ``df``)."""
+    month = month_column(date_column)
+    if month not in df.columns:
+        return df
+    if lo is not None:
+        df = df.where(F.col(month) >= month_of(_date(lo)))
+    return df if hi is None else df.where(F.col(month) <= month_of(_date(hi)))
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(Table_Name, Record_Count) for each table, as one UNION ALL."""
     parts = [
@@ -39,8 +59,14 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def lookup(df: DataFrame, column: str, value) -> DataFrame:
-    """``SELECT * WHERE column = value`` (pushed down to the scan)."""
+def lookup(df: DataFrame, column: str, value, collation: str | None = None) -> DataFrame:
+    """``SELECT * WHERE column = value`` (pushed down to the scan).
+
+    ``collation`` (such as ``UTF8_LCASE_RTRIM``: neither case nor trailing blanks count) compares as a database of that collation
+    does; such a comparison is not pushed down.
+    """
+    if collation is not None:
+        return df.where(F.collate(F.col(column), collation) == F.collate(F.lit(value), collation))
     return df.where(F.col(column) == F.lit(value))
 
 
@@ -82,13 +108,14 @@ def outstanding_by_patient(bills: DataFrame) -> DataFrame:
 
 def pending_lab_tests_before(labs: DataFrame, cutoff) -> DataFrame:
     """Pending tests scheduled strictly before ``cutoff``."""
+    labs = _in_months(labs, "Scheduled_Date", hi=cutoff)
     return labs.where((F.col("Result") == "Pending") & (F.col("Scheduled_Date") < _date(cutoff))).select(
         "Lab_Order_ID", "Patient_ID", "Test_Type", "Scheduled_Date")
 
 
 def prescriptions_between(rx: DataFrame, doctors: DataFrame, lo, hi) -> DataFrame:
     """Prescriptions issued in the inclusive range [lo, hi] with the doctor's name, by date."""
-    r = rx.where(F.col("Date_Issued").between(_date(lo), _date(hi)))
+    r = _in_months(rx, "Date_Issued", lo, hi).where(F.col("Date_Issued").between(_date(lo), _date(hi)))
     return (
         r.join(_doctor_names(doctors), "Doctor_ID")
         .select("Prescription_ID", "Patient_ID", "Doctor_Name", "Medication_Name", "Dosage", "Date_Issued")

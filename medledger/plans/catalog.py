@@ -849,15 +849,20 @@ def _payment_stream(fx: Fixture) -> DataFrame:
 from medledger.sources.tables import DUPLICATE_KEY_MESSAGE, append_rows, insert_each, load_tables, tables_present, write_snapshot  # noqa: E402
 
 
+def _declared(fx: Fixture, name: str) -> DataFrame:
+    """A table with all its declared columns; those without data hold a text of at most their declared length."""
+    df = getattr(fx, name)
+    limits = SC.LENGTH_LIMITS[name]
+    return df.select(*[(F.col(f.name) if f.name in df.columns else
+                        (F.lit("1980-02-03") if f.name == "DOB" else F.lit(f"{f.name} text"[:limits.get(f.name)]))).cast(f.dataType).alias(f.name)
+                       for f in SC.TABLES[name].fields])
+
+
 def _stored(fx: Fixture) -> dict[str, DataFrame]:
     """The six tables written with all declared columns, then loaded and checked against their schemas."""
     root = _scratch(fx, "tables")
-    for name, declared in SC.TABLES.items():
-        df = getattr(fx, name)
-        cols = [(F.col(f.name) if f.name in df.columns else
-                 (F.lit("1980-02-03") if f.name == "DOB" else F.lit(f"{f.name} text"))).cast(f.dataType).alias(f.name)
-                for f in declared.fields]
-        write_snapshot(df.select(*cols), f"{root}/{name}")
+    for name in SC.TABLES:
+        write_snapshot(_declared(fx, name), f"{root}/{name}")
     return load_tables(fx.spark, root)
 
 
@@ -963,3 +968,85 @@ select 'B'||lpad(cast(k as string), cast(greatest(4, length(cast(k as string)))
 from ranked join APPOINTMENT a on a.seq = ranked.seq"""))
 def _booking_replay_bills(fx: Fixture) -> DataFrame:
     return _replay(fx)[1]
+
+
+# ---------------------------------------------------------------- tables by month, of the catalog, and file footers
+
+import uuid  # noqa: E402
+
+from medledger.plans.sql_functions import register_report_function  # noqa: E402
+from medledger.sources import stored as SD  # noqa: E402
+
+
+def _by_month(fx: Fixture, table: str, date_column: str) -> DataFrame:
+    path = f"{_scratch(fx, 'by-month')}/{table}"
+    SD.write_by_month(_declared(fx, table), path, date_column, SC.PRIMARY_KEYS[table])
+    return fx.spark.read.parquet(path)
+
+
+@register("pending_lab_tests_by_month", _ORACLE_TEXT["pending_lab_tests_before"])
+def _pending_labs_by_month(fx: Fixture) -> DataFrame:
+    return R.pending_lab_tests_before(_by_month(fx, "LABTEST", "Scheduled_Date"), LAB_CUTOFF)
+
+
+@register("prescriptions_by_month", _ORACLE_TEXT["prescriptions_between"])
+def _prescriptions_by_month(fx: Fixture) -> DataFrame:
+    return R.prescriptions_between(_by_month(fx, "PRESCRIPTION", "Date_Issued"), fx.DOCTOR, RX_FROM, RX_TO)
+
+
+@register("footer_row_counts", _ORACLE_TEXT["row_counts"])
+def _footer_row_counts(fx: Fixture) -> DataFrame:
+    root = _scratch(fx, "tables")
+    for name in SC.TABLES:
+        write_snapshot(_declared(fx, name), f"{root}/{name}")
+    return SD.footer_counts(fx.spark, {name: f"{root}/{name}" for name in SC.TABLES})
+
+
+@register("footer_bill_dates", """
+select count(*) "rows", min(Service_Date) lowest, max(Service_Date) highest from BILLING""")
+def _footer_bill_dates(fx: Fixture) -> DataFrame:
+    path = f"{_scratch(fx, 'tables')}/BILLING"
+    write_snapshot(_declared(fx, "BILLING"), path)
+    return SD.footer_extent(fx.spark, path, "Service_Date")
+
+
+def _database(fx: Fixture, names: list[str], buckets: int | None = None) -> str:
+    database = f"medledger_{uuid.uuid4().hex[:12]}"
+    SD.create_tables(fx.spark, database, _scratch(fx, "database"), names, buckets)
+    for name in names:
+        SD.insert_rows(fx.spark, database, name, _declared(fx, name))
+    return database
+
+
+@register("catalog_outstanding_bills", _ORACLE_TEXT["outstanding_bills"])
+def _catalog_outstanding(fx: Fixture) -> DataFrame:
+    """Both tables are bucketed by patient: no shuffle for the sums and the join."""
+    database = _database(fx, ["PATIENT", "BILLING"], 8)
+    return R.outstanding_bills(fx.spark.table(f"{database}.PATIENT"), fx.spark.table(f"{database}.BILLING"))
+
+
+@register("catalog_bills_with_version", """
+select *, 1 version from BILLING
+union all select * replace ('N'||substring(Bill_ID, 2) as Bill_ID), 1 from ACCOUNT_BILLING where Amount_Charged >= 0""")
+def _catalog_versions(fx: Fixture) -> DataFrame:
+    """The column comes after the bills; account bills come after the column, without a value for it."""
+    database = _database(fx, ["BILLING"])
+    SD.add_column(fx.spark, database, "BILLING")
+    new = fx.ACCOUNT_BILLING.withColumn("Bill_ID", F.concat(F.lit("N"), F.substr("Bill_ID", F.lit(2))))
+    SD.insert_rows(fx.spark, database, "BILLING", new.where("Amount_Charged >= 0"))
+    return fx.spark.table(f"{database}.BILLING")
+
+
+@register("patient_report_sql_function", _ORACLE_TEXT["patient_report"])
+def _report_sql_function(fx: Fixture) -> DataFrame:
+    tag = uuid.uuid4().hex[:12]
+    R.patient_report(fx.APPOINTMENT, fx.LABTEST, fx.BILLING).createOrReplaceTempView(f"report_{tag}")
+    fx.PATIENT.createOrReplaceTempView(f"patient_{tag}")
+    register_report_function(fx.spark, f"report_{tag}")
+    return fx.spark.sql(f"SELECT p.Patient_ID, r.* FROM patient_{tag} p, LATERAL PatientReport(p.Patient_ID) r")
+
+
+@register("lookup_collated_status", """
+select * from BILLING where lower(rtrim(Payment_Status, ' ')) = 'pending'""")
+def _lookup_collated(fx: Fixture) -> DataFrame:
+    return R.lookup(fx.BILLING, "Payment_Status", "pENDING  ", collation="UTF8_LCASE_RTRIM")
