@@ -7,7 +7,8 @@ itself and each of its lines, so a licence file is found and so is a notice line
 mentions a licence has no digest in common with it.
 
 The known texts are a table (``license``, ``text``), canonicalised by the same expressions; ``known_texts``
-gives the short licences and common notices below. Documents are digested in one pass; only digests and ids
+gives the short licences and common notices below. Long licences are known by their digests alone
+(``license``, ``digest``; ``known_digests``). Documents are digested in one pass; only digests and ids
 move. Lines are looked up with distinct digests of the known texts, which Spark broadcasts when they are
 small and joins by a shuffle otherwise; a hot line is one digest, and its rows are spread by the adaptive
 skew join.
@@ -61,10 +62,13 @@ def digests(known: DataFrame, license: str = "license", text: str = "text") -> D
     return made.groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, digest (of the entire text), license (of the entire text), notices (sorted names of
+def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", listed: DataFrame | None = None) -> DataFrame:
+    """``listed``: more known licences, by digest. Per row: doc_id, digest (of the entire text), license (of the entire text), notices (sorted names of
     licences that lines are, each once), notice_lines (how many lines are)."""
-    table = cut_lineage(digests(known))
+    table = digests(known)
+    if listed is not None:
+        table = table.unionByName(listed.select("digest", "license").dropna()).groupBy("digest").agg(F.min("license").alias("license"))
+    table = cut_lineage(table)
     read = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical(F.col(text)).alias("form"))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda s: _digest(s)), lambda d: d.isNotNull())
     # One pass over the texts; what is written has digests only.
@@ -123,3 +127,27 @@ language governing permissions and limitations under the License."""),
 
 def known_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEXTS), "license string, text string")
+
+
+#: Names of long licences and the digests of their canonical forms, as their stewards publish them in plain
+#: text (BSD-3-Clause: the wording that names the University and its contributors; GPL and LGPL: with the annexes).
+DIGESTS = (
+    ("Apache-2.0", "0c4aafcd372b29dce7002f5252605abd524f0606b733a205561cbc2f89f8b754"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "edfcae7e301ff2624e2aa67f2bb0171018ce8aa6befdf1154ec830eb85592f3d"),
+    ("GFDL-1.2", "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e"),
+    ("GFDL-1.3", "1fa4b7a342ee9057958409e8aa349ac2792dd592a1deae0de875a81075a3e82f"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "954b106eb60695f2558963d4146b6eb16fe31247a737e53ef3319973e9678bad"),
+    ("MPL-2.0", "2638ec1de5f618d4d5adaf842aa68080d637d04880441753102cfff54099cca2"),
+)
+
+
+def known_digests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(DIGESTS), "license string, digest string")

@@ -169,7 +169,7 @@ def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_texts(spark))
+    found = licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_texts(spark), listed=licenses.known_digests(spark))
     return found.select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"), "notice_lines")
 
 
@@ -187,9 +187,11 @@ def _sql_license_digest(form: str) -> str:
 
 
 _SQL_KNOWN = ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in licenses.TEXTS)
+_SQL_LISTED = ", ".join(f"('{name}', '{digest}')" for name, digest in licenses.DIGESTS)
 ORACLES["op10_license_digests"] = f"""
 WITH known AS (SELECT license, {_sql_license_form('text')} AS form FROM (VALUES {_SQL_KNOWN}) AS k(license, text)),
-named AS (SELECT {_sql_license_digest('form')} AS digest, min(license) AS license FROM known GROUP BY 1),
+named AS (SELECT digest, min(license) AS license FROM (SELECT license, {_sql_license_digest('form')} AS digest FROM known
+          UNION ALL SELECT * FROM (VALUES {_SQL_LISTED}) AS h(license, digest)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_license_form('text')} AS form FROM documents),
 w AS (SELECT r, doc_id, {_sql_license_digest('form')} AS digest FROM d),
 l AS (SELECT r, {_sql_license_digest('line')} AS digest FROM (SELECT r, unnest(string_split(form, chr(10))) AS line FROM d)),

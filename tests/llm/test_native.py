@@ -1,5 +1,6 @@
 """Sharding, chat formatting and licence digests."""
 
+import os
 import zlib
 
 import pytest
@@ -108,6 +109,32 @@ def test_equal_licences_have_equal_digests(spark):
     assert got == {i: ("MIT" if i < len(same) else None) for i in range(len(same + other))}
 
 
+#: Where a system keeps the published texts, and under which name.
+PUBLISHED = "/usr/share/common-licenses"
+FILES = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="no published licence texts on this machine")
+def test_published_licences_are_found_whole(spark):
+    texts = {n: open(f"{PUBLISHED}/{n}", encoding="utf-8").read() for n in FILES if os.path.exists(f"{PUBLISHED}/{n}")}
+    rows = [(name, " ".join(text.split(" ")).replace("\n", "\r\n").upper()) for name, text in texts.items()]
+    rows += [(f"half {name}", text[: len(text) // 2]) for name, text in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {x["doc_id"]: x["license"] for x in licenses.scan(frame, licenses.known_texts(spark), listed=licenses.known_digests(spark)).collect()}
+    assert got == {**{n: FILES[n] for n in texts}, **{f"half {n}": None for n in texts}}
+
+
+def test_a_digest_listed_under_two_names_is_reported_once(spark):
+    one = licenses.DIGESTS[0][1]
+    listed = spark.createDataFrame([("B", one), ("A", one), (None, one), ("C", None)], "license string, digest string")
+    known = spark.createDataFrame([("Z", "some terms")], "license string, text string")
+    frame = spark.createDataFrame([(1, "Some  TERMS!"), (2, "other")], "doc_id long, text string")
+    got = {x["doc_id"]: x["license"] for x in licenses.scan(frame, known, listed=listed).collect()}
+    assert got == {1: "Z", 2: None}
+    mine = listed.union(licenses.digests(known).select("license", "digest").withColumn("license", F.lit("A")))
+    assert {x["doc_id"]: x["license"] for x in licenses.scan(frame, known, listed=mine).collect()} == {1: "A", 2: None}
+
+
 def test_licences_of_odd_inputs(spark):
     known = licenses.known_texts(spark)
     notice = "Prose.\n  # released under the MIT licence\n// SPDX-License-Identifier: Apache-2.0\nReleased under the MIT License.\n"
