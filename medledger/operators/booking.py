@@ -12,21 +12,24 @@ Scale design
   neighbourhood test is a range window over per-(key, date, second)
   aggregates: at most 86,400 rows per window partition however hot a
   patient or doctor is, and the aggregates are combined map-side.
-* Acceptance runs in rounds. A pending request is rejected once an accepted or
-  existing appointment lies in its window, and accepted once nothing earlier
+* A request with no other and no existing appointment in its windows is settled at once (``_sift``, one
+  window per key over the whole batch); one with an existing appointment there is rejected. The rounds see the others.
+* Acceptance runs in rounds. A pending request is rejected once an accepted
+  appointment lies in its window, and accepted once nothing earlier
   that is undecided does. Within a round, requests that are contested on one
   key only (no undecided neighbour on the other) are decided in one pass over
   that key and date in ``seq`` order, so a whole day of one doctor settles in
   one round however long its chain. The pass
-  sees the smallest ``seq`` of each second: at most 86,400 rows per key and date.
+  sees the smallest ``seq`` of each second: at most 86,400 rows per key and date; a task
+  streams through many days (about ``ROWS_PER_PASS`` requests), none of them a group of its own.
 * Chains that keep changing between doctors and patients are settled by pointer doubling
   (``_settle_chains``): a request with exactly one earlier undecided neighbour has the opposite
   outcome of it, so jumps twice as far each time reach a decided request in logarithmically many steps.
   Requests with several earlier undecided neighbours wait for the next round.
   Each round's state is written as a Parquet table, which cuts the lineage.
 * Existing appointments are cut to the dates of the requests (a literal range
-  that reaches the scan) and summed per (key, date, second) before they meet
-  the requests, so a hot key-date travels as at most 86,400 rows.
+  that reaches the scan) and summed per (key, date, second), as the requests are, before the window, so a
+  hot key-date travels as at most 86,400 rows of each map task.
 * The final status of every request is recomputed from the accepted set
   ("is there an earlier accepted or existing appointment in my window?"),
   which is exactly the sequential rule.
@@ -35,7 +38,9 @@ Scale design
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +56,9 @@ MSG_MISSING_PARENT = "Cannot add or update a child row: a foreign key constraint
 
 _EARLIEST = -(1 << 63)
 
+#: Pending requests that one task passes in a round.
+ROWS_PER_PASS = 50_000
+
 
 def _window(key: str, minutes: int):
     reach = minutes * 60 - 1  # |a - b| < minutes*60 seconds
@@ -93,10 +101,10 @@ def next_ids(existing: DataFrame, id_col: str, new: DataFrame, order: str, prefi
     return ranked.withColumn(out, format_id(prefix, top + F.col("_rank"), width)).drop("_rank")
 
 
-def _keys_present(df: DataFrame, col: str, requests: DataFrame) -> DataFrame:
-    """The distinct keys of the requests that ``df`` has: the large table is only filtered, never aggregated whole."""
+def _keys_missing(df: DataFrame, col: str, requests: DataFrame) -> DataFrame:
+    """The distinct keys of the requests that ``df`` lacks, as a table: few as a rule, so the requests need no shuffle to meet them."""
     asked = requests.select(col).where(F.col(col).isNotNull()).distinct()
-    return df.select(col).join(asked, col, "left_semi").distinct()
+    return cut_lineage(asked.join(df.select(col), col, "left_anti"))
 
 
 # The blocking table holds existing and accepted appointments for both keys:
@@ -157,31 +165,67 @@ def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: in
     return per_sec.select(key, "_date", "_sec", *[f(c).over(w).alias(o) for f, c, o in outs])
 
 
-def _fold_day(minutes: int, key: str):
-    """A pass over one key and date in ``seq`` order; see ``_round``."""
+def _sift(valid: DataFrame, req: DataFrame, existing: DataFrame, minutes: int) -> DataFrame:
+    """The requests ``req`` (``valid`` and what is known of them) with ``_busy0`` / ``_busy1`` (an existing appointment in reach, per key) and ``_alone`` (nothing
+    existing and no other request in reach on either key: what becomes of it concerns no other request).
+
+    One window per key over requests and existing appointments, summed per second; only seconds that are
+    not alone meet the requests again.
+    """
+    out = req
+    for i, (_, key) in enumerate(_KEY_TYPES):
+        points = valid.select(key, "_date", "_sec", F.lit(1).alias("_r"), F.lit(0).alias("_e")).unionByName(
+            existing.select(key, "_date", "_sec", F.lit(0).alias("_r"), F.lit(1).alias("_e")))
+        per_sec = points.groupBy(key, "_date", "_sec").agg(F.sum("_r").alias("_r"), F.sum("_e").alias("_e"))
+        w = _window(key, minutes)
+        near = per_sec.select(key, "_date", "_sec", "_r", F.sum("_r").over(w).alias("_rs"), F.sum("_e").over(w).alias("_es"))
+        near = near.where("_r > 0 AND (_rs > 1 OR _es > 0)").select(key, "_date", "_sec", (F.col("_es") > 0).alias(f"_busy{i}"))
+        out = out.join(near, [key, "_date", "_sec"], "left")
+    alone = F.col("_busy0").isNull() & F.col("_busy1").isNull()
+    flags = {f"_busy{i}": F.coalesce(f"_busy{i}", F.lit(False)) for i in (0, 1)}
+    return cut_lineage(out.withColumn("_alone", alone).withColumns(flags))
+
+
+def _day_pass(minutes: int):
+    """A pass over sorted rows (key, _date, _sec, _m, _sure) that starts anew at each key and date; see ``_round``.
+
+    It keeps the accepted and the open seconds of one day (at most 86,400), whatever batches the rows come in.
+    """
     reach = minutes * 60 - 1
 
-    def fold(rows):
-        rows = rows.sort_values("_m")
-        taken, open_ = np.zeros(86400, bool), np.zeros(86400, bool)
-        verdict = []
-        for sec, sure in zip(rows["_sec"].tolist(), rows["_sure"].tolist(), strict=True):
-            near = slice(max(0, sec - reach), sec + reach + 1)
-            if taken[sec]:
-                verdict.append("rejected")
-            elif sure and not open_[sec]:
-                verdict.append("accepted")
-                taken[near] = True
-            else:
-                verdict.append("open")
-                open_[near] = True
-        return rows.assign(_v=verdict)[[key, "_date", "_sec", "_m", "_v"]]
+    def close(seconds: list[int], sec: int) -> bool:
+        at = bisect_left(seconds, sec - reach)
+        return at < len(seconds) and seconds[at] <= sec + reach
+
+    def run(batches):
+        day, taken, open_ = None, [], []
+        for batch in batches:
+            verdict = []
+            for key, date, sec, sure in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                if (key, date) != day:
+                    day, taken, open_ = (key, date), [], []
+                if close(taken, sec):
+                    verdict.append("rejected")
+                elif sure and not close(open_, sec):
+                    verdict.append("accepted")
+                    insort(taken, sec)
+                else:
+                    verdict.append("open")
+                    insort(open_, sec)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string())], names=["key", "_date", "_sec", "_m", "_v"])
+
+    return run
+
 
-    return fold
+def _pass_days(days: DataFrame, key: str, minutes: int, parts: int) -> DataFrame:
+    """The verdict per (key, _date, _sec) of ``days`` (with _m, _sure): days are dealt to ``parts`` tasks by their
+    number, not by bytes, and each task passes its days one after the other, not as one group each."""
+    order = days.select(key, "_date", "_sec", "_m", "_sure").repartition(parts, key, "_date").sortWithinPartitions(key, "_date", "_m")
+    return order.mapInArrow(_day_pass(minutes), "key string, _date date, _sec int, _m bigint, _v string").withColumnRenamed("key", key)
 
 
-def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
-    """One acceptance round over the pending requests; adds ``_state``.
+def _round(pending: DataFrame, blocking: DataFrame | None, minutes: int) -> DataFrame:
+    """One acceptance round over the pending requests (no ``blocking``: none has an accepted one in reach); adds ``_state``.
 
     1. A pending request with an existing or accepted appointment in reach is rejected.
     2. Of the rest, a request is *alone* on a key if no other is in its window there, and *first* if no
@@ -191,6 +235,8 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
        alone on the other key, and out of reach of open ones, it is accepted; else it is open.
     4. What is open with a single earlier neighbour follows from that one; see ``_settle_chains``.
     """
+    if blocking is None:
+        return _decide(pending, minutes)
     out = pending
     for i, (kt, key) in enumerate(_KEY_TYPES):
         pts = pending.select(key, "_date", "_sec")
@@ -200,7 +246,12 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     out = out.withColumn("_blocked", F.coalesce(F.col("_block0") > 0, F.lit(False))
                          | F.coalesce(F.col("_block1") > 0, F.lit(False))).drop("_block0", "_block1")
     out = cut_lineage(out)
-    alive = out.where(~F.col("_blocked")).drop("_blocked")
+    decided = _decide(out.where(~F.col("_blocked")).drop("_blocked"), minutes)
+    return decided.unionByName(out.where("_blocked").select(*pending.columns, F.lit("rejected").alias("_state")))
+
+
+def _decide(alive: DataFrame, minutes: int) -> DataFrame:
+    """Steps 2 to 4 of a round."""
     seen = alive
     for i, (_, key) in enumerate(_KEY_TYPES):
         per_sec = alive.groupBy(key, "_date", "_sec").agg(F.min("seq").alias("_m"), F.max("seq").alias("_l"), F.count(F.lit(1)).alias("_c"))
@@ -215,22 +266,21 @@ def _round(pending: DataFrame, blocking: DataFrame, minutes: int) -> DataFrame:
     prev = (F.when(one[0] & (none[1] | (one[1] & (F.col("_wait0") == F.col("_wait1")))), F.col("_wait0"))
             .when(none[0] & one[1], F.col("_wait1")))
     seen = cut_lineage(seen.withColumn("_first", first).withColumn("_prev", prev).drop("_wait0", "_wait1", "_last0", "_last1"))
+    parts = seen.count() // ROWS_PER_PASS + 1
     state = seen
     for i, (_, key) in enumerate(_KEY_TYPES):
         sure = F.col("_first") | (F.col(f"_n{1 - i}") == 1)
         days = seen.where(F.col(f"_n{i}") > 1).groupBy(key, "_date", "_sec").agg(F.min(F.struct("seq", sure.alias("s"))).alias("_l"))
         days = days.select(key, "_date", "_sec", F.col("_l.seq").alias("_m"), F.col("_l.s").alias("_sure"))
-        folded = days.groupBy(key, "_date").applyInPandas(
-            _fold_day(minutes, key), f"{key} string, _date date, _sec int, _m bigint, _v string")
-        state = state.join(folded.withColumnsRenamed({"_m": f"_m{i}", "_v": f"_v{i}"}), [key, "_date", "_sec"], "left")
+        passed = _pass_days(days, key, minutes, parts)
+        state = state.join(passed.withColumnsRenamed({"_m": f"_m{i}", "_v": f"_v{i}"}), [key, "_date", "_sec"], "left")
     lost = [(F.col(f"_v{i}") == "rejected") | ((F.col(f"_v{i}") == "accepted") & (F.col(f"_m{i}") < F.col("seq"))) for i in (0, 1)]
     won = [(F.col(f"_n{1 - i}") == 1) & ((F.col(f"_n{i}") == 1) | (F.col(f"_v{i}") == "accepted")) for i in (0, 1)]
     no = F.lit(False)
     verdict = (F.when(F.coalesce(lost[0], no) | F.coalesce(lost[1], no), "rejected")
                .when(F.col("_first") | F.coalesce(won[0], no) | F.coalesce(won[1], no), "accepted").otherwise("pending"))
-    decided = cut_lineage(state.select(*pending.columns, verdict.alias("_state"), "_prev"))
-    decided = _settle_chains(decided).drop("_prev")
-    return decided.unionByName(out.where("_blocked").select(*pending.columns, F.lit("rejected").alias("_state")))
+    decided = cut_lineage(state.select(*alive.columns, verdict.alias("_state"), "_prev"))
+    return _settle_chains(decided).drop("_prev")
 
 
 def _settle_chains(state: DataFrame) -> DataFrame:
@@ -281,7 +331,7 @@ def book_appointments(appts: DataFrame, bills: DataFrame, patients: DataFrame, d
 
 def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, doctors: DataFrame,
                   requests: DataFrame, as_of=None, distinct_codes: bool = False, minutes: int = 30,
-                  tops: tuple[int, int] | None = None, rounds: list[int] | None = None,
+                  tops: tuple[int, int] | None = None, rounds: list[int] | None = None, held: bool = False,
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decide an ordered batch of booking calls.
 
@@ -292,53 +342,51 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     doctor, not the patient, is busy), NULL for a failed insert or an
     invalid request; ``reason`` and ``message`` explain. ``tops`` gives the largest
     appointment and bill id numbers where the caller keeps them (else they are
-    read off the tables); ``rounds`` takes the number of rounds.
+    read off the tables); ``rounds`` takes the number of rounds; ``held`` tells that the requests
+    are a stored table of unique ``seq``.
     """
     if minutes <= 0:
         raise ValueError("minutes must be positive")
     # The routine handles one call at a time, so ``seq`` must be a total order.
-    valid, invalid = validate_requests(ordered_requests(requests, "booking requests"), "booking")
-    req = (valid.withColumnRenamed("Appointment_Date", "_date").withColumnRenamed("sec", "_sec")
-           .join(_keys_present(patients, "Patient_ID", valid).withColumn("_p_ok", F.lit(True)), "Patient_ID", "left")
-           .join(_keys_present(doctors, "Doctor_ID", valid).withColumn("_d_ok", F.lit(True)), "Doctor_ID", "left"))
+    valid, invalid = validate_requests(requests if held else ordered_requests(requests, "booking requests"), "booking")
+    valid = cut_lineage(valid.withColumnRenamed("Appointment_Date", "_date").withColumnRenamed("sec", "_sec"))
+    req = valid
+    for key, table, ok in (("Patient_ID", patients, "_p_ok"), ("Doctor_ID", doctors, "_d_ok")):
+        missing = _keys_missing(table, key, valid).withColumn("_gone", F.lit(True))
+        req = req.join(missing, key, "left").withColumn(ok, F.col("_gone").isNull()).drop("_gone")
     past = F.lit(False) if as_of is None else (F.col("_date") < F.lit(str(as_of)).cast("date"))
-    req = (req.withColumn("_past", past)
-           .withColumn("_p_ok", F.coalesce("_p_ok", F.lit(False)))
-           .withColumn("_d_ok", F.coalesce("_d_ok", F.lit(False))))
-    req = req.withColumn("_eligible", ~F.col("_past") & F.col("_p_ok") & F.col("_d_ok"))
-    req = cut_lineage(req)
-
-    existing = _existing(appts, req)
-    existing_blocking = cut_lineage(_existing_blocking(existing, req))
-
-    # Rounds. Pending requests only decrease, so after each round the blocking
-    # rows are cut down to the key-dates that still have pending requests.
-    pending = req.where("_eligible").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
-    blocking = existing_blocking
+    req = req.withColumn("_past", past).withColumn("_eligible", ~F.col("_past") & F.col("_p_ok") & F.col("_d_ok"))
+    sifted = _sift(valid, req, _existing(appts, valid), minutes)
+    contested = sifted.where(~F.col("_alone"))
+
+    # Rounds over what has others in reach and no existing appointment. Pending requests only decrease, so
+    # after each round the blocking rows are cut down to the key-dates that still have pending requests.
+    pending = contested.where("_eligible AND NOT _busy0 AND NOT _busy1").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
+    blocking = None
     accepted_parts: list[DataFrame] = []
-    rejected_parts: list[DataFrame] = []
     while True:
         decided = _round(pending, blocking, minutes)
         newly = decided.where(F.col("_state") == "accepted").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
         accepted_parts.append(newly)
-        rejected_parts.append(decided.where(F.col("_state") == "rejected").select("seq"))
         pending = decided.where(F.col("_state") == "pending").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
         if pending.isEmpty():
             if rounds is not None:
                 rounds.append(len(accepted_parts))
             break
-        grown = blocking.unionByName(_by_key(newly, F.lit(1), F.col("seq")))
+        grown = _by_key(newly, F.lit(1), F.col("seq"))
+        grown = grown if blocking is None else blocking.unionByName(grown)
         blocking = cut_lineage(grown.join(_live(pending), ["_kt", "_kv", "_date"], "left_semi"))
 
     # Accepted requests have no earlier conflict by construction. For the rest,
-    # status and reason follow the sequential rule against the accepted set.
+    # status and reason follow the sequential rule against the existing and the accepted set.
     all_accepted = _union(accepted_parts)
-    accepted = req.join(all_accepted.select("seq"), "seq", "left_semi")
-    rest = req.join(_union(rejected_parts), "seq", "left_semi").unionByName(req.where(~F.col("_eligible")))
+    accepted = sifted.where("_alone AND _eligible").unionByName(contested.join(all_accepted.select("seq"), "seq", "left_semi"))
+    rest = contested.join(all_accepted.select("seq"), "seq", "left_anti")
     # Only key-dates of the remaining requests matter for their statuses.
-    final_blocking = (existing_blocking.unionByName(_by_key(all_accepted, F.lit(1), F.col("seq")))
-                      .join(_live(rest), ["_kt", "_kv", "_date"], "left_semi"))
+    final_blocking = _by_key(all_accepted, F.lit(1), F.col("seq")).join(_live(rest), ["_kt", "_kv", "_date"], "left_semi")
     rest = _earlier_conflict(rest, final_blocking, minutes)
+    rest = rest.withColumns({f"_conf_{kt}": F.col(f"_conf_{kt}") | F.col(f"_busy{i}") for i, (kt, _) in enumerate(_KEY_TYPES)})
+    rest = rest.unionByName(sifted.where("_alone AND NOT _eligible").withColumns({"_conf_p": F.lit(False), "_conf_d": F.lit(False)}))
     doctor_code = -2 if distinct_codes else -1
     status = (F.when(F.col("_conf_p"), F.lit(-1)).when(F.col("_conf_d"), F.lit(doctor_code))
               .when(~F.col("_eligible"), F.lit(None))).cast("int")

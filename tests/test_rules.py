@@ -252,3 +252,20 @@ def test_rows_inserted_one_by_one(spark):
         insert_each(t["BILLING"], new.drop("Service_Type"), "BILLING", "call")
     with pytest.raises(ValueError, match="8 columns are needed"):
         append_rows(t["BILLING"], new, "BILLING", positional=True)
+
+
+def test_booking_passes_many_days_in_several_tasks(spark, monkeypatch):
+    """Contested days are dealt to tasks by their number; calls without others in reach take no part in the rounds."""
+    monkeypatch.setattr(BK, "ROWS_PER_PASS", 8)
+    seen, decide = [], BK._decide
+    monkeypatch.setattr(BK, "_decide", lambda alive, minutes: (seen.append(alive.count()), decide(alive, minutes))[1])
+    rng = random.Random(5)
+    calls = [(i, f"P{rng.randrange(12)}", f"D{rng.randrange(6)}", rng.randrange(1400)) for i in range(60)]
+    calls += [(100 + i, f"Q{i}", f"E{i}", 700) for i in range(20)]
+    taken, want = [], {}
+    for s, p, d, m in calls:
+        busy = any(abs(m - n) < 30 and (p == q or d == e) for q, e, n in taken)
+        want[s] = -1 if busy else 0
+        taken += [] if busy else [(p, d, m)]
+    got, _ = _book(spark, calls)
+    assert got == want and 0 < seen[0] <= 60
