@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medledger.operators.ordering import order_bits, ordered_requests, running_sums
@@ -36,9 +36,11 @@ MSG_OUT_OF_RANGE = "Out of range value for column 'Amount_Paid'"
 MAX_CENTS = 10**10 - 1
 #: Payments of one bill that are folded as one array; those behind them are decided by chains.
 FOLD_ROWS = 128
+#: Payments of one plain bill that are summed in one window; where a bill has more, ``running_sums`` cuts them up.
+WINDOW_ROWS = 1 << 20
 
 
-def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | None = None,
+def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | None = None, held: bool = False,
                    ) -> tuple[DataFrame, DataFrame]:
     """Apply payments per bill in ``seq`` order; returns (bills, outcome).
 
@@ -58,10 +60,11 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
     (an expected version, a negative paid amount, a sum out of range) are decided in
     order: the first ``FOLD_ROWS`` payments of a bill by folding an array, any others
     by chains over all bills (see ``_chains``), so no task holds more of one bill.
+    ``held`` tells that the payments are a stored table of unique ``seq``.
     """
     has_version = "version" in bills.columns
     use_version = has_version if use_version is None else use_version
-    payments = ordered_requests(payments, "payments")
+    payments = payments if held else ordered_requests(payments, "payments")
     bits = order_bits(payments, "seq")
     if "expected_version" not in payments.columns:
         payments = payments.withColumn("expected_version", F.lit(None).cast("int"))
@@ -79,12 +82,20 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
     asked = asked.withColumn("_way", F.when(~F.col("_found"), "not_found").when(F.col("_charged") < 0, "negative_amount")
                              .when(walk, "walk").otherwise("plain"))
     asked = cut_lineage(asked)
-    ways = asked.drop("_add", "_k", "_guarded", "_found").withColumnRenamed("Bill_ID", "_bill")
-    j = valid.join(ways, F.col("Bill_ID").eqNullSafe(F.col("_bill"))).drop("_bill")  # a call may lack its bill
+    ways = asked.drop("_add", "_guarded", "_found")
+    j = valid.where(F.col("Bill_ID").isNotNull()).join(ways, "Bill_ID")
 
-    walked = _walk(j.where("_way = 'walk'"), bits)
+    walk_rows = j.where("_way = 'walk'").drop("_k")
+    walked = payments.sparkSession.createDataFrame([], _WALKED) if asked.where("_way = 'walk'").isEmpty() else _walk(walk_rows, bits)
     plain = j.where("_way = 'plain'").withColumn("_cents", cents("amount")).withColumn("_one", F.lit(1))
-    plain = running_sums(plain, ["Bill_ID"], "seq", {"_sum": "_cents", "_n": "_one"}, order_bits=bits)
+    # The window has the partitions of the join; only bills with a crowd of payments are cut up and joined again.
+    w = Window.partitionBy("Bill_ID").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = plain.where(F.col("_k") <= WINDOW_ROWS).withColumns({"_sum": F.sum("_cents").over(w), "_n": F.sum("_one").over(w)})
+    if asked.where((F.col("_way") == "plain") & (F.col("_k") > WINDOW_ROWS)).isEmpty():
+        plain = few
+    else:
+        many = plain.where(F.col("_k") > WINDOW_ROWS)
+        plain = few.unionByName(running_sums(many, ["Bill_ID"], "seq", {"_sum": "_cents", "_n": "_one"}, order_bits=bits))
     money = lambda c: (c.cast("decimal(20,0)") / 100).cast("decimal(10,2)")
 
     def rows(df: DataFrame, amount: Column, reason: Column, paid: Column, version: Column) -> DataFrame:
@@ -98,7 +109,8 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
             reason.alias("reason"), F.when(ok, MSG_PAYMENT_OK).otherwise(bad).alias("message"))
 
     none = F.lit(None).cast("string")
-    refused = j.where("_way IN ('not_found', 'negative_amount')")
+    nobody = valid.where(F.col("Bill_ID").isNull()).withColumn("_way", F.lit("not_found"))  # a call may lack its bill
+    refused = j.where("_way IN ('not_found', 'negative_amount')").unionByName(nobody, allowMissingColumns=True)
     outcome = rows(plain, F.col("amount"), none, F.col("_paid") + F.col("_sum"), F.col("_version") + F.col("_n"))
     moved = (F.col("_way") == "negative_amount") & (F.col("expected_version") != F.col("_version"))
     why = F.when(F.coalesce(moved, F.lit(False)), "version_conflict").otherwise(F.col("_way"))
@@ -128,6 +140,9 @@ def apply_payments(bills: DataFrame, payments: DataFrame, use_version: bool | No
     return new_bills, outcome
 
 
+_WALKED = "seq bigint, Bill_ID string, cents bigint, reason string, paid bigint, version bigint"
+
+
 def _walk(j: DataFrame, bits: int) -> DataFrame:
     """Decide the payments of contested bills in order.
 

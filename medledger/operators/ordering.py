@@ -24,14 +24,15 @@ from medledger.session import cut_lineage
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition index above bit 33
 
 
-def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "rank",
+                keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order ``order_cols``.
 
     Ties get distinct consecutive positions in an arbitrary but fixed order.
     The sorted, id-tagged rows are checkpointed so the ids cannot change if
-    a task is recomputed after an executor loss.
+    a task is recomputed after an executor loss. Of the columns, ``keep`` (or all) are kept.
     """
-    tagged = cut_lineage(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(df.orderBy(*order_cols).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_mid")))
     pid = F.shiftright(F.col("_mid"), _PARTITION_BITS)
     # One count per partition of ``tagged``: bounded by the partition count, so it
     # may come to the driver and go back as a small local table.
@@ -50,12 +51,16 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
 def ordered_requests(requests: DataFrame, what: str) -> DataFrame:
     """The batch, materialised once; its ``seq`` must be a total order (the calls ran one after the other)."""
     held = cut_lineage(requests)
-    repeated = held.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR seq IS NULL")
-    if not repeated.isEmpty():
+    if not unique_seq(held):
         raise ValueError(f"{what} need unique seq values")
     return held
 
 
+def unique_seq(held: DataFrame) -> bool:
+    """Whether ``seq`` is never null and never repeated."""
+    return held.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR seq IS NULL").isEmpty()
+
+
 def order_bits(df: DataFrame, order_col: str) -> int:
     """The bits of the order axis that ``running_sums`` has to cover (one cheap aggregate; 64 if values are negative)."""
     low, high = df.agg(F.min(order_col), F.max(order_col)).first()

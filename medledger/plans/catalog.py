@@ -819,7 +819,7 @@ def _feed(fx: Fixture, calls: DataFrame, path: str, parts: int = 3, files: int =
     low, high = held.agg(F.min("seq"), F.max("seq")).first()
     for k in range(parts):
         lo, hi = (low + (high + 1 - low) * x // parts for x in (k, k + 1))
-        held.where(F.col("seq").between(lo, hi - 1)).repartition(files).write.mode("append").parquet(path)
+        held.where(F.col("seq").between(lo, hi - 1)).repartitionByRange(files, "seq").write.mode("append").parquet(path)
     return files
 
 

@@ -221,13 +221,12 @@ class Fixture:
     @cached_property
     def PAYMENTS(self) -> DataFrame:
         """One payment per line item against the bill of its order, in a fixed global order."""
-        li = self.raw("lineitem").select(
-            key_id("B", "l_orderkey").alias("Bill_ID"),
-            F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("amount"),
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
-        )
-        ranked = global_rank(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                  "l_extendedprice", "l_shipdate"], "seq")
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+        li = self.raw("lineitem").select(*order)
+        # Texts are made of what is kept, behind the sort.
+        ranked = global_rank(li, order, "seq", keep=["l_orderkey", "l_extendedprice"]).select(
+            "seq", key_id("B", "l_orderkey").alias("Bill_ID"),
+            F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("amount"))
         return ranked.select("seq", "Bill_ID", "amount")
 
     @cached_property

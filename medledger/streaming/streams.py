@@ -36,6 +36,7 @@ from pyspark.sql.streaming import StreamingQuery
 from medledger.operators import booking as BK
 from medledger.operators import changes as C
 from medledger.operators import quality as Q
+from medledger.operators.ordering import ordered_requests, unique_seq
 from medledger.sources import schemas as S
 from medledger.session import cut_lineage, ensure_checkpoint_dir, intermediate_tables
 
@@ -100,12 +101,14 @@ _SPAN = "low bigint, high bigint"
 
 
 def _new_calls(spark: SparkSession, batch: DataFrame, out: str, batch_id: int) -> tuple[DataFrame, int | None]:
-    """The calls of a batch that no earlier batch has decided, and the largest ``seq`` decided before.
+    """The calls of a batch that no earlier batch has decided (a stored table of unique ``seq``), and the largest ``seq`` decided before.
 
     Every batch leaves the span of its ``seq`` values (one row), so outcomes of earlier batches are read only
     where their span meets this batch's: none, as long as calls arrive in order.
     """
-    held = cut_lineage(batch.distinct())
+    held = cut_lineage(batch)
+    if not unique_seq(held):  # only then do all columns need a shuffle
+        held = ordered_requests(held.distinct(), "calls of one batch")
     low, high = held.agg(F.min("seq"), F.max("seq")).first()
     top, meets = None, []
     if batch_id > 0:
@@ -118,7 +121,7 @@ def _new_calls(spark: SparkSession, batch: DataFrame, out: str, batch_id: int) -
     if meets:
         decided = spark.read.schema("seq bigint").parquet(*[f"{out}/outcome/batch_id={k}" for k in meets]).distinct()
         held.join(decided, "seq", "left_semi").write.mode("overwrite").parquet(f"{out}/repeated/batch_id={batch_id}")
-        new = held.join(decided, "seq", "left_anti")
+        new = cut_lineage(held.join(decided, "seq", "left_anti"))
     return new, top
 
 
@@ -159,7 +162,7 @@ def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills:
             else:
                 tops = (BK.top_id(appts, "Appointment_ID", "A"), BK.top_id(bills, "Bill_ID", "B"))
             added_a, added_b, outcome = BK.book_new_rows(book, bills, patients, doctors, calls, as_of=as_of,
-                                                         distinct_codes=distinct_codes, tops=tops)
+                                                         distinct_codes=distinct_codes, tops=tops, held=True)
             decided = _write_outcome(outcome, top, out, batch_id)
             added_a.write.mode("overwrite").partitionBy("Appointment_Date").parquet(
                 f"{out}/appointments_added/batch_id={batch_id}")
@@ -221,11 +224,10 @@ def payment_stream(spark: SparkSession, payments: str, bills: DataFrame, out: st
     def apply(batch: DataFrame, batch_id: int) -> None:
         with intermediate_tables(spark):
             calls, top = _new_calls(spark, batch, out, batch_id)
-            held = cut_lineage(calls)
-            asked = held.select(F.trim("Bill_ID").alias("Bill_ID")).distinct()
+            asked = calls.select(F.trim("Bill_ID").alias("Bill_ID")).distinct()
             cur = base.join(asked, "Bill_ID", "left_semi")
-            cur = cur if batch_id == 0 else current_bills(spark, cur, out, batch_id)
-            new_b, outcome = C.apply_payments(cur, held, use_version=use_version)
+            cur = cut_lineage(cur if batch_id == 0 else current_bills(spark, cur, out, batch_id))
+            new_b, outcome = C.apply_payments(cur, calls, use_version=use_version, held=True)
             touched = _write_outcome(outcome, top, out, batch_id).where("ok").select("Bill_ID").distinct()
             new_b.select(*base.columns).join(touched, "Bill_ID", "left_semi").write.mode("overwrite").parquet(
                 f"{out}/bill_updates/batch_id={batch_id}")

@@ -269,3 +269,30 @@ def test_booking_passes_many_days_in_several_tasks(spark, monkeypatch):
         taken += [] if busy else [(p, d, m)]
     got, _ = _book(spark, calls)
     assert got == want and 0 < seen[0] <= 60
+
+
+def test_plain_payments_are_cut_up_only_for_crowded_bills(spark, monkeypatch):
+    """A bill's running sums take one window; one with a crowd of payments is cut into chunks, with the same outcome."""
+    bill = lambda i: (f"B{i}", "P1", "x", DAY, Decimal("500.00"), Decimal("0.00"), None, "Pending")
+    bills = spark.createDataFrame([bill(i) for i in range(3)], S.BILLING)
+    calls = [(s, None if s == 5 else f"B{s % 2 if s % 7 else 9}", f"{s + 1}.50") for s in range(30)]
+    pays = spark.createDataFrame(calls, "seq bigint, Bill_ID string, amount string")
+
+    def run():
+        cut = []
+        sums = C.running_sums
+        monkeypatch.setattr(C, "running_sums", lambda *a, **k: (cut.append(1), sums(*a, **k))[1])
+        new, outcome = C.apply_payments(bills, pays)
+        got = sorted(tuple(r) for r in new.collect()), sorted((tuple(r) for r in outcome.collect()), key=lambda r: r[0])
+        monkeypatch.setattr(C, "running_sums", sums)
+        return got, len(cut)
+
+    got, cut = run()
+    monkeypatch.setattr(C, "WINDOW_ROWS", 3)
+    again, cut_again = run()
+    assert got == again and (cut, cut_again) == (0, 1)
+    left = {}
+    for (s, b, amount), r in zip(calls, got[1], strict=True):
+        ok = b in ("B0", "B1")
+        left[b] = left.get(b, 0) + (Decimal(amount) if ok else 0)
+        assert (r[3], r[7], r[4]) == ((True, None, left[b]) if ok else (False, "not_found", None))
