@@ -44,9 +44,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medledger.functions.columns import format_id, id_number, time_of_day_sec
-from medledger.operators.ordering import global_rank, ordered_requests
-from medledger.operators.quality import PAST_APPOINTMENT_MESSAGE, validate_requests
+from medledger.functions.columns import format_id, id_number, sec_to_time, time_of_day_sec
+from medledger.operators.ordering import global_rank, ordered_requests, unique_seq
+from medledger.operators.quality import PAST_APPOINTMENT_MESSAGE, checked_booking, validate_requests
 from medledger.session import cut_lineage
 
 # Outcome texts.
@@ -165,22 +165,42 @@ def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: in
     return per_sec.select(key, "_date", "_sec", *[f(c).over(w).alias(o) for f, c, o in outs])
 
 
+def _checked_calls(requests: DataFrame, held: bool) -> tuple[DataFrame, DataFrame]:
+    """The valid and the invalid calls of a batch, stored once: fields are checked in the job that materialises them.
+
+    A valid call keeps its stripped fields, date and second (the time as text follows from the second), an
+    invalid one its fields as typed. ``seq`` must be a total order: the routine handles one call at a time.
+    """
+    s = checked_booking(requests)
+    ok = F.col("error").isNull()
+    texts = [F.when(ok, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("Patient_ID", "Doctor_ID", "Department")]
+    stored = cut_lineage(s.select("seq", *texts, "_date", "_sec", F.when(~ok, F.col("Appointment_Time")).alias("Appointment_Time"), "error"))
+    if not held and not unique_seq(stored):
+        raise ValueError("booking requests need unique seq values")
+    return (stored.where("error IS NULL").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec", "Department"),
+            stored.where("error IS NOT NULL").select("seq", "Patient_ID", "Doctor_ID", "Appointment_Time", "error"))
+
+
 def _sift(valid: DataFrame, req: DataFrame, existing: DataFrame, minutes: int) -> DataFrame:
     """The requests ``req`` (``valid`` and what is known of them) with ``_busy0`` / ``_busy1`` (an existing appointment in reach, per key) and ``_alone`` (nothing
     existing and no other request in reach on either key: what becomes of it concerns no other request).
 
-    One window per key over requests and existing appointments, summed per second; only seconds that are
-    not alone meet the requests again.
+    One window for both keys over requests and existing appointments (each read once), summed per second; only
+    seconds that are not alone meet the requests again.
     """
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(key).alias("v")) for i, (_, key) in enumerate(_KEY_TYPES)]))
+    points = [rows.select(keys.alias("_k"), "_date", "_sec", F.lit(r).alias("_r"), F.lit(1 - r).alias("_e"))
+              for rows, r in ((valid, 1), (existing, 0))]
+    per_sec = points[0].unionByName(points[1]).groupBy(F.col("_k.i").alias("_i"), F.col("_k.v").alias("_kv"), "_date", "_sec").agg(
+        F.sum("_r").alias("_r"), F.sum("_e").alias("_e"))
+    reach = minutes * 60 - 1
+    w = Window.partitionBy("_i", "_kv", "_date").orderBy("_sec").rangeBetween(-reach, reach)
+    near = per_sec.select("_i", "_kv", "_date", "_sec", "_r", F.sum("_r").over(w).alias("_rs"), F.sum("_e").over(w).alias("_es"))
+    near = cut_lineage(near.where("_r > 0 AND (_rs > 1 OR _es > 0)").select("_i", "_kv", "_date", "_sec", (F.col("_es") > 0).alias("_busy")))
     out = req
     for i, (_, key) in enumerate(_KEY_TYPES):
-        points = valid.select(key, "_date", "_sec", F.lit(1).alias("_r"), F.lit(0).alias("_e")).unionByName(
-            existing.select(key, "_date", "_sec", F.lit(0).alias("_r"), F.lit(1).alias("_e")))
-        per_sec = points.groupBy(key, "_date", "_sec").agg(F.sum("_r").alias("_r"), F.sum("_e").alias("_e"))
-        w = _window(key, minutes)
-        near = per_sec.select(key, "_date", "_sec", "_r", F.sum("_r").over(w).alias("_rs"), F.sum("_e").over(w).alias("_es"))
-        near = near.where("_r > 0 AND (_rs > 1 OR _es > 0)").select(key, "_date", "_sec", (F.col("_es") > 0).alias(f"_busy{i}"))
-        out = out.join(near, [key, "_date", "_sec"], "left")
+        met = near.where(F.col("_i") == i).select(F.col("_kv").alias(key), "_date", "_sec", F.col("_busy").alias(f"_busy{i}"))
+        out = out.join(met, [key, "_date", "_sec"], "left")
     alone = F.col("_busy0").isNull() & F.col("_busy1").isNull()
     flags = {f"_busy{i}": F.coalesce(f"_busy{i}", F.lit(False)) for i in (0, 1)}
     return cut_lineage(out.withColumn("_alone", alone).withColumns(flags))
@@ -347,21 +367,19 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     """
     if minutes <= 0:
         raise ValueError("minutes must be positive")
-    # The routine handles one call at a time, so ``seq`` must be a total order.
-    valid, invalid = validate_requests(requests if held else ordered_requests(requests, "booking requests"), "booking")
-    valid = cut_lineage(valid.withColumnRenamed("Appointment_Date", "_date").withColumnRenamed("sec", "_sec"))
-    req = valid
-    for key, table, ok in (("Patient_ID", patients, "_p_ok"), ("Doctor_ID", doctors, "_d_ok")):
-        missing = _keys_missing(table, key, valid).withColumn("_gone", F.lit(True))
-        req = req.join(missing, key, "left").withColumn(ok, F.col("_gone").isNull()).drop("_gone")
-    past = F.lit(False) if as_of is None else (F.col("_date") < F.lit(str(as_of)).cast("date"))
-    req = req.withColumn("_past", past).withColumn("_eligible", ~F.col("_past") & F.col("_p_ok") & F.col("_d_ok"))
+    valid, invalid = _checked_calls(requests, held)
+    # Why a call fails once its slot is free; NULL where it would not.
+    why = F.lit(None).cast("string") if as_of is None else F.when(F.col("_date") < F.lit(str(as_of)).cast("date"), "past_date")
+    req = valid.withColumn("_why", why)
+    for key, table, reason in (("Patient_ID", patients, "unknown_patient"), ("Doctor_ID", doctors, "unknown_doctor")):
+        missing = _keys_missing(table, key, valid).withColumn("_gone", F.lit(reason))
+        req = req.join(missing, key, "left").withColumn("_why", F.coalesce("_why", "_gone")).drop("_gone")
     sifted = _sift(valid, req, _existing(appts, valid), minutes)
     contested = sifted.where(~F.col("_alone"))
 
     # Rounds over what has others in reach and no existing appointment. Pending requests only decrease, so
     # after each round the blocking rows are cut down to the key-dates that still have pending requests.
-    pending = contested.where("_eligible AND NOT _busy0 AND NOT _busy1").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
+    pending = contested.where("_why IS NULL AND NOT _busy0 AND NOT _busy1").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec")
     blocking = None
     accepted_parts: list[DataFrame] = []
     while True:
@@ -380,31 +398,30 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     # Accepted requests have no earlier conflict by construction. For the rest,
     # status and reason follow the sequential rule against the existing and the accepted set.
     all_accepted = _union(accepted_parts)
-    accepted = sifted.where("_alone AND _eligible").unionByName(contested.join(all_accepted.select("seq"), "seq", "left_semi"))
+    fields = ["seq", "Patient_ID", "Doctor_ID", "_date", "_sec", "Department"]
+    accepted = sifted.where("_alone AND _why IS NULL").select(*fields).unionByName(
+        contested.select(*fields).join(all_accepted.select("seq"), "seq", "left_semi"))
     rest = contested.join(all_accepted.select("seq"), "seq", "left_anti")
-    # Only key-dates of the remaining requests matter for their statuses.
-    final_blocking = _by_key(all_accepted, F.lit(1), F.col("seq")).join(_live(rest), ["_kt", "_kv", "_date"], "left_semi")
-    rest = _earlier_conflict(rest, final_blocking, minutes)
-    rest = rest.withColumns({f"_conf_{kt}": F.col(f"_conf_{kt}") | F.col(f"_busy{i}") for i, (kt, _) in enumerate(_KEY_TYPES)})
-    rest = rest.unionByName(sifted.where("_alone AND NOT _eligible").withColumns({"_conf_p": F.lit(False), "_conf_d": F.lit(False)}))
+    # An existing appointment of the patient is the reason whatever else there is; the others meet the accepted ones.
+    met = _earlier_conflict(rest.where("NOT _busy0"), _by_key(all_accepted, F.lit(1), F.col("seq")), minutes)
+    met = met.withColumn("_conf_d", F.col("_conf_d") | F.col("_busy1"))
+    known = rest.where("_busy0").unionByName(sifted.where("_alone AND _why IS NOT NULL"))
+    rest = met.unionByName(known.withColumns({"_conf_p": F.col("_busy0"), "_conf_d": F.lit(False)}))
     doctor_code = -2 if distinct_codes else -1
-    status = (F.when(F.col("_conf_p"), F.lit(-1)).when(F.col("_conf_d"), F.lit(doctor_code))
-              .when(~F.col("_eligible"), F.lit(None))).cast("int")
-    reason = (F.when(F.col("_conf_p"), "patient").when(F.col("_conf_d"), "doctor")
-              .when(F.col("_past"), "past_date").when(~F.col("_p_ok"), "unknown_patient")
-              .when(~F.col("_d_ok"), "unknown_doctor"))
-    rest = rest.withColumn("status", status).withColumn("reason", reason).drop("_conf_p", "_conf_d")
-    accepted = accepted.withColumn("status", F.lit(0)).withColumn("reason", F.lit(None).cast("string"))
-
-    booked = global_rank(accepted, ["seq"], "_rank")
+    status = F.when(F.col("_conf_p"), F.lit(-1)).when(F.col("_conf_d"), F.lit(doctor_code)).cast("int")
+    reason = F.when(F.col("_conf_p"), "patient").when(F.col("_conf_d"), "doctor").otherwise(F.col("_why"))
+    rest = rest.select(*fields, status.alias("status"), reason.alias("reason"))
+
+    booked = global_rank(accepted, ["seq"], "_rank").withColumns({"status": F.lit(0), "reason": F.lit(None).cast("string")})
     top_a, top_b = (F.lit(t) for t in tops) if tops else (
         top_id_number(appts, "Appointment_ID", "A"), top_id_number(bills, "Bill_ID", "B"))
     booked = (booked.withColumn("Appointment_ID", format_id("A", top_a + F.col("_rank")))
               .withColumn("Bill_ID", format_id("B", top_b + F.col("_rank"))))
 
+    time = sec_to_time("_sec").alias("Appointment_Time")
     new_appts = booked.select(
         "Appointment_ID", "Patient_ID", "Doctor_ID", "Department", F.col("_date").alias("Appointment_Date"),
-        "Appointment_Time", F.lit("Scheduled").alias("Status"), F.lit(1).alias("version"))
+        time, F.lit("Scheduled").alias("Status"), F.lit(1).alias("version"))
     new_bills = booked.select(
         "Bill_ID", "Patient_ID", F.concat(F.col("Department"), F.lit(" Consultation")).alias("Service_Type"),
         F.col("_date").alias("Service_Date"), F.lit(200).cast("decimal(10,2)").alias("Amount_Charged"),
@@ -419,7 +436,7 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
                .when(F.col("reason") == "past_date", F.lit(PAST_APPOINTMENT_MESSAGE))
                .otherwise(F.lit(MSG_MISSING_PARENT)))
     outcome = decided_rows.select(
-        "seq", "Patient_ID", "Doctor_ID", F.col("_date").alias("Appointment_Date"), "Appointment_Time",
+        "seq", "Patient_ID", "Doctor_ID", F.col("_date").alias("Appointment_Date"), time,
         "status", "reason", message.alias("message"), "Appointment_ID", "Bill_ID")
     rejected = invalid.select(
         "seq", "Patient_ID", "Doctor_ID", F.lit(None).cast("date").alias("Appointment_Date"),

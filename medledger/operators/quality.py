@@ -160,6 +160,19 @@ MSG_BOTH_REQUIRED = "Both fields are required"
 BOOKING_FIELDS = ["Patient_ID", "Doctor_ID", "Appointment_Date", "Appointment_Time", "Department"]
 
 
+def checked_booking(df: DataFrame) -> DataFrame:
+    """Booking calls with their stripped fields (``_`` and the name), ``_date``, ``_sec`` and ``error`` (NULL: valid)."""
+    s = df.select("*", *[strip(c).alias(f"_{c}") for c in BOOKING_FIELDS])
+    s = s.withColumn("_date", parse_date("_Appointment_Date", stripped=True)).withColumn(
+        "_sec", parse_time_sec("_Appointment_Time", stripped=True))
+    present = [F.coalesce(F.length(f"_{c}") > 0, F.lit(False)) for c in BOOKING_FIELDS]
+    error = (F.when(~reduce(lambda a, b: a & b, present),
+                    F.lit(MSG_ALL_REQUIRED))
+             .when(F.col("_date").isNull(), F.lit(MSG_BAD_DATE))
+             .when(F.col("_sec").isNull(), F.lit(MSG_BAD_TIME)))
+    return s.withColumn("error", error)
+
+
 def validate_requests(df: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
     """Client-side checks as set-based columns: (valid rows, invalid rows with ``error``).
 
@@ -167,15 +180,7 @@ def validate_requests(df: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
     stripped; the first failing check wins, in the client's order.
     """
     if spec == "booking":
-        s = df.select("*", *[strip(c).alias(f"_{c}") for c in BOOKING_FIELDS])
-        s = s.withColumn("_date", parse_date("_Appointment_Date", stripped=True)).withColumn(
-            "_sec", parse_time_sec("_Appointment_Time", stripped=True))
-        present = [F.coalesce(F.length(f"_{c}") > 0, F.lit(False)) for c in BOOKING_FIELDS]
-        error = (F.when(~reduce(lambda a, b: a & b, present),
-                        F.lit(MSG_ALL_REQUIRED))
-                 .when(F.col("_date").isNull(), F.lit(MSG_BAD_DATE))
-                 .when(F.col("_sec").isNull(), F.lit(MSG_BAD_TIME)))
-        s = s.withColumn("error", error)
+        s = checked_booking(df)
         valid = s.where(F.col("error").isNull()).select(
             "seq", F.col("_Patient_ID").alias("Patient_ID"), F.col("_Doctor_ID").alias("Doctor_ID"),
             F.col("_date").alias("Appointment_Date"), sec_to_time("_sec").alias("Appointment_Time"),

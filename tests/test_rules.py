@@ -14,7 +14,7 @@ from medledger.operators import reports as R
 from medledger.operators.ordering import running_sums
 from medledger.session import ensure_checkpoint_dir, intermediate_tables
 from medledger.sources import schemas as S
-from medledger.sources.tables import append_rows, ensure_column, insert_each
+from medledger.sources.tables import _roots, append_rows, ensure_column, insert_each
 from seed import seed_tables
 
 DAY = dt.date(2025, 1, 1)
@@ -296,3 +296,71 @@ def test_plain_payments_are_cut_up_only_for_crowded_bills(spark, monkeypatch):
         ok = b in ("B0", "B1")
         left[b] = left.get(b, 0) + (Decimal(amount) if ok else 0)
         assert (r[3], r[7], r[4]) == ((True, None, left[b]) if ok else (False, "not_found", None))
+
+
+def _calls_into_a_book(spark, path):
+    """60 random calls (some past, unknown or faulty) into a stored book, and what a loop over them gives."""
+    rng = random.Random(11)
+    text = lambda m: f"{m // 60}:{m % 60}:0"
+    book = [(f"P{rng.randrange(8)}", f"D{rng.randrange(5)}", rng.randrange(900)) for _ in range(25)]
+    spark.createDataFrame([(f"A{i:04d}", p, d, "Dept", dt.date(2025, 7, 1), f"{m // 60:02d}:{m % 60:02d}:00", "Scheduled")
+                           for i, (p, d, m) in enumerate(book)], S.APPOINTMENT).write.parquet(path)
+    pats = spark.createDataFrame([(f"P{i}", "x", DAY, "x", "x", "x", "x") for i in range(8)], S.PATIENT)
+    docs = spark.createDataFrame([(f"D{i}", "x", "Dept", "x", "x") for i in range(5)], S.DOCTOR)
+    calls, want, top = [], {}, 24
+    taken = [("2025-07-01", *b) for b in book]
+    for seq in range(60):
+        p, d, m = f"P{rng.randrange(10)}", f"D{rng.randrange(6)}", rng.randrange(900)
+        day, time = rng.choice(["2025-07-01", "2025-07-01", "2025-06-01"]), "25:0:0" if seq % 13 == 5 else text(m)
+        calls.append((seq, f" {p} ", d, day, time, "Dept"))
+        near = [(q, e) for on, q, e, n in taken if on == day and abs(n - m) < 30]
+        if seq % 13 == 5:
+            want[seq] = (f" {p} ", "25:0:0", None, "invalid_request", None)
+            continue
+        if any(q == p for q, _ in near):
+            status, reason = -1, "patient"
+        elif any(e == d for _, e in near):
+            status, reason = -2, "doctor"
+        else:
+            reason = ("past_date" if day < "2025-06-15" else "unknown_patient" if p in ("P8", "P9") else "unknown_doctor" if d == "D5" else None)
+            status = None if reason else 0
+        if status == 0:
+            taken.append((day, p, d, m))
+            top += 1
+        want[seq] = (p, f"{m // 60:02d}:{m % 60:02d}:00", status, reason, f"A{top:04d}" if status == 0 else None)
+    return pats, docs, spark.createDataFrame(calls, S.BOOKING_REQUESTS), want
+
+
+def _book_into(spark, tmp_path):
+    path = str(tmp_path / "book")
+    pats, docs, reqs, want = _calls_into_a_book(spark, path)
+    out = BK.book_new_rows(spark.read.parquet(path), spark.createDataFrame([], S.BILLING), pats, docs, reqs,
+                           as_of="2025-06-15", distinct_codes=True)
+    got = {r["seq"]: (r["Patient_ID"], r["Appointment_Time"], r["status"], r["reason"], r["Appointment_ID"]) for r in out[2].collect()}
+    return got, want
+
+
+def test_booking_reads_the_book_once_for_both_keys(spark, monkeypatch, tmp_path):
+    reads, cut = [], BK.cut_lineage
+    monkeypatch.setattr(BK, "cut_lineage", lambda df: (reads.extend(r for r in _roots(df) if r.endswith("/book")), cut(df))[1])
+    got, want = _book_into(spark, tmp_path)
+    assert got == want and len(reads) == 1
+
+
+def test_booking_stores_a_batch_of_calls_once_and_checked(spark, monkeypatch, tmp_path):
+    """Texts of calls are stored when checked, with the flags of the rounds left out of the rows that are ranked."""
+    stored, ranked, cut, rank = [], [], BK.cut_lineage, BK.global_rank
+    note = lambda df: (stored.append(df.columns), cut(df))[1]
+    monkeypatch.setattr(BK, "cut_lineage", note)
+    monkeypatch.setattr("medledger.operators.ordering.cut_lineage", note)
+    monkeypatch.setattr(BK, "global_rank", lambda df, *a: (ranked.append(set(df.columns)), rank(df, *a))[1])
+    got, want = _book_into(spark, tmp_path)
+    assert got == want and sum("Appointment_Time" in columns for columns in stored) == 1
+    assert ranked == [{"seq", "Patient_ID", "Doctor_ID", "_date", "_sec", "Department"}]
+
+
+def test_booking_of_a_busy_patient_needs_no_second_look(spark, monkeypatch, tmp_path):
+    looked, look = [], BK._earlier_conflict
+    monkeypatch.setattr(BK, "_earlier_conflict", lambda req, *a: (looked.append(req.where("_busy0").count()), look(req, *a))[1])
+    got, want = _book_into(spark, tmp_path)
+    assert got == want and looked == [0]
