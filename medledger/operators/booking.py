@@ -101,10 +101,13 @@ def next_ids(existing: DataFrame, id_col: str, new: DataFrame, order: str, prefi
     return ranked.withColumn(out, format_id(prefix, top + F.col("_rank"), width)).drop("_rank")
 
 
-def _keys_missing(df: DataFrame, col: str, requests: DataFrame) -> DataFrame:
-    """The distinct keys of the requests that ``df`` lacks, as a table: few as a rule, so the requests need no shuffle to meet them."""
-    asked = requests.select(col).where(F.col(col).isNotNull()).distinct()
-    return cut_lineage(asked.join(df.select(col), col, "left_anti"))
+def _keys_missing(tables: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
+    """The distinct (_key: column, _v: value) of the requests that the table of that key lacks, found in one job:
+    few as a rule, so the requests need no shuffle to meet them."""
+    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("_key"), F.col(c).alias("_v")) for c in tables]))
+    asked = requests.select(keys.alias("_k")).select("_k.*").where("_v IS NOT NULL").distinct()
+    known = _union([df.select(F.lit(c).alias("_key"), F.col(c).alias("_v")) for c, df in tables.items()])
+    return cut_lineage(asked.join(known, ["_key", "_v"], "left_anti"))
 
 
 # The blocking table holds existing and accepted appointments for both keys:
@@ -165,16 +168,21 @@ def _near(points: DataFrame, blocking: DataFrame, kt: str, key: str, minutes: in
     return per_sec.select(key, "_date", "_sec", *[f(c).over(w).alias(o) for f, c, o in outs])
 
 
-def _checked_calls(requests: DataFrame, held: bool) -> tuple[DataFrame, DataFrame]:
-    """The valid and the invalid calls of a batch, stored once: fields are checked in the job that materialises them.
+def checked_calls(requests: DataFrame) -> DataFrame:
+    """The calls of a batch, stored once: fields are checked in the job that materialises them.
 
-    A valid call keeps its stripped fields, date and second (the time as text follows from the second), an
-    invalid one its fields as typed. ``seq`` must be a total order: the routine handles one call at a time.
+    A valid call (``error`` is NULL) keeps its stripped fields, date and second (the time as text follows from the
+    second), an invalid one its fields as typed.
     """
     s = checked_booking(requests)
     ok = F.col("error").isNull()
     texts = [F.when(ok, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("Patient_ID", "Doctor_ID", "Department")]
-    stored = cut_lineage(s.select("seq", *texts, "_date", "_sec", F.when(~ok, F.col("Appointment_Time")).alias("Appointment_Time"), "error"))
+    return cut_lineage(s.select("seq", *texts, "_date", "_sec", F.when(~ok, F.col("Appointment_Time")).alias("Appointment_Time"), "error"))
+
+
+def _valid_and_invalid(requests: DataFrame, held: bool) -> tuple[DataFrame, DataFrame]:
+    """The valid and the invalid calls of a batch. ``seq`` must be a total order: the routine handles one call at a time."""
+    stored = requests if held else checked_calls(requests)
     if not held and not unique_seq(stored):
         raise ValueError("booking requests need unique seq values")
     return (stored.where("error IS NULL").select("seq", "Patient_ID", "Doctor_ID", "_date", "_sec", "Department"),
@@ -185,8 +193,9 @@ def _sift(valid: DataFrame, req: DataFrame, existing: DataFrame, minutes: int) -
     """The requests ``req`` (``valid`` and what is known of them) with ``_busy0`` / ``_busy1`` (an existing appointment in reach, per key) and ``_alone`` (nothing
     existing and no other request in reach on either key: what becomes of it concerns no other request).
 
-    One window for both keys over requests and existing appointments (each read once), summed per second; only
-    seconds that are not alone meet the requests again.
+    One window for both keys over requests and existing appointments (each read once), summed per second. Seconds
+    with no other second in reach are left out by their neighbours first: they add to nobody's sums, and only the
+    rest takes the frames of an hour. Only seconds that are not alone meet the requests again.
     """
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(key).alias("v")) for i, (_, key) in enumerate(_KEY_TYPES)]))
     points = [rows.select(keys.alias("_k"), "_date", "_sec", F.lit(r).alias("_r"), F.lit(1 - r).alias("_e"))
@@ -194,7 +203,10 @@ def _sift(valid: DataFrame, req: DataFrame, existing: DataFrame, minutes: int) -
     per_sec = points[0].unionByName(points[1]).groupBy(F.col("_k.i").alias("_i"), F.col("_k.v").alias("_kv"), "_date", "_sec").agg(
         F.sum("_r").alias("_r"), F.sum("_e").alias("_e"))
     reach = minutes * 60 - 1
-    w = Window.partitionBy("_i", "_kv", "_date").orderBy("_sec").rangeBetween(-reach, reach)
+    in_order = Window.partitionBy("_i", "_kv", "_date").orderBy("_sec")
+    w = in_order.rangeBetween(-reach, reach)
+    per_sec = per_sec.select("*", F.lag("_sec").over(in_order).alias("_before"), F.lead("_sec").over(in_order).alias("_after"))
+    per_sec = per_sec.where(f"_sec - _before <= {reach} OR _after - _sec <= {reach} OR _r > 1 OR (_r > 0 AND _e > 0)")
     near = per_sec.select("_i", "_kv", "_date", "_sec", "_r", F.sum("_r").over(w).alias("_rs"), F.sum("_e").over(w).alias("_es"))
     near = cut_lineage(near.where("_r > 0 AND (_rs > 1 OR _es > 0)").select("_i", "_kv", "_date", "_sec", (F.col("_es") > 0).alias("_busy")))
     out = req
@@ -363,17 +375,18 @@ def book_new_rows(appts: DataFrame, bills: DataFrame, patients: DataFrame, docto
     invalid request; ``reason`` and ``message`` explain. ``tops`` gives the largest
     appointment and bill id numbers where the caller keeps them (else they are
     read off the tables); ``rounds`` takes the number of rounds; ``held`` tells that the requests
-    are a stored table of unique ``seq``.
+    are a table stored by ``checked_calls``, of unique ``seq``.
     """
     if minutes <= 0:
         raise ValueError("minutes must be positive")
-    valid, invalid = _checked_calls(requests, held)
+    valid, invalid = _valid_and_invalid(requests, held)
     # Why a call fails once its slot is free; NULL where it would not.
     why = F.lit(None).cast("string") if as_of is None else F.when(F.col("_date") < F.lit(str(as_of)).cast("date"), "past_date")
     req = valid.withColumn("_why", why)
-    for key, table, reason in (("Patient_ID", patients, "unknown_patient"), ("Doctor_ID", doctors, "unknown_doctor")):
-        missing = _keys_missing(table, key, valid).withColumn("_gone", F.lit(reason))
-        req = req.join(missing, key, "left").withColumn("_why", F.coalesce("_why", "_gone")).drop("_gone")
+    missing = _keys_missing({"Patient_ID": patients, "Doctor_ID": doctors}, valid)
+    for key, reason in (("Patient_ID", "unknown_patient"), ("Doctor_ID", "unknown_doctor")):
+        gone = missing.where(F.col("_key") == key).select(F.col("_v").alias(key), F.lit(reason).alias("_gone"))
+        req = req.join(gone, key, "left").withColumn("_why", F.coalesce("_why", "_gone")).drop("_gone")
     sifted = _sift(valid, req, _existing(appts, valid), minutes)
     contested = sifted.where(~F.col("_alone"))
 

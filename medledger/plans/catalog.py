@@ -813,10 +813,15 @@ def _stream_billing_accepted(fx: Fixture) -> DataFrame:
     return fx.spark.read.parquet(f"{root}/accepted").drop("batch_id")
 
 
+#: Calls in one file of a feed: a file is one task's work for a stream, so a step has as many files as it has such portions.
+ROWS_PER_FILE = 250_000
+
+
 def _feed(fx: Fixture, calls: DataFrame, path: str, parts: int = 3, files: int = 4) -> int:
-    """Write calls in ``parts`` steps of ascending ``seq``, each as ``files`` files; returns the files per step."""
+    """Write calls in ``parts`` steps of ascending ``seq``, each as ``files`` files or more; returns the files per step."""
     held = cut_lineage(calls)
-    low, high = held.agg(F.min("seq"), F.max("seq")).first()
+    low, high, rows = held.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    files = max(files, rows // (parts * ROWS_PER_FILE) + 1)
     for k in range(parts):
         lo, hi = (low + (high + 1 - low) * x // parts for x in (k, k + 1))
         held.where(F.col("seq").between(lo, hi - 1)).repartitionByRange(files, "seq").write.mode("append").parquet(path)

@@ -100,15 +100,17 @@ def _earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: T.St
 _SPAN = "low bigint, high bigint"
 
 
-def _new_calls(spark: SparkSession, batch: DataFrame, out: str, batch_id: int) -> tuple[DataFrame, int | None]:
-    """The calls of a batch that no earlier batch has decided (a stored table of unique ``seq``), and the largest ``seq`` decided before.
+def _new_calls(spark: SparkSession, batch: DataFrame, out: str, batch_id: int,
+               store: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, int | None]:
+    """The calls of a batch that no earlier batch has decided (a table of unique ``seq``, as ``store`` keeps it), and the largest ``seq`` decided before.
 
-    Every batch leaves the span of its ``seq`` values (one row), so outcomes of earlier batches are read only
+    The batch is stored once, in the form in which it is decided. Every batch leaves the span of its ``seq`` values (one row), so outcomes of earlier batches are read only
     where their span meets this batch's: none, as long as calls arrive in order.
     """
-    held = cut_lineage(batch)
-    if not unique_seq(held):  # only then do all columns need a shuffle
-        held = ordered_requests(held.distinct(), "calls of one batch")
+    held = store(batch)
+    if not unique_seq(held):  # only then do all columns, as typed, need a shuffle
+        batch = ordered_requests(batch.distinct(), "calls of one batch")
+        held = store(batch)
     low, high = held.agg(F.min("seq"), F.max("seq")).first()
     top, meets = None, []
     if batch_id > 0:
@@ -120,7 +122,7 @@ def _new_calls(spark: SparkSession, batch: DataFrame, out: str, batch_id: int) -
     new = held
     if meets:
         decided = spark.read.schema("seq bigint").parquet(*[f"{out}/outcome/batch_id={k}" for k in meets]).distinct()
-        held.join(decided, "seq", "left_semi").write.mode("overwrite").parquet(f"{out}/repeated/batch_id={batch_id}")
+        batch.join(decided, "seq", "left_semi").write.mode("overwrite").parquet(f"{out}/repeated/batch_id={batch_id}")
         new = cut_lineage(held.join(decided, "seq", "left_anti"))
     return new, top
 
@@ -153,7 +155,7 @@ def booking_stream(spark: SparkSession, requests: str, appts: DataFrame, bills:
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         with intermediate_tables(spark):
-            calls, top = _new_calls(spark, batch, out, batch_id)
+            calls, top = _new_calls(spark, batch, out, batch_id, BK.checked_calls)
             book = appts
             if batch_id > 0:
                 added = _earlier_batches(spark, f"{out}/appointments_added", batch_id, _added_schema(appts))

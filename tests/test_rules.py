@@ -364,3 +364,18 @@ def test_booking_of_a_busy_patient_needs_no_second_look(spark, monkeypatch, tmp_
     monkeypatch.setattr(BK, "_earlier_conflict", lambda req, *a: (looked.append(req.where("_busy0").count()), look(req, *a))[1])
     got, want = _book_into(spark, tmp_path)
     assert got == want and looked == [0]
+
+
+def test_reach_ends_at_thirty_minutes_and_midnight(spark, tmp_path):
+    """Seconds without another in reach are left out of the windows; those at its very end are not."""
+    path, day = str(tmp_path / "book"), dt.date(2025, 7, 1)
+    book = [("P1", "D9", "10:00:00"), ("P2", "D9", "23:59:59"), ("P3", "D9", "04:00:00"), ("P3", "D9", "04:00:00")]
+    spark.createDataFrame([(f"A{i}", p, d, "Dept", day, at, "Scheduled") for i, (p, d, at) in enumerate(book)], S.APPOINTMENT).write.parquet(path)
+    calls = [("P1", "D1", "2025-07-01", "10:30:00", 0), ("P1", "D1", "2025-07-01", "09:30:01", -1), ("P1", "D2", "2025-07-01", "11:00:00", 0),
+             ("P2", "D3", "2025-07-02", "0:0:0", 0), ("P2", "D4", "2025-07-01", "23:59:59", -1), ("P3", "D5", "2025-07-01", "04:00:00", -1),
+             ("P4", "D6", "2025-07-01", "12:00:00", 0), ("P5", "D6", "2025-07-01", "12:00:00", -2), ("P6", "D6", "2025-07-01", "12:30:00", 0)]
+    pats = spark.createDataFrame([(f"P{i}", "x", DAY, "x", "x", "x", "x") for i in range(1, 7)], S.PATIENT)
+    docs = spark.createDataFrame([(f"D{i}", "x", "Dept", "x", "x") for i in range(1, 7)], S.DOCTOR)
+    reqs = spark.createDataFrame([(i, *c[:4], "Dept") for i, c in enumerate(calls)], S.BOOKING_REQUESTS)
+    out = BK.book_new_rows(spark.read.parquet(path), spark.createDataFrame([], S.BILLING), pats, docs, reqs, distinct_codes=True)[2]
+    assert {r["seq"]: r["status"] for r in out.collect()} == {i: c[4] for i, c in enumerate(calls)}

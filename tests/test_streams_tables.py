@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from medledger.operators import booking as BK
 from medledger.operators import changes as C
+from medledger.plans import catalog
 from medledger.plans.sql_functions import register_sql_functions
 from medledger.session import cut_lineage, intermediate_tables
 from medledger.sources import schemas as S
@@ -115,6 +116,38 @@ def test_a_booking_call_in_two_files_is_booked_once(spark, scratch):
     assert spark.read.parquet(f"{scratch}/out/appointments_added").count() == 3
 
 
+def test_a_booking_stream_stores_a_batch_once_and_checked(spark, scratch, monkeypatch):
+    """The texts of a batch are stored once, in the job that checks them; faulty, repeated and unknown calls keep their outcomes."""
+    t = seed_tables(spark)
+    stored, cut = [], BK.cut_lineage
+    note = lambda df: (stored.append(df.columns), cut(df))[1]
+    monkeypatch.setattr(BK, "cut_lineage", note)
+    monkeypatch.setattr(ST, "cut_lineage", note)
+    call = lambda seq, at, patient="P1001", doctor="D2001": (seq, patient, doctor, "2025-07-01", at, "Cardiology")
+    _feed(spark, f"{scratch}/src", [[call(1, " 9:0:0 "), call(2, "25:00:00"), call(3, "9:29:59")],
+                                    [call(4, "9:30:0"), call(5, "12:00:00", " P0"), call(6, "14:00:00", doctor="D0")]], S.BOOKING_REQUESTS)
+    ST.booking_stream(spark, f"{scratch}/src", t["APPOINTMENT"], t["BILLING"], t["PATIENT"], t["DOCTOR"], f"{scratch}/out",
+                      checkpoint=f"{scratch}/ckpt", max_files_per_trigger=1).awaitTermination()
+    got = {r["seq"]: (r["batch_id"], r["Patient_ID"], r["Appointment_Time"], r["status"], r["reason"])
+           for r in spark.read.parquet(f"{scratch}/out/outcome").collect()}
+    assert got == {1: (0, "P1001", "09:00:00", 0, None), 2: (0, "P1001", "25:00:00", None, "invalid_request"),
+                   3: (0, "P1001", "09:29:59", -1, "patient"), 4: (1, "P1001", "09:30:00", 0, None),
+                   5: (1, "P0", "12:00:00", None, "unknown_patient"), 6: (1, "P1001", "14:00:00", None, "unknown_doctor")}
+    assert sum("Appointment_Time" in columns for columns in stored) == 2  # one table in each of the two batches
+
+
+def test_a_feed_has_files_by_its_rows(spark, scratch, monkeypatch):
+    """A larger feed is read by more tasks: steps of ascending ``seq`` as before, in files of bounded size."""
+    monkeypatch.setattr(catalog, "ROWS_PER_FILE", 50)
+    calls = spark.range(600).select(F.col("id").alias("seq"), F.lit("x").alias("text"))
+    assert catalog._feed(None, calls, f"{scratch}/large", parts=2) == 7
+    assert catalog._feed(None, calls.where("seq < 100"), f"{scratch}/small", parts=2) == 4
+    fed = spark.read.parquet(f"{scratch}/large")
+    assert sorted(r["seq"] for r in fed.collect()) == list(range(600))
+    files = fed.groupBy(F.input_file_name()).agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) == 14 and max(f["n"] for f in files) < 150 and not any(f["low"] < 300 <= f["high"] for f in files)
+
+
 def test_two_streams_at_once_and_nested_scopes(spark, scratch):
     """A scope that ends takes its own tables only, in its own thread only."""
     t = seed_tables(spark)
